@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import format_chat, read_chat, with_control
 from .decontaminate import find_matches, judge
 from .language_id import fit, identify, public_pieces
 from .secrets import digest, find_secrets, joined
-from .shared import table
+from .shared import fresh_path, table
 from .simhash import near_duplicates
+from .token_files import read_tokens, write_tokens
 from .url_filter import filter_urls
+from .warc import read_warc, write_warc
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    read = read_warc(spark, path, with_payload=False)
+    return read.select(F.col("key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"), "url", "error")
+
+
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_chat(format_chat(with_control(table(spark, sf_dir, "conversations"))))
+
+
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -42,6 +55,12 @@ def simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(spark, path)
+
+
 def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -61,9 +80,12 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": warc_round_trip,
+    "op2_chat_format": chat_format,
     "op3_url_filter": url_filter,
     "op6_secret_scan": secret_scan,
     "op7_simhash": simhash_classes,
+    "op8_token_files": token_files,
     "op9_decontaminate": decontaminate,
     "op10_language_id": language_id,
 }

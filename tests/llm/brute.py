@@ -86,3 +86,41 @@ def contamination(docs, items):
 
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+def archive_rows(pages):
+    """pages: [(page_id, html)]. {page_id: (payload_bytes, digest, type, refers_to)}"""
+    import base64
+
+    first = {}
+    for k, html in pages:
+        first[html or ""] = min(k, first.get(html or "", k))
+    out = {}
+    for k, html in pages:
+        data = (html or "").encode()
+        digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        out[k] = (len(data), digest, "response", None) if first[html or ""] == k else (len(data), digest, "revisit", first[html or ""])
+    return out
+
+
+def conversations(turns):
+    """turns: [(conv_id, turn, role, text)]. {conv_id: (n_turns, turns_sha256, loss_chars, loss_sha256)}"""
+    out = {}
+    for conv in {t[0] for t in turns}:
+        own = sorted((t for t in turns if t[0] == conv), key=lambda t: t[1])
+        learned = "".join(t[3] or "" for t in own if t[2] == "assistant")
+        out[conv] = (len(own), sha("".join(f"{t[2]}\n{t[3] or ''}\n" for t in own)), len(learned), sha(learned))
+    return out
+
+
+def token_rows(docs, file):
+    """docs: {doc_id: text}. {doc_id: (start, n_tokens, crc)}"""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    tokenizer, out, start = Tokenizer.from_file(file), {}, 0
+    for k in sorted(docs):
+        ids = [*tokenizer.encode(docs[k] or "", add_special_tokens=False).ids, 2]
+        out[k] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    return out
