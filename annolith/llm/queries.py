@@ -15,6 +15,7 @@ from .secrets import digest, find_secrets, joined
 from .shared import fresh_path, table
 from .simhash import near_duplicates
 from .token_files import read_tokens, write_tokens
+from .topk import quantised, top_inner
 from .url_filter import filter_urls
 from .warc import read_warc, write_warc
 
@@ -37,6 +38,11 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", quantised(F.col("embedding")).alias("vector"))
+    return top_inner(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc_round_trip,
     "op2_chat_format": chat_format,
     "op3_url_filter": url_filter,
+    "op4_top_k": top_k,
     "op6_secret_scan": secret_scan,
     "op7_simhash": simhash_classes,
     "op8_token_files": token_files,
