@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,14 +99,9 @@ class SuffixArray:
         return np.array(found, np.int64).reshape(-1, 4)
 
 
-def find_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """key, n_words, matches array<struct<item_id string, at, item_at, length>>: a row for each row of docs.
-
-    ``at`` and ``length`` count words. A match is verbatim, cannot be made longer, and holds a window: ``window``
-    consecutive item words, or a whole shorter item.
-    """
-    kind, spark = docs.schema[key].dataType.simpleString(), docs.sparkSession
-    cell = pa.struct([("item_id", pa.string()), ("at", pa.int64()), ("item_at", pa.int64()), ("length", pa.int64())])
+def test_sets(items: DataFrame, item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[Broadcast]:
+    """The test set in broadcasts of about ``block_words`` words each."""
+    spark = items.sparkSession
     tests, block, size = [], [], 0
     for row in items.select(F.col(item).cast("string"), item_text).toLocalIterator():
         n = len(words_of(row[1]))
@@ -115,25 +111,56 @@ def find_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         block.append((row[0], row[1]))
         size += n
     tests.append(spark.sparkContext.broadcast(TestSet(block, window)))
+    return tests
+
+
+test_sets.__test__ = False
+
+
+def find_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """key, n_words, matches array<struct<item_id string, at, item_at, length>>: a row for each row of docs.
+
+    ``at`` and ``length`` count words. A match is verbatim, cannot be made longer, and holds a window: ``window``
+    consecutive item words, or a whole shorter item.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    cell = pa.struct([("item_id", pa.string()), ("at", pa.int64()), ("item_at", pa.int64()), ("length", pa.int64())])
+    tests = test_sets(items, item, item_text, window, block_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, found = [], []
-            shard: list[list[bytes]] = []
-            held = 0
-            for i in range(len(batch)):
-                own = words_of(batch[text][i].as_py())
-                shard.append(own)
-                held += len(own)
-                if held > SHARD_WORDS or i == len(batch) - 1:
-                    counts += map(len, shard)
-                    found += _look_up(shard, [t.value for t in tests])
-                    shard, held = [], 0
+            counts, found = _matched(batch[text], [t.value for t in tests])
             yield pa.RecordBatch.from_arrays([batch[key], pa.array(counts, pa.int64()), pa.array(found, pa.list_(cell))], [key, "n_words", "matches"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_words bigint, matches array<struct<item_id string, at bigint, item_at bigint, length bigint>>")
 
 
+def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, share: float = 0.05) -> DataFrame:
+    """docs without the rows of whose words matches cover ``share`` or more. No row moves."""
+    tests = test_sets(items, window=window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, found = _matched(batch[text], [t.value for t in tests])
+            hit = map(covered, found)
+            yield batch.filter(pa.array([not (h and h >= share * n) for n, h in zip(counts, hit, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _matched(column: pa.Array, tests: list[TestSet]) -> tuple[list[int], list[list[dict]]]:
+    """The number of words and the matches of each text, shard by shard."""
+    counts, found, shard, held = [], [], [], 0
+    for i in range(len(column)):
+        shard.append(words_of(column[i].as_py()))
+        held += len(shard[-1])
+        if held > SHARD_WORDS or i == len(column) - 1:
+            counts += map(len, shard)
+            found += _look_up(shard, tests)
+            shard, held = [], 0
+    return counts, found
+
+
 def _look_up(shard: list[list[bytes]], tests: list[TestSet]) -> list[list[dict]]:
     ends = np.cumsum([len(own) + 1 for own in shard])  # a zero ends each document
     found: list[list[dict]] = [[] for _ in shard]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .chat_format import format_chat, read_chat, with_control
 from .decontaminate import find_matches, judge
 from .language_id import fit, identify, public_pieces
+from .mixing import fit_domains, mixing_rates
 from .secrets import digest, find_secrets, joined
 from .shared import fresh_path, table
 from .simhash import near_duplicates
@@ -43,6 +44,20 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+#: Domains of the labels table, and the shares of all tokens that the mixture aims at.
+DOMAINS = ["high", "low", "toxic"]
+TARGETS = {"high": 0.9, "low": 0.1, "toxic": 0.0}
+
+
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").selectExpr("doc_id", "case when toxic = 1 then 'toxic' when quality = 1 then 'high' when quality = 0 then 'low' end as domain")
+
+
+def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing_rates(docs, fit_domains(docs, domain_labels(spark, sf_dir), DOMAINS), TARGETS)
+
+
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
 
@@ -90,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": chat_format,
     "op3_url_filter": url_filter,
     "op4_top_k": top_k,
+    "op5_mixing": mixing,
     "op6_secret_scan": secret_scan,
     "op7_simhash": simhash_classes,
     "op8_token_files": token_files,

@@ -179,3 +179,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     members = named.join(least, "root").select("fp", "component_id")
     return prints.join(members, "fp", "left").select(key, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """docs with one row of each component, that of the least key; rows without a key all stay."""
+    found = near_duplicates(docs, key, text, size, distance)
+    kept = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
+    named = docs.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("_kept"), "left_semi").dropDuplicates([key])
+    return named.unionByName(docs.where(F.col(key).isNull()))
