@@ -1,19 +1,20 @@
 """One-to-one matching of boxes and other order-dependent spatial operators (SPA07-16, 19, 33-35; JOI11-14).
 
 Candidates always come from an equi-join on the page (or matched advertisement), then the spatial predicate. Greedy
-forms fold the page's sorted candidates inside the JVM; optimal forms solve one page at a time in ``applyInPandas``. A
-page holds a bounded number of entities, so its group is small by nature.
+forms fold the page's sorted candidates inside the JVM; optimal and order-dependent forms stream over sorted pages. A page
+holds a bounded number of entities, so its group is small by nature.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolith.functions import boxes
 from annolith.functions.boxes import box
 
+from .streams import per_group
+
 
 def candidates(left: DataFrame, right: DataFrame, page: list[str], least_iou: float, contained: float | None = None, least_contained_iou: float = 0.02) -> DataFrame:
     """JOI11: left and right hold page columns, id, x1..y2. page, a, b, iou, containment of the accepted pairs."""
@@ -31,7 +32,8 @@ def greedy(pairs: DataFrame, page: list[str], score: Column, reverse_ties: bool
 
     The fold keeps the ids used so far; it runs per page inside the JVM.
     """
-    order = F.struct((-score).alias("s"), *((-F.col("a"), -F.col("b")) if reverse_ties else (F.col("a"), F.col("b"))), "a", "b", "iou", "containment")
+    sign = -1 if reverse_ties else 1
+    order = F.struct((-score).alias("s"), (F.col("a") * sign).alias("first"), (F.col("b") * sign).alias("second"), "a", "b", "iou", "containment")
     rows = pairs.select(*page, order.alias("r")).groupBy(*page).agg(F.sort_array(F.collect_list("r")).alias("rows"))
     entry = "struct<a:bigint,b:bigint,iou:double,containment:double>"
     kept = F.aggregate(
@@ -99,42 +101,48 @@ def best_assignment(weights: dict[tuple[int, int], int], n: int, m: int) -> list
 def optimal(pairs: DataFrame, page: list[str], score: str = "iou") -> DataFrame:
     """SPA09, SPA10: as many pairs as can be, then the largest sum of (score, iou, containment) as whole-number weights."""
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = sorted(rows["a"].unique()), sorted(rows["b"].unique())
+    def solve(key: tuple, rows: list[tuple]) -> list[tuple]:
+        left, right = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+        if len(left) == 1 or len(right) == 1:  # one edge: the heaviest, then that of the smaller ids
+            return [min(rows, key=lambda r: (-_weight(r), r[0], r[1]))[:4]]
         at_a, at_b = {x: i for i, x in enumerate(left)}, {x: i for i, x in enumerate(right)}
-        weight = [round(s * 1e9) * 10**9 + round(u * 1e6) * 1000 + round(c * 1000) for s, u, c in zip(rows[score], rows["iou"], rows["containment"], strict=True)]
-        edges = {(at_a[a], at_b[b]): w for a, b, w in zip(rows["a"], rows["b"], weight, strict=True)}
-        chosen = {(left[i], right[j]) for i, j in best_assignment(edges, len(left), len(right))}
-        return rows[[(a, b) in chosen for a, b in zip(rows["a"], rows["b"], strict=True)]]
+        chosen = {(left[i], right[j]) for i, j in best_assignment({(at_a[r[0]], at_b[r[1]]): _weight(r) for r in rows}, len(left), len(right))}
+        return [r[:4] for r in rows if r[:2] in chosen]
+
+    kinds = ", ".join(f"`{p}` {pairs.schema[p].dataType.simpleString()}" for p in page)
+    rows = pairs.select(*page, "a", "b", "iou", "containment", F.col(score).alias("_score"))
+    return per_group(rows, page, ["a", "b", "iou", "containment", "_score"], ["a", "b"], solve, f"{kinds}, a bigint, b bigint, iou double, containment double")
+
 
-    return pairs.groupBy(*page).applyInPandas(solve, pairs.schema)
+def _weight(row: tuple) -> int:
+    _, _, overlap, contained, score = row
+    return round(score * 1e9) * 10**9 + round(overlap * 1e6) * 1000 + round(contained * 1000)
 
 
 def most_pairs(pairs: DataFrame, page: list[str]) -> DataFrame:
     """SPA11: as many pairs as can be; edges are tried by score, then id."""
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values(["iou", "a", "b"], ascending=[False, True, True])
-        options: dict[int, list[int]] = {}
-        for a, b in zip(ordered["a"], ordered["b"], strict=True):
-            options.setdefault(a, []).append(b)
-        taken: dict[int, int] = {}
+    def solve(key: tuple, rows: list[tuple]) -> list[tuple]:
+        options: dict[int, list[tuple]] = {}
+        for r in rows:
+            options.setdefault(r[0], []).append(r)
+        taken: dict[int, tuple] = {}
 
         def place(a: int, seen: set[int]) -> bool:
-            for b in options[a]:
-                if b not in seen:
-                    seen.add(b)
-                    if b not in taken or place(taken[b], seen):
-                        taken[b] = a
+            for r in options[a]:
+                if r[1] not in seen:
+                    seen.add(r[1])
+                    if r[1] not in taken or place(taken[r[1]][0], seen):
+                        taken[r[1]] = r
                         return True
             return False
 
         for a in sorted(options):
             place(a, set())
-        chosen = {(a, b) for b, a in taken.items()}
-        return rows[[(a, b) in chosen for a, b in zip(rows["a"], rows["b"], strict=True)]]
+        return sorted(taken.values())
 
-    return pairs.groupBy(*page).applyInPandas(solve, pairs.schema)
+    kinds = ", ".join(f"`{p}` {pairs.schema[p].dataType.simpleString()}" for p in page)
+    return per_group(pairs, page, ["a", "b", "iou", "containment"], [F.desc("iou"), "a", "b"], solve, f"{kinds}, a bigint, b bigint, iou double, containment double")
 
 
 def tagged(items: DataFrame, pairs: DataFrame, page: list[str], side: str, yes: str, no: str) -> DataFrame:
@@ -162,10 +170,9 @@ def fused(items: DataFrame, page: list[str], least_iou: float = 0.35, reach: flo
         side = max(a[2] - a[0], a[3] - a[1], b[2] - b[0], b[3] - b[1], 1)
         return ((a[0] + a[2] - b[0] - b[2]) ** 2 + (a[1] + a[3] - b[1] - b[3]) ** 2) ** 0.5 / 2 <= reach * side
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values(["confidence", "id"], ascending=[False, True])
+    def merge(key: tuple, rows: list[tuple]) -> list[tuple]:
         clusters: list[list[tuple]] = []
-        for r in ordered[["x1", "y1", "x2", "y2", "confidence"]].astype(float).itertuples(index=False, name=None):
+        for r in rows:
             home = next((c for c in clusters if any(overlap(r, m) for m in c)), None)
             if home is None:
                 clusters.append([r])
@@ -175,38 +182,38 @@ def fused(items: DataFrame, page: list[str], least_iou: float = 0.35, reach: flo
         for k, c in enumerate(clusters):
             total = sum(m[4] for m in c)
             share = [m[4] / total for m in c] if total else [1 / len(c)] * len(c)
-            made.append((*rows[page].iloc[0], k, len(c), *(sum(m[i] * s for m, s in zip(c, share, strict=True)) for i in range(4))))
-        return pd.DataFrame(made, columns=[*page, "cluster", "members", "x1", "y1", "x2", "y2"])
+            made.append((k, len(c), *(float(sum(m[i] * s for m, s in zip(c, share, strict=True))) for i in range(4))))
+        return made
 
-    return items.groupBy(*page).applyInPandas(merge, schema)
+    return per_group(items, page, ["x1", "y1", "x2", "y2", "confidence", "id"], [F.desc("confidence"), "id"], merge, schema)
 
 
 def clustered(items: DataFrame, page: list[str], least_iou: float = 0.2) -> DataFrame:
     """SPA19: by area, an item joins the cluster with the best overlap that has none of its source; page, id, cluster."""
     schema = ", ".join(f"`{p}` {items.schema[p].dataType.simpleString()}" for p in page) + f", id {items.schema['id'].dataType.simpleString()}, source {items.schema['source'].dataType.simpleString()}, cluster int"
 
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(_area=(rows["x2"] - rows["x1"]) * (rows["y2"] - rows["y1"])).sort_values(["_area", "id"], ascending=[False, True])
+    def assign(key: tuple, rows: list[tuple]) -> list[tuple]:
         clusters: list[list[tuple]] = []
-        homes = []
-        for r in rows[["x1", "y1", "x2", "y2", "source", "_area"]].itertuples(index=False, name=None):
+        out = []
+        for r in rows:
             best, at = 0.0, None
             for k, c in enumerate(clusters):
                 if any(m[4] == r[4] for m in c):
                     continue
                 for m in c:
                     inter = max(0.0, min(r[2], m[2]) - max(r[0], m[0])) * max(0.0, min(r[3], m[3]) - max(r[1], m[1]))
-                    union = r[5] + m[5] - inter
+                    union = r[6] + m[6] - inter
                     if union > 0 and inter / union >= least_iou and inter / union > best:
                         best, at = inter / union, k
             if at is None:
                 at = len(clusters)
                 clusters.append([])
             clusters[at].append(r)
-            homes.append(at)
-        return rows.assign(cluster=homes)[[*page, "id", "source", "cluster"]]
+            out.append((r[5], r[4], at))
+        return out
 
-    return items.groupBy(*page).applyInPandas(assign, schema)
+    rows = items.withColumn("_area", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
+    return per_group(rows, page, ["x1", "y1", "x2", "y2", "source", "id", "_area"], [F.desc("_area"), "id"], assign, schema)
 
 
 def mean_pair_iou(members: DataFrame, cluster: list[str]) -> DataFrame:

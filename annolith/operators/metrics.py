@@ -1,7 +1,8 @@
 """Agreement, classification and calibration metrics over long tables (MET01-34)."""
 
-from __future__ import annotations
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,17 +153,14 @@ def consensus(members: DataFrame, cluster: list[str], coder: str, field: str, le
     return seen.where(F.col("coders") >= least).join(top, cluster, "left")
 
 
-def sequence_ratio(a: Column, b: Column) -> Column:
-    """MET11: difflib's ratio, which no built-in gives."""
-    import pandas as pd
-
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
+@F.pandas_udf("double")
+def _ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None or q is None else SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
 
-        return pd.Series([None if p is None or q is None else SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
 
-    return ratio(a, b)
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """MET11: difflib's ratio, which no built-in gives."""
+    return _ratio(a, b)
 
 
 def name_match(a: Column, b: Column, least: float = 0.76) -> Column:

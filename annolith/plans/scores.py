@@ -60,7 +60,7 @@ def long(s, d):
     return labelled(s, d).select(F.inline(rows))
 
 
-@query("met04_field_summary", with_(FACES, LABELLED, LONG, "SELECT field, assessed, exact, lenient, one_missing, round(exact / assessed::DOUBLE, 6) AS exact_accuracy, round(lenient / assessed::DOUBLE, 6) AS lenient_accuracy FROM (SELECT field, count(*) AS assessed, count(*) FILTER (human IS NOT DISTINCT FROM other) AS exact, count(*) FILTER (human IS NOT DISTINCT FROM other OR (field = 'legibility' AND abs(CAST(left(human, 1) AS INTEGER) - CAST(left(other, 1) AS INTEGER)) <= 1)) AS lenient, count(*) FILTER ((human IS NULL) <> (other IS NULL)) AS one_missing FROM lg WHERE human IS NOT NULL OR other IS NOT NULL GROUP BY 1)"))
+@query("met04_field_summary", with_(FACES, LABELLED, LONG, "SELECT field, assessed, exact, lenient, one_missing, round(exact / assessed::DOUBLE, 6) AS exact_accuracy, round(lenient / assessed::DOUBLE, 6) AS lenient_accuracy FROM (SELECT field, count(*) AS assessed, count(*) FILTER (human IS NOT DISTINCT FROM other) AS exact, count(*) FILTER (human IS NOT DISTINCT FROM other OR (field = 'legibility' AND abs(TRY_CAST(left(human, 1) AS INTEGER) - TRY_CAST(left(other, 1) AS INTEGER)) <= 1)) AS lenient, count(*) FILTER ((human IS NULL) <> (other IS NULL)) AS one_missing FROM lg WHERE human IS NOT NULL OR other IS NOT NULL GROUP BY 1)"))
 def met04(s, d):
     return six(metrics.field_summary(long(s, d)), "exact_accuracy", "lenient_accuracy")
 
@@ -162,7 +162,7 @@ def met22(s, d):
     return labelled(s, d).groupBy(V.relation(c("lh"), c("lo")).alias("relation")).agg(F.count("*").alias("n"))
 
 
-@query("met24_consensus", with_(FACES, "m AS (SELECT image_id, ad, CAST(legibility AS INTEGER) AS coder, nullif(smile, 'not_assessable') AS v FROM faces)", "k AS (SELECT image_id, ad, count(DISTINCT coder) AS coders FROM m GROUP BY ALL HAVING count(DISTINCT coder) >= 2)", "t AS (SELECT image_id, ad, v AS majority, count(DISTINCT coder) AS votes FROM m WHERE v IS NOT NULL GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY image_id, ad ORDER BY count(DISTINCT coder) DESC, v) = 1)", "SELECT k.image_id, k.ad, coders, majority, votes FROM k LEFT JOIN (SELECT * FROM t WHERE votes >= 2) t ON t.image_id = k.image_id AND t.ad = k.ad"))
+@query("met24_consensus", with_(FACES, "m AS (SELECT image_id, ad, CAST(legibility AS INTEGER) AS coder, nullif(smile, 'not_assessable') AS v FROM faces)", "k AS (SELECT image_id, ad, count(DISTINCT coder) AS coders FROM m GROUP BY ALL HAVING count(DISTINCT coder) >= 2)", "t AS (SELECT * FROM (SELECT image_id, ad, v AS majority, count(DISTINCT coder) AS votes FROM m WHERE v IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY image_id, ad ORDER BY votes DESC, majority) = 1)", "SELECT k.image_id, k.ad, coders, majority, votes FROM k LEFT JOIN (SELECT * FROM t WHERE votes >= 2) t ON t.image_id = k.image_id AND t.ad = k.ad"))
 def met24(s, d):
     m = faces(s, d).select("image_id", "ad", c("legibility").alias("coder"), F.nullif("smile", F.lit("not_assessable")).alias("v"))
     return metrics.consensus(m, ["image_id", "ad"], "coder", "v").select("image_id", "ad", "coders", "majority", "votes")
