@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def hash_key(seed: object, *ids: Column) -> Column:
@@ -41,7 +42,7 @@ def hamilton_with_minimum(strata: DataFrame, by: list[str], size: str, total: in
 
     Strata below their minimum get it and leave the sharing, again and again: sequential over a small table of strata.
     """
-    schema = strata.schema.add("quota", "bigint")
+    schema = StructType([*strata.schema.fields, StructField("quota", LongType())])
 
     def allot(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
@@ -63,8 +64,7 @@ def hamilton_with_minimum(strata: DataFrame, by: list[str], size: str, total: in
             quota[i] += 1
         return rows.assign(quota=[min(quota[i], int(sizes[i])) for i in range(len(sizes))])
 
-    keys = by or [F.lit(1)]
-    return strata.groupBy(*keys).applyInPandas(allot, schema)
+    return strata.groupBy(*by).applyInPandas(allot, schema)
 
 
 def round_robin(rows: DataFrame, by: list[str], key: str, seed: object) -> DataFrame:
@@ -76,7 +76,7 @@ def round_robin(rows: DataFrame, by: list[str], key: str, seed: object) -> DataF
 def deficit_order(rows: DataFrame, stratum: str, key: str, seed: object) -> DataFrame:
     """SMP07: a schedule in which each next place goes to the stratum furthest behind its share. Sequential over rows of
     a sample, so it takes them as one small group."""
-    schema = rows.select(key, stratum).schema.add("place", "bigint")
+    schema = StructType([*rows.select(key, stratum).schema.fields, StructField("place", LongType())])
 
     def schedule(pdf: pd.DataFrame) -> pd.DataFrame:
         import hashlib
@@ -91,7 +91,7 @@ def deficit_order(rows: DataFrame, stratum: str, key: str, seed: object) -> Data
             taken[s] += 1
         return pd.DataFrame(out, columns=[key, stratum, "place"])
 
-    return rows.groupBy(F.lit(1)).applyInPandas(schedule, schema)
+    return rows.groupBy().applyInPandas(schedule, schema)
 
 
 def balanced_order(rows: DataFrame, group: str, key: str, done: DataFrame, seed: object) -> DataFrame:
