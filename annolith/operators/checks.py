@@ -64,13 +64,10 @@ def reconcile(left: DataFrame, right: DataFrame, key: list[str], columns: list[s
     return a.join(b, key, "full_outer").withColumn("agree", reduce(lambda x, y: x & y, [F.col(f"left_{c}").eqNullSafe(F.col(f"right_{c}")) for c in columns]))
 
 
-def changes(before: DataFrame, after: DataFrame, key: list[str], fields: list[str], rule: str) -> DataFrame:
-    """PRJ19: a log row for each field that a rule changed."""
-    a = before.select(*key, *[F.col(f).cast("string").alias(f"a_{f}") for f in fields])
-    b = after.select(*key, *[F.col(f).cast("string").alias(f"b_{f}") for f in fields])
-    both = a.join(b, key)
-    log = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"a_{f}").alias("from_value"), F.col(f"b_{f}").alias("to_value")) for f in fields])
-    return both.select(*key, F.inline(F.filter(log, lambda x: ~x["from_value"].eqNullSafe(x["to_value"])))).withColumn("rule", F.lit(rule))
+def changes(rows: DataFrame, key: list[str], after: dict[str, Column], rule: str) -> DataFrame:
+    """PRJ19: a log row for each field whose value a rule changes; rows meet their own new values, without a join."""
+    log = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("from_value"), new.cast("string").alias("to_value")) for f, new in after.items()])
+    return rows.select(*key, F.inline(F.filter(log, lambda x: ~x["from_value"].eqNullSafe(x["to_value"])))).withColumn("rule", F.lit(rule))
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:

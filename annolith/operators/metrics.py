@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from annolith.functions.values import ORDERS, rank_of, safe_divide
 
@@ -153,7 +154,7 @@ def consensus(members: DataFrame, cluster: list[str], coder: str, field: str, le
     return seen.where(F.col("coders") >= least).join(top, cluster, "left")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([None if p is None or q is None else SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
 

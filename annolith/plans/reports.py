@@ -16,10 +16,17 @@ from .scores import six
 from .standins import FACES, PAGES, faces, pages, read, with_
 
 c = F.col
-YES, KNOWN = F.col("smile") == "yes", F.col("smile").isin("yes", "no")
 FP = "fp AS (SELECT f.*, p.issue, p.year, p.medium FROM faces f JOIN pages_ p USING (image_id))"
 
 
+def yes():
+    return F.col("smile") == "yes"
+
+
+def known():
+    return F.col("smile").isin("yes", "no")
+
+
 def faces_in_pages(s, d):
     return faces(s, d).join(pages(s, d), "image_id")
 
@@ -33,13 +40,13 @@ def rpt01(s, d):
 
 @query("rpt02_annual_share", with_(FACES, PAGES, FP, "k AS (SELECT year, count(*) FILTER (smile = 'yes') AS num, count(*) FILTER (smile IN ('yes', 'no')) AS den FROM fp GROUP BY 1)", "SELECT CAST(y AS INTEGER) AS year, round(CASE WHEN count(num) OVER w = 5 THEN sum(num) OVER w / CAST(sum(den) OVER w AS DOUBLE) END, 6) AS pooled FROM (SELECT unnest(range(1993, 2004)) AS y) LEFT JOIN k ON year = y WINDOW w AS (ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"))
 def rpt02(s, d):
-    return six(reports.pooled_years(faces_in_pages(s, d), "year", YES, KNOWN, 1993, 2003), "pooled")
+    return six(reports.pooled_years(faces_in_pages(s, d), "year", yes(), known(), 1993, 2003), "pooled")
 
 
 @query("rpt02_share_interval", with_(FACES, PAGES, FP, DRAWS, "sm AS (SELECT year, issue, CAST(count(*) FILTER (smile = 'yes') AS DOUBLE) AS num, CAST(count(*) FILTER (smile IN ('yes', 'no')) AS DOUBLE) AS den FROM fp GROUP BY ALL)", "se AS (SELECT sm.year, replicate, sum(weight * num) / nullif(sum(weight * den), 0) AS value FROM sm JOIN wt ON wt.year = sm.year AND wt.issue = sm.issue GROUP BY ALL)", "pt AS (SELECT year, sum(num) / sum(den) AS share, count(*) FILTER (den > 0) AS clusters FROM sm GROUP BY 1)", "SELECT year, round(any_value(share), 6) AS share, any_value(clusters) AS clusters, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM se JOIN pt USING (year) GROUP BY year"))
 def rpt02b(s, d):
     rows = faces_in_pages(s, d)
-    sums = rows.groupBy("year", "issue").agg(F.count_if(YES).cast("double").alias("num"), F.count_if(KNOWN).cast("double").alias("den"))
+    sums = rows.groupBy("year", "issue").agg(F.count_if(yes()).cast("double").alias("num"), F.count_if(known()).cast("double").alias("den"))
     from annolith.operators import sampling
 
     point = sums.groupBy("year").agg((F.sum("num") / F.sum("den")).alias("share"), F.count_if(c("den") > 0).alias("clusters"))
@@ -49,7 +56,7 @@ def rpt02b(s, d):
 
 @query("rpt03_medium_share", with_(FACES, PAGES, FP, "SELECT medium, count(*) FILTER (smile IN ('yes', 'no')) AS n, count(*) FILTER (smile = 'yes') AS yes, round(count(*) FILTER (smile = 'yes') / count(*) FILTER (smile IN ('yes', 'no'))::DOUBLE, 6) AS share FROM fp GROUP BY 1"))
 def rpt03(s, d):
-    return six(reports.shares(faces_in_pages(s, d), ["medium"], YES, KNOWN), "share")
+    return six(reports.shares(faces_in_pages(s, d), ["medium"], yes(), known()), "share")
 
 
 GAP = "SELECT {BY}, nf AS n_feminine, yf AS y_feminine, nm AS n_masculine, ym AS y_masculine, round(CASE WHEN nf >= 30 AND nm >= 30 THEN yf / nf::DOUBLE - ym / nm::DOUBLE END, 6) AS gap FROM (SELECT {BY}, count(*) FILTER (smile <> 'not_assessable' AND gender = 'feminine') AS nf, count(*) FILTER (smile = 'yes' AND gender = 'feminine') AS yf, count(*) FILTER (smile <> 'not_assessable' AND gender = 'masculine') AS nm, count(*) FILTER (smile = 'yes' AND gender = 'masculine') AS ym FROM fp GROUP BY ALL)"
@@ -57,17 +64,17 @@ GAP = "SELECT {BY}, nf AS n_feminine, yf AS y_feminine, nm AS n_masculine, ym AS
 
 @query("rpt04_gap_by_period", with_(FACES, PAGES, FP, GAP.replace("{BY}", "year")))
 def rpt04(s, d):
-    return six(reports.gap(faces_in_pages(s, d), ["year"], "gender", "feminine", "masculine", YES, KNOWN), "gap")
+    return six(reports.gap(faces_in_pages(s, d), ["year"], "gender", "feminine", "masculine", yes(), known()), "gap")
 
 
 @query("rpt05_gap_by_level", with_(FACES, PAGES, FP, GAP.replace("{BY}", "year, legibility, medium")))
 def rpt05(s, d):
-    return six(reports.gap(faces_in_pages(s, d), ["year", "legibility", "medium"], "gender", "feminine", "masculine", YES, KNOWN), "gap")
+    return six(reports.gap(faces_in_pages(s, d), ["year", "legibility", "medium"], "gender", "feminine", "masculine", yes(), known()), "gap")
 
 
 @query("rpt06_intensity_distribution", with_(FACES, "SELECT gender, intensity, n, round(n / CAST(sum(n) OVER (PARTITION BY gender) AS DOUBLE), 6) AS share FROM (SELECT gender, intensity, count(*) AS n FROM faces WHERE smile = 'yes' GROUP BY ALL)"))
 def rpt06(s, d):
-    k = faces(s, d).where(YES).groupBy("gender", "intensity").agg(F.count("*").alias("n"))
+    k = faces(s, d).where(yes()).groupBy("gender", "intensity").agg(F.count("*").alias("n"))
     return six(tables.share_within(k, ["gender"], "n"), "share")
 
 
@@ -84,7 +91,7 @@ def rpt08(s, d):
 
 @query("rpt09_concentration", with_(FACES, "k AS (SELECT count(*) FILTER (smile <> 'not_assessable') AS n, count(*) FILTER (smile = 'yes') AS y FROM faces GROUP BY image_id, ad HAVING count(*) FILTER (smile <> 'not_assessable') >= 2)", "p AS (SELECT sum(y) / CAST(sum(n) AS DOUBLE) AS p FROM k)", "SELECT count(*) AS ads, count(*) FILTER (y = n) AS all_seen, round(sum(pow(p, n)), 4) AS all_expected, count(*) FILTER (y > 0) AS any_seen, round(sum(1 - pow(1 - p, n)), 4) AS any_expected FROM k CROSS JOIN p"))
 def rpt09(s, d):
-    return reports.concentration(faces(s, d), ["image_id", "ad"], YES, KNOWN).withColumns({k: F.round(k, 4) for k in ("all_expected", "any_expected")})
+    return reports.concentration(faces(s, d), ["image_id", "ad"], yes(), known()).withColumns({k: F.round(k, 4) for k in ("all_expected", "any_expected")})
 
 
 @query("rpt10_prominence", with_(FACES, "a AS (SELECT *, CAST(x2 - x1 AS DOUBLE) * (y2 - y1) AS area, count(*) OVER (PARTITION BY image_id, ad) AS n FROM faces)", "t AS (SELECT *, area = max(area) OVER (PARTITION BY image_id, ad) AS top FROM a)", "u AS (SELECT *, count(*) FILTER (top) OVER (PARTITION BY image_id, ad) AS tops FROM t)", "SELECT round(sum(CASE WHEN top AND gender = 'feminine' THEN 1.0::DOUBLE / tops ELSE 0 END), 4) AS credit, round(sum(CASE WHEN gender = 'feminine' THEN 1.0::DOUBLE / n ELSE 0 END), 4) AS expected FROM u"))
@@ -94,8 +101,8 @@ def rpt10(s, d):
 
 @query("rpt11_contrasts", with_(FACES, PAGES, FP, "k AS (SELECT year, count(*) FILTER (smile = 'yes') / count(*) FILTER (smile <> 'not_assessable')::DOUBLE AS s FROM fp GROUP BY 1)", "SELECT round((SELECT s FROM k WHERE year = 2000) / (SELECT s FROM k WHERE year = 1995), 6) AS ratio, round((SELECT s FROM k WHERE year = 2000) - (SELECT s FROM k WHERE year = 1995), 6) AS change"))
 def rpt11(s, d):
-    k = reports.shares(faces_in_pages(s, d), [], YES & (c("year") == 2000), KNOWN & (c("year") == 2000)).select(c("share").alias("b"))
-    a = reports.shares(faces_in_pages(s, d), [], YES & (c("year") == 1995), KNOWN & (c("year") == 1995)).select(c("share").alias("a"))
+    k = reports.shares(faces_in_pages(s, d), [], yes() & (c("year") == 2000), known() & (c("year") == 2000)).select(c("share").alias("b"))
+    a = reports.shares(faces_in_pages(s, d), [], yes() & (c("year") == 1995), known() & (c("year") == 1995)).select(c("share").alias("a"))
     return k.join(a).select(F.round(c("b") / c("a"), 6).alias("ratio"), F.round(c("b") - c("a"), 6).alias("change"))
 
 
@@ -110,7 +117,7 @@ def rpt12(s, d):
 @query("rpt13_subsets", with_(FACES, "l AS (SELECT unnest(CASE WHEN intensity >= 3 THEN ['all', 'broad'] ELSE ['all'] END) AS subset, smile FROM faces)", "SELECT subset, count(*) FILTER (smile <> 'not_assessable') AS n, count(*) FILTER (smile = 'yes') AS yes, round(count(*) FILTER (smile = 'yes') / count(*) FILTER (smile <> 'not_assessable')::DOUBLE, 6) AS share FROM l GROUP BY 1"))
 def rpt13(s, d):
     labels = F.when(c("intensity") >= 3, F.array(F.lit("all"), F.lit("broad"))).otherwise(F.array(F.lit("all")))
-    return six(reports.shares(faces(s, d).withColumn("subset", F.explode(labels)), ["subset"], YES, KNOWN), "share")
+    return six(reports.shares(faces(s, d).withColumn("subset", F.explode(labels)), ["subset"], yes(), known()), "share")
 
 
 @query("rpt14_dedup_quality", "WITH k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY n_chars DESC, doc_id) = 1 AS kept FROM documents) SELECT source, count(*) AS n, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS dropped, round(count(*) FILTER (NOT kept) / count(*)::DOUBLE, 6) AS drop_rate FROM k GROUP BY 1")
@@ -123,7 +130,7 @@ def rpt14(s, d):
 
 @query("rpt15_incidence", with_(FACES, PAGES, FP, "i AS (SELECT year, issue, count(DISTINCT fp.image_id) FILTER (smile = 'yes') AS hits FROM pages_ LEFT JOIN fp USING (year, issue) GROUP BY ALL)", "SELECT year, count(*) AS issues, count(*) FILTER (hits > 0) AS with_smile, round(count(*) FILTER (hits > 0) / count(*)::DOUBLE, 6) AS share FROM i GROUP BY 1"))
 def rpt15(s, d):
-    smiling = faces(s, d).where(YES).select("image_id").distinct().withColumn("hit", F.lit(1))
+    smiling = faces(s, d).where(yes()).select("image_id").distinct().withColumn("hit", F.lit(1))
     i = pages(s, d).join(smiling, "image_id", "left").groupBy("year", "issue").agg(F.count("hit").alias("hits"))
     return i.groupBy("year").agg(F.count("*").alias("issues"), F.count_if(c("hits") > 0).alias("with_smile"), F.round(F.count_if(c("hits") > 0) / F.count("*"), 6).alias("share"))
 
