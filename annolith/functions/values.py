@@ -110,11 +110,6 @@ def relation(human: Column, other: Column) -> Column:
     return chosen([(human.isNull() | other.isNull(), "missing"), (other < human, "under"), (other == human, "equal")], "over")
 
 
-def any_of(yes: str, total: str) -> Column:
-    """AGG30 over aggregated counts: 1 if any, 0 only if all were assessed, else null. ``yes`` and ``no`` counts: see reports."""
-    return F.expr(f"case when {yes} > 0 then 1 when {total} then 0 end")
-
-
 def safe_divide(a: Column, b: Column) -> Column:
     """FUN08"""
     return F.try_divide(a.cast("double"), F.nullif(b.cast("double"), F.lit(0.0)))

@@ -1,5 +1,5 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import flat, ledgers, reports, scores, spatial
+from . import flat, ledgers, more, reports, scores, spatial
 
-__all__ = ["flat", "ledgers", "reports", "scores", "spatial"]
+__all__ = ["flat", "ledgers", "more", "reports", "scores", "spatial"]
