@@ -49,7 +49,7 @@ def record(key: object, url: str | None, payload: bytes, refers_to: object, revi
     block = http if revisit else http + payload
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(key)}", f"WARC-Date: {DATE}"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + quote(url, safe="!#$%&'()*+,/:;=?@[]~"))
+        lines.append("WARC-Target-URI: " + quote(url, safe="!#$&'()*+,/:;=?@[]~"))
     lines.append(f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}")
     if revisit:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}"]
