@@ -27,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import hash_bound, written
 
 #: The classifier is fitted on so many labelled rows at most, those whose hash is least.
 SAMPLE_ROWS = 20_000
@@ -47,7 +47,9 @@ class Domains:
 def fit_domains(docs: DataFrame, labels: DataFrame, names: list[str], key: str = "doc_id", text: str = "text", domain: str = "domain", sample: int = SAMPLE_ROWS) -> Domains:
     """labels: key, domain. A multinomial logistic regression on the presence of hashed words and signs."""
     known = labels.select(F.col(key).alias("_key"), F.col(domain).alias("_domain")).where(F.col("_key").isNotNull() & F.col("_domain").isin(names))
-    known = known.groupBy("_key").agg(F.max("_domain").alias("_domain")).orderBy(F.xxhash64("_key"), "_key").limit(sample)
+    # the least hashes; a bound by the number of labels leaves few rows to rank, however many there are
+    near = known.where(F.xxhash64("_key") <= F.lit(hash_bound(sample, known.count())))
+    known = near.groupBy("_key").agg(F.max("_domain").alias("_domain")).orderBy(F.xxhash64("_key"), "_key").limit(sample)
     number = F.array_position(F.array(*map(F.lit, names)), F.col("_domain")) - 1
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias(TEXT)).join(F.broadcast(known), "_key").select(TEXT, number.cast("double").alias(LABEL))  # sample rows at most
     stages = Pipeline(stages=[*_terms(), LogisticRegression(featuresCol=TERMS, labelCol=LABEL, probabilityCol=CHANCE, rawPredictionCol="_mix_raw", predictionCol="_mix_prediction", family="multinomial", regParam=REGULARISATION, elasticNetParam=SPARSITY, maxIter=FIT_STEPS)])

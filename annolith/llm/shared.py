@@ -42,3 +42,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hash_bound(wanted: int, n: int, margin: float = 4.0) -> int:
+    """A 64-bit hash up to which about ``margin`` times the wanted number of n rows lie (all, if n is small)."""
+    share = min(1.0, margin * wanted / max(n, 1))
+    return min((1 << 63) - 1, -(1 << 63) + int(share * 2**64))
