@@ -1,6 +1,6 @@
 """The ledger as a stream (STR01-04).
 
-The reference has no watermark rules; a lateness of ten minutes is this library's own choice.
+A lateness of ten minutes is a choice of this library.
 """
 
 from __future__ import annotations
