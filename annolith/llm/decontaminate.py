@@ -21,6 +21,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidied
+
 WINDOW = 13
 #: Test words in one broadcast, and training words in one suffix array.
 BLOCK_WORDS, SHARD_WORDS = 2_000_000, 1_500_000
@@ -132,7 +134,7 @@ def find_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
             counts, found = _matched(batch[text], [t.value for t in tests])
             yield pa.RecordBatch.from_arrays([batch[key], pa.array(counts, pa.int64()), pa.array(found, pa.list_(cell))], [key, "n_words", "matches"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_words bigint, matches array<struct<item_id string, at bigint, item_at bigint, length bigint>>")
+    return docs.select(key, text).mapInArrow(tidied(run), f"`{key}` {kind}, n_words bigint, matches array<struct<item_id string, at bigint, item_at bigint, length bigint>>")
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, share: float = 0.05) -> DataFrame:
@@ -145,7 +147,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", w
             hit = map(covered, found)
             yield batch.filter(pa.array([not (h and h >= share * n) for n, h in zip(counts, hit, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def _matched(column: pa.Array, tests: list[TestSet]) -> tuple[list[int], list[list[dict]]]:
@@ -194,5 +196,5 @@ def judge(found: DataFrame, key: str = "doc_id") -> DataFrame:
             shas = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
             yield pa.RecordBatch.from_arrays([batch[key], batch["n_words"], pa.array(hit, pa.int64()), pa.array(list(map(len, items)), pa.int64()), pa.array(shas, pa.string())], [key, "n_words", "n_hit", "n_items", "items_sha256"])
 
-    out = found.select(key, "n_words", "matches").mapInArrow(run, f"`{key}` {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string")
+    out = found.select(key, "n_words", "matches").mapInArrow(tidied(run), f"`{key}` {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string")
     return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))

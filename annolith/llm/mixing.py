@@ -27,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hash_bound, written
+from .shared import hash_bound, tidied, written
 
 #: The classifier is fitted on so many labelled rows at most, those whose hash is least.
 SAMPLE_ROWS = 20_000
@@ -111,7 +111,7 @@ def fit_rates(rated: DataFrame, targets: dict[str, float], names: list[str], ste
                     made += (rates_after(chance, past) * batch["tokens"].to_numpy()) @ chance
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in made.ravel()], [f"s{i}" for i in range(2 * n)])
 
-        parts = cells.mapInArrow(run, ", ".join(f"s{i} double" for i in range(2 * n)))
+        parts = cells.mapInArrow(tidied(run), ", ".join(f"s{i} double" for i in range(2 * n)))
         return np.array(parts.agg(*[F.sum(f"s{i}") for i in range(2 * n)]).first(), float).reshape(2, n) / total
 
     last = None
@@ -136,7 +136,7 @@ def rated(rows: DataFrame, history: list[np.ndarray], columns: list[str]) -> Dat
             rate = np.where(batch[TOKENS].to_numpy() > 0, rate, 1.0)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), batch[TOKENS], batch[CHANCE], pa.array(rate)], [*columns, TOKENS, CHANCE, "_mix_rate"])
 
-    return rows.select(*columns, TOKENS, CHANCE).mapInArrow(run, f"{kinds}, {TOKENS} bigint, {CHANCE} array<double>, _mix_rate double")
+    return rows.select(*columns, TOKENS, CHANCE).mapInArrow(tidied(run), f"{kinds}, {TOKENS} bigint, {CHANCE} array<double>, _mix_rate double")
 
 
 def copies(rate: Column, key: Column) -> Column:

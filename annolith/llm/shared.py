@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,3 +52,23 @@ def hash_bound(wanted: int, n: int, margin: float = 4.0) -> int:
     """A 64-bit hash up to which about ``margin`` times the wanted number of n rows lie (all, if n is small)."""
     share = min(1.0, margin * wanted / max(n, 1))
     return min((1 << 63) - 1, -(1 << 63) + int(share * 2**64))
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidied(run: Run) -> Run:
+    """A task that gives its memory back when it ends: Spark keeps Python workers for other tasks."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return task

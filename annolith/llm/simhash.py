@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .shared import tidied, written
 
 SHINGLE, DISTANCE, BLOCKS, CHUNK = 4, 4, 6, 4096
 SEED = 42
@@ -66,7 +67,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
                 made.append(majority(h, np.array([len(h)]))[0])
             yield pa.RecordBatch.from_arrays([batch[key], pa.array(np.array(made, np.uint64).view(np.int64), pa.int64())], [key, "fp"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, fp bigint")
+    return docs.select(key, text).mapInArrow(tidied(run), f"`{key}` {kind}, fp bigint")
 
 
 def block_masks(distance: int, blocks: int) -> list[int]:
@@ -146,9 +147,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, c
             close(a, b, chunks)
             yield out(a, b, chunks)
 
-    met = keyed.repartition("combo", "part").sortWithinPartitions("combo", "part").mapInArrow(meet, "a bigint, b bigint, combo int, part bigint, number int, fps binary")
-    from .shared import written
-
+    met = keyed.repartition("combo", "part").sortWithinPartitions("combo", "part").mapInArrow(tidied(meet), "a bigint, b bigint, combo int, part bigint, number int, fps binary")
     met = written(met, "simhash-met")
     chunks = met.where("fps is not null").select("combo", "part", "number", "fps")
     pairs = chunks.join(chunks.select("combo", "part", F.col("number").alias("number2"), F.col("fps").alias("fps2")), ["combo", "part"]).where("number <= number2")
@@ -162,14 +161,12 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, c
                     b.append(signed(q))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    far = pairs.select("fps", "fps2", (F.col("number") == F.col("number2")).alias("same")).repartition(F.xxhash64("fps", "fps2")).mapInArrow(compare, "a bigint, b bigint")
+    far = pairs.select("fps", "fps2", (F.col("number") == F.col("number2")).alias("same")).repartition(F.xxhash64("fps", "fps2")).mapInArrow(tidied(compare), "a bigint, b bigint")
     return met.where("a is not null").select("a", "b").unionAll(far)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """key, fp, component_id (the least key that links reach)."""
-    from .shared import written
-
     prints = written(fingerprints(docs, key, text, size), "simhash-prints")
     classes = prints.groupBy("fp").agg(F.min(key).alias("least"))
     edges = links(classes.select("fp"), distance)
