@@ -6,9 +6,10 @@ passes (EM) over word counts of a bounded sample of labelled rows. A text's scor
 probabilities, normalised over the languages. The forward pass runs in numpy over all new words of a batch at once, and
 a task keeps the scores of the words it has seen.
 
-Results for special cases: a null text, or one without a letter, is ``und`` with score 0; letters outside the vocabulary
-count the same for every language; ties go to the language that sorts first; texts are read whole; repeated rows are
-scored each; with no labelled rows every text is ``und``; an empty table gives no rows.
+Results for special cases: a null text, or one without a letter, is ``und`` with score 0; letters outside the
+vocabulary, and pieces that no language's sample holds, count the same for every language; ties go to the language that
+sorts first; texts are read whole; repeated rows are scored each; with no labelled rows every text is ``und``; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,6 +44,12 @@ def public_pieces(path: str) -> list[str]:
     return sorted(p for p in pieces if p != START and (bare := p.removeprefix(START)) == bare.lower() and LETTERS.fullmatch(bare))
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes one to one, so that their top bits depend on all characters, the last one too."""
+    h = (h ^ (h >> np.uint64(32))) * BASE
+    return h ^ (h >> np.uint64(29))
+
+
 class Lattice:
     """Finds, for many words at once, which pieces begin and end where."""
 
@@ -57,17 +64,20 @@ class Lattice:
             for j in range(n):
                 h = h * BASE + codes[:, j] + np.uint64(1)
             keys[rows] = h
+        keys = mixed(keys)
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
-        self.bits = 22  # a direct table by the hash's top bits gives the run in which to look
-        self.first = np.searchsorted(self.keys, (np.arange((1 << self.bits) + 1, dtype=np.float64) * 2.0 ** (64 - self.bits)).clip(0, 2.0**64 - 4096).astype(np.uint64)).astype(np.int32)
-        self.deep = int(np.diff(self.first).max(initial=0)) + 1
+        self.bits = 22  # a direct table by the key's top bits gives the run in which to look; a run is searched whole
+        runs = np.bincount((self.keys >> np.uint64(64 - self.bits)).astype(np.int64), minlength=1 << self.bits)
+        self.first = (np.cumsum(runs) - runs).astype(np.int32)
+        self.deep = int(runs.max(initial=0))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index of the piece with each hash, or the number of pieces."""
+        h = mixed(h)
         at = self.first[(h >> np.uint64(64 - self.bits)).astype(np.int64)]
         out = np.full(len(h), len(self.keys), np.int32)
-        for _ in range(min(self.deep, 8)):
+        for _ in range(self.deep):
             ok = at < len(self.keys)
             hit = np.zeros(len(h), bool)
             hit[ok] = self.keys[at[ok]] == h[ok]
@@ -161,10 +171,14 @@ def fit(docs: DataFrame, pieces: list[str], key: str = "doc_id", text: str = "te
     langs, of = sorted(langs), {x: [] for x in langs}
     for r in top:
         of[r["_lang"]].append((r["word"], r["count"]))
-    return Model(langs, lattice, np.stack([_em(lattice, of[x]) for x in langs], axis=1))
+    fitted = [_em(lattice, of[x]) for x in langs]
+    chance, met = np.stack([x for x, _ in fitted], axis=1), np.any([m for _, m in fitted], axis=0)
+    chance[:-1][~met] = chance[:-1][~met].mean(axis=1, keepdims=True)
+    return Model(langs, lattice, chance)
 
 
-def _em(lattice: Lattice, rows: list[tuple[str, int]]) -> np.ndarray:
+def _em(lattice: Lattice, rows: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces' chances, and which pieces the words hold at all."""
     none = len(lattice.pieces)
     counts: dict[str, int] = {}
     for word, n in rows:
@@ -173,11 +187,13 @@ def _em(lattice: Lattice, rows: list[tuple[str, int]]) -> np.ndarray:
     words, weights = list(counts), np.array(list(counts.values()), float)
     made = [(lattice.edges(codes), codes, weights[of]) for of, codes in blocks(words)]
     chance = np.full(none + 1, 1.0 / max(none, 1))
-    chance[none] = UNKNOWN
+    chance[none], met = UNKNOWN, np.zeros(none, bool)
     for _ in range(EM_STEPS):
-        found = sum((expected(*m[:2], chance, m[2]) for m in made), np.zeros(none + 1))[:none] + SMOOTHING
+        found = sum((expected(*m[:2], chance, m[2]) for m in made), np.zeros(none + 1))[:none]
+        met |= found > 0
+        found += SMOOTHING
         chance[:none] = found / found.sum()
-    return chance
+    return chance, met
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, text: str) -> Iterator[tuple[pa.RecordBatch, list[int], list[float]]]:

@@ -195,6 +195,15 @@ def test_language_id(spark, docs):
     assert language_id.identify(docs.where("false"), model).count() == 0
 
 
+def test_every_piece_is_found():
+    pieces = language_id.public_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    lattice, found = language_id.Lattice(pieces), {}
+    for rows, codes in language_id.blocks(pieces):
+        found |= dict(zip(rows.tolist(), lattice.edges(codes)[0, codes.shape[1]].tolist(), strict=True))
+    assert len(pieces) > 20_000 and found == {i: i for i in range(len(pieces))}
+    assert len(np.unique(lattice.keys)) == len(pieces)
+
+
 def test_forward_sums_all_segmentations():
     pieces = ["a", "b", "ab", "ba", "aba"]
     lattice = language_id.Lattice(pieces)
