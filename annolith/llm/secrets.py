@@ -26,7 +26,6 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 
 #: Stems of sensitive names with their weights.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.8, "secret": 1.0, "token": 0.8, "apikey": 1.0, "accesskey": 1.0, "privatekey": 1.0, "credential": 0.9, "authorization": 0.8, "bearer": 0.8}
-STEM = re.compile(r"(?ai)pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|authorization|bearer")
 NAME = r"[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*"
 #: One assignment: the target, then its right side as literals and names joined by + or ||.
 PAIR = re.compile(rf"""(?a)(?<![\w$.-])(["']?)({NAME})\1[\x20\t]*(?::=|=>|(?<![=!<>])=(?![=~])|:(?![:/=]))[\x20\t]*""")
@@ -34,7 +33,7 @@ TERM = re.compile(rf"""(?a)"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|({NAME})(
 JOIN = re.compile(r"[\x20\t]*(?:\+|\|\|)[\x20\t]*")
 DUMMY = re.compile(r"(?ai)(?:x+|\*+|\.+|none|null|true|false|changeme|example|placeholder|<.*>|\$\{.*\}|todo)\Z")
 #: A literal counts as a secret from this score on; literals are of so many characters at least.
-MIN_SCORE, MIN_LENGTH, MAX_CHAIN = 0.6, 8, 16
+MIN_SCORE, MIN_LENGTH = 0.6, 8
 
 
 def name_weight(name: str) -> float:
@@ -53,33 +52,57 @@ def literal_score(text: str) -> float:
     return min(1.0, 0.2 * classes + entropy / 5)
 
 
+class Held:
+    """What a name holds: spans of literals, and what other names held when they were joined in, shared and not copied."""
+
+    __slots__ = ("spans", "parts", "reached")
+
+    def __init__(self) -> None:
+        self.spans: list[tuple[int, int]] = []
+        self.parts: list[Held] = []
+        self.reached = 0.0  # the greatest weight of a target that these literals have reached
+
+
+def may_name(text: str) -> bool:
+    """Whether a sensitive name can stand in the text: what ``name_weight`` leaves out of a name is left out here."""
+    plain = text.lower()
+    for sign in "_$.-":
+        plain = plain.replace(sign, "")
+    return any(stem in plain for stem in SENSITIVE)
+
+
 def named_spans(text: str) -> list[tuple[int, int]]:
     """Spans of the literals that reach a sensitive target, directly or through constants."""
-    if not STEM.search(text):
+    if not may_name(text):
         return []
-    known: dict[str, list[tuple[int, int]]] = {}  # what each name holds so far: spans of literals
+    known: dict[str, Held] = {}
     found: set[tuple[int, int]] = set()
     at = 0
     while pair := PAIR.search(text, at):
-        at, spans, parts = pair.end(), [], 0
-        while parts < MAX_CHAIN and (term := TERM.match(text, at)):
-            if term[3] is not None and (at_end := term.end()) and (held := known.get(term[3])):
-                spans += held
+        at, own = pair.end(), Held()
+        while term := TERM.match(text, at):
+            if term[3] is not None and (held := known.get(term[3])):
+                own.parts.append(held)
             elif PAIR.match(text, at):
                 break  # the right side is empty: the next assignment begins here
             else:
-                k = next(i for i in (1, 2, 3, 4) if term[i] is not None)
-                spans.append(term.span(k))
-                at_end = term.end()
-            at, parts = at_end, parts + 1
+                own.spans.append(term.span(next(i for i in (1, 2, 3, 4) if term[i] is not None)))
+            at = term.end()
             if not (plus := JOIN.match(text, at)):
                 break
             at = plus.end()
-        spans = spans[:MAX_CHAIN]
-        known[pair[2]] = spans
+        if own.spans or own.parts:
+            known[pair[2]] = own
+        else:
+            known.pop(pair[2], None)
         weight = name_weight(pair[2])
-        if weight:
-            found.update(s for s in spans if weight * literal_score(text[slice(*s)]) >= MIN_SCORE)
+        todo = [own] if weight else []
+        while todo:  # what a target of this weight or more has reached is not visited again
+            held = todo.pop()
+            if held.reached < weight:
+                held.reached = weight
+                found.update(s for s in held.spans if weight * literal_score(text[slice(*s)]) >= MIN_SCORE)
+                todo += held.parts
     return sorted(found)
 
 

@@ -106,6 +106,21 @@ def test_secrets(spark, docs):
         assert [(k, a, b) for a, b, k in secrets.scan(t) if k != "named"] == brute.base_spans(t)
 
 
+@pytest.mark.parametrize("name", ["api.key", "aws.access.key", "ssh.private.key", "pass_word", "pass-phrase", "API__KEY", "se$cret"])
+def test_secrets_in_names_with_signs(name):
+    text = f'{name} = "Zk3xQ9vLm2Pq8Tn4"'
+    assert [text[a:b] for a, b, k in secrets.scan(text) if k == "named"] == ["Zk3xQ9vLm2Pq8Tn4"]
+
+
+def test_secrets_in_long_chains():
+    parts = [f"Zk3xQ9vLm2Pq8T{i:02d}" for i in range(40)]
+    chain = "secret = " + " + ".join(f'"{p}"' for p in parts)
+    steps = 'C0 = ""\n' + "".join(f'C{i + 1} = C{i} + "{p}"\n' for i, p in enumerate(parts)) + "secret = C40"
+    doubled = f'D0 = "{parts[0]}"\n' + "".join(f"D{i + 1} = D{i} + D{i}\n" for i in range(200)) + "token = D200\nsecret = D200"
+    for text, want in ((chain, parts), (steps, parts), (doubled, parts[:1])):
+        assert [text[a:b] for a, b, k in secrets.scan(text) if k == "named"] == want
+
+
 def test_simhash(spark, docs):
     found = simhash.near_duplicates(docs).collect()
     assert len(found) == len(TEXTS)
