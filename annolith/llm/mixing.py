@@ -5,7 +5,9 @@ tokens these are its expected domain tokens. Nonnegative document rates are foun
 least squares, so that the rates' expected domain totals meet the targets. The gradient that a document sees depends on
 its posterior alone (in the metric that weighs documents by tokens), so a step needs one small vector: all documents'
 rates follow from the list of these vectors, and no rate is stored or shuffled between steps. Posteriors are rounded to
-three places, and the steps run over the distinct posteriors with their token sums.
+three places, and the steps run over the distinct posteriors with their token sums. A document's step is scaled by the shares
+of its domains, so that rare domains move as fast as others. The steps end when the shares are near to the best that
+nonnegative rates can give, which is found beforehand; if they don't get there, a warning names the distance.
 
 Results for special cases: a null or blank text has no tokens and rate 1; repeated rows are rated each; labels with a
 null key or domain, and keys that the documents lack, are left out, and of several labels of a key the last in order
@@ -15,8 +17,9 @@ over the targets' domains; texts are read whole; an empty table gives no rows.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +35,9 @@ from .shared import hash_bound, tidied, written
 #: The classifier is fitted on so many labelled rows at most, those whose hash is least.
 SAMPLE_ROWS = 20_000
 FEATURES, REGULARISATION, SPARSITY, FIT_STEPS = 1 << 15, 4e-3, 1.0, 60
-#: Projected-gradient steps at most; the steps end at a residual or a change of the domain shares under these; decimal
-#: places of posteriors.
-STEPS, CLOSE_ENOUGH, SETTLED, PLACES = 40, 1e-3, 2e-4, 3
+#: Projected-gradient steps at most; they end when the domain shares are this near to the least-squares ones; decimal
+#: places of posteriors; so many distinct posteriors at most are held by the driver (three domains have no more).
+STEPS, CLOSE_ENOUGH, PLACES, HELD_CELLS = 5000, 1e-3, 3, 1_000_000
 TEXT, TOKENS, TERMS, LABEL, CHANCE = "_mix_text", "_mix_tokens", "_mix_terms", "_mix_label", "_mix_chance"
 
 
@@ -77,54 +80,116 @@ def posteriors(docs: DataFrame, domains: Domains, text: str = "text") -> DataFra
     return out.select(*columns, F.size(TOKENS).cast("bigint").alias(TOKENS), F.transform(CHANCE, lambda p: F.round(p, PLACES)).alias(CHANCE))
 
 
-def rates_after(chance: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates of documents with these posteriors after the given steps, from 1."""
+@dataclass
+class Path:
+    """The steps that give every rate: vectors over the domains, each with its momentum, and the domains' shares."""
+
+    shares: np.ndarray
+    steps: list[tuple[np.ndarray, float]] = field(default_factory=list)
+
+
+def moved(chance: np.ndarray, scale: np.ndarray, rate: np.ndarray, ahead: np.ndarray, step: tuple[np.ndarray, float]) -> tuple[np.ndarray, np.ndarray]:
+    after = np.maximum(0.0, ahead - chance @ step[0] / scale)
+    return after, after + step[1] * (after - rate)
+
+
+def rates_after(chance: np.ndarray, path: Path | None) -> np.ndarray:
+    """Rates of documents with these posteriors after the path's steps, from 1."""
     rate = ahead = np.ones(len(chance))
-    pace = 1.0
-    for step in steps:
-        before, rate = rate, np.maximum(0.0, ahead - chance @ step)
-        then, pace = pace, (1 + np.sqrt(1 + 4 * pace * pace)) / 2
-        ahead = rate + (then - 1) / pace * (rate - before)
+    if path:
+        scale = np.maximum(chance @ path.shares, 1e-12)
+        for step in path.steps:
+            rate, ahead = moved(chance, scale, rate, ahead, step)
     return np.stack([rate, ahead])
 
 
-def fit_rates(rated: DataFrame, targets: dict[str, float], names: list[str], steps: int = STEPS, close: float = CLOSE_ENOUGH) -> list[np.ndarray]:
-    """rated: posteriors' rows. targets: shares of all tokens by domain. The list of steps that gives every rate."""
+def nearest(rows: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """The nonnegative combination of a few rows that is nearest to the goal (Lawson and Hanson's active sets)."""
+    x, on = np.zeros(len(rows)), np.zeros(len(rows), bool)
+    for _ in range(100 * len(rows)):
+        gain = np.where(on, -np.inf, rows @ (goal - x @ rows))
+        if gain.max() <= 1e-10:
+            break
+        on[gain.argmax()] = True
+        while True:
+            z = np.zeros(len(rows))
+            z[on] = np.linalg.lstsq(rows[on].T, goal, rcond=None)[0]
+            bad = on & (z <= 1e-12)
+            if not bad.any():
+                break
+            x = x + (x[bad] / np.maximum(x[bad] - z[bad], 1e-300)).min() * (z - x)
+            on &= x > 1e-12
+            x[~on] = 0.0
+        x = z
+    return x @ rows
+
+
+def reachable(cells: DataFrame, n: int, goal: np.ndarray) -> np.ndarray:
+    """The shares nearest to the goal that nonnegative rates can give. A pass finds the posterior that improves most."""
+    own = np.array([r[0] for i in range(n) for r in cells.select(CHANCE).orderBy(F.col(CHANCE)[i].desc(), CHANCE).limit(1).collect()])
+    for _ in range(1000):
+        best = nearest(own, goal)
+        slope = sum((F.col(CHANCE)[i] * float(best[i] - goal[i]) for i in range(n)), F.lit(0.0))
+        least, row = cells.agg(F.min(F.struct(slope.alias("slope"), F.col(CHANCE).alias("row"))).alias("x")).select("x.*").first()
+        if least >= -1e-7 or (own == np.array(row)).all(axis=1).any():
+            break
+        own = np.vstack([own, row])
+    return best
+
+
+def fit_rates(rated: DataFrame, targets: dict[str, float], names: list[str], steps: int = STEPS, close: float = CLOSE_ENOUGH, held: int = HELD_CELLS) -> Path | None:
+    """rated: posteriors' rows. targets: shares of all tokens by domain. The path that gives every rate."""
     cells = written(rated.groupBy(CHANCE).agg(F.sum(TOKENS).cast("double").alias("tokens")).where("tokens > 0"), "mixing-cells")
-    total = cells.agg(F.sum("tokens")).first()[0] or 0.0
-    if not total:
-        return []
     n, goal = len(names), np.array([targets.get(x, 0.0) for x in names])
-    moment = cells.select(*[F.sum(F.col("tokens") * F.col(CHANCE)[i] * F.col(CHANCE)[j]) for i in range(n) for j in range(n)]).first()
-    size = 1.0 / max(np.linalg.eigvalsh(np.array(moment, float).reshape(n, n) / total).max(), 1e-12)
-    history: list[np.ndarray] = []
-
-    def sums() -> np.ndarray:
-        """Expected domain shares under the rates, and under the point ahead of them."""
-        past = [*history]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            made = np.zeros((2, n))
-            for batch in batches:
-                if len(batch):
-                    chance = batch[CHANCE].flatten().to_numpy().reshape(len(batch), n)
-                    made += (rates_after(chance, past) * batch["tokens"].to_numpy()) @ chance
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in made.ravel()], [f"s{i}" for i in range(2 * n)])
-
-        parts = cells.mapInArrow(tidied(run), ", ".join(f"s{i} double" for i in range(2 * n)))
-        return np.array(parts.agg(*[F.sum(f"s{i}") for i in range(2 * n)]).first(), float).reshape(2, n) / total
-
-    last = None
-    for _ in range(steps):
-        now, ahead = sums()
-        if np.abs(now - goal).max() <= close or last is not None and np.abs(now - last).max() <= SETTLED:
+    count, total, *sums = cells.agg(F.count("*"), F.sum("tokens"), *[F.sum(F.col("tokens") * F.col(CHANCE)[i]) for i in range(n)]).first()
+    if not total:
+        return None
+    path, best = Path(np.array(sums, float) / total), reachable(cells, n, goal)
+
+    def far() -> Iterator[np.ndarray]:
+        """Domain shares under the rates, and under the point ahead of them, after the path so far: a pass over all cells."""
+        while True:
+            past = Path(path.shares, [*path.steps])
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                made = np.zeros((2, n))
+                for batch in batches:
+                    if len(batch):
+                        chance = batch[CHANCE].flatten().to_numpy().reshape(len(batch), n)
+                        made += (rates_after(chance, past) * batch["tokens"].to_numpy()) @ chance
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in made.ravel()], [f"s{i}" for i in range(2 * n)])
+
+            parts = cells.mapInArrow(tidied(run), ", ".join(f"s{i} double" for i in range(2 * n)))
+            yield np.array(parts.agg(*[F.sum(f"s{i}") for i in range(2 * n)]).first(), float).reshape(2, n) / total
+
+    def near() -> Iterator[np.ndarray]:
+        """The same over cells that the driver holds, with their rates."""
+        whole = cells.toArrow().combine_chunks()
+        chance = whole[CHANCE].combine_chunks().flatten().to_numpy().reshape(count, n)
+        weight, scale = whole["tokens"].to_numpy() / total, np.maximum(chance @ path.shares, 1e-12)
+        rate = ahead = np.ones(count)
+        while True:
+            yield np.stack([(rate * weight) @ chance, (ahead * weight) @ chance])
+            rate, ahead = moved(chance, scale, rate, ahead, path.steps[-1])
+
+    pace, last, back = 1.0, None, None
+    for now, ahead in near() if count <= held else far():
+        off = float(np.abs(now - best).max())
+        if off <= close:
+            break
+        if len(path.steps) >= steps:
+            warnings.warn(f"mixing: after {steps} steps the domain shares {now.round(4).tolist()} are {off:.4f} from the nearest to the targets, {best.round(4).tolist()}", stacklevel=2)
             break
-        last = now
-        history.append(size * (ahead - goal))
-    return history
+        if last is not None and back @ (now - last) > 0:
+            pace = 1.0  # the last step went uphill: momentum starts anew
+        then = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        last, back = now, ahead - best
+        path.steps.append((back, (pace - 1) / then))
+        pace = then
+    return path
 
 
-def rated(rows: DataFrame, history: list[np.ndarray], columns: list[str]) -> DataFrame:
+def rated(rows: DataFrame, path: Path | None, columns: list[str]) -> DataFrame:
     """posteriors' rows with rate: the given columns, tokens, posterior, rate."""
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
 
@@ -132,7 +197,7 @@ def rated(rows: DataFrame, history: list[np.ndarray], columns: list[str]) -> Dat
         for batch in batches:
             n = len(batch)
             chance = batch[CHANCE].flatten().to_numpy().reshape(n, -1) if n else np.zeros((0, 1))
-            rate = rates_after(chance, history)[0] if n else np.zeros(0)
+            rate = rates_after(chance, path)[0] if n else np.zeros(0)
             rate = np.where(batch[TOKENS].to_numpy() > 0, rate, 1.0)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), batch[TOKENS], batch[CHANCE], pa.array(rate)], [*columns, TOKENS, CHANCE, "_mix_rate"])
 
@@ -148,15 +213,15 @@ def copies(rate: Column, key: Column) -> Column:
 def mixing_rates(docs: DataFrame, domains: Domains, targets: dict[str, float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, posterior, rate, copies: a row for each document."""
     narrow = written(posteriors(docs.select(key, text), domains, text).select(key, TOKENS, CHANCE), "mixing-posteriors")
-    history = fit_rates(narrow, targets, domains.names)
-    out = rated(narrow, history, [key])
+    path = fit_rates(narrow, targets, domains.names)
+    out = rated(narrow, path, [key])
     return out.select(key, F.col(TOKENS).alias("n_tokens"), F.col(CHANCE).alias("posterior"), F.col("_mix_rate").alias("rate"), copies(F.col("_mix_rate"), F.col(key)).alias("copies"))
 
 
 def mixed(docs: DataFrame, domains: Domains, targets: dict[str, float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, each row as often as its rate says."""
     found = posteriors(docs, domains, text)
-    history = fit_rates(written(found.select(TOKENS, CHANCE), "mixing-posteriors"), targets, domains.names)
-    out = rated(found, history, docs.columns).withColumn("_mix_copies", copies(F.col("_mix_rate"), F.col(key)))
+    path = fit_rates(written(found.select(TOKENS, CHANCE), "mixing-posteriors"), targets, domains.names)
+    out = rated(found, path, docs.columns).withColumn("_mix_copies", copies(F.col("_mix_rate"), F.col(key)))
     once = F.when(F.col("_mix_copies") > 0, F.sequence(F.lit(1), F.col("_mix_copies"))).otherwise(F.array().cast("array<int>"))
     return out.withColumn("_mix_copy", F.explode(once)).select(*docs.columns)

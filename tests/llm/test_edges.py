@@ -255,6 +255,18 @@ def test_mixing_meets_targets(spark):
     assert [sum(r.n_tokens * r.rate * r.posterior[k] for r in found) / total for k in range(2)] == pytest.approx([0.25, 0.75], abs=0.01)
 
 
+@pytest.mark.parametrize("held", [mixing.HELD_CELLS, 0])  # cells at the driver, and passes over them
+def test_mixing_of_rare_domains(spark, held):
+    sharp = [(0.005, [0.96, 0.03, 0.0]), (0.97, [0.0, 0.99, 0.01]), (0.025, [0.02, 0.03, 0.95])]
+    rows = [(int(1e6 * share), p) for share, p in sharp]
+    frame = spark.createDataFrame(rows, f"{mixing.TOKENS} bigint, {mixing.CHANCE} array<double>")
+    path = mixing.fit_rates(frame, {"high": 0.9, "low": 0.1}, ["high", "low", "toxic"], held=held)
+    chance, weight = np.array([p for _, p in rows]), np.array([t for t, _ in rows]) / 1e6
+    assert (weight * mixing.rates_after(chance, path)[0]) @ chance == pytest.approx([0.9, 0.1, 0.0], abs=2.5e-3)
+    with pytest.warns(UserWarning, match="after 1 steps"):
+        mixing.fit_rates(frame, {"high": 0.9, "low": 0.1}, ["high", "low", "toxic"], steps=1, held=held)
+
+
 def test_components_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 501)], "a bigint, b bigint")
     found = {r.node: r.root for r in components.connected_components(edges).collect()}
