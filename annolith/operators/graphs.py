@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from annolith.session import shared_dir
 
 
-def components(edges: DataFrame, group: list[str], rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame, group: list[str]) -> DataFrame:
     """edges: group, a, b. group, node, component (its least node). Labels fall along edges until none changes.
 
-    Meant for components inside a page, whose diameter is small; each round is a join and an aggregate.
+    Meant for components inside a page, whose diameter is small; each round is two joins and an aggregate. After a round
+    each label is also replaced by the label of the node that it names, so that long chains take few rounds.
     """
     both = edges.select(*group, "a", "b").unionByName(edges.select(*group, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = both.persist()
     labels = both.groupBy(*group, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
     shared_dir(edges.sparkSession)
     labels = labels.checkpoint()
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(*group, F.col("node").alias("b"), F.col("component").alias("c")), [*group, "b"]).groupBy(*group, F.col("a").alias("node")).agg(F.min("c").alias("c"))
-        after = labels.join(near, [*group, "node"]).select(*group, "node", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("fell")).checkpoint()
+        far = labels.select(*group, F.col("node").alias("component"), F.col("component").alias("d"))
+        after = labels.join(near, [*group, "node"]).join(far, [*group, "component"]).select(*group, "node", F.least("component", "c", "d").alias("component"), (F.least("c", "d") < F.col("component")).alias("fell")).checkpoint()
         labels = after.drop("fell")
         if after.where("fell").isEmpty():
             break

@@ -69,3 +69,9 @@ def test_components_chain(spark):
     found = {(r.page, r.node): r.component for r in graphs.components(edges, ["page"]).collect()}
     assert set(found.values()) == {0, 5} and len(found) == 33
     assert graphs.pair_set(graphs.components(edges, ["page"]), ["page"]).where("page = 2").count() == 1
+
+
+def test_components_of_long_chains(spark):
+    edges = spark.createDataFrame([(1, i, i + 1) for i in range(100)] + [(2, 7, 9)], "page int, a int, b int")
+    found = {(r.page, r.node): r.component for r in graphs.components(edges, ["page"]).collect()}
+    assert found == {**{(1, i): 0 for i in range(101)}, (2, 7): 7, (2, 9): 7}
