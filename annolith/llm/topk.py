@@ -10,12 +10,14 @@ Shards and blocks are rows of packed bytes of bounded size, so no task holds mor
 
 Results for special cases: vectors that are null or hold a null or a non-finite component take no part, nor do those of
 another length than the most frequent one (of equally frequent ones the longest); a query doesn't meet rows of its own
-id; repeated rows all count; equal scores go to the smaller id; fewer candidates than k give fewer rows; rows with a
-null id take no part; an empty table gives no rows.
+id; repeated vectors all count; each distinct query (id and vector) has one list, however often it is asked; components
+over 31 bits, or norms that make scores inexact, raise; equal scores go to the smaller id; fewer candidates than k give
+fewer rows; rows with a null id take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -137,6 +139,8 @@ def walk(tree: Tree, queries: np.ndarray, own_ids: np.ndarray, best: Best) -> No
 
 
 def _packed(ids: np.ndarray, rows: np.ndarray) -> bytes:
+    if rows.size and (rows.min() < -(1 << 31) or rows.max() >= 1 << 31 or (rows.astype(np.float64) ** 2).sum(axis=1).max() >= 2.0**52):
+        raise ValueError("components or scores of vectors are too large: below 2**31, and sums of squares below 2**52, they are exact")
     return struct.pack("<QQ", *rows.shape) + ids.astype("<i8").tobytes() + rows.astype("<i4").tobytes()
 
 
@@ -150,7 +154,7 @@ def top_inner(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "v
     sound = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
     widths = sound.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
     width, n = (widths[0], widths[1]) if widths else (0, 0)
-    asked = queries.select(F.col(key).alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null").where(F.size("v") == width)
+    asked = queries.select(F.col(key).alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null").where(F.size("v") == width).distinct()
     m = asked.count()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-m // block))
     groups = max(1, -(-shards // group))
@@ -198,9 +202,11 @@ def top_inner(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "v
             for tree in built:
                 walk(tree, rows, own_ids, best)
             who, place = np.nonzero(np.isfinite(best.scores))
-            out.append(pa.table({"query_id": own_ids[who], "id": best.ids[who, place], "score": best.scores[who, place].astype(np.int64)}))
-        return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "id", "score")})
+            forms = pa.array([hashlib.blake2b(row.tobytes(), digest_size=16).digest() for row in rows], pa.binary())
+            out.append(pa.table({"query_id": own_ids[who], "form": forms.take(pa.array(who)), "id": best.ids[who, place], "score": best.scores[who, place].astype(np.int64)}))
+        none = {c: pa.array([], pa.binary() if c == "form" else pa.int64()) for c in ("query_id", "form", "id", "score")}
+        return pa.concat_tables(out) if out else pa.table(none)
 
-    found = meetings.applyInArrow(meet, "query_id bigint, id bigint, score bigint")
-    ranked = found.selectExpr("query_id", "id", "score", "row_number() over (partition by query_id order by score desc, id) as rank").where(F.col("rank") <= k)
+    found = meetings.applyInArrow(meet, "query_id bigint, form binary, id bigint, score bigint")
+    ranked = found.selectExpr("query_id", "id", "score", "row_number() over (partition by query_id, form order by score desc, id) as rank").where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")

@@ -106,6 +106,17 @@ def test_secrets(spark, docs):
         assert [(k, a, b) for a, b, k in secrets.scan(t) if k != "named"] == brute.base_spans(t)
 
 
+def test_top_k_repeated_queries(spark):
+    frame = spark.createDataFrame([(i, [i, 1]) for i in range(100)], "vec_id bigint, vector array<bigint>")
+    asked = spark.createDataFrame([(0, [1, 0])] * 3 + [(0, [-1, 0])], "vec_id bigint, vector array<bigint>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in topk.top_inner(frame, asked, shard=32, group=1).collect())
+    assert got == sorted([(k + 1, 99 - k, 99 - k) for k in range(20)] + [(k + 1, k + 1, -k - 1) for k in range(20)])
+    with pytest.raises(ValueError):
+        topk._packed(np.array([1]), np.array([[1 << 31]]))
+    with pytest.raises(ValueError):
+        topk._packed(np.array([1]), np.array([[1 << 27]]))
+
+
 @pytest.mark.parametrize("name", ["api.key", "aws.access.key", "ssh.private.key", "pass_word", "pass-phrase", "API__KEY", "se$cret"])
 def test_secrets_in_names_with_signs(name):
     text = f'{name} = "Zk3xQ9vLm2Pq8Tn4"'
