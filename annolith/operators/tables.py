@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annolith.session import shared_dir
+
 
 def ranked_dedup(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """WIN01: the first row of each key; nulls last is the caller's choice of order columns."""
@@ -87,6 +89,26 @@ def centred_sum(rows: DataFrame, year: str, value: str, first: int, last: int, w
     return whole.withColumn("rolling", F.when(F.count(value).over(w) == width, F.sum(value).over(w)))
 
 
+def numbered(rows: DataFrame, order: list[Column | str], name: str = "position") -> DataFrame:
+    """PRJ31, SRT08, SMP24: rows numbered from 0 in a global order, without one task for all of them.
+
+    Rows are dealt by ranges of the order and numbered within their range; the number of rows in the ranges before is
+    added, which is a table with a row for each partition. Equal rows of the order get numbers in any order.
+    """
+    keys = [F.expr(o) if isinstance(o, str) else o for o in order]
+    own = [c for c in rows.columns]
+    made = rows.select("*", *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
+    sort = [f"_k{i}" for i in range(len(keys))]
+    dealt = made.repartitionByRange(*sort).withColumn("_part", F.spark_partition_id())
+    # stored, so that numbers and counts come from one and the same dealing
+    shared_dir(rows.sparkSession)
+    dealt = dealt.checkpoint()
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*sort)) - 1
+    return dealt.withColumn("_inside", inside).join(F.broadcast(before), "_part").select(*own, (F.col("_before") + F.col("_inside")).alias(name))  # a row for each partition
+
+
 def extremes(rows: DataFrame, by: list[str], value: str, key: str, n: int, seed: object) -> DataFrame:
     """SRT03: the n most and least of each group, ties by hash; columns mode and place."""
     from .sampling import hash_key

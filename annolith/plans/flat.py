@@ -347,13 +347,14 @@ def agg32(s, d):
     return tables.reduced_label(faces(s, d).withColumn("smile", F.nullif("smile", F.lit("not_assessable"))), ["image_id"], "smile")
 
 
-@query("agg36_prefix_balance", with_(PAGES, "o AS (SELECT *, row_number() OVER (ORDER BY image_id) AS pos FROM pages_ WHERE image_id < 300)", "t AS (SELECT year, count(*) / (SELECT count(*) FROM o)::DOUBLE AS q FROM o GROUP BY 1)", "x AS (SELECT prefix, year, q FROM (SELECT unnest([30, 60, 90, 120])::INTEGER AS prefix) CROSS JOIN t)", "SELECT prefix, round(sum(abs((SELECT count(*) FROM o WHERE o.year = x.year AND pos <= prefix) / prefix::DOUBLE - q)) / 2, 6) AS distance FROM x GROUP BY 1"))
+@query("agg36_prefix_balance", with_(PAGES, "o AS (SELECT *, row_number() OVER (ORDER BY image_id) AS pos FROM pages_)", "t AS (SELECT year, count(*) / (SELECT count(*) FROM o)::DOUBLE AS q FROM o GROUP BY 1)", "x AS (SELECT prefix, year, q FROM (SELECT unnest([30, 60, 90, 120])::INTEGER AS prefix) CROSS JOIN t)", "SELECT prefix, round(sum(abs((SELECT count(*) FROM o WHERE o.year = x.year AND pos <= prefix) / prefix::DOUBLE - q)) / 2, 6) AS distance FROM x GROUP BY 1"))
 def agg36(s, d):
-    rows = pages(s, d).where("image_id < 300").withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("image_id")))  # a sample's order, small by nature
+    rows = pages(s, d).select("image_id", "year")
+    place = tables.numbered(rows, ["image_id"]).withColumn("pos", c("position") + 1)
     n = rows.count()
     goal = rows.groupBy("year").agg((F.count("*") / F.lit(float(n))).alias("q"))
     prefixes = F.array(*map(F.lit, (30, 60, 90, 120)))
-    seen = rows.select("year", "pos", F.explode(prefixes).alias("prefix")).where("pos <= prefix").groupBy("prefix", "year").agg(F.count("*").alias("k"))
+    seen = place.where("pos <= 120").select("year", "pos", F.explode(prefixes).alias("prefix")).where("pos <= prefix").groupBy("prefix", "year").agg(F.count("*").alias("k"))
     full = goal.select("year", "q", F.explode(prefixes).alias("prefix")).join(seen, ["prefix", "year"], "left")
     return full.groupBy("prefix").agg(F.round(F.sum(F.abs(F.coalesce("k", F.lit(0)) / c("prefix") - c("q"))) / 2, 6).alias("distance"))
 

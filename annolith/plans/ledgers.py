@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from annolith.functions import values as V
 from annolith.operators import ledger as L
 from annolith.operators import sampling as S
+from annolith.operators import tables
 from annolith.session import shared_dir
 from annolith.sources import files
 from annolith.streaming import ledger as stream
@@ -336,10 +337,12 @@ def smp15(s, d):
     return weights(s, d).groupBy("replicate", "year").agg(F.sum("weight").alias("s")).join(sizes, "year").agg(F.count_if(c("s") != c("k")).alias("wrong_sums"))
 
 
-@query("smp24_blind_ids", with_(PAGES, "SELECT image_id, 'B' || lpad(CAST(row_number() OVER (ORDER BY sha256('5:' || CAST(image_id AS VARCHAR)), image_id) AS VARCHAR), 6, '0') AS blind_id FROM pages_ WHERE image_id < 500"))
+@query("smp24_blind_ids", with_(PAGES, "SELECT image_id, 'B' || lpad(CAST(n AS VARCHAR), CAST(greatest(6, len(CAST(n AS VARCHAR))) AS INTEGER), '0') AS blind_id, CAST(ceil(n / 40.0) AS BIGINT) AS sheet, (n - 1) % 40 + 1 AS line FROM (SELECT image_id, row_number() OVER (ORDER BY sha256('5:' || CAST(image_id AS VARCHAR)), image_id) AS n FROM pages_)"))
 def smp24(s, d):
-    w = Window.partitionBy(F.lit(1)).orderBy(S.hash_key(5, c("image_id")), "image_id")  # the pages of one audit
-    return pages(s, d).where("image_id < 500").select("image_id", F.concat(F.lit("B"), F.lpad(F.row_number().over(w).cast("string"), 6, "0")).alias("blind_id"))
+    n = c("position") + 1
+    name = F.concat(F.lit("B"), F.lpad(n.cast("string"), F.greatest(F.lit(6), F.length(n.cast("string"))), F.lit("0")))
+    placed = tables.numbered(pages(s, d).select("image_id"), [S.hash_key(5, c("image_id")), c("image_id")])
+    return placed.select("image_id", name.alias("blind_id"), F.ceil(n / 40).alias("sheet"), ((n - 1) % 40 + 1).alias("line"))
 
 
 @query("smp22_splits", with_(PAGES, "SELECT CASE WHEN image_id < 140 THEN 'development' WHEN image_id < 280 THEN 'reserve' ELSE 'rest' END AS split, count(*) AS n FROM pages_ GROUP BY 1"))

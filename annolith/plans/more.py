@@ -59,10 +59,10 @@ def prj30(s, d):
     return read(s, d, "orders").select("o_orderkey", F.when(r == 0, None).when(r < 4, c("o_orderstatus")).otherwise("corrected").alias("effective"))
 
 
-@query("prj31_flatten_positions", "SELECT l_orderkey, l_partkey, CAST(row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber) - 1 AS INTEGER) AS position FROM lineitem WHERE l_orderkey < 50")
+@query("prj31_flatten_positions", "SELECT l_orderkey, l_partkey, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber) - 1 AS position FROM lineitem")
 def prj31(s, d):
-    w = Window.partitionBy(F.lit(1)).orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")  # one manifest
-    return read(s, d, "lineitem").where("l_orderkey < 50").select("l_orderkey", "l_partkey", (F.row_number().over(w) - 1).alias("position"))
+    lines = read(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return tables.numbered(lines, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]).select("l_orderkey", "l_partkey", "position")
 
 
 @query("prj35_output_integrity", with_(FACES, "SELECT count(*) FILTER (smile NOT IN ('yes', 'no', 'not_assessable')) AS bad_labels, count(*) FILTER (ad NOT BETWEEN 0 AND 2) AS bad_ads FROM faces"))
@@ -257,9 +257,10 @@ def srt04(s, d):
     return faces(s, d).select("image_id", "id", "confidence").orderBy("confidence", "image_id", "id").limit(30)
 
 
-@query("srt08_ordinal_slices", with_(PAGES, "SELECT CASE WHEN image_id < 140 THEN 'first' ELSE 'second' END AS scope, count(*) AS n FROM pages_ WHERE image_id < 280 GROUP BY 1"))
+@query("srt08_ordinal_slices", with_(PAGES, "SELECT CASE WHEN n < 140 THEN 'first' WHEN n < 280 THEN 'second' ELSE 'rest' END AS scope, count(*) AS n, min(image_id) AS least, max(image_id) AS most FROM (SELECT image_id, row_number() OVER (ORDER BY issue, image_id) - 1 AS n FROM pages_) GROUP BY 1"))
 def srt08(s, d):
-    return pages(s, d).where("image_id < 280").groupBy(F.when(c("image_id") < 140, "first").otherwise("second").alias("scope")).agg(F.count("*").alias("n"))
+    place = tables.numbered(pages(s, d).select("issue", "image_id"), ["issue", "image_id"])
+    return place.groupBy(V.chosen([(c("position") < 140, "first"), (c("position") < 280, "second")], "rest").alias("scope")).agg(F.count("*").alias("n"), F.min("image_id").alias("least"), F.max("image_id").alias("most"))
 
 
 @query("srt09_casefold_order", "SELECT p_type, CAST(row_number() OVER (ORDER BY lower(p_type), p_type) AS INTEGER) AS place FROM (SELECT DISTINCT p_type FROM part)")
