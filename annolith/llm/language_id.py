@@ -2,36 +2,37 @@
 
 Each language has a unigram distribution over the lower-case pieces of a fixed public vocabulary. A word's probability
 is the sum over all its segmentations into pieces, which a forward pass yields; training runs forward and backward
-passes (EM) over word counts of a bounded sample of labelled rows. A text's score is the sum of its words' log
-probabilities, normalised over the languages. The forward pass runs in numpy over all new words of a batch at once, and
-a task keeps the scores of the words it has seen.
-
-Results for special cases: a null text, or one without a letter, is ``und`` with score 0; letters outside the
-vocabulary, and pieces that no language's sample holds, count the same for every language; ties go to the language that
-sorts first; texts are read whole; repeated rows are scored each; with no labelled rows every text is ``und``; an empty
-table gives no rows.
+passes (EM) over word counts of a bounded sample of labelled rows, each pass a Spark job that sums expected piece counts.
+A text's score is the sum of its words' log probabilities, normalised over the languages. The forward pass runs in numpy
+over all new words of a batch at once, and a task keeps the scores of the words it has seen.
+
+Results for special cases: a null text, or one without a letter (Unicode's category L), is ``und`` with score 0; letters
+outside the vocabulary, and pieces that no language's sample holds, count the same for every language; ties go to the
+language that sorts first; texts are read whole; repeated rows are scored each, and learned from once for each key; with
+no labelled rows every text is ``und``; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .shared import hash_bound, tidied
+from .shared import hash_bound, quoted, released, tidied, written
 
-#: The sample that the model is fitted on: so many labelled rows of each language, those whose hash is least.
-SAMPLE_PER_LANG = 400
-#: So many distinct words a language, the most frequent, and so many EM steps.
-WORDS_PER_LANG, EM_STEPS, MAX_LANGS = 20_000, 3, 200
+#: The sample that the model is fitted on: so many labelled rows of each language, those whose hash is least. EM steps.
+SAMPLE_PER_LANG, EM_STEPS = 400, 3
 SMOOTHING, UNKNOWN, LONGEST_WORD, CACHED_WORDS, START = 0.05, 1e-7, 32, 150_000, "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
-ANY_LETTER = re.compile(r"[^\W\d_]")
+#: Expected counts are summed as whole numbers of this fraction, so that their sums don't depend on the order.
+GRAIN = 1e6
+LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+ANY_LETTER = regex.compile(r"\p{L}")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,7 +68,7 @@ class Lattice:
         keys = mixed(keys)
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
-        self.bits = 22  # a direct table by the key's top bits gives the run in which to look; a run is searched whole
+        self.bits = 18  # a direct table by the key's top bits gives the run in which to look; a run is searched whole
         runs = np.bincount((self.keys >> np.uint64(64 - self.bits)).astype(np.int64), minlength=1 << self.bits)
         self.first = (np.cumsum(runs) - runs).astype(np.int32)
         self.deep = int(runs.max(initial=0))
@@ -154,46 +155,60 @@ def segments(word: str) -> list[str]:
 
 
 def fit(docs: DataFrame, pieces: list[str], key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_PER_LANG) -> Model:
-    """docs: labelled rows. Words are counted by Spark; EM runs over the bounded counts."""
-    labelled = docs.where(F.col(lang).isNotNull())
-    counts = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGS).collect()
-    langs, lattice = [r[0] for r in counts], Lattice(pieces)
+    """docs: labelled rows. The driver holds chances of pieces by language, and no words."""
+    labelled = docs.select(F.col(quoted(key)).alias("_key"), F.col(quoted(text)).alias("_text"), F.col(quoted(lang)).alias("_lang"), F.xxhash64(quoted(key)).alias("_hash")).where("_lang is not null and _key is not null")
+    counts = labelled.groupBy("_lang").agg(F.approx_count_distinct("_key")).collect()
+    langs, lattice = sorted(r[0] for r in counts), Lattice(pieces)
     if not langs:
         return Model([], lattice, np.zeros((len(pieces) + 1, 0)))
-    # the least hashes of each language; a bound by its count leaves few rows to rank, however many there are
-    bound = F.create_map(*[F.lit(x) for name, n in counts for x in (name, hash_bound(sample, n))])
-    near = labelled.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.xxhash64(F.col(key)).alias("_hash")).where(F.col("_hash") <= F.try_element_at(bound, F.col("_lang")))
+    # the least hashes of each language; a bound by its number of keys leaves few rows to rank, however many there are
+    bounds = F.broadcast(docs.sparkSession.createDataFrame([(name, hash_bound(sample, n)) for name, n in counts], "_lang string, _bound bigint"))  # a row for each language
+    near = labelled.select("_key", "_lang", "_hash").join(bounds, "_lang").where("_hash <= _bound").select("_key", "_lang", "_hash").distinct()
     picked = near.withColumn("_place", F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_key"))).where(F.col("_place") <= sample)
-    ids = F.broadcast(picked.select("_key", "_lang").distinct())  # at most sample rows for each of MAX_LANGS languages
-    kept = labelled.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).join(ids, ["_key", "_lang"])
-    words = kept.select("_lang", F.explode(F.split(F.lower("_text"), r"\s+")).alias("word")).where("word <> ''").groupBy("_lang", "word").count()
-    top = words.selectExpr("*", "row_number() over (partition by _lang order by count desc, word) as place").where(F.col("place") <= WORDS_PER_LANG).collect()
-    langs, of = sorted(langs), {x: [] for x in langs}
-    for r in top:
-        of[r["_lang"]].append((r["word"], r["count"]))
-    fitted = [_em(lattice, of[x]) for x in langs]
-    chance, met = np.stack([x for x, _ in fitted], axis=1), np.any([m for _, m in fitted], axis=0)
-    chance[:-1][~met] = chance[:-1][~met].mean(axis=1, keepdims=True)
+    ids = F.broadcast(picked.select("_key", "_lang"))  # at most sample rows for each language
+    texts = labelled.join(ids, ["_key", "_lang"]).groupBy("_key", "_lang").agg(F.min("_text").alias("_text"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(x, s) for x, t in zip(batch["_lang"].to_pylist(), batch["_text"].to_pylist(), strict=True) for w in (t or "").lower().split() for s in segments(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["lang", "segment"])
+
+    words = texts.select("_lang", "_text").mapInArrow(split, "lang string, segment string").groupBy("lang", "segment").agg(F.count("*").alias("n"))
+    words = written(words.repartition("lang", "segment"), "language-words")
+    n, at = len(pieces), {x: i for i, x in enumerate(langs)}
+    chance = np.full((n + 1, len(langs)), 1.0 / max(n, 1))
+    chance[n], met = UNKNOWN, np.zeros(n, bool)
+    for _ in range(EM_STEPS):
+        found = np.full((n, len(langs)), SMOOTHING)
+        for part in _expected_counts(words, Model(langs, lattice, chance)).toArrow().to_batches():
+            piece, which = part["piece"].to_numpy(), [at[x] for x in part["lang"].to_pylist()]
+            found[piece, which] += part["count"].to_numpy() / GRAIN
+            met[piece] = True
+        chance[:n] = found / found.sum(axis=0)
+    chance[:n][~met] = chance[:n][~met].mean(axis=1, keepdims=True)
+    released()
     return Model(langs, lattice, chance)
 
 
-def _em(lattice: Lattice, rows: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """The pieces' chances, and which pieces the words hold at all."""
-    none = len(lattice.pieces)
-    counts: dict[str, int] = {}
-    for word, n in rows:
-        for s in segments(word):
-            counts[s] = counts.get(s, 0) + n
-    words, weights = list(counts), np.array(list(counts.values()), float)
-    made = [(lattice.edges(codes), codes, weights[of]) for of, codes in blocks(words)]
-    chance = np.full(none + 1, 1.0 / max(none, 1))
-    chance[none], met = UNKNOWN, np.zeros(none, bool)
-    for _ in range(EM_STEPS):
-        found = sum((expected(*m[:2], chance, m[2]) for m in made), np.zeros(none + 1))[:none]
-        met |= found > 0
-        found += SMOOTHING
-        chance[:none] = found / found.sum()
-    return chance, met
+def _expected_counts(words: DataFrame, model: Model) -> DataFrame:
+    """lang, piece, count (in grains): how often a piece is expected in a language's words; pieces times languages rows."""
+    shared = words.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, made = shared.value, {}
+        none = len(model.lattice.pieces)
+        for batch in batches:
+            langs, segment, weight = np.array(batch["lang"].to_pylist(), object), batch["segment"].to_pylist(), batch["n"].to_numpy()
+            for x in set(langs.tolist()):
+                of, total = np.flatnonzero(langs == x), made.setdefault(x, np.zeros(none, np.int64))
+                for rows, codes in blocks([segment[i] for i in of]):
+                    counts = expected(model.lattice.edges(codes), codes, model.chance[:, model.langs.index(x)], weight[of[rows]].astype(float))
+                    total += np.rint(counts[:none] * GRAIN).astype(np.int64)
+        for x, total in made.items():
+            piece = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(piece), pa.string()), pa.array(piece, pa.int64()), pa.array(total[piece])], ["lang", "piece", "count"])
+
+    return words.mapInArrow(tidied(run), "lang string, piece bigint, count bigint").groupBy("lang", "piece").agg(F.sum("count").alias("count"))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, text: str) -> Iterator[tuple[pa.RecordBatch, list[int], list[float]]]:
@@ -230,7 +245,8 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, text: str) -> Itera
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred, score: the language with the highest posterior and that posterior. No row moves."""
-    kind = docs.schema[key].dataType.simpleString()
+    chosen = docs.select(quoted(key), quoted(text))
+    kind = StructType([chosen.schema[0], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +254,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
         for batch, which, best in _scored(batches, shared.value, text):
             yield pa.RecordBatch.from_arrays([batch[key], langs.take(pa.array(which, pa.int64())), pa.array(best, pa.float64())], [key, "lang_pred", "score"])
 
-    return docs.select(key, text).mapInArrow(tidied(run), f"`{key}` {kind}, lang_pred string, score double")
+    return chosen.mapInArrow(tidied(run), kind)
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float | None = None, text: str = "text") -> DataFrame:

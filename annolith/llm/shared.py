@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import tempfile
@@ -30,9 +31,33 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_SCRATCH: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for made in _SCRATCH[-1:]:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write for themselves inside this block are removed when it ends; what they returned must be
+    stored by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            drop_path(spark, path)
+        released()
+
+
+def quoted(name: str) -> str:
+    """A column's name as it can be selected, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -54,6 +79,14 @@ def hash_bound(wanted: int, n: int, margin: float = 4.0) -> int:
     return min((1 << 63) - 1, -(1 << 63) + int(share * 2**64))
 
 
+def released() -> None:
+    """Gives free memory of this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -64,11 +97,6 @@ def tidied(run: Run) -> Run:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            released()
 
     return task
