@@ -10,8 +10,8 @@ of its domains, so that rare domains move as fast as others. The steps end when
 nonnegative rates can give, which is found beforehand; if they don't get there, a warning names the distance.
 
 Results for special cases: a null or blank text has no tokens and rate 1; repeated rows are rated each; labels with a
-null key or domain, and keys that the documents lack, are left out, and of several labels of a key the last in order
-counts; a domain without labelled rows has posterior 0; with fewer than two labelled domains every posterior is uniform
+null key or domain, and keys that the documents lack, are left out, and of several labels or texts of a key the last or
+the first in order counts; rows round to whole copies by the hash of their key and text, so equal rows round alike; a domain without labelled rows has posterior 0; with fewer than two labelled domains every posterior is uniform
 over the targets' domains; texts are read whole; an empty table gives no rows.
 """
 
@@ -29,11 +29,12 @@ from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import hash_bound, tidied, written
+from .shared import hash_bound, quoted, released, tidied, written
 
-#: The classifier is fitted on so many labelled rows at most, those whose hash is least.
-SAMPLE_ROWS = 20_000
+#: The classifier is fitted on so many labelled rows at most, those whose hash is least, in so many partitions.
+SAMPLE_ROWS, SAMPLE_PARTS = 20_000, 4
 FEATURES, REGULARISATION, SPARSITY, FIT_STEPS = 1 << 15, 4e-3, 1.0, 60
 #: Projected-gradient steps at most; they end when the domain shares are this near to the least-squares ones; decimal
 #: places of posteriors; so many distinct posteriors at most are held by the driver (three domains have no more).
@@ -50,13 +51,16 @@ class Domains:
 def fit_domains(docs: DataFrame, labels: DataFrame, names: list[str], key: str = "doc_id", text: str = "text", domain: str = "domain", sample: int = SAMPLE_ROWS) -> Domains:
     """labels: key, domain. A multinomial logistic regression on the presence of hashed words and signs."""
     known = labels.select(F.col(key).alias("_key"), F.col(domain).alias("_domain")).where(F.col("_key").isNotNull() & F.col("_domain").isin(names))
-    # the least hashes; a bound by the number of labels leaves few rows to rank, however many there are
-    near = known.where(F.xxhash64("_key") <= F.lit(hash_bound(sample, known.count())))
+    # the least hashes; a bound by the number of keys leaves few rows to rank, however many there are
+    keys = known.agg(F.approx_count_distinct("_key")).first()[0]
+    near = known.where(F.xxhash64("_key") <= F.lit(hash_bound(sample, keys)))
     known = near.groupBy("_key").agg(F.max("_domain").alias("_domain")).orderBy(F.xxhash64("_key"), "_key").limit(sample)
     number = F.array_position(F.array(*map(F.lit, names)), F.col("_domain")) - 1
-    rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias(TEXT)).join(F.broadcast(known), "_key").select(TEXT, number.cast("double").alias(LABEL))  # sample rows at most
+    met = docs.select(F.col(quoted(key)).alias("_key"), F.coalesce(F.col(quoted(text)), F.lit("")).alias(TEXT)).join(F.broadcast(known), "_key")  # sample rows at most
+    rows = met.groupBy("_key", "_domain").agg(F.min(TEXT).alias(TEXT)).select(TEXT, number.cast("double").alias(LABEL))
     stages = Pipeline(stages=[*_terms(), LogisticRegression(featuresCol=TERMS, labelCol=LABEL, probabilityCol=CHANCE, rawPredictionCol="_mix_raw", predictionCol="_mix_prediction", family="multinomial", regParam=REGULARISATION, elasticNetParam=SPARSITY, maxIter=FIT_STEPS)])
-    rows = written(rows, "mixing-sample")
+    # few partitions: a step of the fit is then one stage of short tasks, without a shuffle of gradients
+    rows = written(rows, "mixing-sample").coalesce(SAMPLE_PARTS)
     if rows.select(LABEL).distinct().count() < 2:
         return Domains(names, None)
     return Domains(names, stages.fit(rows))
@@ -68,8 +72,8 @@ def _terms() -> list:
 
 def posteriors(docs: DataFrame, domains: Domains, text: str = "text") -> DataFrame:
     """docs with ``_mix_tokens`` (their number) and ``_mix_chance`` (array<double> in the order of the names)."""
-    n, columns = len(domains.names), docs.columns
-    plain = docs.withColumn(TEXT, F.coalesce(F.col(text), F.lit("")))
+    n, columns = len(domains.names), map(quoted, docs.columns)
+    plain = docs.withColumn(TEXT, F.coalesce(F.col(quoted(text)), F.lit("")))
     if domains.model is None:
         out = _terms()[0].transform(plain).withColumn(CHANCE, F.array(*[F.lit(1.0 / n)] * n))
     else:
@@ -186,12 +190,12 @@ def fit_rates(rated: DataFrame, targets: dict[str, float], names: list[str], ste
         last, back = now, ahead - best
         path.steps.append((back, (pace - 1) / then))
         pace = then
+    released()
     return path
 
 
 def rated(rows: DataFrame, path: Path | None, columns: list[str]) -> DataFrame:
     """posteriors' rows with rate: the given columns, tokens, posterior, rate."""
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,29 +203,34 @@ def rated(rows: DataFrame, path: Path | None, columns: list[str]) -> DataFrame:
             chance = batch[CHANCE].flatten().to_numpy().reshape(n, -1) if n else np.zeros((0, 1))
             rate = rates_after(chance, path)[0] if n else np.zeros(0)
             rate = np.where(batch[TOKENS].to_numpy() > 0, rate, 1.0)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), batch[TOKENS], batch[CHANCE], pa.array(rate)], [*columns, TOKENS, CHANCE, "_mix_rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*batch.schema.names, "_mix_rate"])
 
-    return rows.select(*columns, TOKENS, CHANCE).mapInArrow(tidied(run), f"{kinds}, {TOKENS} bigint, {CHANCE} array<double>, _mix_rate double")
+    chosen = rows.select(*map(quoted, columns), TOKENS, CHANCE)
+    return chosen.mapInArrow(tidied(run), StructType([*chosen.schema.fields, StructField("_mix_rate", DoubleType())]))
 
 
-def copies(rate: Column, key: Column) -> Column:
-    """Whole copies whose expectation is the rate: the fraction is decided by the key's hash."""
-    chance = F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def copies(rate: Column, *row: Column) -> Column:
+    """Whole copies whose expectation is the rate: the fraction is decided by the row's hash."""
+    chance = F.pmod(F.xxhash64(*row, F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return (F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
 def mixing_rates(docs: DataFrame, domains: Domains, targets: dict[str, float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, posterior, rate, copies: a row for each document."""
-    narrow = written(posteriors(docs.select(key, text), domains, text).select(key, TOKENS, CHANCE), "mixing-posteriors")
+    own = docs.select(F.col(quoted(key)).alias(key), F.col(quoted(text)).alias("_mix_own"))
+    found = posteriors(own, domains, "_mix_own").withColumn("_mix_hash", F.xxhash64("_mix_own"))
+    narrow = written(found.select(quoted(key), "_mix_hash", TOKENS, CHANCE), "mixing-posteriors")
     path = fit_rates(narrow, targets, domains.names)
-    out = rated(narrow, path, [key])
-    return out.select(key, F.col(TOKENS).alias("n_tokens"), F.col(CHANCE).alias("posterior"), F.col("_mix_rate").alias("rate"), copies(F.col("_mix_rate"), F.col(key)).alias("copies"))
+    out, k = rated(narrow, path, [key, "_mix_hash"]), F.col(quoted(key))
+    return out.select(k, F.col(TOKENS).alias("n_tokens"), F.col(CHANCE).alias("posterior"), F.col("_mix_rate").alias("rate"), copies(F.col("_mix_rate"), k, F.col("_mix_hash")).alias("copies"))
 
 
 def mixed(docs: DataFrame, domains: Domains, targets: dict[str, float], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, each row as often as its rate says."""
-    found = posteriors(docs, domains, text)
-    path = fit_rates(written(found.select(TOKENS, CHANCE), "mixing-posteriors"), targets, domains.names)
-    out = rated(found, path, docs.columns).withColumn("_mix_copies", copies(F.col("_mix_rate"), F.col(key)))
+    """docs, each row as often as its rate says. Texts meet the classifier once: rows are stored with their posteriors."""
+    found = written(posteriors(docs, domains, text), "mixing-posteriors")
+    path = fit_rates(found.select(TOKENS, CHANCE), targets, domains.names)
+    columns = list(map(quoted, docs.columns))
+    row = [F.col(quoted(key)), F.xxhash64(quoted(text))]
+    out = rated(found, path, docs.columns).withColumn("_mix_copies", copies(F.col("_mix_rate"), *row))
     once = F.when(F.col("_mix_copies") > 0, F.sequence(F.lit(1), F.col("_mix_copies"))).otherwise(F.array().cast("array<int>"))
-    return out.withColumn("_mix_copy", F.explode(once)).select(*docs.columns)
+    return out.withColumn("_mix_copy", F.explode(once)).select(*columns)

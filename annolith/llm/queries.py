@@ -44,9 +44,10 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
-#: Domains of the labels table, and the shares of all tokens that the mixture aims at.
+#: Domains of the labels table, and the shares of all tokens that the mixture aims at. Posteriors are soft, so a share of
+#: exactly 0 could be met only without all documents whose toxic posterior isn't 0; 2 % leaves out the toxic ones.
 DOMAINS = ["high", "low", "toxic"]
-TARGETS = {"high": 0.9, "low": 0.1, "toxic": 0.0}
+TARGETS = {"high": 0.88, "low": 0.1, "toxic": 0.02}
 
 
 def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
