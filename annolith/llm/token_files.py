@@ -1,9 +1,11 @@
 """Token files with Re-Pair grammar compression.
 
-Documents are range-partitioned and sorted by key; each partition becomes one file of blocks. In a block the distinct
-pieces (stretches of text that the tokenizer never joins) are encoded once, and a grammar is grown as in Re-Pair: the
-frequent id pairs become nonterminals again and again, first within pieces, weighted by how often each piece occurs, then
-between the symbols of the sequence. All pairs of a round that don't overlap are replaced together. Stored are the
+Documents are range-partitioned and sorted by key; each partition becomes files of a stated number of blocks, and a block
+is a shard with a grammar of its own. In it the distinct pieces (stretches of text that the tokenizer never joins) are
+encoded once, and a grammar is grown as in Re-Pair: frequent id pairs become nonterminals again and again, first within
+pieces, weighted by how often each piece occurs, then between the symbols of the sequence, until no pair stands at
+``LEAST_COUNT`` places. In a round each place goes to the more frequent of the pairs that overlap there. A later round
+looks only where a pair was frequent before or a new symbol stands: nowhere else can a pair be frequent. Stored are the
 rules, each nonterminal's expansion length, and each document's place in symbols and in tokens, so any document, or any
 token range of it, is decoded without the rest.
 
@@ -27,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .rawfiles import read_raw, write_raw
-from .shared import tidied
-
-MAGIC, HEADER = b"RPTF", struct.Struct("<qIIIIII")
-#: Bytes of text in a block; rounds of pair replacement in pieces and in the sequence; the least count of a new pair.
-BLOCK_BYTES, PIECE_ROUNDS, SEQUENCE_ROUNDS, LEAST_COUNT = 4 << 20, 12, 2, 8
-#: Distinct pieces whose ids a worker keeps within a task and between tasks; new pieces that the tokenizer gets at a time.
-CACHED_PIECES, KEPT_PIECES, TOGETHER = 400_000, 200_000, 96
+from .shared import quoted, released, tidied, written
+
+MAGIC, HEADER = b"RPTF", struct.Struct("<qqIIIIII")
+#: Bytes of text in a block, blocks in a file, and the places at which a pair stands at least to become a rule: a rule
+#: takes ten bytes in the file and a symbol three, so rarer pairs don't pay.
+BLOCK_BYTES, FILE_BLOCKS, LEAST_COUNT = 4 << 20, 16, 8
+#: Distinct pieces whose ids a worker keeps within a task and between tasks; new pieces in a text for the tokenizer, and
+#: such texts in a call.
+CACHED_PIECES, KEPT_PIECES, TOGETHER, AT_ONCE = 400_000, 200_000, 32, 256
 #: A blank that stands inside white space or ends it: a text with one is cut differently by the tokenizer, and so is one
 #: with a null character, which marks pieces here.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -170,10 +174,12 @@ class Encoder:
             return
         ends = np.append(np.arange(0, len(of), TOGETHER), len(of))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(of)).cast(pa.string()))
-        for text, a, b in zip(pc.binary_join(lists, between + " ").to_pylist(), ends, ends[1:], strict=False):
-            got = np.array(self.encode(" " + text), np.int32)
-            cut = got == mark
-            rows.append((of[a:b], got[~cut], np.diff(np.concatenate([[-1], np.flatnonzero(cut), [len(got)]])) - 1))
+        texts, parts = [f" {t}{between}" for t in pc.binary_join(lists, between + " ").to_pylist()], []
+        for i in range(0, len(texts), AT_ONCE):
+            parts += [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
+        got = np.concatenate(parts)
+        cut = got == mark  # a mark ends each piece
+        rows.append((of, got[~cut], np.diff(np.flatnonzero(cut), prepend=-1) - 1))
 
 
 def within(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -189,41 +195,72 @@ def encoder(file: str) -> Encoder:
     return _ENCODERS[at]
 
 
-def chosen_pairs(left: np.ndarray, right: np.ndarray, weight: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """left, right: the symbols of each place where a pair may stand (-1 in ``right``: none). Gives the distinct frequent
-    pairs as left << 32 | right, and for each place the number of its pair, or -1."""
-    often = np.bincount(left, weight) >= least  # only a pair of frequent symbols can be frequent
-    places = np.flatnonzero((right >= 0) & often[left] & often[right])
-    of, pairs = pd.factorize((left[places].astype(np.int64) << 32) | right[places].astype(np.int64))
-    counts = np.bincount(of, None if weight is None else weight[places], len(pairs))
-    score = np.zeros(len(left) + 2)
-    score[1:-1][places] = np.where(counts[of] >= least, counts[of], 0)
-    here = score[1:-1]
-    take = (here > 0) & (here > score[:-2]) & (here >= score[2:])  # of overlapping pairs the more frequent, then the first
-    number = np.full(len(left), -1, np.int32)
-    number[places] = of
-    number[~take] = -1
-    used, again = np.unique(number[take], return_inverse=True)
-    number[take] = again
-    return pairs[used], number
-
-
-def replace_pairs(symbols: np.ndarray, ends: np.ndarray, weight: np.ndarray | None, rules: list[np.ndarray], next_id: int, least: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray | None]:
-    """One round over stretches that end at ``ends``; no pair crosses an end."""
-    n = len(symbols)
-    right = np.full(n, -1, symbols.dtype)
-    right[:-1] = symbols[1:]
-    right[ends[ends > 0] - 1] = -1
-    pairs, number = chosen_pairs(symbols, right, weight, least)
-    if not len(pairs):
-        return symbols, ends, next_id, weight
-    take = number >= 0
-    out = np.where(take, next_id + number, symbols)
-    keep = np.ones(n, bool)
-    keep[1:] = ~take[:-1]
-    rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1))
-    before = np.concatenate([[0], np.cumsum(keep)])
-    return out[keep], before[ends], next_id + len(pairs), weight[keep] if weight is not None else None
+class Growing:
+    """Symbols of stretches whose frequent pairs become rules, round by round.
+
+    symbols: in stretches that end at ``ends``; no pair crosses an end. weight: how much a place counts (None: 1).
+    """
+
+    def __init__(self, symbols: np.ndarray, ends: np.ndarray, weight: np.ndarray | None):
+        self.symbols, self.ends, self.weight = symbols, ends, weight
+        self.active = np.ones(len(symbols), bool)  # where a frequent pair may begin
+        self.active[ends[ends > 0] - 1] = False
+
+    def grow(self, rules: list[np.ndarray], next_id: int, least: int) -> int:
+        """Replaces pairs until none stands at ``least`` places; gives the next free symbol."""
+        while len(pairs := self._round(next_id, least)):
+            rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1))
+            next_id += len(pairs)
+        return next_id
+
+    def _round(self, next_id: int, least: int) -> np.ndarray:
+        """The pairs (left << 32 | right) that this round replaced, the k-th by next_id + k."""
+        places = np.flatnonzero(self.active)
+        of, pairs = pd.factorize((self.symbols[places].astype(np.int64) << 32) | self.symbols[places + 1])
+        weight = None if self.weight is None else self.weight[places]
+        counts = np.bincount(of, weight, len(pairs))
+        often = counts[of] >= least
+        places, of = places[often], of[often]
+        if not len(places):
+            return pairs[:0]
+        at = chosen(places, counts[of])
+        uses = np.bincount(of[at], None if weight is None else weight[often][at], len(pairs))
+        if (worth := uses[of[at]] >= least / 2).any():  # others wait for what this round leaves of them
+            at = at[worth]
+        used, number = np.unique(of[at], return_inverse=True)
+        taken = places[at]
+        self._replace(places, taken, next_id + number)
+        return pairs[used]
+
+    def _replace(self, places: np.ndarray, taken: np.ndarray, new: np.ndarray) -> None:
+        n = len(self.symbols)
+        keep, touched = np.ones(n, bool), np.zeros(n + 1, bool)
+        keep[taken + 1] = False
+        touched[taken] = touched[taken + 1] = True
+        self.symbols[taken] = new
+        at = np.concatenate([[0], np.cumsum(keep)])
+        self.symbols, self.ends = self.symbols[keep], at[self.ends]
+        self.weight = None if self.weight is None else self.weight[keep]
+        active = np.zeros(len(self.symbols) + 1, bool)
+        whole = places[~(touched[places] | touched[places + 1])]
+        active[at[whole]] = active[at[taken]] = True
+        active[at[taken] - 1] = True  # of the first symbol that is the spare place at the end
+        active = active[:-1]
+        active[self.ends[self.ends > 0] - 1] = False
+        self.active = active
+
+
+def chosen(places: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Of ascending places, of which neighbours overlap: indices of the higher scores, every second of an equal run."""
+    beside = places[1:] == places[:-1] + 1
+    first = np.append(True, ~beside | (score[1:] != score[:-1]))
+    start = np.flatnonzero(first)
+    stop = np.append(start[1:], len(places)) - 1
+    higher = np.append(0, np.where(beside, score[:-1], 0))[start] > score[start]  # the place before goes to its own pair
+    lower = np.append(np.where(beside, score[1:], 0), 0)[stop] <= score[stop]
+    run = np.cumsum(first) - 1
+    offset = np.arange(len(places)) - start[run] - higher[run]
+    return np.flatnonzero((offset >= 0) & (offset % 2 == 0) & (lower[run] | (np.arange(len(places)) != stop[run])))
 
 
 def rule_lengths(rules: np.ndarray, base: int, rounds: np.ndarray) -> np.ndarray:
@@ -246,32 +283,27 @@ def _from_three(data: memoryview) -> np.ndarray:
     return out.view("<u4")[:, 0].astype(np.int32)
 
 
-def pack(keys: list[int | None], texts: list[str | None], coder: Encoder, base: int, end_id: int, shard: int) -> bytes:
-    """A block: the documents' ids, each followed by the end id, under a grammar."""
+def pack(keys: list[int | None], texts: list[str | None], coder: Encoder, base: int, end_id: int, shard: int, place: int = 0, least: int = LEAST_COUNT) -> bytes:
+    """A block: the documents' ids, each followed by the end id, under a grammar. shard, place: its partition, its place there."""
     numbers, lengths = coder.number(texts)
     counts = np.bincount(numbers, minlength=1)
     kinds = np.flatnonzero(counts)
-    place = np.cumsum(counts > 0) - 1
-    at, counts = place[numbers], counts[kinds]
+    at, counts = (np.cumsum(counts > 0) - 1)[numbers], counts[kinds]
     sizes = (coder.ends[1:] - coder.ends[:-1])[kinds] if len(kinds) else np.zeros(0, np.int64)
     rules: list[np.ndarray] = []
-    next_id, ends = base, np.cumsum(sizes)
+    next_id = base
     symbols = coder.flat[within(coder.ends[kinds], sizes)]  # of four bytes, as symbols stay below 1 << 24
     tokens_of = sizes.copy()
     # the grammar grows on the pieces that occur often enough to give rules; the others stay as they are
-    often = np.repeat(counts >= LEAST_COUNT, sizes)
-    grown, grown_ends = symbols[often], np.cumsum(sizes[counts >= LEAST_COUNT])
-    weight = np.repeat(counts, sizes)[often].astype(float)
-    for _ in range(PIECE_ROUNDS):
-        before = next_id
-        grown, grown_ends, next_id, weight = replace_pairs(grown, grown_ends, weight, rules, next_id, LEAST_COUNT)
-        if next_id == before:
-            break
+    often = np.repeat(counts >= least, sizes)
+    grown = Growing(symbols[often], np.cumsum(sizes[counts >= least]), np.repeat(counts, sizes)[often].astype(float))
+    next_id = grown.grow(rules, next_id, least)
     new_sizes = sizes.copy()
-    new_sizes[counts >= LEAST_COUNT] = np.diff(np.concatenate([[0], grown_ends]))
+    new_sizes[counts >= least] = np.diff(np.concatenate([[0], grown.ends]))
     merged = np.empty(int(new_sizes.sum()), np.int32)
-    merged[np.repeat(counts >= LEAST_COUNT, new_sizes)] = grown
-    merged[~np.repeat(counts >= LEAST_COUNT, new_sizes)] = symbols[~often]
+    inside = np.repeat(counts >= least, new_sizes)
+    merged[inside] = grown.symbols
+    merged[~inside] = symbols[~often]
     starts = np.cumsum(new_sizes) - new_sizes
     # the sequence: each document's pieces written out as symbols, then the end id
     piece_sizes = new_sizes[at]
@@ -282,11 +314,9 @@ def pack(keys: list[int | None], texts: list[str | None], coder: Encoder, base:
     into = np.cumsum(piece_sizes) - piece_sizes + doc_of
     sequence = np.full(int(doc_symbols.sum()), end_id, np.int32)
     sequence[within(into, piece_sizes)] = merged[within(starts[at], piece_sizes)]
-    for _ in range(SEQUENCE_ROUNDS):
-        before = next_id
-        sequence, doc_ends, next_id, _ = replace_pairs(sequence, doc_ends, None, rules, next_id, LEAST_COUNT)
-        if next_id == before:
-            break
+    grown = Growing(sequence, doc_ends, None)
+    next_id = grown.grow(rules, next_id, least)
+    sequence, doc_ends = grown.symbols, grown.ends
     if next_id >= 1 << 24:
         raise ValueError("a block has too many symbols for its file format")
     rounds = np.cumsum([0, *map(len, rules)])[:-1]
@@ -302,7 +332,7 @@ def pack(keys: list[int | None], texts: list[str | None], coder: Encoder, base:
         rule_lengths(table, base, rounds).astype("<u4").tobytes() if len(table) else b"",
         _three(sequence),
     ]
-    body = HEADER.pack(shard, base, end_id, len(keys), len(rounds), len(table), len(sequence)) + b"".join(parts)
+    body = HEADER.pack(shard, place, base, end_id, len(keys), len(rounds), len(table), len(sequence)) + b"".join(parts)
     return MAGIC + struct.pack("<QI", len(body), zlib.crc32(body)) + body
 
 
@@ -310,7 +340,7 @@ class Block:
     """A packed block, open for random access."""
 
     def __init__(self, body: memoryview):
-        self.shard, self.base, self.end_id, n, k, m, s = HEADER.unpack_from(body)
+        self.shard, self.place, self.base, self.end_id, n, k, m, s = HEADER.unpack_from(body)
         at = HEADER.size
 
         def take(size: int) -> memoryview:
@@ -382,23 +412,28 @@ def blocks_of(data: bytes) -> Iterator[Block]:
         at += 16 + size + 1  # a line feed follows each block
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, key: str = "doc_id", text: str = "text", end_id: int = 2, block_bytes: int = BLOCK_BYTES) -> None:
-    """Writes the documents' ids in ascending key order; the files' order is that of the shard numbers in them."""
+def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, key: str = "doc_id", text: str = "text", end_id: int = 2, block_bytes: int = BLOCK_BYTES, file_blocks: int = FILE_BLOCKS) -> None:
+    """Writes the documents' ids in ascending key order; the blocks' order is that of their shards and places."""
     from tokenizers import Tokenizer
 
     with open(tokenizer_file, encoding="utf-8") as f:
         file = f.read()
-    base = max(Tokenizer.from_str(file).get_vocab_size(with_added_tokens=True), end_id + 1)
+    tokenizer = Tokenizer.from_str(file)
+    base = max(tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
+    if not cuts_before_blanks(tokenizer):
+        raise ValueError("this tokenizer joins what stands before a blank with what stands after it")
     shared = docs.sparkSession.sparkContext.broadcast(file)
+    del tokenizer
+    released()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         coder, shard = encoder(shared.value), TaskContext.get().partitionId()
-        keys, texts, held = [], [], 0
+        keys, texts, held, place = [], [], 0, 0
 
         def block() -> pa.RecordBatch:
-            packed = pack(keys, texts, coder, base, end_id, shard)
+            packed = pack(keys, texts, coder, base, end_id, shard, place)
             coder.trim()
             return pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["block"])
 
@@ -409,49 +444,45 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, key: str = "do
                 held += len(texts[-1] or "")
                 if held >= block_bytes:
                     yield block()
-                    keys, texts, held = [], [], 0
+                    keys, texts, held, place = [], [], 0, place + 1
         if keys:
             yield block()
         coder.trim(KEPT_PIECES)
 
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    write_raw(rows.repartitionByRange("key").sortWithinPartitions("key", "text").mapInArrow(tidied(run), "block binary"), path, "\n")
+    rows = docs.select(F.col(quoted(key)).cast("bigint").alias("key"), F.col(quoted(text)).alias("text"))
+    # the text's hash parts rows of one key, should there be very many
+    dealt = rows.repartitionByRange("key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
+    write_raw(dealt.mapInArrow(tidied(run), "block binary"), path, "\n", file_blocks)
+
+
+def cuts_before_blanks(tokenizer: object) -> bool:
+    """Whether the tokenizer cuts a text before each blank that ends a run of white space, and between a letter and a sign."""
+    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    parts = (["the"], [" end"], ["a", ","], [" b", ".)"], ["1"], [" 2", "!"], ["\n"], [" x", "-"], [" é"], ["日"], [" 's"])
+    return all(ids("".join([*x, *y])) == [i for p in (*x, *y) for i in ids(p)] for x in parts for y in parts if y[0][0] == " ")
 
 
 def read_tokens(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """key, start (ids of all documents before), n_tokens, ids_crc32, and ids if asked for: a row for each document."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
-    names = ["key", "shard", "before", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
+    names = ["key", "shard", "place", "before", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch["content"]:
-                before = 0
                 for block in blocks_of(data.as_py()):
-                    cells = [[] for _ in kinds]
+                    cells, before = [[] for _ in kinds], 0
                     for k, ids in block.documents():
-                        for cell, value in zip(cells, (k, block.shard, before, len(ids), zlib.crc32(ids.astype("<i4", copy=False)), ids), strict=False):
+                        for cell, value in zip(cells, (k, block.shard, block.place, before, len(ids), zlib.crc32(ids.astype("<i4", copy=False)), ids), strict=False):
                             cell.append(value)
                         before += len(ids)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names)
 
-    schema = "key bigint, shard bigint, before bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    rows = read_raw(spark, path).select("content").mapInArrow(tidied(run), schema)
-    totals = shard_totals(spark, path)
-    starts = totals.selectExpr("shard", "coalesce(sum(tokens) over (order by shard rows between unbounded preceding and 1 preceding), 0) as first")
-    out = rows.join(starts, "shard")
+    schema = "key bigint, shard bigint, place bigint, before bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
+    rows = written(read_raw(spark, path).select("content").mapInArrow(tidied(run), schema), "tokens-read")  # files are read once
+    blocks = rows.groupBy("shard", "place").agg(F.sum("n_tokens").alias("tokens"))
+    # two levels: a row for each shard, and the blocks of each shard
+    shards = blocks.groupBy("shard").agg(F.sum("tokens").alias("all")).selectExpr("shard", "coalesce(sum(all) over (order by shard rows between unbounded preceding and 1 preceding), 0) as base")
+    starts = blocks.selectExpr("shard", "place", "coalesce(sum(tokens) over (partition by shard order by place rows between unbounded preceding and 1 preceding), 0) as inside").join(shards, "shard")
+    out = rows.join(starts.select("shard", "place", (F.col("base") + F.col("inside")).alias("first")), ["shard", "place"])
     return out.select(F.col("key").alias(key), (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
-
-
-def shard_totals(spark: SparkSession, path: str) -> DataFrame:
-    """shard, tokens: a row for each file, from the blocks' headers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = []
-            for data in batch["content"]:
-                opened = list(blocks_of(data.as_py()))
-                cells.append((opened[0].shard, sum(int(b.doc_tokens.sum()) for b in opened)))
-            yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in cells], pa.int64()) for i in (0, 1)], ["shard", "tokens"])
-
-    return read_raw(spark, path).select("content").mapInArrow(tidied(run), "shard bigint, tokens bigint")
