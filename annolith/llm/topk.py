@@ -1,23 +1,22 @@
 """Exact top-k inner products with KD-trees per shard.
 
-Vectors are dealt into shards by hash and each shard becomes a KD-tree: median splits along the widest side, a tight
-bounding box and the least id at every node. The largest inner product that a box allows bounds what lies below it. The
-stated queries are cut into blocks; a block walks the trees of a group of shards one after the other, each walk best
-box first, and takes its k-th score along from tree to tree, so later trees are left at their root or soon after. The
+Each task cuts its vectors into shards as they come, builds a KD-tree of each (median splits along the widest side, a tight
+bounding box and the least id at every node) and stores it; no vector is shuffled, so rows that stand very often cost no
+more than others. The largest inner product that a box allows bounds what lies below it. The stated queries are cut into
+blocks. A task holds the trees of one group of shards and streams blocks past them; in a tree every query goes best box
+first, with its k-th score carried from tree to tree. A first pass takes each block to one group; the second takes it to
+the others and begins with the k-th score that the first found, so most trees are left at their root or soon after. The
 groups' lists, k rows a query, are merged at the end.
 
-Shards and blocks are rows of packed bytes of bounded size, so no task holds more than one block and one group.
-
-Results for special cases: vectors that are null or hold a null or a non-finite component take no part, nor do those of
-another length than the most frequent one (of equally frequent ones the longest); a query doesn't meet rows of its own
-id; repeated vectors all count; each distinct query (id and vector) has one list, however often it is asked; components
-over 31 bits, or norms that make scores inexact, raise; equal scores go to the smaller id; fewer candidates than k give
-fewer rows; rows with a null id take no part; an empty table gives no rows.
+Results for special cases: vectors that are null or hold a null or a non-finite component take no part; vectors of
+different lengths meet as if the shorter went on with zeros, so an empty one scores 0; a query doesn't meet rows of its own
+id; repeated vectors all count; each distinct query (id and vector) has one list, however often it is asked; scores are
+exact, and one that might not fit in 64 bits raises; equal scores go to the smaller id; fewer candidates than k give fewer
+rows; rows with a null id take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -26,17 +25,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import quoted, tidied, written
 
-#: Vectors in a shard, queries in a block, shards whose trees one task walks, vectors in a leaf.
-SHARD, BLOCK, GROUP, LEAF = 8192, 1024, 16, 128
+#: Vectors in a shard, queries in a block, shards in a group whose trees one task holds, vectors in a leaf.
+SHARD, BLOCK, GROUP, LEAF = 8192, 256, 16, 128
 
 
 def quantised(vector: Column, scale: float = 64.0) -> Column:
     """Each component as floor(scale * x), or null where the vector is null or holds a null or a non-finite one."""
     wide = F.transform(vector, lambda x: x.cast("double"))
     sound = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.when(sound, F.transform(wide, lambda x: F.floor(F.lit(scale) * x).cast("bigint")))
+    whole = lambda x: F.when(F.abs(F.lit(scale) * x) < 2.0**63, F.floor(F.lit(scale) * x)).otherwise(F.raise_error(F.lit("a component does not fit in 64 bits")).cast("bigint"))
+    return F.when(sound, F.transform(wide, whole))
 
 
 class Tree:
@@ -56,8 +56,8 @@ class Tree:
             low.append(lo)
             high.append(hi)
             least.append(self.ids[a:b].min())
-            side = int((hi - lo).argmax())
-            if b - a > leaf and hi[side] > lo[side]:
+            side = int((hi.astype(float) - lo).argmax()) if len(hi) else 0
+            if b - a > leaf and len(hi) and hi[side] > lo[side]:
                 at = np.argsort(own[:, side], kind="stable")
                 middle = (b - a) // 2
                 self.ids[a:b], self.rows[a:b] = self.ids[a:b][at], own[at]
@@ -69,144 +69,195 @@ class Tree:
         self.nodes = np.array(nodes, np.int64).reshape(-1, 4)
         self.low, self.high = (np.array(x).reshape(len(nodes), rows.shape[1]) for x in (low, high))
         self.least = np.array(least, np.int64)
+        self.prepared()
 
-    def bounds(self, queries: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        """The largest inner product of each query with a point of each node's box."""
-        return np.maximum(queries, 0) @ self.high[nodes].T + np.minimum(queries, 0) @ self.low[nodes].T
+    def packed(self) -> bytes:
+        parts = (self.ids, self.rows, self.nodes, self.low, self.high, self.least)
+        return struct.pack("<QQQ", *self.rows.shape, len(self.nodes)) + b"".join(x.astype("<i8").tobytes() for x in parts)
 
+    @classmethod
+    def unpacked(cls, data: bytes) -> Tree:
+        tree, (n, width, m), at = cls.__new__(cls), struct.unpack_from("<QQQ", data), 24
+        for name, shape in (("ids", (n,)), ("rows", (n, width)), ("nodes", (m, 4)), ("low", (m, width)), ("high", (m, width)), ("least", (m,))):
+            size = int(np.prod(shape))
+            setattr(tree, name, np.frombuffer(data, "<i8", size, at).reshape(shape))
+            at += 8 * size
+        tree.prepared()
+        return tree
 
-class Best:
-    """The k best of each query so far: higher scores first, then smaller ids."""
+    def prepared(self) -> None:
+        """Doubles for products that they hold exactly; the largest sum of sizes of a row."""
+        self.reach = float(np.abs(self.rows.astype(float)).sum(axis=1).max(initial=0))
+        self.wide = self.rows, self.low, self.high
+        self.narrow = tuple(x.astype(float) for x in self.wide)
 
-    def __init__(self, n: int, k: int):
-        self.scores = np.full((n, k), -np.inf)
-        self.ids = np.full((n, k), np.iinfo(np.int64).max)
 
-    def add(self, which: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        k = self.scores.shape[1]
-        scores = np.concatenate([self.scores[which], scores], axis=1)
-        ids = np.concatenate([self.ids[which], np.broadcast_to(ids, (len(which), len(ids)))], axis=1)
-        top = np.lexsort((ids, -scores), axis=1)[:, :k]
-        self.scores[which], self.ids[which] = np.take_along_axis(scores, top, 1), np.take_along_axis(ids, top, 1)
+class Best:
+    """The k best of each query so far: higher scores first, then smaller ids; which of them are new since the start."""
+
+    def __init__(self, n: int, k: int, scores: np.ndarray | None = None, ids: np.ndarray | None = None):
+        self.scores = np.full((n, k), np.iinfo(np.int64).min) if scores is None else scores.copy()
+        self.ids = np.full((n, k), np.iinfo(np.int64).max) if ids is None else ids.copy()
+        self.new = np.zeros((n, k), bool)
+
+    def add(self, which: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
+        """scores: of these queries with all of these ids; where ``own`` holds, the row is the query's own."""
+        k, shape = self.scores.shape[1], scores.shape
+        least = np.iinfo(np.int64).min
+        all_scores = np.concatenate([self.scores[which], np.where(own, least, scores)], axis=1)
+        all_ids = np.concatenate([self.ids[which], np.where(own, np.iinfo(np.int64).max, np.broadcast_to(ids, shape))], axis=1)
+        fresh = np.concatenate([self.new[which], ~own], axis=1)
+        top = np.lexsort((all_ids, ~all_scores), axis=1)[:, :k]  # ~x falls as x grows, for all whole numbers
+        self.scores[which], self.ids[which], self.new[which] = (np.take_along_axis(x, top, 1) for x in (all_scores, all_ids, fresh))
 
     def open(self, which: np.ndarray, bounds: np.ndarray, least: np.ndarray) -> np.ndarray:
         """Where a node with this bound and least id may still hold something better than the k-th."""
-        kth, last = self.scores[which, -1:].reshape(-1), self.ids[which, -1:].reshape(-1)
+        kth, last = self.scores[which, -1], self.ids[which, -1]
         return (bounds > kth) | ((bounds == kth) & (least < last))
 
 
+def fitted(rows: np.ndarray, width: int) -> np.ndarray:
+    """Rows of another width, with zeros at the end or without what meets no component."""
+    if rows.shape[1] >= width:
+        return rows[:, :width]
+    return np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
+
+
 def walk(tree: Tree, queries: np.ndarray, own_ids: np.ndarray, best: Best) -> None:
-    """Best-first over the tree for all queries at once: in each round every query takes its best open leaf."""
+    """Every query goes best box first: in each round it takes its open node with the highest bound, looks at the vectors
+    of a leaf, or opens a node's children; it ends when no open node can hold anything better than its k-th."""
     if not len(tree.nodes):
         return
-    n = len(queries)
-    frontier, live = np.array([0]), np.arange(n)
-    live = live[best.open(live, tree.bounds(queries, frontier)[:, 0], tree.least[frontier])]
-    leaves = []
-    while len(frontier):  # boxes that no query can use any more aren't opened
-        split = tree.nodes[frontier, 2] >= 0
-        leaves.append(frontier[~split])
-        children = tree.nodes[frontier[split], 2:].ravel()
-        if not len(children) or not len(live):
-            break
-        bounds = tree.bounds(queries[live], children)
-        useful = np.zeros(len(children), bool)
-        for j in range(len(children)):
-            useful[j] = best.open(live, bounds[:, j], tree.least[children[j]]).any()
-        frontier = children[useful]
-    leaves = np.concatenate(leaves) if leaves else frontier
-    if not len(live) or not len(leaves):
-        return
-    bounds = tree.bounds(queries[live], leaves)
-    order = np.argsort(-bounds, axis=1, kind="stable")
-    active = np.arange(len(live))
-    for r in range(len(leaves)):
-        at = order[active, r]
-        top = bounds[active, at]
-        kth = best.scores[live[active], -1]
-        on = top >= kth  # bounds fall from here on, so a query below its k-th is done
-        active, at, top = active[on], at[on], top[on]
-        if not len(active):
-            return
-        now = best.open(live[active], top, tree.least[leaves[at]])
-        turn, mine = at[now], active[now]
-        for leaf in np.unique(turn):
-            who = live[mine[turn == leaf]]
-            a, b = tree.nodes[leaves[leaf], :2]
-            scores = queries[who] @ tree.rows[a:b].T
-            scores[own_ids[who][:, None] == tree.ids[a:b]] = -np.inf
-            best.add(who, scores, tree.ids[a:b])
+    queries = fitted(queries, tree.rows.shape[1])
+    largest = float(np.abs(queries.astype(float)).max(initial=0)) * tree.reach
+    if largest >= 2.0**62:
+        raise ValueError("a score might not fit in 64 bits")
+    rows, low, high = tree.narrow if largest < 2.0**52 else tree.wide
+    queries = queries.astype(rows.dtype)
+    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+    none = np.iinfo(np.int64).min
+    bounds = np.full((len(queries), len(tree.nodes)), none)
+    bounds[:, 0] = up @ high[0] + down @ low[0]
+    live = np.arange(len(queries))
+    while len(live):
+        at = bounds[live].argmax(axis=1)
+        top = bounds[live, at]
+        on = (top > none) & (top >= best.scores[live, -1])  # all other bounds of such a query are lower
+        live, at, top = live[on], at[on], top[on]
+        bounds[live, at] = none
+        useful = best.open(live, top, tree.least[at])
+        for node in np.unique(at[useful]):
+            who = live[useful & (at == node)]
+            a, b, left, right = tree.nodes[node]
+            if left < 0:
+                best.add(who, (queries[who] @ rows[a:b].T).astype(np.int64), tree.ids[a:b], own_ids[who][:, None] == tree.ids[a:b])
+            else:
+                for child in (left, right):
+                    bounds[who, child] = up[who] @ high[child] + down[who] @ low[child]
 
 
 def _packed(ids: np.ndarray, rows: np.ndarray) -> bytes:
-    if rows.size and (rows.min() < -(1 << 31) or rows.max() >= 1 << 31 or (rows.astype(np.float64) ** 2).sum(axis=1).max() >= 2.0**52):
-        raise ValueError("components or scores of vectors are too large: below 2**31, and sums of squares below 2**52, they are exact")
-    return struct.pack("<QQ", *rows.shape) + ids.astype("<i8").tobytes() + rows.astype("<i4").tobytes()
+    return struct.pack("<QQ", *rows.shape) + ids.astype("<i8").tobytes() + rows.astype("<i8").tobytes()
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, width = struct.unpack_from("<QQ", data)
-    return np.frombuffer(data, "<i8", n, 16).astype(np.int64), np.frombuffer(data, "<i4", n * width, 16 + 8 * n).reshape(n, width).astype(np.float64)
+    return np.frombuffer(data, "<i8", n, 16), np.frombuffer(data, "<i8", n * width, 16 + 8 * n).reshape(n, width)
+
+
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """The vectors as rows, shorter ones with zeros at the end."""
+    lengths, flat = np.diff(vectors.offsets.to_numpy()), vectors.flatten().to_numpy()
+    out = np.zeros((len(lengths), lengths.max(initial=0)), np.int64)
+    out[np.repeat(np.arange(len(lengths)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+    return out
+
+
+def _packs(rows: DataFrame, most: int, trees: bool, name: str) -> DataFrame:
+    """rows: id, v. part, place, pack: each task's rows as they come, ``most`` at a time, as trees or as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, place, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def out() -> pa.RecordBatch:
+            width = max(m.shape[1] for _, m in held)
+            ids, all_rows = np.concatenate([i for i, _ in held]), np.concatenate([fitted(m, width) for _, m in held])
+            pack = Tree(ids, all_rows).packed() if trees else _packed(ids, all_rows)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([place], pa.int32()), pa.array([pack], pa.binary())], ["part", "place", "pack"])
+
+        for batch in batches:
+            a = 0
+            while a < len(batch):
+                own = batch.slice(a, most - size)
+                held.append((own["id"].to_numpy(), _matrix(own["v"])))
+                a, size = a + len(own), size + len(own)
+                if size >= most:
+                    yield out()
+                    held, size, place = [], 0, place + 1
+        if held:
+            yield out()
+
+    return written(rows.select("id", "v").mapInArrow(tidied(run), "part int, place int, pack binary"), name)
 
 
 def top_inner(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "vector", shard: int = SHARD, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """vectors, queries: key, vector array<bigint>. query_id, rank, key, score: the k best vectors of each query."""
-    sound = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
-    widths = sound.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
-    width, n = (widths[0], widths[1]) if widths else (0, 0)
-    asked = queries.select(F.col(key).alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null").where(F.size("v") == width).distinct()
-    m = asked.count()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-m // block))
-    groups = max(1, -(-shards // group))
-
-    def dealt(rows: DataFrame, parts: int, most: int, name: str) -> DataFrame:
-        """Rows in packs of at most ``most``, numbered by the part to which their hash deals them."""
-
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list] = {}
-            sizes: dict[int, int] = {}
-
-            def out(p: int) -> pa.RecordBatch:
-                ids, rows = (np.concatenate(x) for x in zip(*held.pop(p), strict=True))
-                sizes.pop(p)
-                return pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([_packed(ids, rows)], pa.binary())], ["part", "pack"])
-
-            for batch in batches:
-                part, ids = batch["part"].to_numpy(), batch["id"].to_numpy()
-                flat = batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(len(batch), width)
-                for p in np.unique(part).tolist():
-                    own = part == p
-                    held.setdefault(p, []).append((ids[own], flat[own]))
-                    sizes[p] = sizes.get(p, 0) + int(own.sum())
-                    if sizes[p] >= most:
-                        yield out(p)
-            for p in list(held):
-                yield out(p)
-
-        part = F.pmod(F.xxhash64("id", "v"), F.lit(parts)).alias("part")
-        return written(rows.select(part, "id", "v").repartition(parts, "part").mapInArrow(pack, "part bigint, pack binary"), name)
-
-    trees = dealt(sound.where(F.size("v") == width), shards, shard, "topk-shards").select((F.col("part") % groups).alias("group"), "pack")
-    asks = dealt(asked, blocks, block, "topk-blocks")
-    # each block meets each group of shards: the stated queries against all rows, as packs
-    left = asks.select("part", F.col("pack").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    meetings = left.groupBy("part", "group").cogroup(trees.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), "group", "pack").groupBy("part", "group"))
-
-    def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        out = []
-        built = None
-        for q in mine["queries"]:
-            own_ids, rows = _unpacked(q.as_py())
-            best = Best(len(rows), k)
-            built = built or [Tree(*_unpacked(t.as_py())) for t in theirs["pack"]]
-            for tree in built:
-                walk(tree, rows, own_ids, best)
-            who, place = np.nonzero(np.isfinite(best.scores))
-            forms = pa.array([hashlib.blake2b(row.tobytes(), digest_size=16).digest() for row in rows], pa.binary())
-            out.append(pa.table({"query_id": own_ids[who], "form": forms.take(pa.array(who)), "id": best.ids[who, place], "score": best.scores[who, place].astype(np.int64)}))
-        none = {c: pa.array([], pa.binary() if c == "form" else pa.int64()) for c in ("query_id", "form", "id", "score")}
-        return pa.concat_tables(out) if out else pa.table(none)
-
-    found = meetings.applyInArrow(meet, "query_id bigint, form binary, id bigint, score bigint")
-    ranked = found.selectExpr("query_id", "id", "score", "row_number() over (partition by query_id, form order by score desc, id) as rank").where(F.col("rank") <= k)
+    spark = vectors.sparkSession
+    named = lambda rows: rows.select(F.col(quoted(key)).alias("id"), F.col(quoted(vector)).alias("v")).where("id is not null and v is not null")
+    trees = _packs(named(vectors), shard, True, "topk-trees")
+    asks = _packs(named(queries).distinct(), block, False, "topk-queries")
+    n, m = trees.count(), asks.count()
+    groups = max(1, -(-n // group))
+    # with few groups, blocks are dealt over slices too, and each slice has its own copy of a group's trees
+    slices = max(1, min(m, spark.sparkContext.defaultParallelism // groups))
+    home = F.pmod(F.xxhash64("part", "place"), F.lit(groups)).cast("int")
+    slice_of = F.pmod(F.xxhash64("place", "part"), F.lit(slices)).cast("int")
+    shards = trees.select(home.alias("group"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("kind"), "part", "place", "pack", F.lit(None).cast("binary").alias("found"))
+    first = asks.select(home.alias("group"), slice_of.alias("slice"), F.lit(1).alias("kind"), "part", "place", "pack", F.lit(None).cast("binary").alias("found"))
+    kind = "group int, slice int, kind int, part int, place int, pack binary, found binary"
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Trees come before blocks in each group and slice. Gives each block with its k best and which of them are new."""
+        now, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["group"], row["slice"]) != now:
+                    now, held = (row["group"], row["slice"]), []
+                if row["kind"] == 0:
+                    held.append(Tree.unpacked(row["pack"]))
+                    continue
+                own_ids, asked = _unpacked(row["pack"])
+                before = None if row["found"] is None else np.frombuffer(row["found"], "<i8").reshape(3, len(own_ids), k)
+                best = Best(len(own_ids), k, *(() if before is None else before[:2]))
+                for tree in held:
+                    walk(tree, asked, own_ids, best)
+                found = np.stack([best.scores, best.ids, best.new.astype(np.int64)]).astype("<i8").tobytes()
+                yield pa.RecordBatch.from_pylist([row | {"found": found}], schema=batch.schema)
+
+    def met(blocks: DataFrame, name: str) -> DataFrame:
+        both = shards.unionByName(blocks).repartition("group", "slice").sortWithinPartitions("group", "slice", "kind", "part", "place")
+        return written(both.mapInArrow(tidied(meet), kind), name)
+
+    near = met(first, "topk-first")
+    parts = [near]
+    if groups > 1:
+        others = F.filter(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: g != F.col("group"))
+        parts.append(met(near.select(F.explode(others).alias("group"), "slice", "kind", "part", "place", "pack", "found"), "topk-second"))
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, block, pack, found in zip(*batch.columns, strict=True):
+                own_ids, _ = _unpacked(pack.as_py())
+                scores, ids, new = np.frombuffer(found.as_py(), "<i8").reshape(3, len(own_ids), k)
+                who, place = np.nonzero(new)
+                of = [pa.array(np.full(len(who), x.as_py(), np.int32)) for x in (part, block)]
+                yield pa.RecordBatch.from_arrays([pa.array(own_ids[who]), *of, pa.array(who.astype(np.int32)), pa.array(ids[who, place]), pa.array(scores[who, place])], ["query_id", "part", "place", "row", "id", "score"])
+
+    columns = ["part", "place", "pack", "found"]
+    found = near.select(*columns) if len(parts) == 1 else near.select(*columns).unionAll(parts[1].select(*columns))
+    rows = found.mapInArrow(tidied(lists), "query_id bigint, part int, place int, row int, id bigint, score bigint")
+    # a query is known by its row in its block
+    ranked = rows.selectExpr("query_id", "id", "score", "row_number() over (partition by query_id, part, place, row order by score desc, id) as rank").where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
