@@ -1,11 +1,13 @@
 """WARC archives in Zstandard: one frame a record, the dictionary in a leading skippable frame.
 
-Each task trains a dictionary on the first records of its partition and writes one archive. Records follow each other as
-frames; between them stands an empty skippable frame, which every Zstandard reader passes over. Equal payloads are
+Each task trains a dictionary on the first records of its partition and writes archives of a bounded size, each of which
+opens with the dictionary. Records follow each other as frames; between them stands an empty skippable frame, which every Zstandard reader passes over. Equal payloads are
 stored once: the record with the least key is a ``response``, the others ``revisit`` it.
 
 The reader loads the dictionary, cuts the file into frames by their block headers, decodes one frame for each record and
-checks version, headers, lengths and digest; what fails is named in ``error``.
+checks version, headers, lengths and, if it has one, the SHA-1 digest; what fails is named in ``error``. Names of headers
+are read in any case, with or without a blank before the value, over several lines and repeated (the first counts). An
+archive is read as one value, so those written elsewhere must be under 2 GB.
 
 Results for special cases: a null payload is empty; a null url gives a record without a target; repeated rows give a
 record each, both of them responses if they are the first of their payload; among rows without a key none is first unless
@@ -26,14 +28,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .rawfiles import read_raw, write_raw
+from .shared import quoted, tidied
 
 #: Fixed values of the formats: the dictionary's frame, other skippable frames, data frames.
 DICTIONARY_MAGIC, SKIPPABLE_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 SEPARATOR = struct.pack("<II", SKIPPABLE_MAGIC, 0).decode()
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
-DICTIONARY_BYTES, SAMPLE_BYTES, LEVEL = 16 << 10, 1 << 20, 3
-REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
+#: Bytes of the dictionary, of the records that it is trained on, and of an archive (and the record that fills it).
+DICTIONARY_BYTES, SAMPLE_BYTES, ARCHIVE_BYTES, LEVEL = 16 << 10, 1 << 20, 32 << 20, 3
+REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -67,40 +71,54 @@ def compressor(samples: list[bytes]) -> tuple[bytes, zstandard.ZstdCompressor]:
     return struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw, zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_checksum=True)
 
 
-def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> None:
-    """Writes one archive for each partition. Payloads under ``least_bytes`` are never revisited."""
-    whole = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("payload")).withColumn("sha", F.sha1("payload"))
+def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes each partition's archives. Payloads under ``least_bytes`` are never revisited."""
+    own = [F.col(quoted(x)) for x in (key, url, payload)]
+    whole = pages.select(own[0].alias("key"), own[1].alias("url"), F.encode(F.coalesce(own[2], F.lit("")), "UTF-8").alias("payload")).withColumn("sha", F.sha1("payload"))
     first = whole.where(F.length("payload") >= least_bytes).select("key", "sha").groupBy("sha").agg(F.min("key").alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size, made = [], 0, None
-
-        def frames(records: list[bytes]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([made.compress(r) for r in records], pa.binary())], ["frame"])
+        waiting, size, lead, made, held, between = [], 0, b"", None, [], SEPARATOR.encode()
+
+        def add(records: list[bytes]) -> Iterator[pa.RecordBatch]:
+            """Puts records into the archive that is open, and gives those that are full."""
+            nonlocal held, size
+            for r in records:
+                held.append(made.compress(r))
+                size += len(held[-1])
+                if size >= archive_bytes:
+                    yield closed()
+
+        def closed() -> pa.RecordBatch:
+            nonlocal held, size
+            archive = between.join([lead, *held] if lead else held)
+            held, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array([archive], pa.binary())], ["archive"])
 
         def opened() -> Iterator[pa.RecordBatch]:
-            nonlocal made
+            nonlocal lead, made, waiting, size
             lead, made = compressor(waiting)
-            if lead:
-                yield pa.RecordBatch.from_arrays([pa.array([lead], pa.binary())], ["frame"])
-            yield frames(waiting)
+            size = 0
+            yield from add(waiting)
+            waiting = []
 
         for batch in batches:
             for a in range(0, len(batch), 256):
                 rows = batch.slice(a, 256).to_pylist()
                 records = [record(r["key"], r["url"], r["payload"], r["first"], r["first"] is not None and r["key"] != r["first"]) for r in rows]
                 if made:
-                    yield frames(records)
+                    yield from add(records)
                 else:
                     waiting += records
                     size += sum(map(len, records))
                     if size >= SAMPLE_BYTES:
                         yield from opened()
-                        waiting = []
         if waiting:
             yield from opened()
+        if held:
+            yield closed()
 
-    write_raw(whole.join(first, "sha", "left").select("key", "url", "payload", "first").mapInArrow(run, "frame binary"), path, SEPARATOR)
+    write_raw(whole.join(first, "sha", "left").select("key", "url", "payload", "first").mapInArrow(tidied(run), "archive binary"), path, SEPARATOR, 1)
 
 
 def frames_of(data: bytes) -> Iterator[tuple[int, int, int]]:
@@ -144,29 +162,55 @@ def records_of(data: bytes) -> Iterator[bytes]:
             yield reader.decompress(data[begin:end])
 
 
+def headers_in(head: str) -> dict[str, str] | None:
+    """Headers by their names in lower case, the first of each; None if a line is none."""
+    fields: dict[str, str] = {}
+    last = None
+    for line in head.split("\r\n"):
+        if line[:1] in (" ", "\t") and last is not None:  # the value goes on
+            fields[last] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        if not colon or not name or name != name.strip():
+            return None
+        last = name.lower()
+        if last in fields:
+            last = None
+        else:
+            fields[last] = value.strip()
+    return fields
+
+
 def parsed(raw: bytes) -> dict:
     """A record's fields; ``error`` says what is wrong with it."""
     head, mark, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    fields = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
-    out = {"headers": fields, "payload": b"", "error": None, "digest": fields.get("WARC-Payload-Digest", "").removeprefix("sha1:"), "length": None}
-    missing = [x for x in REQUIRED if x not in fields]
-    if not mark or not lines[0].startswith("WARC/1."):
+    version, _, lines = head.decode("utf-8", "replace").partition("\r\n")
+    fields = headers_in(lines)
+    digest = (fields or {}).get("warc-payload-digest", "")
+    out = {"headers": fields or {}, "payload": b"", "error": None, "digest": digest.removeprefix("sha1:"), "length": None}
+    if not mark or not version.startswith("WARC/1."):
         return out | {"error": "no WARC record"}
-    if missing or len(fields) != len(lines) - 1:
-        return out | {"error": "headers: " + (", ".join(missing) or "malformed or repeated")}
-    if not fields["Content-Length"].isdigit() or len(rest) != int(fields["Content-Length"]) + 4 or not rest.endswith(b"\r\n\r\n"):
-        return out | {"error": "Content-Length"}
+    missing = [x for x in REQUIRED if x not in (fields or {})]
+    if missing:
+        return out | {"error": "headers: " + (", ".join(missing) if fields else "malformed")}
+    kind = fields["warc-type"]
+    if not fields["content-length"].isdigit() or len(rest) != int(fields["content-length"]) + 4 or not rest.endswith(b"\r\n\r\n"):
+        return out | {"error": "content-length"}
+    if kind not in ("response", "revisit"):  # warcinfo and others: the block as it is
+        return out | {"payload": rest[:-4], "length": len(rest) - 4}
     http, mark, payload = rest[:-4].partition(b"\r\n\r\n")
-    length = next((x[16:] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length: ")), b"")
-    if not mark or not length.isdigit():
+    inner = headers_in(http.decode("latin-1").partition("\r\n")[2])
+    length = (inner or {}).get("content-length", "")
+    if not mark or inner is None or (length and not length.isdigit()):
         return out | {"error": "HTTP headers"}
-    out |= {"payload": payload, "length": int(length)}
-    if fields["WARC-Type"] == "response" and len(payload) != int(length):
+    out |= {"payload": payload, "length": int(length) if length else len(payload)}
+    if kind == "response" and len(payload) != out["length"]:
         return out | {"error": "payload length"}
-    if fields["WARC-Type"] == "response" and base32_sha1(payload) != out["digest"]:
+    if kind == "response" and digest.startswith("sha1:") and base32_sha1(payload) != out["digest"].upper():
         return out | {"error": "payload digest"}
-    if fields["WARC-Type"] == "revisit" and (payload or "WARC-Refers-To" not in fields):
+    if kind == "response" and not digest:
+        out["digest"] = base32_sha1(payload)
+    if kind == "revisit" and (payload or "warc-refers-to" not in fields):
         return out | {"error": "revisit"}
     return out
 
@@ -187,9 +231,9 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
         cells = []
         for r in records:
             h = r["headers"]
-            keep = with_payload and h.get("WARC-Type") == "response"
-            url = h.get("WARC-Target-URI")
-            cells.append((_key(h.get("WARC-Record-ID")), url if url is None else unquote(url) if "%" in url else url, h.get("WARC-Type"), _key(h.get("WARC-Refers-To")), r["length"], r["digest"], r["payload"] if keep else None, r["error"]))
+            keep = with_payload and h.get("warc-type") == "response"
+            url = h.get("warc-target-uri")
+            cells.append((_key(h.get("warc-record-id")), url if url is None else unquote(url) if "%" in url else url, h.get("warc-type"), _key(h.get("warc-refers-to")), r["length"], r["digest"], r["payload"] if keep else None, r["error"]))
         return pa.RecordBatch.from_arrays([pa.array([c[i] for c in cells], kind) for i, kind in enumerate(kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,4 +247,4 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                         held = []
                 yield rows(held)
 
-    return read_raw(spark, path).select("content").mapInArrow(run, "key string, url string, record_type string, refers_to string, payload_bytes bigint, payload_digest string, payload binary, error string")
+    return read_raw(spark, path).select("content").mapInArrow(tidied(run), "key string, url string, record_type string, refers_to string, payload_bytes bigint, payload_digest string, payload binary, error string")
