@@ -2,18 +2,20 @@
 
 Each task builds suffix arrays over shards of its documents' words and looks up every test suffix in them by binary
 search; a hit is extended to the longest verbatim match. Words that the test set lacks cannot be part of a match, so
-only suffixes that open with a long enough run of test words enter an array; this leaves out no match. The test set is
-broadcast in blocks of bounded size: a larger one takes more passes.
+only suffixes that open with a long enough run of test words enter an array, sorted as far as a window reaches; this leaves
+out no match. The test set is dealt into blocks of about a stated number of words, and each block takes a pass over the
+documents of its own: one block at a time is at the driver and in a task. Between passes the documents are stored with
+the matches so far.
 
 Results for special cases: a null text has no words and no matches; an item without words matches nothing; repeated
-rows and repeated items are judged each; texts are read whole; an empty table of documents gives no rows, an empty test
-set no hits.
+rows are judged each; equal items (id and text) count once; texts are read whole; an empty table of documents gives no
+rows, an empty test set no hits.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import tidied
+from .shared import quoted, tidied, written
 
 WINDOW = 13
 #: Test words in one broadcast, and training words in one suffix array.
@@ -53,6 +55,8 @@ class TestSet:
             for i in range(len(own) - size + 1):
                 rows.append(own[i : i + size] + [0] * (window - size))
                 where.append((n, i, size))
+        self.flat = np.concatenate([*self.texts, np.zeros(0, np.int32)])
+        self.begins = np.cumsum([0, *map(len, self.texts)])
         self.rows = np.array(rows, np.int32).reshape(-1, window)
         self.where = np.array(where, np.int64).reshape(-1, 3)
         self.shortest = int(self.where[:, 2].min(initial=window))
@@ -79,7 +83,7 @@ class SuffixArray:
 
     def matches(self) -> np.ndarray:
         """(position, item, place in the item, length): maximal verbatim matches that hold a window."""
-        test, found = self.test, []
+        test = self.test
         if not len(self.keys) or not len(test.rows):
             return np.zeros((0, 4), np.int64)
         full = test.where[:, 2] == test.window
@@ -88,35 +92,71 @@ class SuffixArray:
             upper[(test.where[:, 2] == size), size - 1] += 1  # the next prefix of this length
         low = np.searchsorted(self.keys, packed(test.rows), "left")
         high = np.where(full, np.searchsorted(self.keys, packed(test.rows), "right"), np.searchsorted(self.keys, packed(upper), "left"))
-        for q in np.flatnonzero(high > low):
-            item, place, size = test.where[q]
-            own = test.texts[item]
-            for at in self.starts[low[q] : high[q]]:
-                if place and at and self.words[at - 1] == own[place - 1]:
-                    continue  # the match that began a word before covers this one
-                length, most = size, min(len(own) - place, self.following[at] - at)
-                while length < most and self.words[at + length] == own[place + length]:
-                    length += 1
-                found.append((at, item, place, length))
-        return np.array(found, np.int64).reshape(-1, 4)
-
-
-def test_sets(items: DataFrame, item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[Broadcast]:
-    """The test set in broadcasts of about ``block_words`` words each."""
-    spark = items.sparkSession
-    tests, block, size = [], [], 0
-    for row in items.select(F.col(item).cast("string"), item_text).toLocalIterator():
-        n = len(words_of(row[1]))
-        if block and size + n > block_words:
-            tests.append(spark.sparkContext.broadcast(TestSet(block, window)))
-            block, size = [], 0
-        block.append((row[0], row[1]))
-        size += n
-    tests.append(spark.sparkContext.broadcast(TestSet(block, window)))
-    return tests
-
-
-test_sets.__test__ = False
+        sizes = np.maximum(high - low, 0)
+        q = np.repeat(np.arange(len(sizes)), sizes)
+        at = self.starts[np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(q))]
+        item, place, length = test.where[q].T
+        inner = test.begins[item] + place
+        before = (place > 0) & (at > 0) & (self.words[at - 1] == test.flat[inner - 1])
+        at, item, place, length, inner = (x[~before] for x in (at, item, place, length, inner))  # others hold such a match
+        most = np.minimum(test.begins[item + 1] - inner, self.following[at] - at)
+        length = length.copy()
+        going = np.flatnonzero(length < most)
+        while len(going):
+            going = going[self.words[at[going] + length[going]] == test.flat[inner[going] + length[going]]]
+            length[going] += 1
+            going = going[length[going] < most[going]]
+        return np.stack([at, item, place, length], 1)
+
+
+def test_blocks(items: DataFrame, item: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> tuple[DataFrame, int]:
+    """block, item, text of the distinct items, stored, and the number of blocks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(words_of(t)) for t in batch["text"].to_pylist()], pa.int64())], ["item", "text", "n"])
+
+    own = items.select(F.col(quoted(item)).cast("string").alias("item"), F.col(quoted(item_text)).alias("text")).where("text is not null").distinct()
+    counted = written(own.mapInArrow(count, "item string, text string, n bigint"), "test-items")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-total // block_words))
+    return counted.where("n > 0").select(F.pmod(F.xxhash64("text", "item"), F.lit(blocks)).alias("block"), "item", "text"), blocks
+
+
+test_blocks.__test__ = False
+FOUND = "_decontaminate_matches"
+CELL = pa.struct([("item_id", pa.string()), ("at", pa.int64()), ("item_at", pa.int64()), ("length", pa.int64())])
+MATCHES = "array<struct<item_id string, at bigint, item_at bigint, length bigint>>"
+
+
+def with_matches(docs: DataFrame, items: DataFrame, text: str, item: str, item_text: str, window: int, block_words: int, keep: Callable[[int, list[dict]], bool] | None = None) -> DataFrame:
+    """docs with ``_decontaminate_n`` (words) and ``_decontaminate_matches``, after a pass for each block of the test set;
+    with ``keep`` (of a document's words and matches) the last pass gives the documents to keep instead."""
+    context = docs.sparkSession.sparkContext
+    blocks, n = test_blocks(items, item, item_text, block_words)
+    columns = list(map(quoted, docs.columns))
+    now = docs.select(*columns, F.lit(0).cast("bigint").alias("_decontaminate_n"), F.array().cast(MATCHES).alias(FOUND))
+
+    def one(now: DataFrame, shared: Broadcast, last: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                counts, found = _matched(batch[text], shared.value)
+                both = [x + y for x, y in zip(batch[FOUND].to_pylist(), found, strict=True)] if n > 1 else found
+                if keep and last:
+                    yield batch.filter(pa.array(list(map(keep, counts, both)), pa.bool_())).select(batch.schema.names[:-2])
+                else:
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(counts, pa.int64()), pa.array(both, pa.list_(CELL))], batch.schema.names)
+
+        return now.mapInArrow(tidied(run), docs.schema if keep and last else now.schema)
+
+    for b in range(n):
+        rows = blocks.where(F.col("block") == b).select("item", "text").toLocalIterator()
+        shared = context.broadcast(TestSet([(r[0], r[1]) for r in rows], window))
+        now = one(now, shared, b == n - 1)
+        if b < n - 1:  # the last pass is left to whoever reads the result
+            now = written(now, "decontaminate-pass")
+            shared.destroy()
+    return now
 
 
 def find_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -125,32 +165,21 @@ def find_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     ``at`` and ``length`` count words. A match is verbatim, cannot be made longer, and holds a window: ``window``
     consecutive item words, or a whole shorter item.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    cell = pa.struct([("item_id", pa.string()), ("at", pa.int64()), ("item_at", pa.int64()), ("length", pa.int64())])
-    tests = test_sets(items, item, item_text, window, block_words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, found = _matched(batch[text], [t.value for t in tests])
-            yield pa.RecordBatch.from_arrays([batch[key], pa.array(counts, pa.int64()), pa.array(found, pa.list_(cell))], [key, "n_words", "matches"])
+    found = with_matches(docs.select(quoted(key), quoted(text)), items, text, item, item_text, window, block_words)
+    return found.select(quoted(key), F.col("_decontaminate_n").alias("n_words"), F.col(FOUND).alias("matches"))
 
-    return docs.select(key, text).mapInArrow(tidied(run), f"`{key}` {kind}, n_words bigint, matches array<struct<item_id string, at bigint, item_at bigint, length bigint>>")
 
-
-def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, share: float = 0.05) -> DataFrame:
+def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, share: float = 0.05, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without the rows of whose words matches cover ``share`` or more. No row moves."""
-    tests = test_sets(items, window=window)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, found = _matched(batch[text], [t.value for t in tests])
-            hit = map(covered, found)
-            yield batch.filter(pa.array([not (h and h >= share * n) for n, h in zip(counts, hit, strict=True)], pa.bool_()))
+    def keep(n: int, matches: list[dict]) -> bool:
+        hit = covered(matches)
+        return not (hit and hit >= share * n)
 
-    return docs.mapInArrow(tidied(run), docs.schema)
+    return with_matches(docs, items, text, "item_id", "text", window, block_words, keep)
 
 
-def _matched(column: pa.Array, tests: list[TestSet]) -> tuple[list[int], list[list[dict]]]:
+def _matched(column: pa.Array, test: TestSet) -> tuple[list[int], list[list[dict]]]:
     """The number of words and the matches of each text, shard by shard."""
     counts, found, shard, held = [], [], [], 0
     for i in range(len(column)):
@@ -158,20 +187,19 @@ def _matched(column: pa.Array, tests: list[TestSet]) -> tuple[list[int], list[li
         held += len(shard[-1])
         if held > SHARD_WORDS or i == len(column) - 1:
             counts += map(len, shard)
-            found += _look_up(shard, tests)
+            found += _look_up(shard, test)
             shard, held = [], 0
     return counts, found
 
 
-def _look_up(shard: list[list[bytes]], tests: list[TestSet]) -> list[list[dict]]:
+def _look_up(shard: list[list[bytes]], test: TestSet) -> list[list[dict]]:
     ends = np.cumsum([len(own) + 1 for own in shard])  # a zero ends each document
     found: list[list[dict]] = [[] for _ in shard]
-    for test in tests:
-        get, blank = test.ids.get, [0]
-        words = np.fromiter((x for own in shard for part in (own, blank) for x in ([get(w, 0) for w in part] if part is own else part)), np.int32, int(ends[-1]) if len(ends) else 0)
-        for at, item, place, length in SuffixArray(words, test).matches():
-            d = int(np.searchsorted(ends, at, "right"))
-            found[d].append({"item_id": test.names[item], "at": int(at - (ends[d - 1] if d else 0)), "item_at": int(place), "length": int(length)})
+    get, blank = test.ids.get, [0]
+    words = np.fromiter((x for own in shard for part in (own, blank) for x in ([get(w, 0) for w in part] if part is own else part)), np.int32, int(ends[-1]) if len(ends) else 0)
+    made = SuffixArray(words, test).matches()
+    for (at, item, place, length), d in zip(made.tolist(), np.searchsorted(ends, made[:, 0], "right").tolist(), strict=True):
+        found[d].append({"item_id": test.names[item], "at": at - (int(ends[d - 1]) if d else 0), "item_at": place, "length": length})
     return found
 
 
