@@ -266,7 +266,8 @@ def chosen(places: np.ndarray, score: np.ndarray) -> np.ndarray:
 def rule_lengths(rules: np.ndarray, base: int, rounds: np.ndarray) -> np.ndarray:
     """Expansion lengths; rules of a round use symbols of earlier rounds only."""
     out = np.ones(len(rules), np.int64)
-    for a, b in zip(rounds, [*rounds[1:], len(rules)], strict=True):
+    stops = [*rounds, len(rules)]
+    for a, b in zip(stops, stops[1:], strict=False):
         own = rules[a:b]
         out[a:b] = np.where(own < base, 1, out[np.where(own < base, 0, own - base)]).sum(axis=1)
     return out
@@ -366,7 +367,8 @@ class Block:
         """The ids below every symbol one after the other, where each symbol's begin, and how many they are."""
         flat = np.arange(self.base, dtype=np.int32)
         starts, sizes = np.arange(self.base), np.ones(self.base, np.int64)
-        for a, b in zip(self.rounds, [*self.rounds[1:], len(self.rules)], strict=True):
+        stops = [*self.rounds, len(self.rules)]
+        for a, b in zip(stops, stops[1:], strict=False):
             own = self.rules[a:b].ravel()
             parts = sizes[own]
             made = flat[within(starts[own], parts)]

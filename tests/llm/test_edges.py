@@ -248,6 +248,9 @@ def test_token_blocks_decode_at_random():
         assert block.document(i).tolist() == whole
         for a in range(0, len(whole), 5):
             assert block.tokens(i, a, a + 4).tolist() == whole[a : a + 4]
+    plain = next(token_files.blocks_of(token_files.pack([1, None], ["one two", None], coder, 50257, 2, 0) + b"\n"))  # no rules at all
+    assert [(k, ids.tolist()) for k, ids in plain.documents()] == [(1, [*coder.encode("one two"), 2]), (None, [2])]
+    assert plain.tokens(0, 1, 2).tolist() == coder.encode("one two")[1:2]
     with pytest.raises(ValueError):
         next(token_files.blocks_of(b"RPTF" + b"\0" * 40))
 
