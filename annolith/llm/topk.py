@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import quoted, tidied, written
 
 #: Vectors in a shard, queries in a block, shards in a group whose trees one task holds, vectors in a leaf.
-SHARD, BLOCK, GROUP, LEAF = 8192, 256, 16, 128
+SHARD, BLOCK, GROUP, LEAF = 8192, 512, 16, 512
 
 
 def quantised(vector: Column, scale: float = 64.0) -> Column:
@@ -102,11 +102,16 @@ class Best:
 
     def add(self, which: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
         """scores: of these queries with all of these ids; where ``own`` holds, the row is the query's own."""
-        k, shape = self.scores.shape[1], scores.shape
-        least = np.iinfo(np.int64).min
-        all_scores = np.concatenate([self.scores[which], np.where(own, least, scores)], axis=1)
-        all_ids = np.concatenate([self.ids[which], np.where(own, np.iinfo(np.int64).max, np.broadcast_to(ids, shape))], axis=1)
-        fresh = np.concatenate([self.new[which], ~own], axis=1)
+        better = ~own & self.open(which[:, None], scores, ids)
+        some = np.flatnonzero(better.any(axis=1))
+        if not len(some):
+            return
+        columns = np.flatnonzero(better.any(axis=0))
+        which, scores, better = which[some], scores[np.ix_(some, columns)], better[np.ix_(some, columns)]
+        k, least, most = self.scores.shape[1], np.iinfo(np.int64).min, np.iinfo(np.int64).max
+        all_scores = np.concatenate([self.scores[which], np.where(better, scores, least)], axis=1)
+        all_ids = np.concatenate([self.ids[which], np.where(better, ids[columns], most)], axis=1)
+        fresh = np.concatenate([self.new[which], better], axis=1)
         top = np.lexsort((all_ids, ~all_scores), axis=1)[:, :k]  # ~x falls as x grows, for all whole numbers
         self.scores[which], self.ids[which], self.new[which] = (np.take_along_axis(x, top, 1) for x in (all_scores, all_ids, fresh))
 
@@ -134,26 +139,28 @@ def walk(tree: Tree, queries: np.ndarray, own_ids: np.ndarray, best: Best) -> No
         raise ValueError("a score might not fit in 64 bits")
     rows, low, high = tree.narrow if largest < 2.0**52 else tree.wide
     queries = queries.astype(rows.dtype)
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    none = np.iinfo(np.int64).min
-    bounds = np.full((len(queries), len(tree.nodes)), none)
-    bounds[:, 0] = up @ high[0] + down @ low[0]
+    bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T  # of every query and box
+    none, children = bounds.dtype.type(-(2.0**63)), tree.nodes[:, 2:]
+    frontier = np.full(bounds.shape, none)
+    frontier[:, 0] = bounds[:, 0]
     live = np.arange(len(queries))
     while len(live):
-        at = bounds[live].argmax(axis=1)
-        top = bounds[live, at]
+        at = frontier[live].argmax(axis=1)
+        top = frontier[live, at]
         on = (top > none) & (top >= best.scores[live, -1])  # all other bounds of such a query are lower
         live, at, top = live[on], at[on], top[on]
-        bounds[live, at] = none
+        frontier[live, at] = none
         useful = best.open(live, top, tree.least[at])
-        for node in np.unique(at[useful]):
-            who = live[useful & (at == node)]
-            a, b, left, right = tree.nodes[node]
-            if left < 0:
-                best.add(who, (queries[who] @ rows[a:b].T).astype(np.int64), tree.ids[a:b], own_ids[who][:, None] == tree.ids[a:b])
-            else:
-                for child in (left, right):
-                    bounds[who, child] = up[who] @ high[child] + down[who] @ low[child]
+        inner = useful & (children[at, 0] >= 0)
+        for side in (0, 1):
+            child = children[at[inner], side]
+            frontier[live[inner], child] = bounds[live[inner], child]
+        who, leaf = live[useful & ~inner], at[useful & ~inner]
+        order = np.argsort(leaf, kind="stable")
+        cuts = np.flatnonzero(np.diff(leaf[order])) + 1
+        for group in np.split(order, cuts) if len(order) else []:
+            own, (a, b) = who[group], tree.nodes[leaf[group[0]], :2]
+            best.add(own, (queries[own] @ rows[a:b].T).astype(np.int64), tree.ids[a:b], own_ids[own][:, None] == tree.ids[a:b])
 
 
 def _packed(ids: np.ndarray, rows: np.ndarray) -> bytes:
