@@ -10,7 +10,7 @@ rules, each nonterminal's expansion length, and each document's place in symbols
 token range of it, is decoded without the rest.
 
 Results for special cases: a null text is empty, just its end id; repeated rows are stored each, equal keys in the order
-of their texts, null keys first; texts are encoded whole; an empty table gives no file and no rows.
+of the rows, null keys first; texts are encoded whole; an empty table gives no file and no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +36,7 @@ MAGIC, HEADER = b"RPTF", struct.Struct("<qqIIIIII")
 BLOCK_BYTES, FILE_BLOCKS, LEAST_COUNT = 4 << 20, 16, 8
 #: Distinct pieces whose ids a worker keeps within a task and between tasks; new pieces in a text for the tokenizer, and
 #: such texts in a call.
-CACHED_PIECES, KEPT_PIECES, TOGETHER, AT_ONCE = 400_000, 200_000, 32, 256
+CACHED_PIECES, KEPT_PIECES, TOGETHER, AT_ONCE = 200_000, 100_000, 32, 256
 #: A blank that stands inside white space or ends it: a text with one is cut differently by the tokenizer, and so is one
 #: with a null character, which marks pieces here.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -216,7 +215,8 @@ class Growing:
     def _round(self, next_id: int, least: int) -> np.ndarray:
         """The pairs (left << 32 | right) that this round replaced, the k-th by next_id + k."""
         places = np.flatnonzero(self.active)
-        of, pairs = pd.factorize((self.symbols[places].astype(np.int64) << 32) | self.symbols[places + 1])
+        coded = pa.array((self.symbols[places].astype(np.int64) << 32) | self.symbols[places + 1]).dictionary_encode()
+        of, pairs = coded.indices.to_numpy(), coded.dictionary.to_numpy()
         weight = None if self.weight is None else self.weight[places]
         counts = np.bincount(of, weight, len(pairs))
         often = counts[of] >= least
@@ -451,10 +451,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, key: str = "do
             yield block()
         coder.trim(KEPT_PIECES)
 
-    rows = docs.select(F.col(quoted(key)).cast("bigint").alias("key"), F.col(quoted(text)).alias("text"))
-    # the text's hash parts rows of one key, should there be very many
-    dealt = rows.repartitionByRange("key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
-    write_raw(dealt.mapInArrow(tidied(run), "block binary"), path, "\n", file_blocks)
+    # the row's number parts rows of one key, should there be very many
+    rows = docs.select(F.col(quoted(key)).cast("bigint").alias("key"), F.col(quoted(text)).alias("text"), F.monotonically_increasing_id().alias("row"))
+    dealt = rows.repartitionByRange("key", "row").sortWithinPartitions("key", "row")
+    write_raw(dealt.select("key", "text").mapInArrow(tidied(run), "block binary"), path, "\n", file_blocks)
 
 
 def cuts_before_blanks(tokenizer: object) -> bool:
