@@ -154,3 +154,11 @@ def evenly(values: Column, most: int) -> Column:
     n = F.size(values)
     places = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * (n - 1) / F.lit(float(most - 1)), 0).cast("int"))
     return F.when(n <= most, values).otherwise(F.transform(places, lambda i: F.get(values, i)))
+
+
+def scaled(b: Box) -> Box:
+    """SPA04: a box on 0 to 1 or on 0 to 1000 as one on 0 to 1; null where it is outside both or has no area."""
+    corners = (b.x1, b.y1, b.x2, b.y2)
+    least, most = F.least(*corners), F.greatest(*corners)
+    ok = (least >= 0) & (most <= 1000) & (b.x2 > b.x1) & (b.y2 > b.y1)
+    return Box(*[F.when(ok & (most <= 1), x).when(ok, x / 1000.0) for x in corners])

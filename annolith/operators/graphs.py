@@ -1,4 +1,4 @@
-"""Small-world graphs inside pages: components, pair sets, overlap typing (SPA21-23; MET14; JOI19)."""
+"""Small-world graphs inside pages: components, pair sets, overlap typing (SPA21-23; MET14)."""
 
 from __future__ import annotations
 

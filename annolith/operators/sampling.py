@@ -1,4 +1,4 @@
-"""Samples, allocations, orders and bootstraps (SMP01-28).
+"""Samples, allocations, orders and bootstraps (SMP; each function names its items).
 
 Random choices are hashes of a seed and the row's id, so a sample doesn't depend on partitions and can be replayed.
 """

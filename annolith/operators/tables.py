@@ -1,4 +1,4 @@
-"""Aggregates, windows and joins over flat tables (AGG01-40, WIN01-12, JOI01-24, SRT01-09, SET01-06)."""
+"""Aggregates, windows and joins over flat tables (AGG, WIN, JOI, SRT, SET; each function names its items)."""
 
 from __future__ import annotations
 
@@ -72,7 +72,7 @@ def three_valued(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def reduced_label(rows: DataFrame, by: list[str], value: str, half: float = 0.5) -> DataFrame:
-    """AGG32, AGG39: all, mostly (over half) or mixed over assessable values, not_assessable below half coverage."""
+    """AGG32: all, mostly (over half) or mixed over assessable values, not_assessable below half coverage."""
     known = F.col(value).isNotNull()
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("n"))
     whole = counts.groupBy(*by).agg(F.sum("n").alias("total"), F.sum(F.when(known, F.col("n")).otherwise(0)).alias("seen"), F.max(F.when(known, F.struct("n", F.col(value)))).alias("top"))

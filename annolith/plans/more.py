@@ -164,6 +164,21 @@ def agg38(s, d):
     return read(s, d, "events").groupBy("event_type", (c("user_id") % 3).cast("int").alias("role")).agg(F.count("*").alias("n"))
 
 
+@query("spa02_iou_containment", with_(FACES, PAIRS, "SELECT image_id, a, b, round(iou, 6) AS iou, round(containment, 6) AS containment FROM pairs_ WHERE iou >= 0.05"))
+def spa02(s, d):
+    h, p = sides(s, d)
+    return matching.candidates(h, p, PAGE, 0.05).select("image_id", "a", "b", F.round("iou", 6).alias("iou"), F.round("containment", 6).alias("containment"))
+
+
+@query("spa04_scale_normalised", with_(FACES, "SELECT image_id, id, CASE WHEN x2 > x1 AND y2 > y1 AND greatest(x2, y2) <= 80 THEN round(x1 / 1000.0::DOUBLE, 6) END AS x1, CASE WHEN x2 > x1 AND y2 > y1 AND greatest(x2, y2) <= 80 THEN round(y2 / 1000.0::DOUBLE, 6) END AS y2 FROM faces"))
+def spa04(s, d):
+    # boxes on 0 to 1000, half of them already on 0 to 1; those over 80 are put out of range and become null
+    unit = c("id") % 2 == 0
+    given = {k: F.when(F.greatest("x2", "y2") <= 80, F.when(unit, c(k) / 1000.0).otherwise(c(k).cast("double"))).otherwise(2000.0 + c(k)) for k in ("x1", "y1", "x2", "y2")}
+    b = boxes.scaled(Box(*given.values()))
+    return faces(s, d).select("image_id", "id", F.round(b.x1, 6).alias("x1"), F.round(b.y2, 6).alias("y2"))
+
+
 @query("spa05_fraction_covered", with_(FACES, PAIRS, "SELECT image_id, a, b, round(inter / ar_a, 6) AS of_a, round(inter / ar_b, 6) AS of_b FROM pairs_ WHERE inter > 0"))
 def spa05(s, d):
     h, p = sides(s, d)
@@ -257,6 +272,12 @@ def srt04(s, d):
     return faces(s, d).select("image_id", "id", "confidence").orderBy("confidence", "image_id", "id").limit(30)
 
 
+@query("srt05_top_dropped", with_(PAGES, "SELECT year, count(*) FILTER (medium = '5-LOW') AS dropped, count(*) AS n FROM pages_ GROUP BY 1 ORDER BY dropped DESC, n DESC, year LIMIT 10"))
+def srt05(s, d):
+    k = pages(s, d).groupBy("year").agg(F.count_if(c("medium") == "5-LOW").alias("dropped"), F.count("*").alias("n"))
+    return k.orderBy(F.desc("dropped"), F.desc("n"), "year").limit(10)
+
+
 @query("srt08_ordinal_slices", with_(PAGES, "SELECT CASE WHEN n < 140 THEN 'first' WHEN n < 280 THEN 'second' ELSE 'rest' END AS scope, count(*) AS n, min(image_id) AS least, max(image_id) AS most FROM (SELECT image_id, row_number() OVER (ORDER BY issue, image_id) - 1 AS n FROM pages_) GROUP BY 1"))
 def srt08(s, d):
     place = tables.numbered(pages(s, d).select("issue", "image_id"), ["issue", "image_id"])

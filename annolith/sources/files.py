@@ -1,4 +1,4 @@
-"""Readers and writers with checks (SRC01-22)."""
+"""Readers and writers with checks (SRC; each function names its items)."""
 
 from __future__ import annotations
 
