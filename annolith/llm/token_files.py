@@ -18,7 +18,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -36,13 +36,19 @@ MAGIC, HEADER = b"RPTF", struct.Struct("<qqIIIIII")
 BLOCK_BYTES, FILE_BLOCKS, LEAST_COUNT = 4 << 20, 16, 8
 #: Distinct pieces whose ids a worker keeps within a task and between tasks; new pieces in a text for the tokenizer, and
 #: such texts in a call.
-CACHED_PIECES, KEPT_PIECES, TOGETHER, AT_ONCE = 200_000, 100_000, 32, 256
+CACHED_PIECES, KEPT_PIECES, TOGETHER, AT_ONCE = 600_000, 400_000, 32, 256
+#: Buckets by which pairs are sifted before they are counted exactly, as a power of two.
+SIFT_BITS = 21
 #: A blank that stands inside white space or ends it: a text with one is cut differently by the tokenizer, and so is one
 #: with a null character, which marks pieces here.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 INNER_BLANK = rf"{SPACE}\x20(?:{SPACE}|\z)|\x00"
+#: A line feed between other signs than white space: an id of its own, as are the stretches around it.
+NO_SPACE = rf"[^\x00{SPACE[1:]}"
+TWO_LINES = rf"(?s)\A(?P<w>(?:\x00?[^\x00].*)?{NO_SPACE})\n(?P<s>{NO_SPACE}[^\n]*)\z"
 #: Signs that the tokenizer never joins with a letter before them.
-WORD_AND_SIGNS = r"""(?s)\A(?P<w>(?:[^\x00].*)?\pL)(?P<s>[-!"#$%&()*+,./:;<=>?@\[\\\]^_`{|}~]+)\z"""
+WORD_AND_SIGNS = r"""(?s)\A(?P<w>(?:\x00?[^\x00].*)?\pL)(?P<s>[-!"#$%&()*+,./:;<=>?@\[\\\]^_`{|}~]+)\z"""
+LAST_SIGN = r"""[-!"#$%&()*+,./:;<=>?@\[\\\]^_`{|}~]\z"""
 
 _ENCODERS: dict[int, Encoder] = {}
 
@@ -119,24 +125,42 @@ class Encoder:
         if not len(missing):
             return out
         wanted = names.take(pa.array(missing))
-        # a word and the signs after it are encoded apart: the tokenizer cuts between a letter and a sign
-        parts = pc.extract_regex(wanted, WORD_AND_SIGNS)
-        split = parts.is_valid()
-        words = pc.if_else(split, pc.struct_field(parts, "w"), wanted)
-        signs = pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), pc.struct_field(parts.filter(split), "s"), pa.scalar("", pa.large_string()))
-        single = pa.concat_arrays([words, signs]).dictionary_encode()
-        at = self._find(single.dictionary)
+        out[missing] = self._split(wanted, r"\n", TWO_LINES, "\n", self._with_signs)
+        return out
+
+    def _with_signs(self, wanted: pa.Array) -> np.ndarray:
+        """The numbers of pieces: a word and the signs after it are encoded apart."""
+        return self._split(wanted, LAST_SIGN, WORD_AND_SIGNS, "", self._single)
+
+    def _single(self, wanted: pa.Array) -> np.ndarray:
+        at = self._find(wanted)
         fresh = np.flatnonzero(at < 0)
         if len(fresh):
-            at[fresh] = self._encode_new(single.dictionary.take(pa.array(fresh)))
-        at = at[single.indices.to_numpy()]
-        first, double = at[: len(missing)], np.flatnonzero(split.to_numpy(zero_copy_only=False))
-        if len(double):
-            pairs = np.stack([first[double], at[len(missing) :]], 1).ravel()
-            sizes = np.diff(self.ends)[pairs]
-            first[double] = self._add(wanted.take(pa.array(double)), self.flat[within(self.ends[pairs], sizes)], sizes.reshape(-1, 2).sum(axis=1))
-        out[missing] = first
-        return out
+            at[fresh] = self._encode_new(wanted.take(pa.array(fresh)))
+        return at
+
+    def _split(self, wanted: pa.Array, sign: str, pattern: str, between: str, number: Callable[[pa.Array], np.ndarray]) -> np.ndarray:
+        """The numbers of distinct pieces; those that fit the pattern are put together from its two groups' ids, with those of
+        the text between. sign: what stands in all that fit, quicker to look for."""
+        some = np.flatnonzero(pc.match_substring_regex(wanted, sign).to_numpy(zero_copy_only=False))
+        parts = pc.extract_regex(wanted.take(pa.array(some)), pattern)
+        double = some[parts.is_valid().to_numpy(zero_copy_only=False)]
+        if not len(double):
+            return number(wanted)
+        halves = parts.drop_null()
+        second = pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), pc.struct_field(halves, "s"), pa.scalar("", pa.large_string()))
+        rest = [pa.array(["\0" + between], pa.large_string())] if between else []
+        split = np.zeros(len(wanted), bool)
+        split[double] = True
+        words = pc.replace_with_mask(wanted, pa.array(split), pc.struct_field(halves, "w"))
+        every = pa.concat_arrays([words, second, *rest]).dictionary_encode()
+        at = number(every.dictionary)[every.indices.to_numpy()]
+        first = at[: len(wanted)]
+        columns = [at[double], *[np.repeat(at[-1:], len(double))] * bool(between), at[len(wanted) : len(wanted) + len(double)]]
+        strung = np.stack(columns, 1).ravel()
+        sizes = np.diff(self.ends)[strung]
+        first[double] = self._add(wanted.take(pa.array(double)), self.flat[within(self.ends[strung], sizes)], sizes.reshape(-1, len(columns)).sum(axis=1))
+        return first
 
     def _add(self, names: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         before = len(self.names)
@@ -215,9 +239,14 @@ class Growing:
     def _round(self, next_id: int, least: int) -> np.ndarray:
         """The pairs (left << 32 | right) that this round replaced, the k-th by next_id + k."""
         places = np.flatnonzero(self.active)
-        coded = pa.array((self.symbols[places].astype(np.int64) << 32) | self.symbols[places + 1]).dictionary_encode()
-        of, pairs = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        codes = (self.symbols[places].astype(np.int64) << 32) | self.symbols[places + 1]
         weight = None if self.weight is None else self.weight[places]
+        if len(places) > 1 << 14:  # pairs of rare buckets are rare
+            bucket = ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SIFT_BITS)).view(np.int64)
+            some = np.flatnonzero((np.bincount(bucket, weight, 1 << SIFT_BITS) >= least)[bucket])
+            places, codes, weight = places[some], codes[some], None if weight is None else weight[some]
+        coded = pa.array(codes).dictionary_encode()
+        of, pairs = coded.indices.to_numpy(), coded.dictionary.to_numpy()
         counts = np.bincount(of, weight, len(pairs))
         often = counts[of] >= least
         places, of = places[often], of[often]
@@ -458,10 +487,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, key: str = "do
 
 
 def cuts_before_blanks(tokenizer: object) -> bool:
-    """Whether the tokenizer cuts a text before each blank that ends a run of white space, and between a letter and a sign."""
+    """Whether the tokenizer cuts a text before each blank that ends a run of white space, between a letter and a sign, and on
+    both sides of a single line feed."""
     ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
     parts = (["the"], [" end"], ["a", ","], [" b", ".)"], ["1"], [" 2", "!"], ["\n"], [" x", "-"], [" é"], ["日"], [" 's"])
-    return all(ids("".join([*x, *y])) == [i for p in (*x, *y) for i in ids(p)] for x in parts for y in parts if y[0][0] == " ")
+    lines = [[*x, "\n", *y] for x in parts for y in parts if x != ["\n"] and y[0][0] not in " \n"]
+    return all(ids("".join(z)) == [i for p in z for i in ids(p)] for z in lines + [[*x, *y] for x in parts for y in parts if y[0][0] == " "])
 
 
 def read_tokens(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
