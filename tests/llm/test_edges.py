@@ -255,6 +255,21 @@ def test_token_blocks_decode_at_random():
         next(token_files.blocks_of(b"RPTF" + b"\0" * 40))
 
 
+def test_pieces_give_the_ids_of_whole_texts():
+    """Signs, line feeds, blanks and null characters in any order; twice, as later pieces are known."""
+    coder, r = token_files.Encoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()), random.Random(8)
+    parts = ["word", "A", "é", "日", "7", ".", "!)", "'s", " ", " ", "\n", "\n", "\r\n", "\t", "\u00a0", "\u2028", "\0", "<|endoftext|>"]
+    weights = [6, 3, 2, 2, 2, 3, 2, 1, 9, 3, 6, 3, 1, 1, 1, 1, 0.2, 0.1]
+    texts = ["".join(r.choices(parts, weights, k=r.randrange(1, 14))) for _ in range(6000)] + ["", None, "a\nb\nc", "a.\nb.", "\n", "\na", "a\n"]
+    for _ in range(2):
+        numbers, counts = coder.number(texts)
+        numbers, at = numbers.tolist(), 0
+        for text, n in zip(texts, counts.tolist(), strict=True):
+            got = [i for k in numbers[at : at + n] for i in coder.flat[coder.ends[k] : coder.ends[k + 1]].tolist()]
+            assert got == coder.encode(text or ""), repr(text)
+            at += n
+
+
 def test_decontaminate(spark, docs):
     r = random.Random(6)
     words = ["aa", "bb", "cc", "d1", "é"]
