@@ -21,9 +21,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import connected_components
-from .shared import tidied, written
+from .shared import quoted, tidied, written
 
 SHINGLE, DISTANCE, BLOCKS, CHUNK = 4, 4, 6, 4096
 SEED = 42
@@ -55,9 +56,10 @@ def majority(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """key, fp bigint (the fingerprint's 64 bits). No row moves."""
-    kind = docs.schema[key].dataType.simpleString()
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns to carry, fp bigint (the fingerprint's 64 bits). No row moves."""
+    columns = [key, *carry]
+    chosen = docs.select(*map(quoted, [*columns, text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,9 +67,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
             for t in batch[text]:
                 h = np.array(shingle_hashes(t.as_py(), size), np.uint64)
                 made.append(majority(h, np.array([len(h)]))[0])
-            yield pa.RecordBatch.from_arrays([batch[key], pa.array(np.array(made, np.uint64).view(np.int64), pa.int64())], [key, "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(np.array(made, np.uint64).view(np.int64), pa.int64())], [*columns, "fp"])
 
-    return docs.select(key, text).mapInArrow(tidied(run), f"`{key}` {kind}, fp bigint")
+    return chosen.mapInArrow(tidied(run), StructType([*chosen.schema.fields[:-1], StructField("fp", LongType())]))
 
 
 def block_masks(distance: int, blocks: int) -> list[int]:
@@ -165,22 +167,34 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, c
     return met.where("a is not null").select("a", "b").unionAll(far)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """key, fp, component_id (the least key that links reach)."""
-    prints = written(fingerprints(docs, key, text, size), "simhash-prints")
-    classes = prints.groupBy("fp").agg(F.min(key).alias("least"))
+def _classes(prints: DataFrame, key: str, distance: int) -> DataFrame:
+    """prints (key, fp and more) with root, which names a component, and component_id, the least key in it."""
+    classes = prints.groupBy("fp").agg(F.min(quoted(key)).alias("least"))
     edges = links(classes.select("fp"), distance)
     roots = written(connected_components(edges), "simhash-roots")  # only fingerprints with a link
     joined = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = written(joined, "simhash-classes")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = named.join(least, "root").select("fp", "component_id")
-    return prints.join(members, "fp", "left").select(key, "fp", "component_id")
+    members = named.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(members, "fp", "left")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """key, fp, component_id (the least key that links reach)."""
+    prints = written(fingerprints(docs, key, text, size), "simhash-prints")
+    return _classes(prints, key, distance).select(quoted(key), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """docs with one row of each component, that of the least key; rows without a key all stay."""
-    found = near_duplicates(docs, key, text, size, distance)
-    kept = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
-    named = docs.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("_kept"), "left_semi").dropDuplicates([key])
-    return named.unionByName(docs.where(F.col(key).isNull()))
+    """docs with one row of each component, that of the least key (of several texts with this key, the least in hash order).
+
+    A key may stand in several components, with a text in each. Of rows equal in key and text any one stays; rows without a
+    key all stay.
+    """
+    tagged = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"), F.xxhash64(quoted(text)).alias("tag"))
+    prints = written(fingerprints(tagged, "key", "text", size, ("tag",)), "simhash-prints")
+    least = _classes(prints, "key", distance).where("key is not null").groupBy("root").agg(F.min(F.struct("key", "tag")).alias("least"))
+    kept = least.select("least.*").distinct()
+    own = docs.where(F.col(quoted(key)).isNotNull())
+    mine = (own[quoted(key)] == kept["key"]) & (F.xxhash64(own[quoted(text)]) == kept["tag"])
+    return own.join(kept, mine, "left_semi").dropDuplicates([key, text]).unionByName(docs.where(F.col(quoted(key)).isNull()))

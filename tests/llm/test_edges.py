@@ -170,6 +170,15 @@ def test_simhash(spark, docs):
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_simhash_keeps_each_text_of_a_key(spark):
+    words = ["red fox runs over the low wall", "blue whales sing in cold northern seas", "seven quiet clerks counted copper coins"]
+    rows = [(1, words[0], 1), (1, words[1], 2), (2, words[0], 3), (3, words[1], 4), (3, words[2], 5), (3, words[2], 5), (None, words[0], 6)]
+    frame = spark.createDataFrame(rows, "`a.key` bigint, `the.text` string, _kept int").withColumns({c: F.lit(0) for c in ("key", "text", "tag", "fp", "root", "least", "component_id")})
+    got = simhash.keep_one(frame, "a.key", "the.text")
+    assert got.columns == frame.columns
+    assert sorted((r["a.key"] or 0, r["the.text"], r["_kept"]) for r in got.collect()) == sorted([(1, words[0], 1), (1, words[1], 2), (3, words[2], 5), (0, words[0], 6)])
+
+
 def test_simhash_links_large_groups(spark):
     """A group of many chunks, and neighbours at each distance, lose no link."""
     r = np.random.default_rng(1)
