@@ -79,9 +79,26 @@ def hash_bound(wanted: int, n: int, margin: float = 4.0) -> int:
     return min((1 << 63) - 1, -(1 << 63) + int(share * 2**64))
 
 
-def released() -> None:
+#: Bytes of rows that reach a Python worker at once inside ``small_batches``; a longer row comes alone.
+BATCH_BYTES = 4 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
+    """Jobs that start in this block hand long texts to Python in small batches; the session's own setting returns after."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def released(collect: bool = True) -> None:
     """Gives free memory of this process back to the system."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library
         ctypes.CDLL("libc.so.6").malloc_trim(0)

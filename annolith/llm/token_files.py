@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .rawfiles import read_raw, write_raw
-from .shared import quoted, released, tidied, written
+from .shared import quoted, released, small_batches, tidied, written
 
 MAGIC, HEADER = b"RPTF", struct.Struct("<qqIIIIII")
 #: Bytes of text in a block, blocks in a file, and the places at which a pair stands at least to become a rule: a rule
@@ -36,9 +36,9 @@ MAGIC, HEADER = b"RPTF", struct.Struct("<qqIIIIII")
 BLOCK_BYTES, FILE_BLOCKS, LEAST_COUNT = 4 << 20, 16, 8
 #: Distinct pieces whose ids a worker keeps within a task and between tasks; new pieces in a text for the tokenizer, and
 #: such texts in a call.
-CACHED_PIECES, KEPT_PIECES, TOGETHER, AT_ONCE = 600_000, 400_000, 32, 256
+CACHED_PIECES, KEPT_PIECES, TOGETHER, AT_ONCE = 400_000, 300_000, 32, 256
 #: Buckets by which pairs are sifted before they are counted exactly, as a power of two.
-SIFT_BITS = 21
+SIFT_BITS = 20
 #: A blank that stands inside white space or ends it: a text with one is cut differently by the tokenizer, and so is one
 #: with a null character, which marks pieces here.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -207,7 +207,15 @@ class Encoder:
 
 def within(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indices of stretches one after the other."""
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    out = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    out += np.arange(len(out))
+    return out
+
+
+def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of stretches of these lengths, one after the other."""
+    running = np.concatenate([[0], np.cumsum(values)])
+    return np.diff(running[np.concatenate([[0], np.cumsum(lengths)])])
 
 
 def encoder(file: str) -> Encoder:
@@ -239,11 +247,16 @@ class Growing:
     def _round(self, next_id: int, least: int) -> np.ndarray:
         """The pairs (left << 32 | right) that this round replaced, the k-th by next_id + k."""
         places = np.flatnonzero(self.active)
-        codes = (self.symbols[places].astype(np.int64) << 32) | self.symbols[places + 1]
+        codes = self.symbols[places].astype(np.int64)
+        codes <<= 32
+        codes |= self.symbols[1:][places]
         weight = None if self.weight is None else self.weight[places]
         if len(places) > 1 << 14:  # pairs of rare buckets are rare
-            bucket = ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SIFT_BITS)).view(np.int64)
+            bucket = codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            bucket >>= np.uint64(64 - SIFT_BITS)
+            bucket = bucket.view(np.int64)
             some = np.flatnonzero((np.bincount(bucket, weight, 1 << SIFT_BITS) >= least)[bucket])
+            del bucket
             places, codes, weight = places[some], codes[some], None if weight is None else weight[some]
         coded = pa.array(codes).dictionary_encode()
         of, pairs = coded.indices.to_numpy(), coded.dictionary.to_numpy()
@@ -313,21 +326,19 @@ def _from_three(data: memoryview) -> np.ndarray:
     return out.view("<u4")[:, 0].astype(np.int32)
 
 
-def pack(keys: list[int | None], texts: list[str | None], coder: Encoder, base: int, end_id: int, shard: int, place: int = 0, least: int = LEAST_COUNT) -> bytes:
-    """A block: the documents' ids, each followed by the end id, under a grammar. shard, place: its partition, its place there."""
-    numbers, lengths = coder.number(texts)
+def strung(coder: Encoder, numbers: np.ndarray, lengths: np.ndarray, rules: list[np.ndarray], base: int, end_id: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The documents' symbols, each document's followed by the end id, after a grammar has grown on the distinct pieces; where
+    each document ends, how many ids it has, and the next free symbol."""
     counts = np.bincount(numbers, minlength=1)
     kinds = np.flatnonzero(counts)
     at, counts = (np.cumsum(counts > 0) - 1)[numbers], counts[kinds]
     sizes = (coder.ends[1:] - coder.ends[:-1])[kinds] if len(kinds) else np.zeros(0, np.int64)
-    rules: list[np.ndarray] = []
-    next_id = base
+    doc_tokens = sums(sizes[at], lengths) + 1
     symbols = coder.flat[within(coder.ends[kinds], sizes)]  # of four bytes, as symbols stay below 1 << 24
-    tokens_of = sizes.copy()
     # the grammar grows on the pieces that occur often enough to give rules; the others stay as they are
     often = np.repeat(counts >= least, sizes)
     grown = Growing(symbols[often], np.cumsum(sizes[counts >= least]), np.repeat(counts, sizes)[often].astype(float))
-    next_id = grown.grow(rules, next_id, least)
+    next_id = grown.grow(rules, base, least)
     new_sizes = sizes.copy()
     new_sizes[counts >= least] = np.diff(np.concatenate([[0], grown.ends]))
     merged = np.empty(int(new_sizes.sum()), np.int32)
@@ -335,16 +346,20 @@ def pack(keys: list[int | None], texts: list[str | None], coder: Encoder, base:
     merged[inside] = grown.symbols
     merged[~inside] = symbols[~often]
     starts = np.cumsum(new_sizes) - new_sizes
-    # the sequence: each document's pieces written out as symbols, then the end id
-    piece_sizes = new_sizes[at]
-    doc_of = np.repeat(np.arange(len(texts)), lengths)
-    doc_symbols = np.bincount(doc_of, piece_sizes, len(texts)).astype(np.int64) + 1
-    doc_tokens = np.bincount(doc_of, tokens_of[at], len(texts)).astype(np.int64) + 1
-    doc_ends = np.cumsum(doc_symbols)
-    into = np.cumsum(piece_sizes) - piece_sizes + doc_of
-    sequence = np.full(int(doc_symbols.sum()), end_id, np.int32)
-    sequence[within(into, piece_sizes)] = merged[within(starts[at], piece_sizes)]
+    doc_ends = np.cumsum(sums(new_sizes[at], lengths) + 1)
+    sequence = np.full(doc_ends[-1] if len(doc_ends) else 0, end_id, np.int32)
+    text = np.ones(len(sequence), bool)
+    text[doc_ends - 1] = False
+    sequence[text] = merged[within(starts[at], new_sizes[at])]
+    return sequence, doc_ends, doc_tokens, next_id
+
+
+def pack(keys: list[int | None], texts: list[str | None], coder: Encoder, base: int, end_id: int, shard: int, place: int = 0, least: int = LEAST_COUNT) -> bytes:
+    """A block: the documents' ids, each followed by the end id, under a grammar. shard, place: its partition, its place there."""
+    rules: list[np.ndarray] = []
+    sequence, doc_ends, doc_tokens, next_id = strung(coder, *coder.number(texts), rules, base, end_id, least)
     grown = Growing(sequence, doc_ends, None)
+    del sequence
     next_id = grown.grow(rules, next_id, least)
     sequence, doc_ends = grown.symbols, grown.ends
     if next_id >= 1 << 24:
@@ -466,6 +481,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, key: str = "do
         def block() -> pa.RecordBatch:
             packed = pack(keys, texts, coder, base, end_id, shard, place)
             coder.trim()
+            released(collect=False)
             return pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["block"])
 
         for batch in batches:
@@ -483,7 +499,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, key: str = "do
     # the row's number parts rows of one key, should there be very many
     rows = docs.select(F.col(quoted(key)).cast("bigint").alias("key"), F.col(quoted(text)).alias("text"), F.monotonically_increasing_id().alias("row"))
     dealt = rows.repartitionByRange("key", "row").sortWithinPartitions("key", "row")
-    write_raw(dealt.select("key", "text").mapInArrow(tidied(run), "block binary"), path, "\n", file_blocks)
+    with small_batches(docs.sparkSession):
+        write_raw(dealt.select("key", "text").mapInArrow(tidied(run), "block binary"), path, "\n", file_blocks)
 
 
 def cuts_before_blanks(tokenizer: object) -> bool:
