@@ -20,6 +20,7 @@ import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ MAGIC, HEADER = b"RPTF", struct.Struct("<qqIIIIII")
 BLOCK_BYTES, FILE_BLOCKS, LEAST_COUNT = 4 << 20, 16, 8
 #: Distinct pieces whose ids a worker keeps within a task and between tasks; new pieces in a text for the tokenizer, and
 #: such texts in a call.
-CACHED_PIECES, KEPT_PIECES, TOGETHER, AT_ONCE = 400_000, 300_000, 32, 256
+CACHED_PIECES, KEPT_PIECES, TOGETHER, AT_ONCE = 600_000, 400_000, 32, 256
 #: Buckets by which pairs are sifted before they are counted exactly, as a power of two.
 SIFT_BITS = 20
 #: A blank that stands inside white space or ends it: a text with one is cut differently by the tokenizer, and so is one
@@ -183,9 +184,11 @@ class Encoder:
             self._together(names, np.array(of, np.int64), c, mark, rows)
             done = set(of)
             rest = [x for x in rest if x[0] not in done]
-        for k, p in rest:
-            own = self.encode(p[2:] if p[:2] == "\0\0" else p[1:] if p[:1] == "\0" else " " + p)
-            rows.append((np.array([k]), np.array(own, np.int32), np.array([len(own)])))
+        for i in range(0, len(rest), AT_ONCE):
+            some = rest[i : i + AT_ONCE]
+            texts = [p[2:] if p[:2] == "\0\0" else p[1:] if p[:1] == "\0" else " " + p for _, p in some]
+            own = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            rows.append((np.array([k for k, _ in some]), np.fromiter(chain.from_iterable(own), np.int32), np.array(list(map(len, own)))))
         order = np.concatenate([r for r, _, _ in rows])
         out = np.zeros(len(names), np.int64)
         out[order] = self._add(names.take(pa.array(order)), np.concatenate([f for _, f, _ in rows]), np.concatenate([z for _, _, z in rows]))
@@ -481,7 +484,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, key: str = "do
         def block() -> pa.RecordBatch:
             packed = pack(keys, texts, coder, base, end_id, shard, place)
             coder.trim()
-            released(collect=False)
             return pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["block"])
 
         for batch in batches:
