@@ -95,9 +95,10 @@ def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None
         spark.conf.set(name, before)
 
 
-def released() -> None:
+def released(collect: bool = True) -> None:
     """Gives free memory of this process back to the system."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library
         ctypes.CDLL("libc.so.6").malloc_trim(0)
