@@ -156,9 +156,19 @@ def evenly(values: Column, most: int) -> Column:
     return F.when(n <= most, values).otherwise(F.transform(places, lambda i: F.get(values, i)))
 
 
-def scaled(b: Box) -> Box:
-    """SPA04: a box on 0 to 1 or on 0 to 1000 as one on 0 to 1; null where it is outside both or has no area."""
+def unit_scaled(b: Box) -> Box:
+    """SPA04 where no field says the scale: a box on 0 to 1 or on 0 to 1000 as one on 0 to 1; null where it is outside both
+    or has no area."""
     corners = (b.x1, b.y1, b.x2, b.y2)
     least, most = F.least(*corners), F.greatest(*corners)
     ok = (least >= 0) & (most <= 1000) & (b.x2 > b.x1) & (b.y2 > b.y1)
     return Box(*[F.when(ok & (most <= 1), x).when(ok, x / 1000.0) for x in corners])
+
+
+def by_field(unit: Column, thousandths: Column) -> Column:
+    """SPA04: the field that holds four numbers decides the scale, the unit field first; array<double> on 0 to 1, or null
+    where neither field has four numbers or the chosen box has no area. Coordinates outside the page stay as they are."""
+    four = lambda v: F.coalesce(F.size(v) == 4, F.lit(False))
+    chosen = F.when(four(unit), unit.cast("array<double>")).when(four(thousandths), F.transform(thousandths.cast("array<double>"), lambda x: x / 1000.0))
+    whole = F.forall(chosen, lambda x: x.isNotNull())
+    return F.when(whole & (F.get(chosen, F.lit(0)) < F.get(chosen, F.lit(2))) & (F.get(chosen, F.lit(1)) < F.get(chosen, F.lit(3))), chosen)

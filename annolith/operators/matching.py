@@ -128,17 +128,23 @@ def most_pairs(pairs: DataFrame, page: list[str]) -> DataFrame:
             options.setdefault(r[0], []).append(r)
         taken: dict[int, tuple] = {}
 
-        def place(a: int, seen: set[int]) -> bool:
-            for r in options[a]:
-                if r[1] not in seen:
-                    seen.add(r[1])
-                    if r[1] not in taken or place(taken[r[1]][0], seen):
-                        taken[r[1]] = r
-                        return True
-            return False
-
-        for a in sorted(options):
-            place(a, set())
+        # depth first over alternating paths with a stack of its own: (the edge that led here, the edges still to try)
+        for first in sorted(options):
+            seen: set[int] = set()
+            path: list[tuple] = [(None, iter(options[first]))]
+            while path:
+                _, left = path[-1]
+                r = next((r for r in left if r[1] not in seen), None)
+                if r is None:
+                    path.pop()
+                    continue
+                seen.add(r[1])
+                if r[1] in taken:
+                    path.append((r, iter(options[taken[r[1]][0]])))
+                    continue
+                for edge in [r, *[e for e, _ in reversed(path[1:])]]:
+                    taken[edge[1]] = edge
+                break
         return sorted(taken.values())
 
     kinds = ", ".join(f"`{p}` {pairs.schema[p].dataType.simpleString()}" for p in page)

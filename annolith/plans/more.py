@@ -175,10 +175,24 @@ def spa04(s, d):
     # boxes on 0 to 1000, half of them already on 0 to 1; those over 80 are put out of range and become null
     unit = c("id") % 2 == 0
     given = {k: F.when(F.greatest("x2", "y2") <= 80, F.when(unit, c(k) / 1000.0).otherwise(c(k).cast("double"))).otherwise(2000.0 + c(k)) for k in ("x1", "y1", "x2", "y2")}
-    b = boxes.scaled(Box(*given.values()))
+    b = boxes.unit_scaled(Box(*given.values()))
     return faces(s, d).select("image_id", "id", F.round(b.x1, 6).alias("x1"), F.round(b.y2, 6).alias("y2"))
 
 
+@query(
+    "spa04_scale_by_field",
+    with_(FACES, """SELECT image_id, id, CASE WHEN ok THEN round(x1 / f, 6) END AS x1, CASE WHEN ok THEN round(y2 / f, 6) END AS y2 FROM (
+      SELECT image_id, id, x1, y2, CASE id % 3 WHEN 0 THEN 1.0::DOUBLE ELSE 1000.0::DOUBLE END AS f, id % 5 <> 0 AND x1 < x2 AND y1 < y2 AS ok FROM faces)"""),
+)
+def spa04_field(s, d):
+    # a third of the faces has both fields, the rest a unit field of three numbers or none; a fifth is turned round
+    right = F.when(c("id") % 5 == 0, c("x1") - 1).otherwise(c("x2"))
+    corners = F.array(*[x.cast("double") for x in (c("x1"), c("y1"), right, c("y2"))])
+    unit = F.when(c("id") % 3 == 0, corners).when(c("id") % 3 == 1, F.slice(corners, 1, 3))
+    found = faces(s, d).select("image_id", "id", boxes.by_field(unit, corners).alias("b"))
+    return found.select("image_id", "id", F.round(c("b")[0], 6).alias("x1"), F.round(c("b")[3], 6).alias("y2"))
+
+
 @query("spa05_fraction_covered", with_(FACES, PAIRS, "SELECT image_id, a, b, round(inter / ar_a, 6) AS of_a, round(inter / ar_b, 6) AS of_b FROM pairs_ WHERE inter > 0"))
 def spa05(s, d):
     h, p = sides(s, d)

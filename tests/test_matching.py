@@ -75,3 +75,12 @@ def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(1, i, i + 1) for i in range(100)] + [(2, 7, 9)], "page int, a int, b int")
     found = {(r.page, r.node): r.component for r in graphs.components(edges, ["page"]).collect()}
     assert found == {**{(1, i): 0 for i in range(101)}, (2, 7): 7, (2, 9): 7}
+
+
+def test_long_alternating_paths(spark):
+    """Each box overlaps its own partner and the next one's; the last partner is free, so every box has to move over."""
+    n = 1500
+    edges = [(1, i, i + 1, 0.5, 0.5) for i in range(n)] + [(1, i, i, 0.9, 0.9) for i in range(n)] + [(1, n, 0, 0.9, 0.9)]
+    pairs = spark.createDataFrame(edges, "page int, a bigint, b bigint, iou double, containment double")
+    found = matching.most_pairs(pairs, ["page"]).collect()
+    assert len(found) == n + 1 and len({r.a for r in found}) == len({r.b for r in found}) == n + 1
