@@ -16,14 +16,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .shared import quoted, tidied, written
+from .shared import arrow_map, positional, quoted, tidied, written
 
 WINDOW = 13
 #: Test words in one broadcast, and training words in one suffix array.
@@ -61,6 +63,13 @@ class TestSet:
         self.where = np.array(where, np.int64).reshape(-1, 3)
         self.shortest = int(self.where[:, 2].min(initial=window))
 
+    @cached_property
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each window, packed once a worker: its key, and the least key after all that begin with it."""
+        upper = self.rows.copy()
+        upper[np.arange(len(upper)), self.where[:, 2] - 1] += 1  # word numbers end far below the type's limit
+        return packed(self.rows), packed(upper)
+
 
 def packed(rows: np.ndarray) -> np.ndarray:
     """Rows of word numbers as byte strings of the same order."""
@@ -86,12 +95,7 @@ class SuffixArray:
         test = self.test
         if not len(self.keys) or not len(test.rows):
             return np.zeros((0, 4), np.int64)
-        full = test.where[:, 2] == test.window
-        upper = test.rows.astype(np.int64)
-        for size in np.unique(test.where[~full, 2]):
-            upper[(test.where[:, 2] == size), size - 1] += 1  # the next prefix of this length
-        low = np.searchsorted(self.keys, packed(test.rows), "left")
-        high = np.where(full, np.searchsorted(self.keys, packed(test.rows), "right"), np.searchsorted(self.keys, packed(upper), "left"))
+        low, high = (np.searchsorted(self.keys, x, "left") for x in test.bounds)
         sizes = np.maximum(high - low, 0)
         q = np.repeat(np.arange(len(sizes)), sizes)
         at = self.starts[np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(q))]
@@ -134,8 +138,7 @@ def with_matches(docs: DataFrame, items: DataFrame, text: str, item: str, item_t
     with ``keep`` (of a document's words and matches) the last pass gives the documents to keep instead."""
     context = docs.sparkSession.sparkContext
     blocks, n = test_blocks(items, item, item_text, block_words)
-    columns = list(map(quoted, docs.columns))
-    now = docs.select(*columns, F.lit(0).cast("bigint").alias("_decontaminate_n"), F.array().cast(MATCHES).alias(FOUND))
+    now = docs.select("*", F.lit(0).cast("bigint").alias("_decontaminate_n"), F.array().cast(MATCHES).alias(FOUND))
 
     def one(now: DataFrame, shared: Broadcast, last: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,18 +168,20 @@ def find_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     ``at`` and ``length`` count words. A match is verbatim, cannot be made longer, and holds a window: ``window``
     consecutive item words, or a whole shorter item.
     """
-    found = with_matches(docs.select(quoted(key), quoted(text)), items, text, item, item_text, window, block_words)
-    return found.select(quoted(key), F.col("_decontaminate_n").alias("n_words"), F.col(FOUND).alias("matches"))
+    own = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"))
+    found = with_matches(own, items, "text", item, item_text, window, block_words)
+    return found.select(F.col("key").alias(key), F.col("_decontaminate_n").alias("n_words"), F.col(FOUND).alias("matches"))
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, share: float = 0.05, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs without the rows of whose words matches cover ``share`` or more. No row moves."""
+    """docs without the rows of whose words matches cover ``share`` or more. No row moves; columns may have any names."""
+    plain, at = positional(docs)
 
     def keep(n: int, matches: list[dict]) -> bool:
         hit = covered(matches)
         return not (hit and hit >= share * n)
 
-    return with_matches(docs, items, text, "item_id", "text", window, block_words, keep)
+    return with_matches(plain, items, at[text], "item_id", "text", window, block_words, keep).toDF(*docs.columns)
 
 
 def _matched(column: pa.Array, test: TestSet) -> tuple[list[int], list[list[dict]]]:
@@ -214,7 +219,8 @@ def covered(matches: list[dict] | None) -> int:
 
 def judge(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """find_matches' rows with n_hit, n_items, items_sha256 and contaminated (a twentieth of the words or more is hit)."""
-    kind = found.schema[key].dataType.simpleString()
+    chosen = found.select(quoted(key), "n_words", "matches")
+    kind = StructType([chosen.schema[0], *_parse_datatype_string("n_words bigint, n_hit bigint, n_items bigint, items_sha256 string")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,5 +230,4 @@ def judge(found: DataFrame, key: str = "doc_id") -> DataFrame:
             shas = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
             yield pa.RecordBatch.from_arrays([batch[key], batch["n_words"], pa.array(hit, pa.int64()), pa.array(list(map(len, items)), pa.int64()), pa.array(shas, pa.string())], [key, "n_words", "n_hit", "n_items", "items_sha256"])
 
-    out = found.select(key, "n_words", "matches").mapInArrow(tidied(run), f"`{key}` {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string")
-    return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+    return arrow_map(chosen, run, kind).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .shared import hash_bound, quoted, released, tidied, written
+from .shared import arrow_map, hash_bound, quoted, released, tidied, written
 
 #: The sample that the model is fitted on: so many labelled rows of each language, those whose hash is least. EM steps.
 SAMPLE_PER_LANG, EM_STEPS = 400, 3
@@ -254,7 +254,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
         for batch, which, best in _scored(batches, shared.value, text):
             yield pa.RecordBatch.from_arrays([batch[key], langs.take(pa.array(which, pa.int64())), pa.array(best, pa.float64())], [key, "lang_pred", "score"])
 
-    return chosen.mapInArrow(tidied(run), kind)
+    return arrow_map(chosen, run, kind)
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float | None = None, text: str = "text") -> DataFrame:
@@ -271,4 +271,4 @@ def keep_identified(docs: DataFrame, model: Model, least: float | None = None, t
             none = len(shared.value.langs)
             yield batch.filter(pa.array([w < none and b >= least for w, b in zip(which, best, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(tidied(run), docs.schema)
+    return arrow_map(docs, run, docs.schema)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import hash_bound, quoted, released, tidied, written
+from .shared import arrow_map, hash_bound, positional, quoted, released, tidied, written
 
 #: The classifier is fitted on so many labelled rows at most, those whose hash is least, in so many partitions.
 SAMPLE_ROWS, SAMPLE_PARTS = 20_000, 4
@@ -206,7 +206,7 @@ def rated(rows: DataFrame, path: Path | None, columns: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*batch.schema.names, "_mix_rate"])
 
     chosen = rows.select(*map(quoted, columns), TOKENS, CHANCE)
-    return chosen.mapInArrow(tidied(run), StructType([*chosen.schema.fields, StructField("_mix_rate", DoubleType())]))
+    return arrow_map(chosen, run, StructType([*chosen.schema.fields, StructField("_mix_rate", DoubleType())]))
 
 
 def copies(rate: Column, *row: Column) -> Column:
@@ -226,11 +226,14 @@ def mixing_rates(docs: DataFrame, domains: Domains, targets: dict[str, float], k
 
 
 def mixed(docs: DataFrame, domains: Domains, targets: dict[str, float], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, each row as often as its rate says. Texts meet the classifier once: rows are stored with their posteriors."""
-    found = written(posteriors(docs, domains, text), "mixing-posteriors")
+    """docs, each row as often as its rate says. Texts meet the classifier once: rows are stored with their posteriors.
+
+    Columns may have any names, those of this module included; a null text has no words, is rated 1 and stays once.
+    """
+    plain, at = positional(docs)
+    found = written(posteriors(plain, domains, at[text]), "mixing-posteriors")
     path = fit_rates(found.select(TOKENS, CHANCE), targets, domains.names)
-    columns = list(map(quoted, docs.columns))
-    row = [F.col(quoted(key)), F.xxhash64(quoted(text))]
-    out = rated(found, path, docs.columns).withColumn("_mix_copies", copies(F.col("_mix_rate"), *row))
+    row = [F.col(at[key]), F.xxhash64(at[text])]
+    out = rated(found, path, plain.columns).withColumn("_mix_copies", copies(F.col("_mix_rate"), *row))
     once = F.when(F.col("_mix_copies") > 0, F.sequence(F.lit(1), F.col("_mix_copies"))).otherwise(F.array().cast("array<int>"))
-    return out.withColumn("_mix_copy", F.explode(once)).select(*columns)
+    return out.withColumn("_mix_copy", F.explode(once)).select(*plain.columns).toDF(*docs.columns)

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +105,12 @@ def released(collect: bool = True) -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with columns p0, p1, ... and each old name's new one: no name can then clash or need quoting."""
+    names = {name: f"p{i}" for i, name in reversed(list(enumerate(df.columns)))}
+    return df.toDF(*[f"p{i}" for i in range(len(df.columns))]), names
+
+
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -117,3 +124,13 @@ def tidied(run: Run) -> Run:
             released()
 
     return task
+
+
+def arrow_map(df: DataFrame, run: Run, schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` of a frame whose columns may have any names, dots included."""
+    names = df.columns
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(pa.RecordBatch.from_arrays(b.columns, names) for b in batches)
+
+    return positional(df)[0].mapInArrow(tidied(task), schema)

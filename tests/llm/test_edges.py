@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annolith.llm import chat_format, components, decontaminate, language_id, mixing, secrets, simhash, token_files, topk, url_filter, warc
-from annolith.llm.shared import fresh_path
+from annolith.llm.shared import fresh_path, written
 
 from . import brute
 
@@ -437,3 +437,20 @@ def test_components_long_chain(spark):
     found = {r.node: r.root for r in components.connected_components(edges).collect()}
     assert all(found[i] == 0 for i in range(201)) and found[500] == found[501] == 500
     assert components.connected_components(edges.where("false")).count() == 0
+
+
+def test_pipeline_stages_with_odd_columns(spark, sf):
+    """Columns with dots and with the stages' own names, null keys and null texts pass through every stage."""
+    import corpus_pipeline as pipeline
+
+    extra = "`a.b` int, _mix_tokens int, _mix_chance string, _mix_rate int, _decontaminate_n int, _decontaminate_matches int, p0 int, key int, tag int"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = docs.limit(1).select("doc_id").where("false").unionByName(spark.createDataFrame([(i,) for i in range(40)], "doc_id bigint"))
+    odd = odd.selectExpr("if(doc_id % 7 = 0, null, doc_id) as doc_id", "if(doc_id % 5 = 0, null, concat_ws(' ', 'the cat', doc_id, 'sat on a mat and saw', doc_id * 7, 'birds fly')) as text", "'en' as lang", "'s' as source", "cast(3 as bigint) as n_chars")
+    fields = spark.createDataFrame([(1, 2, "x", 3, 4, 5, 6, 7, 8)], extra)
+    rows = odd.crossJoin(fields)
+    for name, stage in pipeline.STAGES[:-1]:
+        out = written(stage(spark, rows, sf), "test-odd")
+        assert out.columns == rows.columns and [f.dataType for f in out.schema] == [f.dataType for f in rows.schema], name
+        assert out.where("`a.b` = 1 and _mix_tokens = 2 and _decontaminate_n = 4 and tag = 8").count() == out.count() > 0, name
+        assert stage(spark, rows.where("false"), sf).count() == 0, name
