@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe, lexical
 from .chat_format import format_chat, read_chat, with_control
 from .decontaminate import find_matches, judge
 from .language_id import fit, identify, public_pieces
@@ -101,6 +102,22 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, language_model(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = tokenizer_file()
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), file).select("doc_id", "ids")
+    back = bpe.decode(ids, file, text="decoded")
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc_round_trip,
     "op2_chat_format": chat_format,
@@ -112,6 +129,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": token_files,
     "op9_decontaminate": decontaminate,
     "op10_language_id": language_id,
+    "op11_bpe": bpe_round_trip,
+    "op12_lexical_search": lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -127,4 +146,19 @@ best AS (
   FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
   GROUP BY page_id)
 SELECT parts.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (page_id)""",
+    "op12_lexical_search": r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+counted AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(tf) AS n FROM counted GROUP BY 1),
+total AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM lengths),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+weights AS (SELECT term, floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counted, total GROUP BY term, nn),
+lent AS (SELECT doc_id, (10 + (90 * n::BIGINT * nn) // ll)::BIGINT AS m FROM lengths, total),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN counted USING (term) JOIN weights USING (term) JOIN lent USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0) WHERE place <= 10""",
 }

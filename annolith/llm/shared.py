@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -96,6 +97,13 @@ def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None
         spark.conf.set(name, before)
 
 
+def within(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of stretches one after the other."""
+    out = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    out += np.arange(len(out))
+    return out
+
+
 def released(collect: bool = True) -> None:
     """Gives free memory of this process back to the system."""
     if collect:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .rawfiles import read_raw, write_raw
-from .shared import quoted, released, small_batches, tidied, written
+from .shared import quoted, released, small_batches, tidied, within, written
 
 MAGIC, HEADER = b"RPTF", struct.Struct("<qqIIIIII")
 #: Bytes of text in a block, blocks in a file, and the places at which a pair stands at least to become a rule: a rule
@@ -205,13 +205,6 @@ class Encoder:
         rows.append((of, got[~cut], np.diff(np.flatnonzero(cut), prepend=-1) - 1))
 
 
-def within(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Indices of stretches one after the other."""
-    out = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    out += np.arange(len(out))
-    return out
-
-
 def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sums of stretches of these lengths, one after the other."""
     running = np.concatenate([[0], np.cumsum(values)])
