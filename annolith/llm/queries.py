@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lexical
+from . import bpe, lexical, spelling
 from .chat_format import format_chat, read_chat, with_control
 from .decontaminate import find_matches, judge
 from .language_id import fit, identify, public_pieces
@@ -118,6 +118,10 @@ def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), damage=199)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc_round_trip,
     "op2_chat_format": chat_format,
@@ -131,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": language_id,
     "op11_bpe": bpe_round_trip,
     "op12_lexical_search": lexical_search,
+    "op13_spelling_variants": spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
