@@ -1,8 +1,10 @@
 """Plain forms of the contracts, one row at a time."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import xxhash
 
@@ -136,3 +138,75 @@ def top_inner(vectors, k=20):
         scores = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:k]
         out += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
     return out
+
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def search(docs, items, k=10):
+    """op12: {(item, rank): (key, score)} of documents [(key, text)] and items [(item, text)]."""
+    terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    rows = [(key, Counter(terms(t))) for key, t in docs]
+    rows = [(key, tf) for key, tf in rows if tf]
+    n_docs, n_words = len(rows), sum(sum(tf.values()) for _, tf in rows)
+    df = Counter(t for _, tf in rows for t in tf)
+    out = {}
+    for item, text in items:
+        scores = []
+        for key, tf in rows:
+            m = 10 + (90 * sum(tf.values()) * n_docs) // n_words
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((1000000000 * tf[t]) // (1000 * tf[t] + 8 * m)) for t in set(terms(text)) if tf[t])
+            if score > 0:
+                scores.append((-score, key is None, key or 0))
+        for rank, (score, empty, key) in enumerate(sorted(scores)[:k], 1):
+            out[item, rank] = (None if empty else key, -score)
+    return out
+
+
+def variants(texts, damage=199, letters=6, least=5, ratio=5):
+    """op13: rows (word, form, root, n, n_near, form_n) of texts [(key, text)]."""
+    counts = Counter()
+    for key, text in texts:
+        for run in re.findall(r"[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            if damage and h % damage == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= letters and n >= least}
+    by_gap = defaultdict(set)
+    for w in words:
+        for i in range(len(w)):
+            by_gap[w[:i] + "*" + w[i + 1 :]].add(w)
+    near = {w: set() for w in words}
+    for w in words:
+        for i in range(len(w)):
+            near[w] |= by_gap[w[:i] + "*" + w[i + 1 :]] - {w}
+            short = w[:i] + w[i + 1 :]
+            if short in words:
+                near[w].add(short)
+                near[short].add(w)
+    form = {}
+    for w, n in words.items():
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        if best is not None and words[best] >= ratio * n:
+            form[w] = best
+    rows = []
+    for w, n in words.items():
+        root = w
+        while root in form:
+            root = form[root]
+        rows.append((w, form.get(w), root, n, len(near[w]), words[form[w]] if w in form else None))
+    return sorted(rows)
+
+
+def bpe_rows(texts, path):
+    """op11: {key: (n_tokens, ids_sha256, decoded_sha256)} by the library."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    out = {}
+    for key, text in texts.items():
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+        out[key] = (len(ids), sha(",".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False)))
+    return out

@@ -1,5 +1,6 @@
 """The dealt queries against plain forms of their contracts, over the whole smallest tables."""
 
+import duckdb
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -41,7 +42,7 @@ def test_chat(spark, sf):
 def test_urls(spark, sf):
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in result(spark, sf, "op3_url_filter")}
     assert got == {r["page_id"]: brute.judge_url(r["url"]) for r in rows(sf, "pages")}
-    assert set(ORACLE_SQL) == {"op3_url_filter"}
+    assert set(ORACLE_SQL) == {"op3_url_filter", "op12_lexical_search"}
 
 
 def test_top_k(spark, sf):
@@ -117,3 +118,27 @@ def test_pipeline(spark, sf, texts):
             assert sum(share["high"]) >= 0.9 * len(share["high"]) and sum(share["toxic"]) <= 0.5 * len(share["toxic"])  # ten labelled rows
         elif name == "token files":
             assert kept == set(before) and {"start", "n_tokens", "ids_crc32"} <= set(docs.columns)
+
+
+def test_bpe(spark, sf, texts):
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in result(spark, sf, "op11_bpe")}
+    assert got == brute.bpe_rows(texts, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_lexical_search(spark, sf):
+    docs = [(r["doc_id"], r["text"]) for r in rows(sf, "documents")]
+    items = [(r["item_id"], r["text"]) for r in rows(sf, "benchmark")]
+    found = result(spark, sf, "op12_lexical_search")
+    got = {(r["item_id"], r["rank"]): (r["doc_id"], r["score"]) for r in found}
+    assert got == brute.search(docs, items) and len(found) == len(got)
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
+    sql = con.execute(ORACLE_SQL["op12_lexical_search"]).fetchall()
+    assert {(a, b): (c, d) for a, b, c, d in sql} == got
+
+
+def test_spelling(spark, sf):
+    docs = [(r["doc_id"], r["text"]) for r in rows(sf, "documents")]
+    found = [(r["word"], r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in result(spark, sf, "op13_spelling_variants")]
+    assert sorted(found, key=lambda r: r[0]) == brute.variants(docs) and len(found) > 100
