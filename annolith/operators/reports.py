@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import sampling, tables
+from . import bootstrap, sampling, tables
 
 
 def shares(rows: DataFrame, by: list[str], yes: Column, known: Column, least: int = 0) -> DataFrame:
@@ -14,11 +14,11 @@ def shares(rows: DataFrame, by: list[str], yes: Column, known: Column, least: in
     return out.withColumn("share", F.when(F.col("n") >= max(least, 1), F.col("yes") / F.col("n")))
 
 
-def share_intervals(rows: DataFrame, by: list[str], stratum: str, cluster: str, yes: Column, known: Column, weights: DataFrame, least_clusters: int = 10) -> DataFrame:
-    """RPT02-06: the share with a cluster-bootstrap interval, which needs ten clusters at least."""
+def share_intervals(rows: DataFrame, by: list[str], stratum: str, cluster: str, yes: Column, known: Column, population: DataFrame, replicates: int, least_clusters: int = 10) -> DataFrame:
+    """RPT02-06: the share with a cluster-bootstrap interval, which needs ten clusters at least. population: the clusters."""
     sums = rows.groupBy(*by, stratum, cluster).agg(F.count_if(known & yes).cast("double").alias("num"), F.count_if(known).cast("double").alias("den"))
     point = sums.groupBy(*by).agg((F.sum("num") / F.nullif(F.sum("den"), F.lit(0.0))).alias("share"), F.count_if(F.col("den") > 0).alias("clusters"))
-    spread = sampling.interval(sampling.weighted_ratios(sums, weights, [stratum, cluster], by), by)
+    spread = sampling.interval(bootstrap.ratio_series(population, sums, cluster, stratum, by, replicates), by)
     enough = F.col("clusters") >= least_clusters
     return point.join(spread, by, "left").select(*by, "share", "clusters", F.when(enough, F.col("low")).alias("low"), F.when(enough, F.col("high")).alias("high"))
 

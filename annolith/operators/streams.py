@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -42,3 +44,27 @@ def per_group(rows: DataFrame, keys: list[str], columns: list[str], order: list,
         yield made(out)
 
     return rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, kind)
+
+
+def group_tables(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The runs of equal keys in sorted batches, each as a table."""
+    held, key = [], None
+    for batch in batches:
+        n = len(batch)
+        if not n:
+            continue
+        fresh = np.zeros(max(n - 1, 0), bool)
+        for name in keys:
+            column = batch[name]
+            fresh |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), False).to_numpy(zero_copy_only=False)
+            fresh |= pc.not_equal(column[1:].is_null(), column[:-1].is_null()).to_numpy(zero_copy_only=False)
+        stops = [0, *(np.flatnonzero(fresh) + 1).tolist(), n]
+        for a, b in zip(stops, stops[1:], strict=False):
+            own = tuple(batch[name][a].as_py() for name in keys)
+            if own != key and held:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = own
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield key, pa.Table.from_batches(held)

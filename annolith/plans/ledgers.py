@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from annolith.functions import values as V
+from annolith.operators import bootstrap as B
 from annolith.operators import ledger as L
 from annolith.operators import sampling as S
 from annolith.operators import tables
@@ -302,7 +303,7 @@ SUMS = "sm AS (SELECT year, issue, CAST(count(*) FILTER (o_orderstatus = 'F') AS
 
 
 def weights(s, d):
-    return S.bootstrap_weights(pages(s, d).select("year", "issue").distinct(), "issue", "year", REPS)
+    return S.bootstrap_weights(issues(s, d), "issue", "year", REPS)
 
 
 def sums(s, d):
@@ -310,6 +311,15 @@ def sums(s, d):
     return o.groupBy("year", "issue").agg(F.count_if(c("o_orderstatus") == "F").cast("double").alias("num"), F.count("*").cast("double").alias("den"))
 
 
+def yearly(s, d):
+    """Each year's share of finished orders in each replicate."""
+    return B.ratio_series(issues(s, d), sums(s, d), "issue", "year", ["year"], REPS)
+
+
+def issues(s, d):
+    return pages(s, d).select("year", "issue").distinct()
+
+
 @query("smp12_bootstrap_weights", with_(PAGES, DRAWS, "SELECT replicate, year, count(*) AS issues, CAST(sum(weight) AS BIGINT) AS draws, max(weight) AS most FROM wt GROUP BY ALL"))
 def smp12(s, d):
     return weights(s, d).groupBy("replicate", "year").agg(F.count("*").alias("issues"), F.sum("weight").alias("draws"), F.max("weight").alias("most"))
@@ -320,13 +330,13 @@ SERIES = "se AS (SELECT sm.year, replicate, sum(weight * num) / sum(weight * den
 
 @query("smp13_cluster_interval", with_(PAGES, DRAWS, SUMS, SERIES, "SELECT year, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(value) AS replicates FROM se GROUP BY 1"))
 def smp13(s, d):
-    series = S.weighted_ratios(sums(s, d), weights(s, d), ["year", "issue"], ["year"])
+    series = yearly(s, d)
     return S.interval(series, ["year"]).withColumns({k: F.round(k, 6) for k in ("low", "high")})
 
 
 @query("smp14_paired_gap", with_(PAGES, DRAWS, SUMS, SERIES, "SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS replicates FROM (SELECT b.value - a.value AS v FROM se a JOIN se b ON a.replicate = b.replicate WHERE a.year = 1996 AND b.year = 1999)"))
 def smp14(s, d):
-    series = S.weighted_ratios(sums(s, d), weights(s, d), ["year", "issue"], ["year"])
+    series = yearly(s, d)
     a, b = (series.where(c("year") == y).drop("year") for y in (1996, 1999))
     return S.interval(S.paired_delta(a, b, []), []).withColumns({k: F.round(k, 6) for k in ("low", "high")})
 

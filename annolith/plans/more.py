@@ -11,7 +11,7 @@ from annolith.functions.boxes import Box, box
 from annolith.operators import checks, graphs, matching, tables
 from annolith.operators import sampling as S
 
-from .ledgers import DRAWS, SERIES, SUMS, sums, weights
+from .ledgers import DRAWS, SERIES, SUMS, yearly
 from .registry import query
 from .scores import LABELLED, labelled, six
 from .spatial import PAGE, accepted, sides
@@ -349,7 +349,7 @@ def smp11(s, d):
 
 @query("smp18_paired_probability", with_(PAGES, DRAWS, SUMS, SERIES, "SELECT round(avg((b.value > a.value)::INTEGER), 6) AS chance FROM se a JOIN se b ON a.replicate = b.replicate WHERE a.year = 1996 AND b.year = 1999"))
 def smp18(s, d):
-    series = S.weighted_ratios(sums(s, d), weights(s, d), ["year", "issue"], ["year"])
+    series = yearly(s, d)
     a, b = (series.where(c("year") == y).drop("year") for y in (1996, 1999))
     return S.paired_delta(a, b, []).agg(F.round(F.avg((c("value") > 0).cast("double")), 6).alias("chance"))
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from annolith.functions import boxes
 from annolith.functions.boxes import box
 from annolith.operators import ledger as L
-from annolith.operators import metrics, reports, tables
+from annolith.operators import bootstrap, metrics, reports, sampling, tables
 
-from .ledgers import DRAWS, LEDGER, ledger, weights
+from .ledgers import DRAWS, LEDGER, REPS, issues, ledger
 from .registry import query
 from .scores import six
 from .standins import FACES, PAGES, faces, pages, read, with_
@@ -47,10 +47,8 @@ def rpt02(s, d):
 def rpt02b(s, d):
     rows = faces_in_pages(s, d)
     sums = rows.groupBy("year", "issue").agg(F.count_if(yes()).cast("double").alias("num"), F.count_if(known()).cast("double").alias("den"))
-    from annolith.operators import sampling
-
     point = sums.groupBy("year").agg((F.sum("num") / F.sum("den")).alias("share"), F.count_if(c("den") > 0).alias("clusters"))
-    spread = sampling.interval(sampling.weighted_ratios(sums, weights(s, d), ["year", "issue"], ["year"]), ["year"])
+    spread = sampling.interval(bootstrap.ratio_series(issues(s, d), sums, "issue", "year", ["year"], REPS), ["year"])
     return six(point.join(spread, "year").select("year", "share", "clusters", "low", "high"), "share", "low", "high")
 
 
