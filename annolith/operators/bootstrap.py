@@ -21,7 +21,7 @@ from .streams import group_tables
 
 #: Replicates of a task; clusters whose sums a task holds. A stratum of more clusters takes several tasks, each of which makes
 #: all of the stratum's draws and keeps those that fall to its clusters.
-BLOCK, CHUNK = 32, 500_000
+BLOCK, CHUNK = 16, 500_000
 
 
 def picks(replicate: int, stratum: str, n: int, stream: str = "") -> np.ndarray:

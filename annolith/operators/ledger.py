@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolith.functions.values import error_kind, nearest_rank, safe_divide
 
+from .tables import numbered
+
 
 def summary(ledger: DataFrame, by: list[str]) -> DataFrame:
     """AGG20-22: attempts, successes, distinct tasks, tokens (missing is 0) and rates."""
@@ -52,10 +56,18 @@ def episodes(ledger: DataFrame, by: list[str], ts: str, key: str, quiet: int) ->
 
 
 def ewma(ledger: DataFrame, by: list[str], order: list[str], value: str, keep: float = 0.95) -> DataFrame:
-    """WIN10: old * keep + new * (1 - keep), from the first value. A stage's estimates are folded in order."""
-    row = F.struct(*order, F.col(value).alias("v"))
-    rows = ledger.where(F.col(value).isNotNull()).groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    return rows.select(*by, F.aggregate("rows", F.lit(None).cast("double"), lambda a, r: F.when(a.isNull(), r["v"]).otherwise(a * keep + r["v"] * (1 - keep))).alias("ewma"), F.size("rows").alias("n"))
+    """WIN10: old * keep + new * (1 - keep), from the first value; by, ewma, n. Groups without a value have no row.
+
+    A value counts keep to the power of the number of values after it, and the first one in full, so the estimate is a sum
+    over numbered rows: no group is folded in one task.
+    """
+    rows = ledger.where(F.col(value).isNotNull()).select(*by, *order, F.col(value).cast("double").alias("_v"))
+    placed = numbered(rows, [*by, *order], "_at")
+    ends = placed.groupBy(*[F.col(b).alias(f"_{b}") for b in by]).agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by], F.lit(True))
+    share = F.when(F.col("_at") == F.col("_first"), F.lit(1.0)).otherwise(F.lit(1 - keep)) * F.pow(F.lit(keep), F.col("_last") - F.col("_at"))
+    joined = placed.join(ends, same) if by else placed.join(ends)  # without keys: one row
+    return joined.groupBy(*by).agg(F.sum(F.col("_v") * share).alias("ewma"), F.count("*").cast("int").alias("n"))
 
 
 def error_histogram(ledger: DataFrame, error: Column) -> DataFrame:

@@ -17,14 +17,27 @@ from .streams import per_group
 
 
 def candidates(left: DataFrame, right: DataFrame, page: list[str], least_iou: float, contained: float | None = None, least_contained_iou: float = 0.02) -> DataFrame:
-    """JOI11: left and right hold page columns, id, x1..y2. page, a, b, iou, containment of the accepted pairs."""
-    a = left.select(*page, F.col("id").alias("a"), F.struct("x1", "y1", "x2", "y2").alias("ab"))
-    b = right.select(*page, F.col("id").alias("b"), F.struct("x1", "y1", "x2", "y2").alias("bb"))
-    both = a.join(b, page).withColumn("iou", boxes.iou(box(row=F.col("ab")), box(row=F.col("bb")))).withColumn("containment", boxes.containment(box(row=F.col("ab")), box(row=F.col("bb"))))
-    ok = F.col("iou") >= least_iou
+    """JOI11: left and right hold page columns, id, x1..y2. page, a, b, iou, containment of the accepted pairs.
+
+    Areas are made before the join. Where a pair needs some overlap, only boxes whose sides cross are paired.
+    """
+
+    def side(items: DataFrame, name: str) -> DataFrame:
+        own = box()
+        return items.select(*page, F.col("id").alias(name), *[x.alias(f"_{name}{k}") for k, x in zip(boxes.Box._fields, own, strict=True)], boxes.area(own).alias(f"_{name}area"))
+
+    a, b = (box(f"_{n}") for n in "ab")
+    both = side(left, "a").join(side(right, "b"), page)
+    if least_iou > 0 and (contained is None or max(contained, least_contained_iou) > 0):
+        both = both.where((a.x1 < b.x2) & (b.x1 < a.x2) & (a.y1 < b.y2) & (b.y1 < a.y2))
+    inter, one, other = boxes.intersection(a, b), F.col("_aarea"), F.col("_barea")
+    both = both.select(*page, "a", "b", inter.alias("_inter"), (one + other).alias("_sum"), F.least(one, other).alias("_less"))
+    union = F.col("_sum") - F.col("_inter")
+    iou, part = (F.when(whole > 0, F.col("_inter") / whole).otherwise(F.lit(0.0)) for whole in (union, F.col("_less")))
+    ok = iou >= least_iou
     if contained is not None:
-        ok = ok | ((F.col("containment") >= contained) & (F.col("iou") >= least_contained_iou))
-    return both.where(ok).select(*page, "a", "b", "iou", "containment")
+        ok = ok | ((part >= contained) & (iou >= least_contained_iou))
+    return both.where(ok).select(*page, "a", "b", iou.alias("iou"), part.alias("containment"))
 
 
 def greedy(pairs: DataFrame, page: list[str], score: Column, reverse_ties: bool = False) -> DataFrame:

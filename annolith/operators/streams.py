@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -46,25 +48,58 @@ def per_group(rows: DataFrame, keys: list[str], columns: list[str], order: list,
     return rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, kind)
 
 
-def group_tables(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
-    """The runs of equal keys in sorted batches, each as a table."""
-    held, key = [], None
+def group_pieces(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The runs of equal keys in each sorted batch; a run that goes on in the next batch comes in pieces."""
     for batch in batches:
         n = len(batch)
         if not n:
             continue
-        fresh = np.zeros(max(n - 1, 0), bool)
+        fresh = np.zeros(n - 1, bool)
         for name in keys:
             column = batch[name]
             fresh |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), False).to_numpy(zero_copy_only=False)
             fresh |= pc.not_equal(column[1:].is_null(), column[:-1].is_null()).to_numpy(zero_copy_only=False)
         stops = [0, *(np.flatnonzero(fresh) + 1).tolist(), n]
         for a, b in zip(stops, stops[1:], strict=False):
-            own = tuple(batch[name][a].as_py() for name in keys)
-            if own != key and held:
-                yield key, pa.Table.from_batches(held)
-                held = []
-            key = own
-            held.append(batch.slice(a, b - a))
+            yield tuple(batch[name][a].as_py() for name in keys), batch.slice(a, b - a)
+
+
+def group_tables(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The runs of equal keys in sorted batches, each as a table."""
+    held, key = [], None
+    for own, piece in group_pieces(batches, keys):
+        if own != key and held:
+            yield key, pa.Table.from_batches(held)
+            held = []
+        key = own
+        held.append(piece)
     if held:
         yield key, pa.Table.from_batches(held)
+
+
+def sequence_hash(rows: DataFrame, keys: list[str], line: str, separator: str = "\n") -> DataFrame:
+    """SRC17: keys and ``sha256`` of each group's lines in order, joined by a separator.
+
+    Such a hash is sequential by definition: a group is one task's stream, of which a batch is held at a time.
+    """
+    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    kind: StructType = _parse_datatype_string(f"{schema}, sha256 string" if keys else "sha256 string")
+    target = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, now, done = None, None, []
+        for own, table in group_pieces(batches, keys):
+            if now is None or own != key:
+                done += [(*key, now.hexdigest())] if now is not None else []
+                key, now = own, hashlib.sha256()
+                text = ""
+            else:
+                text = separator
+            now.update((text + separator.join(table[line].to_pylist())).encode())
+        if now is not None:
+            done.append((*key, now.hexdigest()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], f.type) for i, f in enumerate(target)], schema=target)
+
+    dealt = rows.select(*keys, line).where(F.col(line).isNotNull())
+    dealt = dealt.repartition(*keys) if keys else dealt.coalesce(1)
+    return dealt.sortWithinPartitions(*keys, line).mapInArrow(run, kind)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annolith.session import shared_dir
+from .store import stored
 
 
 def ranked_dedup(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -96,17 +98,15 @@ def numbered(rows: DataFrame, order: list[Column | str], name: str = "position")
     added, which is a table with a row for each partition. Equal rows of the order get numbers in any order.
     """
     keys = [F.expr(o) if isinstance(o, str) else o for o in order]
-    own = [c for c in rows.columns]
-    made = rows.select("*", *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
     sort = [f"_k{i}" for i in range(len(keys))]
-    dealt = made.repartitionByRange(*sort).withColumn("_part", F.spark_partition_id())
-    # stored, so that numbers and counts come from one and the same dealing
-    shared_dir(rows.sparkSession)
-    dealt = dealt.checkpoint()
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    dealt = rows.select("*", *[k.alias(name_) for k, name_ in zip(keys, sort, strict=True)]).repartitionByRange(*sort).sortWithinPartitions(*sort)
+    # the id is the partition's number and, below it, the row's place there; stored, so that all reads see one dealing
+    placed = stored(dealt.select(*rows.columns, F.monotonically_increasing_id().alias("_id")), "numbered")
+    part, inside = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_part")).agg((F.max(inside) + 1).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*sort)) - 1
-    return dealt.withColumn("_inside", inside).join(F.broadcast(before), "_part").select(*own, (F.col("_before") + F.col("_inside")).alias(name))  # a row for each partition
+    own = placed.withColumn("_part", part).join(F.broadcast(before), "_part")  # a row for each partition
+    return own.select(*rows.columns, (F.col("_before") + inside).alias(name))
 
 
 def extremes(rows: DataFrame, by: list[str], value: str, key: str, n: int, seed: object) -> DataFrame:
@@ -138,3 +138,14 @@ def lookup_children(parents: DataFrame, children: DataFrame, found: DataFrame, p
     row = F.struct(F.col("position"), *[F.col(c) for c in child if c not in parent], *fields, F.coalesce("_hit", F.lit(False)).alias("found"))
     regrouped = looked.groupBy(*parent).agg(F.sort_array(F.collect_list(row)).alias("children"), F.bool_and(F.coalesce("_hit", F.lit(False))).alias("complete"))
     return parents.join(regrouped, parent, "left").withColumn("complete", F.coalesce("complete", F.lit(True)))
+
+
+def at_ranks(rows: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """AGG10-12: by and, for each name, the value at a place (from 0, of the number of values) of the group's sorted values.
+
+    Equal values meet as counts before they are sorted, so a group's window holds its distinct values only.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by)
+    placed = counts.withColumn("_upto", F.sum("_c").over(w.orderBy("_v"))).withColumn("_n", F.sum("_c").over(w))
+    return placed.groupBy(*by).agg(*[F.min(F.when(F.col("_upto") > place(F.col("_n")), F.col("_v"))).alias(name) for name, place in places.items()])

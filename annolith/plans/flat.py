@@ -290,17 +290,17 @@ def agg09(s, d):
 
 @query("agg10_nearest_rank", "SELECT l_suppkey, list_sort(list(l_extendedprice))[CAST(round_even((count(*) - 1) * 0.95::DOUBLE, 0) AS INTEGER) + 1] AS p95 FROM lineitem GROUP BY 1")
 def agg10(s, d):
-    return read(s, d, "lineitem").groupBy("l_suppkey").agg(V.nearest_rank(F.collect_list("l_extendedprice"), 0.95).alias("p95"))
+    return tables.at_ranks(read(s, d, "lineitem"), ["l_suppkey"], "l_extendedprice", {"p95": lambda n: F.bround((n - 1) * F.lit(0.95), 0)})
 
 
 @query("agg11_truncated_rank", "SELECT l_suppkey, list_sort(list(l_extendedprice))[CAST(floor((count(*) - 1) * 0.975::DOUBLE) AS INTEGER) + 1] AS p975 FROM lineitem GROUP BY 1")
 def agg11(s, d):
-    return read(s, d, "lineitem").groupBy("l_suppkey").agg(V.truncated_rank(F.collect_list("l_extendedprice"), 0.975).alias("p975"))
+    return tables.at_ranks(read(s, d, "lineitem"), ["l_suppkey"], "l_extendedprice", {"p975": lambda n: F.floor((n - 1) * F.lit(0.975))})
 
 
 @query("agg12_upper_median", "SELECT l_suppkey, list_sort(list(l_quantity))[count(*) // 2 + 1] AS middle FROM lineitem GROUP BY 1")
 def agg12(s, d):
-    return read(s, d, "lineitem").groupBy("l_suppkey").agg(V.upper_median(F.collect_list("l_quantity")).alias("middle"))
+    return tables.at_ranks(read(s, d, "lineitem"), ["l_suppkey"], "l_quantity", {"middle": lambda n: F.floor(n / 2)})
 
 
 @query("agg13_crosstab", with_(FACES, "SELECT gender, round(count(*) FILTER (smile = 'yes') / count(*)::DOUBLE, 6) AS yes, round(count(*) FILTER (smile = 'no') / count(*)::DOUBLE, 6) AS no, round(count(*) FILTER (smile = 'not_assessable') / count(*)::DOUBLE, 6) AS not_assessable FROM faces GROUP BY 1"))

@@ -11,7 +11,7 @@ from annolith.functions import values as V
 from annolith.operators import bootstrap as B
 from annolith.operators import ledger as L
 from annolith.operators import sampling as S
-from annolith.operators import tables
+from annolith.operators import streams, tables
 from annolith.session import shared_dir
 from annolith.sources import files
 from annolith.streaming import ledger as stream
@@ -87,7 +87,7 @@ def win09(s, d):
     return L.trailing(read(s, d, "events"), ["user_id"], "ts", "value", 3600).select("event_id", F.round("trailing", 4).alias("trailing"))
 
 
-@query("win10_ewma")
+@query("win10_ewma", with_(LEDGER, "SELECT stage, round(list_reduce(list(tokens ORDER BY ts, event_id), lambda a, v: a * 0.95::DOUBLE + v * 0.05::DOUBLE), 6) AS ewma, CAST(count(*) AS INTEGER) AS n FROM led WHERE tokens IS NOT NULL GROUP BY 1"))
 def win10(s, d):
     return L.ewma(ledger(s, d), ["stage"], ["ts", "event_id"], "tokens").withColumn("ewma", F.round("ewma", 6))
 
@@ -156,7 +156,7 @@ def src16(s, d):
 @query("src17_collection_hash", "SELECT lang, sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || sha256(text), chr(10) ORDER BY CAST(doc_id AS VARCHAR) || ':' || sha256(text))) AS collection FROM documents GROUP BY 1")
 def src17(s, d):
     parts = read(s, d, "documents").select("lang", F.concat_ws(":", c("doc_id").cast("string"), F.sha2("text", 256)).alias("p"))
-    return parts.groupBy("lang").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("p")), "\n"), 256).alias("collection"))
+    return streams.sequence_hash(parts, ["lang"], "p").withColumnRenamed("sha256", "collection")
 
 
 @query("src18_registry_upsert", "SELECT user_id, max_by(event_id, ts) AS event_id FROM events GROUP BY 1")

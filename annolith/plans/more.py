@@ -300,7 +300,8 @@ def srt08(s, d):
 
 @query("srt09_casefold_order", "SELECT p_type, CAST(row_number() OVER (ORDER BY lower(p_type), p_type) AS INTEGER) AS place FROM (SELECT DISTINCT p_type FROM part)")
 def srt09(s, d):
-    return read(s, d, "part").select("p_type").distinct().select("p_type", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.lower("p_type"), "p_type")).alias("place"))
+    names = tables.numbered(read(s, d, "part").select("p_type").distinct(), [F.lower("p_type"), c("p_type")])
+    return names.select("p_type", (c("position") + 1).cast("int").alias("place"))
 
 
 @query("set05_disjoint", "SELECT (SELECT count(*) FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')) = 0 AS disjoint_, (SELECT count(*) FROM (SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation)) = 0 AS subset_")

@@ -9,6 +9,7 @@ from annolith.functions import boxes
 from annolith.functions.boxes import box
 from annolith.operators import ledger as L
 from annolith.operators import bootstrap, metrics, reports, sampling, tables
+from annolith.operators.store import stored
 
 from .ledgers import DRAWS, LEDGER, REPS, issues, ledger
 from .registry import query
@@ -150,7 +151,8 @@ def rpt18(s, d):
 
     split = F.when(c("image_id") % 2 == 0, "development").otherwise("reserve").alias("cohort")
     totals = faces(s, d).groupBy(split).agg(F.count_if(c("coder") == "h").alias("human"), F.count_if(c("coder") == "p").alias("predicted"))
-    modes = {"greedy_strict": matching.greedy(accepted(s, d), PAGE, c("iou")), "optimal_strict": matching.optimal(accepted(s, d), PAGE), "optimal_iou_0.5": matching.optimal(accepted(s, d, 0.5), PAGE)}
+    found = stored(accepted(s, d), "candidates")  # those of every mode
+    modes = {"greedy_strict": matching.greedy(found, PAGE, c("iou")), "optimal_strict": matching.optimal(found, PAGE), "optimal_iou_0.5": matching.optimal(found.where("iou >= 0.5"), PAGE)}
     out = None
     for mode, pairs in modes.items():
         own = pairs.groupBy(split).agg(F.count("*").alias("matched"), F.avg("iou").alias("mean_iou")).withColumn("mode", F.lit(mode))

@@ -70,8 +70,10 @@ def manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
 
 def collection_hash(files: DataFrame) -> DataFrame:
     """SRC17: one hash over the sorted names and hashes of a manifest."""
-    parts = F.sort_array(F.collect_list(F.concat_ws(":", "name", "sha256")))
-    return files.agg(F.sha2(F.array_join(parts, "\n"), 256).alias("collection"))
+    from annolith.operators.streams import sequence_hash
+
+    lines = files.select(F.concat_ws(":", "name", "sha256").alias("line"))
+    return sequence_hash(lines, [], "line").withColumnRenamed("sha256", "collection")
 
 
 def publish(rows: DataFrame, path: str, kind: str = "parquet", verify: bool = True, **options: str) -> None:
