@@ -1,4 +1,4 @@
-"""Small-world graphs inside pages: components, pair sets, overlap typing (SPA21-23; MET14)."""
+"""Small-world graphs inside pages: components, pair sets, merges by hand, overlap typing (SPA21-23; JOI19, MET14)."""
 
 from __future__ import annotations
 
@@ -34,6 +34,52 @@ def components(edges: DataFrame, group: list[str]) -> DataFrame:
     return per_group(edges, group, ["a", "b"], ["a", "b"], solve, schema)
 
 
+def merge_clusters(members: DataFrame, links: DataFrame, group: list[str]) -> DataFrame:
+    """JOI19: clusters of a group united along links that people made, in the links' order.
+
+    members: group, id, source, cluster. links: group, position, a, b (ids). A link is left out if an id is unknown, and it is
+    refused if both clusters then hold one source. Gives group, id, source, before, cluster (from 1, a united cluster stands
+    where its earlier one stood), manual (the links inside the cluster, refused ones not among them).
+    """
+    kind = {n: members.schema[n].dataType.simpleString() for n in (*group, "id", "source", "cluster")}
+    none = F.lit(None)
+    own = members.select(*group, F.lit(0).alias("_kind"), F.lit(0).cast("bigint").alias("_at"), F.col("id").alias("_a"), none.cast(kind["id"]).alias("_b"), "source", "cluster")
+    asked = links.select(*group, F.lit(1).alias("_kind"), F.col("position").cast("bigint").alias("_at"), F.col("a").cast(kind["id"]).alias("_a"), F.col("b").cast(kind["id"]).alias("_b"), none.cast(kind["source"]).alias("source"), none.cast(kind["cluster"]).alias("cluster"))
+
+    def solve(key: tuple, rows: list[tuple]) -> list[tuple]:
+        items = [r for r in rows if r[0] == 0]
+        wanted = [(r[2], r[3]) for r in rows if r[0] == 1]
+        names = sorted({r[5] for r in items})
+        place = {name: i for i, name in enumerate(names)}
+        home = {r[2]: place[r[5]] for r in items}
+        above, sources = list(range(len(names))), [set() for _ in names]
+        for r in items:
+            sources[place[r[5]]].add(r[4])
+
+        def top(x: int) -> int:
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        for a, b in wanted:
+            if a not in home or b not in home:
+                continue
+            low, high = sorted((top(home[a]), top(home[b])))
+            if low != high and sources[low].isdisjoint(sources[high]):
+                above[high] = low
+                sources[low] |= sources[high]
+        number = {x: i + 1 for i, x in enumerate(sorted({top(i) for i in range(len(names))}))}
+        inside = [0] * len(names)
+        for a, b in wanted:
+            if a in home and b in home and top(home[a]) == top(home[b]):
+                inside[top(home[a])] += 1
+        return [(r[2], r[4], r[5], number[top(place[r[5]])], inside[top(place[r[5]])]) for r in items]
+
+    schema = ", ".join(f"`{g}` {kind[g]}" for g in group) + f", id {kind['id']}, source {kind['source']}, before {kind['cluster']}, cluster int, manual int"
+    return per_group(own.unionByName(asked), group, ["_kind", "_at", "_a", "_b", "source", "cluster"], ["_kind", "_at", "_a", "_b"], solve, schema)
+
+
 def pair_set(members: DataFrame, group: list[str]) -> DataFrame:
     """SPA21: group, a, b of all pairs inside components. Members of a page's component are few."""
     m = members.select(*group, "component", F.col("node").alias("a"))

@@ -5,9 +5,14 @@ Random choices are hashes of a seed and the row's id, so a sample doesn't depend
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
 
@@ -74,24 +79,83 @@ def round_robin(rows: DataFrame, by: list[str], key: str, seed: object) -> DataF
 
 
 def deficit_order(rows: DataFrame, stratum: str, key: str, seed: object) -> DataFrame:
-    """SMP07: a schedule in which each next place goes to the stratum furthest behind its share. Sequential over rows of
-    a sample, so it takes them as one small group."""
-    schema = StructType([*rows.select(key, stratum).schema.fields, StructField("place", LongType())])
-
-    def schedule(pdf: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-
-        pdf = pdf.assign(_h=[hashlib.sha256(f"{seed}:{k}".encode()).hexdigest() for k in pdf[key]]).sort_values(["_h", key])
-        queues = {s: list(g[key]) for s, g in sorted(pdf.groupby(stratum), key=lambda x: x[0])}
-        share = {s: len(q) / len(pdf) for s, q in queues.items()}
-        taken, out = dict.fromkeys(queues, 0), []
-        for position in range(1, len(pdf) + 1):
-            s = min((s for s in queues if taken[s] < len(queues[s])), key=lambda s: (-(position * share[s] - taken[s]), s))
-            out.append((queues[s][taken[s]], s, position))
+    """SMP07: key, stratum, place: a schedule in which each next place goes to the stratum furthest behind its share (ties to
+    the smaller stratum), a stratum's rows by hash.
+
+    The order of strata depends on their sizes alone. It is made from the counts, as a stream of (stratum, turn, place), and
+    rows join it by their turn in their stratum; no row passes through a common group.
+    """
+    w = Window.partitionBy(stratum).orderBy(hash_key(seed, F.col(key)), key)
+    turns = rows.where(F.col(stratum).isNotNull()).select(key, stratum, F.row_number().over(w).cast("bigint").alias("_turn"))
+    sizes = rows.where(F.col(stratum).isNotNull()).groupBy(stratum).agg(F.count("*").alias("_n"))
+    kind = StructType([sizes.schema[stratum], StructField("_turn", LongType()), StructField("place", LongType())])
+
+    def schedule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sorted(x for batch in batches for x in zip(batch[stratum].to_pylist(), batch["_n"].to_pylist(), strict=True))
+        total, taken, out = sum(n for _, n in counts), dict.fromkeys((s for s, _ in counts), 0), []
+        share = {s: n / total for s, n in counts}
+        for position in range(1, total + 1):
+            s = min((s for s, n in counts if taken[s] < n), key=lambda s: (-(position * share[s] - taken[s]), s))
             taken[s] += 1
-        return pd.DataFrame(out, columns=[key, stratum, "place"])
+            out.append((s, taken[s], position))
+            if len(out) == 50_000:
+                yield _columns(out, kind)
+                out = []
+        yield _columns(out, kind)
+
+    order = sizes.coalesce(1).mapInArrow(schedule, kind)  # a row for each stratum
+    return turns.join(order, [stratum, "_turn"]).select(key, stratum, "place")
+
 
-    return rows.groupBy().applyInPandas(schedule, schema)
+def _columns(rows: list[tuple], kind: StructType) -> pa.RecordBatch:
+    target = to_arrow_schema(kind)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(target)], schema=target)
+
+
+def choose_balanced(rows: DataFrame, n: int, key: str, page: str, fields: list[str], selected: DataFrame | None = None) -> DataFrame:
+    """SMP21: n rows, one after the other: each time that with the least (chosen rows of its page, of its first field's value,
+    of the next one's, ...), ties by hash of page and key. Counts begin with the rows already selected. rows with ``place``
+    (from 1); fewer than n rows are an error.
+
+    Only rows that can be chosen are compared: of those whose fields and count of selected rows of their page are equal, the
+    first n by (turn among such rows of their page, tie). Any later one has n rows before it, of which one is always better:
+    a page that has fallen behind it has taken as many of the n places as it holds rows before it. So n times the number of
+    such cells are compared, wherever the rows lie.
+    """
+    tie = F.sha2(F.concat_ws("::", F.col(page).cast("string"), F.col(key).cast("string")), 256)
+    before = None if selected is None else selected.groupBy(page).agg(F.count("*").alias("_had"))
+    own = rows.withColumn("_tie", tie)
+    own = own.withColumn("_had", F.lit(0).cast("bigint")) if before is None else own.join(before, page, "left").withColumn("_had", F.coalesce("_had", F.lit(0)))
+    turn = F.row_number().over(Window.partitionBy(page, *fields).orderBy("_tie", key))
+    cell = F.row_number().over(Window.partitionBy("_had", *fields).orderBy("_turn", "_tie", key))
+    short = own.select(key, page, *fields, "_had", "_tie", turn.alias("_turn")).where(F.col("_turn") <= n).withColumn("_cell", cell).where(F.col("_cell") <= n)
+    counts = {f: {} if selected is None else {r[f]: r["n"] for r in selected.groupBy(f).agg(F.count("*").alias("n")).collect()} for f in fields}  # a row for each label
+    kind = StructType([rows.schema[key], rows.schema[page], StructField("place", LongType())])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [key, page, *fields, "_had", "_tie"]
+        given = [r for batch in batches for r in zip(*(batch[c].to_pylist() for c in columns), strict=True)]
+        pages, labels = {r[1]: r[-2] for r in given}, [dict(counts[f]) for f in fields]
+        now = lambda r: (pages[r[1]], *(have.get(v, 0) for have, v in zip(labels, r[2:-2], strict=True)), r[-1], r[0])
+        heap = [(now(r), i) for i, r in enumerate(given)]
+        heapq.heapify(heap)
+        out = []
+        while heap and len(out) < n:
+            rank, i = heapq.heappop(heap)
+            r = given[i]
+            if (fresh := now(r)) != rank:  # counts only grow, so a row only falls back
+                heapq.heappush(heap, (fresh, i))
+                continue
+            out.append((r[0], r[1], len(out) + 1))
+            pages[r[1]] += 1
+            for have, v in zip(labels, r[2:-2], strict=True):
+                have[v] = have.get(v, 0) + 1
+        if len(out) < n:
+            raise ValueError(f"only {len(out)} of {n} rows could be chosen")
+        yield _columns(out, kind)
+
+    chosen = short.coalesce(1).mapInArrow(choose, kind)
+    return rows.join(chosen, [key, page])
 
 
 def balanced_order(rows: DataFrame, group: str, key: str, done: DataFrame, seed: object) -> DataFrame:

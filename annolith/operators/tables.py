@@ -82,6 +82,18 @@ def reduced_label(rows: DataFrame, by: list[str], value: str, half: float = 0.5)
     return whole.select(*by, label.alias("label"), "total", "seen")
 
 
+def composition(rows: DataFrame, by: list[str], value: str, order: str, sure: Column, override: str, half: float = 0.5) -> DataFrame:
+    """AGG39: by, label: <value>_only, mostly_<value> (over half) or mixed over the known values, of equally frequent ones that
+    which comes first in the order; ``override`` if any row is sure; null with fewer than two rows, or known ones under half."""
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("n"), F.min(order).alias("first"), F.bool_or(F.coalesce(sure, F.lit(False))).alias("sure"))
+    known = F.col(value).isNotNull()
+    top = F.min(F.when(known, F.struct((-F.col("n")).alias("less"), "first", F.col(value).alias("v"))))
+    whole = counts.groupBy(*by).agg(F.sum("n").alias("total"), F.sum(F.when(known, F.col("n")).otherwise(0)).alias("seen"), F.bool_or("sure").alias("sure"), top.alias("top"))
+    n, v, seen = -F.col("top.less"), F.col("top.v"), F.col("seen")
+    label = F.when((F.col("total") >= 2) & (seen >= F.col("total") * half), F.when(F.col("sure"), override).when(n == seen, F.concat(v, F.lit("_only"))).when(n > seen * 0.5, F.concat(F.lit("mostly_"), v)).otherwise("mixed"))
+    return whole.select(*by, label.alias("label"))
+
+
 def centred_sum(rows: DataFrame, year: str, value: str, first: int, last: int, width: int = 5) -> DataFrame:
     """WIN06: over a complete spine of years; null unless all years of the frame have a value. One row a year."""
     half = width // 2

@@ -1,5 +1,5 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import bootstraps, flat, ledgers, more, reports, scores, spatial
+from . import bootstraps, flat, inventory, ledgers, more, reports, scores, spatial
 
-__all__ = ["bootstraps", "flat", "ledgers", "more", "reports", "scores", "spatial"]
+__all__ = ["bootstraps", "flat", "inventory", "ledgers", "more", "reports", "scores", "spatial"]
