@@ -21,12 +21,6 @@ def csv_table(spark: SparkSession, path: str, schema: StructType, columns: list[
     return out.select(*columns) if columns else out
 
 
-def with_source_rows(rows: DataFrame) -> DataFrame:
-    """Row numbers from 1 in file order, dense; the one place where an RDD gives what a frame can't."""
-    schema = StructType([StructField("source_row", rows.sparkSession.range(1).schema[0].dataType), *rows.schema.fields])
-    return rows.rdd.zipWithIndex().map(lambda x: (x[1] + 1, *x[0])).toDF(schema)
-
-
 def jsonl(spark: SparkSession, path: str, schema: StructType, mode: str = "strict") -> DataFrame:
     """SRC04-06: ``strict`` fails on a bad line, ``collect`` keeps it in ``_corrupt``, ``tolerant`` drops it."""
     if mode == "collect":
@@ -60,12 +54,12 @@ def last_record(rows: DataFrame, key: list[str], order: str) -> DataFrame:
 
 def manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """SRC14, SRC17: name, stem, bytes and SHA-256 of each file, in the order of the names' lower case."""
-    from pyspark.sql import Window
+    from annolith.operators.tables import numbered
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     name = F.regexp_extract("path", r"[^/]+$", 0)
     rows = files.select(name.alias("name"), F.regexp_replace(name, r"\.[^.]+$", "").alias("stem"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    return rows.withColumn("index", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.lower("name"), "name")) - 1)
+    return numbered(rows, [F.lower("name"), F.col("name")], "index")
 
 
 def collection_hash(files: DataFrame) -> DataFrame:
