@@ -6,8 +6,8 @@ passes (EM) over word counts of a bounded sample of labelled rows, each pass a S
 A text's score is the sum of its words' log probabilities, normalised over the languages. The forward pass runs in numpy
 over all new words of a batch at once, and a task keeps the scores of the words it has seen.
 
-Results for special cases: a null text, or one without a letter (Unicode's category L), is ``und`` with score 0; letters
-outside the vocabulary, and pieces that no language's sample holds, count the same for every language; ties go to the
+Results for special cases: a null text, or one without a letter (Unicode's category L), is ``und`` with score 0; words of any length
+are one word each, of which no piece is cut; letters outside the vocabulary, and pieces that no language's sample holds, count the same for every language; ties go to the
 language that sorts first; texts are read whole; repeated rows are scored each, and learned from once for each key; with
 no labelled rows every text is ``und``; an empty table gives no rows.
 """
@@ -28,12 +28,11 @@ from .shared import arrow_map, hash_bound, quoted, released, tidied, written
 
 #: The sample that the model is fitted on: so many labelled rows of each language, those whose hash is least. EM steps.
 SAMPLE_PER_LANG, EM_STEPS = 400, 3
-SMOOTHING, UNKNOWN, LONGEST_WORD, CACHED_WORDS, START = 0.05, 1e-7, 32, 150_000, "▁"
+SMOOTHING, UNKNOWN, CACHED_WORDS, START = 0.05, 1e-7, 150_000, "▁"
 #: Expected counts are summed as whole numbers of this fraction, so that their sums don't depend on the order.
 GRAIN = 1e6
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 ANY_LETTER = regex.compile(r"\p{L}")
-BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def public_pieces(path: str) -> list[str]:
@@ -45,59 +44,64 @@ def public_pieces(path: str) -> list[str]:
     return sorted(p for p in pieces if p != START and (bare := p.removeprefix(START)) == bare.lower() and LETTERS.fullmatch(bare))
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """Hashes one to one, so that their top bits depend on all characters, the last one too."""
-    h = (h ^ (h >> np.uint64(32))) * BASE
-    return h ^ (h >> np.uint64(29))
+LETTER = 1 << 21  # above all code points
+Edges = dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
 
 
 class Lattice:
-    """Finds, for many words at once, which pieces begin and end where."""
+    """Finds, for many words at once, which pieces begin and end where: a trie of the pieces, walked from every letter."""
 
     def __init__(self, pieces: list[str]):
-        lengths = np.array([len(p) for p in pieces] or [0])
-        self.pieces, self.longest = pieces, int(lengths.max())
-        keys = np.zeros(len(pieces), np.uint64)
-        for n in np.unique(lengths[lengths > 0]):
-            rows = np.flatnonzero(lengths == n)
-            codes = np.array([[ord(c) for c in pieces[i]] for i in rows], np.uint64)
-            h = np.zeros(len(rows), np.uint64)
-            for j in range(n):
-                h = h * BASE + codes[:, j] + np.uint64(1)
-            keys[rows] = h
-        keys = mixed(keys)
-        self.order = np.argsort(keys)
-        self.keys = keys[self.order]
-        self.bits = 18  # a direct table by the key's top bits gives the run in which to look; a run is searched whole
-        runs = np.bincount((self.keys >> np.uint64(64 - self.bits)).astype(np.int64), minlength=1 << self.bits)
-        self.first = (np.cumsum(runs) - runs).astype(np.int32)
-        self.deep = int(runs.max(initial=0))
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Index of the piece with each hash, or the number of pieces."""
-        h = mixed(h)
-        at = self.first[(h >> np.uint64(64 - self.bits)).astype(np.int64)]
-        out = np.full(len(h), len(self.keys), np.int32)
-        for _ in range(self.deep):
-            ok = at < len(self.keys)
-            hit = np.zeros(len(h), bool)
-            hit[ok] = self.keys[at[ok]] == h[ok]
-            out[hit] = self.order[at[hit]]
-            at = at + 1
-        return out
-
-    def edges(self, codes: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """codes: words of one length in rows. By (start, end): the piece there in each word."""
-        width, found = codes.shape[1], {}
-        for i in range(width):
-            h = np.zeros(len(codes), np.uint64)
-            for j in range(i, min(width, i + self.longest)):
-                h = h * BASE + codes[:, j] + np.uint64(1)
-                k = self.find(h)
-                if j == i or (k < len(self.keys)).any():
-                    found[i, j + 1] = k
+        nodes: dict[str, int] = {"": 0}
+        edges: dict[int, int] = {}
+        for p in pieces:
+            at = 0
+            for i, c in enumerate(p):
+                after = nodes.setdefault(p[: i + 1], len(nodes))
+                edges[at * LETTER + ord(c)] = after
+                at = after
+        self.pieces = pieces
+        self.keys = np.array(sorted(edges), np.int64)
+        self.to = np.array([edges[k] for k in self.keys.tolist()], np.int32)
+        self.piece = np.full(len(nodes), len(pieces), np.int32)
+        self.piece[[nodes[p] for p in pieces if p]] = [i for i, p in enumerate(pieces) if p]
+
+    def edges(self, codes: np.ndarray) -> Edges:
+        """codes: words of one length in rows. By (start, end): the words with a piece there, and which; a single letter that is
+        no piece has the number of pieces."""
+        n, width = codes.shape
+        flat, found = codes.ravel().astype(np.int64), {}
+        none = len(self.pieces)
+        at, node, depth = np.arange(n * width), np.zeros(n * width, np.int64), 0
+        while len(at):
+            place, ok = self._step(node, flat[at + depth])
+            if depth == 0:  # all places are live, in order
+                single = np.full(len(at), none, np.int32)
+                single[ok] = self.piece[self.to[place[ok]]]
+                for i in range(width):
+                    found[i, i + 1] = np.arange(n), single[i::width]
+            at, node = at[ok], self.to[place[ok]].astype(np.int64)
+            depth += 1
+            if depth > 1:
+                hit = np.flatnonzero(self.piece[node] < none)
+                start = at[hit] % width
+                order = np.argsort(start, kind="stable")
+                hit, start = hit[order], start[order]
+                stops = np.flatnonzero(np.diff(start, append=-1)) + 1
+                for low, high in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True) if len(hit) else ():
+                    found[int(start[low]), int(start[low]) + depth] = at[hit[low:high]] // width, self.piece[node[hit[low:high]]]
+            more = at % width + depth < width
+            at, node = at[more], node[more]
         return found
 
+    def _step(self, node: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(node), np.int64), np.zeros(len(node), bool)
+        key = node * LETTER + letter
+        place = np.searchsorted(self.keys, key)
+        place[place == len(self.keys)] = 0
+        return place, self.keys[place] == key
+
 
 @dataclass
 class Model:
@@ -110,48 +114,72 @@ class Model:
         out = np.zeros((len(words), len(self.langs)))
         for rows, codes in blocks(words):
             edges = self.lattice.edges(codes)
-            out[rows] = np.log(forward(edges, codes, self.chance)[-1])
+            alpha, scale = forward(edges, codes.shape, self.chance)
+            with np.errstate(divide="ignore"):  # beside others, a language may be too far off to be told from impossible
+                out[rows] = np.log(alpha[-1]) + scale[-1][:, None]
         return out
 
 
-def blocks(words: list[str], most: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def blocks(words: list[str], most: int = 20_000, letters: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Words of one length together, as rows of code points."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(lengths[lengths > 0]):
         of = np.flatnonzero(lengths == n)
-        for a in range(0, len(of), most):
-            rows = of[a : a + most]
+        step = max(1, min(most, letters // int(n)))
+        for a in range(0, len(of), step):
+            rows = of[a : a + step]
             flat = "".join([words[i] for i in rows]).encode("utf-32-le", "surrogatepass")
             yield rows, np.frombuffer(flat, np.uint32).reshape(len(rows), n).astype(np.uint64)
 
 
-def forward(edges: dict[tuple[int, int], np.ndarray], codes: np.ndarray, chance: np.ndarray) -> list[np.ndarray]:
-    n, width, none = len(codes), codes.shape[1], len(chance) - 1
-    alpha = [np.ones((n, chance.shape[1]))] + [np.zeros((n, chance.shape[1])) for _ in range(width)]
-    for (i, j), k in sorted(edges.items(), key=lambda e: e[0]):
-        if j == i + 1:
-            alpha[j] += alpha[i] * chance[k]
-        elif len(hit := np.flatnonzero(k < none)):
-            alpha[j][hit] += alpha[i][hit] * chance[k[hit]]
-    return alpha
+#: Sums of words of more letters are scaled as they grow: those of fewer cannot leave the range of doubles.
+UNSCALED = 40
 
 
-def expected(edges: dict[tuple[int, int], np.ndarray], codes: np.ndarray, chance: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def forward(edges: Edges, shape: tuple[int, int], chance: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sums over all segmentations up to each place, a row for each word, and the logarithms of what they were divided by."""
+    n, width = shape
+    alpha = [np.ones((n, chance.shape[1]))] + [np.zeros((n, chance.shape[1])) for _ in range(width)]
+    scale = [np.zeros(n) for _ in range(width + 1)] if width > UNSCALED else [np.zeros(n)] * (width + 1)
+    by_start: list[list[int]] = [[] for _ in range(width)]
+    for i, j in edges:
+        by_start[i].append(j)
+    for i in range(width):
+        if width > UNSCALED:
+            top = alpha[i].max(axis=1)
+            top[top == 0] = 1.0
+            alpha[i] = alpha[i] / top[:, None]
+            scale[i] = scale[i] + np.log(top)
+        for j in sorted(by_start[i]):
+            hit, k = edges[i, j]
+            part = alpha[i][hit] * chance[k]
+            if width > UNSCALED:  # what comes from here is carried on the scale that the place has
+                fresh = ~alpha[j][hit].any(axis=1)
+                scale[j][hit[fresh]] = scale[i][hit[fresh]]
+                part *= np.exp(np.minimum(scale[i][hit] - scale[j][hit], 700.0))[:, None]
+            alpha[j][hit] += part
+    return alpha, scale
+
+
+def expected(edges: Edges, shape: tuple[int, int], chance: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected piece counts of words under one language's chances, by forward and backward passes."""
-    width, none = codes.shape[1], len(chance) - 1
-    alpha = forward(edges, codes, chance[:, None])
-    beta = [np.zeros(len(codes)) for _ in range(width)] + [np.ones(len(codes))]
+    n, width = shape
+    alpha, up = forward(edges, shape, chance[:, None])
+    flipped = {(width - j, width - i): x for (i, j), x in edges.items()}
+    beta, down = forward(flipped, shape, chance[:, None])
     total, counts = alpha[-1][:, 0], np.zeros(len(chance))
-    for (i, j), k in sorted(edges.items(), key=lambda e: (-e[0][0], e[0][1])):
-        p = np.where((k < none) | (j == i + 1), chance[k], 0.0)
-        beta[i] += p * beta[j]
-        counts += np.bincount(k, weight * alpha[i][:, 0] * p * beta[j] / total, len(chance))
+    whole = up[-1]
+    for (i, j), (hit, k) in edges.items():
+        share = alpha[i][hit, 0] * chance[k] * beta[width - j][hit, 0] / total[hit]
+        if width > UNSCALED:
+            share = share * np.exp(up[i][hit] + down[width - j][hit] - whole[hit])
+        counts += np.bincount(k, weight[hit] * share, len(chance))
     return counts
 
 
 def segments(word: str) -> list[str]:
-    """Runs of letters, each with the mark that begins a word, long ones in parts."""
-    return [part[a : a + LONGEST_WORD] for run in LETTERS.findall(word) for part in (START + run,) for a in range(0, len(part), LONGEST_WORD)]
+    """Runs of letters, each with the mark that begins a word."""
+    return [START + run for run in LETTERS.findall(word)]
 
 
 def fit(docs: DataFrame, pieces: list[str], key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_PER_LANG) -> Model:
@@ -202,7 +230,7 @@ def _expected_counts(words: DataFrame, model: Model) -> DataFrame:
             for x in set(langs.tolist()):
                 of, total = np.flatnonzero(langs == x), made.setdefault(x, np.zeros(none, np.int64))
                 for rows, codes in blocks([segment[i] for i in of]):
-                    counts = expected(model.lattice.edges(codes), codes, model.chance[:, model.langs.index(x)], weight[of[rows]].astype(float))
+                    counts = expected(model.lattice.edges(codes), codes.shape, model.chance[:, model.langs.index(x)], weight[of[rows]].astype(float))
                     total += np.rint(counts[:none] * GRAIN).astype(np.int64)
         for x, total in made.items():
             piece = np.flatnonzero(total)
