@@ -1,11 +1,11 @@
 """Secret scans: fixed patterns and an assignment-aware lexer.
 
-The lexer reads source and configuration syntax (``name = "x"``, ``name: x``, ``"name": "x"``, ``export NAME=x``,
-``:=`` and ``=>``) into name-literal pairs, follows constants through ``name = OTHER`` and ``name = A + "x"``, and scores
-each literal that reaches a target by the sensitivity of the target's name and by the literal's own form.
+The lexer (``lexing``) reads source and configuration syntax into name-literal pairs and follows constants, so a literal that
+reaches a target through other names counts as the target's. Each literal is scored by the sensitivity of the target's name
+and by the literal's own form.
 
 Results for special cases: a null text is as an empty one, with no spans; repeated rows are scanned each; texts are
-scanned whole, whatever their length; an empty table gives no rows.
+scanned whole, whatever their length; an empty table gives no rows; columns may have any names.
 """
 
 from __future__ import annotations
@@ -18,6 +18,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
+
+from .lexing import pairs
+from .shared import arrow_map, quoted
 
 KINDS = ("assign", "access", "hex", "named")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -26,11 +31,6 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 
 #: Stems of sensitive names with their weights.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.8, "secret": 1.0, "token": 0.8, "apikey": 1.0, "accesskey": 1.0, "privatekey": 1.0, "credential": 0.9, "authorization": 0.8, "bearer": 0.8}
-NAME = r"[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*"
-#: One assignment: the target, then its right side as literals and names joined by + or ||.
-PAIR = re.compile(rf"""(?a)(?<![\w$.-])(["']?)({NAME})\1[\x20\t]*(?::=|=>|(?<![=!<>])=(?![=~])|:(?![:/=]))[\x20\t]*""")
-TERM = re.compile(rf"""(?a)"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|({NAME})(?![\w(])|([^\s"'`,;)}}\]]+)""")
-JOIN = re.compile(r"[\x20\t]*(?:\+|\|\|)[\x20\t]*")
 DUMMY = re.compile(r"(?ai)(?:x+|\*+|\.+|none|null|true|false|changeme|example|placeholder|<.*>|\$\{.*\}|todo)\Z")
 #: A literal counts as a secret from this score on; literals are of so many characters at least.
 MIN_SCORE, MIN_LENGTH = 0.6, 8
@@ -52,17 +52,6 @@ def literal_score(text: str) -> float:
     return min(1.0, 0.2 * classes + entropy / 5)
 
 
-class Held:
-    """What a name holds: spans of literals, and what other names held when they were joined in, shared and not copied."""
-
-    __slots__ = ("spans", "parts", "reached")
-
-    def __init__(self) -> None:
-        self.spans: list[tuple[int, int]] = []
-        self.parts: list[Held] = []
-        self.reached = 0.0  # the greatest weight of a target that these literals have reached
-
-
 def may_name(text: str) -> bool:
     """Whether a sensitive name can stand in the text: what ``name_weight`` leaves out of a name is left out here."""
     plain = text.lower()
@@ -75,27 +64,9 @@ def named_spans(text: str) -> list[tuple[int, int]]:
     """Spans of the literals that reach a sensitive target, directly or through constants."""
     if not may_name(text):
         return []
-    known: dict[str, Held] = {}
     found: set[tuple[int, int]] = set()
-    at = 0
-    while pair := PAIR.search(text, at):
-        at, own = pair.end(), Held()
-        while term := TERM.match(text, at):
-            if term[3] is not None and (held := known.get(term[3])):
-                own.parts.append(held)
-            elif PAIR.match(text, at):
-                break  # the right side is empty: the next assignment begins here
-            else:
-                own.spans.append(term.span(next(i for i in (1, 2, 3, 4) if term[i] is not None)))
-            at = term.end()
-            if not (plus := JOIN.match(text, at)):
-                break
-            at = plus.end()
-        if own.spans or own.parts:
-            known[pair[2]] = own
-        else:
-            known.pop(pair[2], None)
-        weight = name_weight(pair[2])
+    for name, own in pairs(text):
+        weight = name_weight(name)
         todo = [own] if weight else []
         while todo:  # what a target of this weight or more has reached is not visited again
             held = todo.pop()
@@ -120,15 +91,16 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
 
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, spans array<struct<start, end, kind>>: all spans of each whole text. No row moves."""
-    kind = docs.schema[key].dataType.simpleString()
+    own = docs.select(F.col(quoted(key)).alias(key), F.col(quoted(text)).alias("_secret_text"))
+    kind = StructType([own.schema[0], *_parse_datatype_string("spans array<struct<start bigint, end bigint, kind string>>")])
     item = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[{"start": a, "end": b, "kind": k} for a, b, k in scan(t)] for t in batch[text].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch[key], pa.array(spans, pa.list_(item))], [key, "spans"])
+            spans = [[{"start": a, "end": b, "kind": k} for a, b, k in scan(t)] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(item))], kind.names)
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, spans array<struct<start bigint, end bigint, kind string>>")
+    return arrow_map(own, run, kind)
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:

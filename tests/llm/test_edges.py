@@ -158,6 +158,73 @@ def test_secrets_in_long_chains():
         assert [text[a:b] for a, b, k in secrets.scan(text) if k == "named"] == want
 
 
+SECRET = "Zk3xQ9vLm2Pq8Tn4"
+FORMS = {
+    "subscript": 'conf["password"] = "S"',
+    "triple quotes": 'password = """\n    S\n"""',
+    "block scalar": "db:\n  password: |\n    S\n  user: bob",
+    "folded scalar": "password: >-  # folded\n\n  S\nother: x",
+    "prefixed string": 'password = f"S"',
+    "brackets": 'db_password = ("S")',
+    "default of a getter": 'token = os.getenv("DB_TOKEN_NAME", "S")',
+    "array": 'char pwd[] = {"S"};',
+    "element": "<password>S</password>",
+    "element with attributes": '<db:x><password kind="a">\n S \n</password>',
+    "attribute": '<user id="7" password="S">bob</user>',
+    "key and value": '<add key="dbPassword" value="S"/>',
+    "key and value of YAML": "env:\n- name: API_TOKEN\n  value: S\n",
+    "type": 'password: str = "S"',
+    "generic type": 'let secret: Option[str] = "S";',
+    "chain of targets": 'passwd = x1 = "S"',
+    "joined over lines": 'password = "" + \\\n  "S"',
+    "adjacent strings": "password = ('plain'\n  'S')",
+    "call": 'secret = decode(unwrap("S"), 7)',
+    "named argument": 'connect(host="h", password="S")',
+    "named argument in a call": 'x = connect("plainhost", wrap(password="S"))',
+    "template": "K = `S`\nsecret = `${K}`",
+    "f-string": 'K = "S"\nsecret = f"{K}"',
+    "key of a constant": 'conf["raw"] = "S"\ntoken = conf["raw"]',
+    "unquoted": "PASSWORD=Sx#y%z",
+    "comment": "# don't\n# password = S",
+    "nested object": '{"a": {"client_secret": "S", "b": 1}}',
+    "arrow": "'password' => 'S',",
+}
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_secrets_in_all_forms(form):
+    text = FORMS[form].replace("S", SECRET, 1) if "DB_TOKEN" not in FORMS[form] and "API_TOKEN" not in FORMS[form] and "PASSWORD" not in FORMS[form] else FORMS[form].replace('"S"', f'"{SECRET}"').replace("value: S", f"value: {SECRET}").replace("=Sx", f"={SECRET}x")
+    want = SECRET + ("x#y%z" if form == "unquoted" else "")
+    found = [text[a:b] for a, b, k in secrets.scan(text) if k == "named"]
+    assert want in found and all(SECRET in x for x in found), found
+
+
+def test_secrets_by_scope():
+    """A constant of a function or block is unknown outside; what is no assignment gives nothing."""
+    inside = f'def f():\n    K = "{SECRET}"\n    return 1\n\npassword = K\n'
+    assert not [s for s in secrets.scan(inside) if s[2] == "named"]
+    within = f'def f():\n    K = "{SECRET}"\n    if x:\n        password = K\n'
+    assert [within[a:b] for a, b, k in secrets.scan(within) if k == "named"] == [SECRET]
+    block = f'function f() {{ const K = "{SECRET}"; }}\npassword = K;'
+    assert not [s for s in secrets.scan(block) if s[2] == "named"]
+    outer = f'const K = "{SECRET}";\nif (x) {{ password = K; }}'
+    assert [outer[a:b] for a, b, k in secrets.scan(outer) if k == "named"] == [SECRET]
+    for text in (f'password == "{SECRET}"', f'if token != "{SECRET}":', f'x = "{SECRET}"; print(password)', f"password is {SECRET}", f'"the password of it": "{SECRET}"'):
+        assert not [s for s in secrets.scan(text) if s[2] == "named"], text
+
+
+def test_secrets_of_long_texts_take_linear_time():
+    import time
+
+    for unit in ('password = f(a = ', "password: |\n x", '"""', "`", "<password>", "{(", 'p["', "a = b = ", "'", "f(f("):
+        times = []
+        for n in (4_000, 16_000):
+            began = time.perf_counter()
+            secrets.scan("secret " + unit * n)
+            times.append(time.perf_counter() - began)
+        assert times[1] < 10 * times[0] + 0.5, unit
+
+
 def test_simhash(spark, docs):
     found = simhash.near_duplicates(docs).collect()
     assert len(found) == len(TEXTS)
