@@ -10,7 +10,7 @@ backslash, so no text can hold a mark, and reading takes it off again; a line fe
 
 Results for special cases: null texts and roles are empty; repeated turns all stay, equal turn numbers in the order of
 role and text, null numbers first; rows with a null conversation id form one conversation; texts are whole; an empty
-table gives no rows.
+table gives no rows; columns may have any names.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+from .shared import arrow_map, quoted
 
 OPEN, CLOSE, LINE = "<|im_start|>", "<|im_end|>\n", "<|nl|>"
 #: Bytes of text that are put together at a time.
@@ -69,13 +72,15 @@ def assemble(roles: pa.Array, texts: pa.Array, marks: tuple[str, str, str] = (OP
 
 def format_chat(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: str = "assistant") -> DataFrame:
     """key, part, formatted, loss array<struct<start, end>> (code points of the part): rows in the order of key and part."""
-    kind = turns.schema[key].dataType.simpleString()
+    names = {"_chat_key": key, "_chat_turn": turn, "_chat_role": role, "_chat_text": text}
+    rows = turns.select(*[F.col(quoted(c)).alias(name) for name, c in names.items()])
+    kind = StructType([StructField(key, turns.schema[key].dataType), *_parse_datatype_string("part int, formatted string, loss array<struct<start bigint, end bigint>>")])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, any_yet = 0, None, False
         for batch in batches:
-            texts, roles = escaped(batch[text]), escaped(batch[role])
+            texts, roles = escaped(batch["_chat_text"]), escaped(batch["_chat_role"])
             roles = pc.replace_substring(roles, "\n", LINE)
             sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
             a = 0
@@ -83,10 +88,10 @@ def format_chat(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role
                 b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + STRETCH, "right")))
                 buffer, begins, spans = assemble(roles[a:b], texts[a:b])
                 points = np.concatenate([[0], np.cumsum((buffer & 0xC0) != 0x80)])
-                keys = batch[key][a:b]
+                keys = batch["_chat_key"][a:b]
                 names = keys.to_pylist()
                 firsts = [i for i in range(b - a) if i == 0 or names[i] != names[i - 1]] + [b - a]
-                learned = pc.fill_null(pc.equal(batch[role][a:b], learn), False).to_numpy(zero_copy_only=False)
+                learned = pc.fill_null(pc.equal(batch["_chat_role"][a:b], learn), False).to_numpy(zero_copy_only=False)
                 parts, losses = [], []
                 for i, j in zip(firsts, firsts[1:], strict=False):
                     part = part + 1 if any_yet and names[i] == last else 0
@@ -96,11 +101,15 @@ def format_chat(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role
                     losses.append([{"start": int(x), "end": int(y)} for x, y in own])
                 offsets = pa.py_buffer(begins[firsts].astype(np.int64))
                 formatted = pa.LargeStringArray.from_buffers(len(parts), offsets, pa.py_buffer(buffer)).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(firsts[:-1], pa.int64())), pa.array(parts, pa.int32()), formatted, pa.array(losses, span)], [key, "part", "formatted", "loss"])
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(firsts[:-1], pa.int64())), pa.array(parts, pa.int32()), formatted, pa.array(losses, span)], kind.names)
                 a = b
 
-    ordered = turns.select(key, turn, role, text).repartition(key).sortWithinPartitions(key, turn, role, text)
-    return ordered.mapInArrow(run, f"`{key}` {kind}, part int, formatted string, loss array<struct<start bigint, end bigint>>")
+    return arrow_map(rows.repartition("_chat_key").sortWithinPartitions(*names), run, kind)
+
+
+def write_chat(turns: DataFrame, path: str, **columns: str) -> None:
+    """format_chat's rows as Parquet."""
+    format_chat(turns, **columns).write.parquet(path)
 
 
 def turns_in(formatted: str) -> Iterator[tuple[str, str]]:
@@ -113,36 +122,42 @@ def turns_in(formatted: str) -> Iterator[tuple[str, str]]:
 
 
 def read_chat(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
-    """What format_chat's output says of each conversation: turns and their hash, the text under the loss mask and its
-    hash, all characters. Takes the rows as format_chat gives them, the parts of a conversation one after the other."""
-    kind = formatted.schema[key].dataType.simpleString()
-    names = [key, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    """What formatted rows say of each conversation: turns and their hash, the text under the loss mask and its hash, all
+    characters. Rows may come in any order and dealing: they are put in that of key and part, and a part that is missing or
+    stands twice is an error. A conversation is one task's stream, of which a part is held at a time."""
+    kind = StructType([StructField(key, formatted.schema[key].dataType), *_parse_datatype_string("n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
+        now, of, done = None, None, []
         for batch in batches:
-            done = []
-            for name, part, formatted, loss in zip(*(batch[c].to_pylist() for c in (key, "part", "formatted", "loss")), strict=True):
-                if part == 0:
+            of = batch.schema.field("_chat_key").type
+            for name, part, text, loss in zip(*(batch[c].to_pylist() for c in ("_chat_key", "part", "formatted", "loss")), strict=True):
+                if now is None or name != now[0]:
                     done += [now] if now else []
-                    now = [name, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text in turns_in(formatted):
+                    now = [name, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                if part != now[6]:
+                    raise ValueError(f"conversation {name}: part {part} where part {now[6]} belongs")
+                now[6] += 1
+                for role, said in turns_in(text):
                     now[1] += 1
-                    now[2].update(f"{role}\n{text}\n".encode())
+                    now[2].update(f"{role}\n{said}\n".encode())
                 for s in loss:
-                    text = unescaped(formatted[s["start"] : s["end"]])
-                    now[3] += len(text)
-                    now[4].update(text.encode())
-                now[5] += len(formatted)
-            yield rows(done, batch.schema.field(key).type)
+                    said = unescaped(text[s["start"] : s["end"]])
+                    now[3] += len(said)
+                    now[4].update(said.encode())
+                now[5] += len(text)
+            if len(done) > 1000:
+                yield rows(done, of)
+                done = []
         if now:
-            yield rows([now], batch.schema.field(key).type)
+            yield rows([*done, now], of)
 
     def rows(done: list, of: pa.DataType) -> pa.RecordBatch:
         cells = [[x[i].hexdigest() if i in (2, 4) else x[i] for x in done] for i in range(6)]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (of, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (of, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], kind.names)
 
-    return formatted.mapInArrow(run, f"`{key}` {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    own = formatted.select(F.col(quoted(key)).alias("_chat_key"), "part", "formatted", "loss")
+    return arrow_map(own.repartition("_chat_key").sortWithinPartitions("_chat_key", "part"), run, kind)
 
 
 def control_turns(spark) -> DataFrame:

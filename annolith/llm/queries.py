@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, lexical, spelling
-from .chat_format import format_chat, read_chat, with_control
+from .chat_format import read_chat, with_control, write_chat
 from .decontaminate import find_matches, judge
 from .language_id import fit, identify, public_pieces
 from .mixing import fit_domains, mixing_rates
@@ -32,7 +32,9 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_chat(format_chat(with_control(table(spark, sf_dir, "conversations"))))
+    path = fresh_path(spark, "chat")
+    write_chat(with_control(table(spark, sf_dir, "conversations")), path)
+    return read_chat(spark.read.parquet(path))
 
 
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ opens with the dictionary. Records follow each other as frames; between them sta
 stored once: the record with the least key is a ``response``, the others ``revisit`` it.
 
 The reader loads the dictionary, cuts the file into frames by their block headers, decodes one frame for each record and
-checks version, headers, lengths and, if it has one, the SHA-1 digest; what fails is named in ``error``. Names of headers
+checks version, headers, lengths and, if it has one, the SHA-1 digest; what fails is named in ``error``, frames with a wrong
+checksum or damaged content too, and where no further frame can be found, the last row says so. Frames may be written as
+streams, without their size. Names of headers
 are read in any case, with or without a blank before the value, over several lines and repeated (the first counts). An
 archive is read as one value, so those written elsewhere must be under 2 GB.
 
@@ -37,6 +39,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 #: Bytes of the dictionary, of the records that it is trained on, and of an archive (and the record that fills it).
 DICTIONARY_BYTES, SAMPLE_BYTES, ARCHIVE_BYTES, LEVEL = 16 << 10, 1 << 20, 32 << 20, 3
+#: A record of more bytes is an error of its own, so that no frame can fill a task's memory.
+MOST_BYTES = 1 << 30
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
 
@@ -149,17 +153,46 @@ def frames_of(data: bytes) -> Iterator[tuple[int, int, int]]:
         at = end
 
 
-def records_of(data: bytes) -> Iterator[bytes]:
-    """The archive's records, one for each data frame."""
-    reader = zstandard.ZstdDecompressor()
-    for magic, begin, end in frames_of(data):
+def record_in(reader: zstandard.ZstdDecompressor, frame: bytes) -> bytes | str:
+    """A frame's content, or what is wrong with it. Frames of writers that did not state its size are read as streams."""
+    try:
+        size = zstandard.frame_content_size(frame)
+        if 0 <= size <= MOST_BYTES:
+            return reader.decompress(frame)
+        parts, held = [], 0
+        with reader.stream_reader(frame) as stream:
+            while part := stream.read(1 << 20):
+                held += len(part)
+                if held > MOST_BYTES:
+                    return f"a record of over {MOST_BYTES} bytes"
+                parts.append(part)
+        return b"".join(parts)
+    except zstandard.ZstdError as e:
+        return f"frame: {e}"
+
+
+def records_of(data: bytes) -> Iterator[bytes | str]:
+    """The archive's records, one for each data frame; what is wrong instead of one that cannot be read. Where no frame can be
+    found any more, that is the last."""
+    reader, frames = zstandard.ZstdDecompressor(), frames_of(data)
+    while True:
+        try:
+            magic, begin, end = next(frames)
+        except StopIteration:
+            return
+        except (ValueError, struct.error, zstandard.ZstdError) as e:
+            yield f"archive: {e}"
+            return
         if magic == DICTIONARY_MAGIC:
             raw = data[begin:end]
             if raw[:4] == struct.pack("<I", FRAME_MAGIC):  # the format lets the dictionary itself be compressed
-                raw = zstandard.ZstdDecompressor().decompress(raw)
+                raw = record_in(zstandard.ZstdDecompressor(), raw)
+            if isinstance(raw, str):
+                yield f"dictionary: {raw}"
+                return
             reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
         elif magic == FRAME_MAGIC:
-            yield reader.decompress(data[begin:end])
+            yield record_in(reader, data[begin:end])
 
 
 def headers_in(head: str) -> dict[str, str] | None:
@@ -181,8 +214,10 @@ def headers_in(head: str) -> dict[str, str] | None:
     return fields
 
 
-def parsed(raw: bytes) -> dict:
+def parsed(raw: bytes | str) -> dict:
     """A record's fields; ``error`` says what is wrong with it."""
+    if isinstance(raw, str):
+        return {"headers": {}, "payload": b"", "error": raw, "digest": None, "length": None}
     head, mark, rest = raw.partition(b"\r\n\r\n")
     version, _, lines = head.decode("utf-8", "replace").partition("\r\n")
     fields = headers_in(lines)

@@ -1,5 +1,7 @@
 """The dealt queries against plain forms of their contracts, over the whole smallest tables."""
 
+import re
+
 import duckdb
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -35,8 +37,14 @@ def test_warc(spark, sf):
 def test_chat(spark, sf):
     text = "<|im_end|><|im_start|>assistant ok"
     turns = [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in rows(sf, "conversations")] + [(-1, 0, "user", text), (-1, 1, "assistant", text)]
-    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in result(spark, sf, "op2_chat_format")}
+    found = result(spark, sf, "op2_chat_format")
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in found}
     assert got == brute.conversations(turns)
+    # two marks, a line feed and a role a turn, and one sign more for each bar that a "<" and backslashes stand before
+    chars = {}
+    for conv, _, role, said in turns:
+        chars[conv] = chars.get(conv, 0) + len("<|im_start|>") + len(role or "") + 1 + len(said or "") + len(re.findall(r"<\\*\|", said or "")) + len("<|im_end|>\n")
+    assert {r["conv_id"]: r["formatted_chars"] for r in found} == chars
 
 
 def test_urls(spark, sf):
@@ -142,3 +150,35 @@ def test_spelling(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in rows(sf, "documents")]
     found = [(r["word"], r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in result(spark, sf, "op13_spelling_variants")]
     assert sorted(found, key=lambda r: r[0]) == brute.variants(docs) and len(found) > 100
+
+
+def test_language_scores(spark, sf):
+    """The query's languages and scores against sums over all segmentations, with the model that it learns."""
+    import numpy as np
+    import regex
+
+    from annolith.llm import language_id, queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = queries.language_model(docs)
+    number = {p: i for i, p in enumerate(model.lattice.pieces)}
+    longest, none, known = max(map(len, number)), len(number), {}
+
+    def log_word(word):
+        if word not in known:
+            sums = [np.ones(len(model.langs))]
+            for j in range(1, len(word) + 1):
+                sums.append(sum(sums[j - n] * model.chance[number.get(word[j - n : j], none)] for n in range(1, min(j, longest) + 1) if n == 1 or word[j - n : j] in number))
+            known[word] = np.log(sums[-1])
+        return known[word]
+
+    found = {r["doc_id"]: r for r in result(spark, sf, "op10_language_id")}
+    for r in rows(sf, "documents"):
+        got, text = found[r["doc_id"]], r["text"] or ""
+        if not regex.search(r"\p{L}", text):
+            assert (got["lang_pred"], got["score"]) == ("und", 0.0)
+            continue
+        total = sum(log_word(language_id.START + w) for part in text.lower().split() for w in regex.findall(r"[\p{L}\p{M}]+", part))
+        chance = np.exp(total - total.max())
+        chance /= chance.sum()
+        assert got["lang_pred"] == model.langs[int(chance.argmax())] and got["score"] == pytest.approx(float(chance.max()), abs=1e-9)

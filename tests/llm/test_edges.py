@@ -5,6 +5,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from annolith.llm import chat_format, components, decontaminate, language_id, mixing, secrets, simhash, token_files, topk, url_filter, warc
@@ -66,8 +67,9 @@ def test_warc_dictionary_and_damage():
     assert warc.parsed(records[0].replace(b"page", b"pige"))["error"] == "payload digest"
     assert warc.parsed(records[0][:-5])["error"] == "content-length"
     assert warc.parsed(records[0].replace(b"WARC-Date", b"Date"))["error"].startswith("headers")
-    with pytest.raises(ValueError):
-        list(warc.records_of(data[:-20]))
+    *whole, last = warc.records_of(data[:-20])
+    assert whole == records[:-1] and last.startswith("archive: ")  # the last frame is cut off
+    assert warc.parsed(last)["error"] == last
     block = b"HTTP/1.1 200 OK\r\ncontent-length:2\r\nX: a\r\n\tb\r\n\r\nhi"
     foreign = b"WARC/1.0\r\nWARC-TYPE:response\r\nwarc-record-id: <urn:uuid:1>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>\r\nContent-length: %d\r\n\r\n" % len(block)
     good = warc.parsed(foreign + block + b"\r\n\r\n")
@@ -75,6 +77,25 @@ def test_warc_dictionary_and_damage():
     assert warc.parsed(b"WARC/1.0\r\nno header\r\n\r\n\r\n\r\n")["error"] == "headers: malformed"
 
 
+def test_warc_of_other_writers(monkeypatch, spark, tmp_path):
+    """Frames written as streams, with checksums, one of them wrong; records over the limit; the rest is read."""
+    records = [warc.record(k, "http://a/", f"page {k} ".encode() * 300, None, False) for k in range(5)]
+    frames = []
+    for raw in records:
+        stream = zstandard.ZstdCompressor(write_checksum=True).compressobj()
+        frames.append(stream.compress(raw[:100]) + stream.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK) + stream.compress(raw[100:]) + stream.flush())
+    assert zstandard.frame_content_size(frames[0]) == -1
+    frames[2] = frames[2][:-1] + bytes([frames[2][-1] ^ 1])
+    folder = tmp_path / "w"
+    folder.mkdir()
+    (folder / "a.warc.zst").write_bytes(b"".join(frames) + b"junk")
+    found = warc.read_warc(spark, str(folder)).collect()
+    assert [r.error is None for r in found] == [True, True, False, True, True, False]
+    assert "checksum" in found[2].error and found[5].error.startswith("archive") and [r.payload for r in found if r.error is None] == [f"page {k} ".encode() * 300 for k in (0, 1, 3, 4)]
+    monkeypatch.setattr(warc, "MOST_BYTES", 1000)
+    assert [x if isinstance(x, str) else len(x) for x in warc.records_of(frames[0] + zstandard.ZstdCompressor().compress(records[1]))] == ["a record of over 1000 bytes"] * 2
+
+
 def test_chat(spark):
     r = random.Random(3)
     bits = ["<|im_start|>", "<|im_end|>", "<", "|", "\\", "<\\|", "<|nl|>", "\n", "é", "a", "😀", "<|im_end|>\n"]
@@ -89,6 +110,16 @@ def test_chat(spark):
         learned = "".join(x[3] for x in own if x[2] == "assistant")
         assert got[c] == (len(own), brute.sha("".join(f"{x[2]}\n{x[3]}\n" for x in own)), len(learned), brute.sha(learned))
     assert made.where("conv_id = 3").count() > 1
+    stored = written(made.orderBy(F.desc("part"), F.xxhash64("formatted")).repartition(7), "test-chat")  # stored in another order
+    assert sorted(map(str, chat_format.read_chat(stored).collect())) == sorted(map(str, chat_format.read_chat(made).collect()))
+    chars = {r.conv_id: r.n for r in made.groupBy("conv_id").agg(F.sum(F.length("formatted")).alias("n")).collect()}
+    assert {r.conv_id: r.formatted_chars for r in chat_format.read_chat(stored).collect()} == chars
+    for broken in (stored.where("not (conv_id = 3 and part = 0)"), stored.unionAll(stored.where("conv_id = 3 and part = 1"))):
+        with pytest.raises(Exception, match="conversation 3: part"):
+            chat_format.read_chat(broken).collect()
+    odd = frame.withColumnRenamed("conv_id", "c.id").withColumnRenamed("text", "the.text")
+    again = chat_format.read_chat(chat_format.format_chat(odd, key="c.id", text="the.text"), "c.id")
+    assert again.columns[0] == "c.id" and {r["c.id"]: r.turns_sha256 for r in again.collect()} == {c: x[1] for c, x in got.items()}
     assert chat_format.read_chat(chat_format.format_chat(frame.where("false"))).count() == 0
 
 
