@@ -11,7 +11,7 @@ groups' lists, k rows a query, are merged at the end.
 Results for special cases: vectors that are null or hold a null or a non-finite component take no part; vectors of
 different lengths meet as if the shorter went on with zeros, so an empty one scores 0; a query doesn't meet rows of its own
 id; repeated vectors all count; each distinct query (id and vector) has one list, however often it is asked; scores are
-exact, and one that might not fit in 64 bits raises; equal scores go to the smaller id; fewer candidates than k give fewer
+exact, whatever the components' size; equal scores go to the smaller id; fewer candidates than k give fewer
 rows; rows with a null id take no part; an empty table gives no rows.
 """
 
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import quoted, tidied, written
@@ -32,13 +32,19 @@ SHARD, BLOCK, GROUP, LEAF = 8192, 512, 16, 512
 
 
 def quantised(vector: Column, scale: float = 64.0) -> Column:
-    """Each component as floor(scale * x), or null where the vector is null or holds a null or a non-finite one."""
-    wide = F.transform(vector, lambda x: x.cast("double"))
+    """Each component as floor(scale * x), a whole number as a double, or null where the vector is null or holds a null or one
+    whose multiple is not finite."""
+    wide = F.transform(vector, lambda x: F.lit(scale) * x.cast("double"))
     sound = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    whole = lambda x: F.when(F.abs(F.lit(scale) * x) < 2.0**63, F.floor(F.lit(scale) * x)).otherwise(F.raise_error(F.lit("a component does not fit in 64 bits")).cast("bigint"))
+    whole = lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)  # noqa: E731 - from there on doubles are whole
     return F.when(sound, F.transform(wide, whole))
 
 
+def is_narrow(vector: Column) -> Column:
+    """Whether a vector's products with others of this kind stay in 62 bits: the sizes of its components come to under 2^31."""
+    return F.aggregate(vector, F.lit(0.0), lambda sum_, x: sum_ + F.abs(x.cast("double"))) < 2.0**31
+
+
 class Tree:
     """Arrays of a KD-tree: the vectors in leaf order and, for each node, its box, stretch, children and least id."""
 
@@ -163,13 +169,14 @@ def walk(tree: Tree, queries: np.ndarray, own_ids: np.ndarray, best: Best) -> No
             best.add(own, (queries[own] @ rows[a:b].T).astype(np.int64), tree.ids[a:b], own_ids[own][:, None] == tree.ids[a:b])
 
 
-def _packed(ids: np.ndarray, rows: np.ndarray) -> bytes:
-    return struct.pack("<QQ", *rows.shape) + ids.astype("<i8").tobytes() + rows.astype("<i8").tobytes()
+def _packed(ids: np.ndarray, numbers: np.ndarray, rows: np.ndarray) -> bytes:
+    return struct.pack("<QQ", *rows.shape) + b"".join(x.astype("<i8").tobytes() for x in (ids, numbers, rows))
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, width = struct.unpack_from("<QQ", data)
-    return np.frombuffer(data, "<i8", n, 16), np.frombuffer(data, "<i8", n * width, 16 + 8 * n).reshape(n, width)
+    ids, numbers = (np.frombuffer(data, "<i8", n, 16 + 8 * n * k) for k in (0, 1))
+    return ids, numbers, np.frombuffer(data, "<i8", n * width, 16 + 16 * n).reshape(n, width)
 
 
 def _matrix(vectors: pa.ListArray) -> np.ndarray:
@@ -181,7 +188,7 @@ def _matrix(vectors: pa.ListArray) -> np.ndarray:
 
 
 def _packs(rows: DataFrame, most: int, trees: bool, name: str) -> DataFrame:
-    """rows: id, v. part, place, pack: each task's rows as they come, ``most`` at a time, as trees or as they are."""
+    """rows: id, number, v. part, place, pack: each task's rows as they come, ``most`` at a time, as trees or as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -189,16 +196,16 @@ def _packs(rows: DataFrame, most: int, trees: bool, name: str) -> DataFrame:
         part, place, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def out() -> pa.RecordBatch:
-            width = max(m.shape[1] for _, m in held)
-            ids, all_rows = np.concatenate([i for i, _ in held]), np.concatenate([fitted(m, width) for _, m in held])
-            pack = Tree(ids, all_rows).packed() if trees else _packed(ids, all_rows)
+            width = max(m.shape[1] for *_, m in held)
+            ids, numbers, all_rows = np.concatenate([i for i, _, _ in held]), np.concatenate([n for _, n, _ in held]), np.concatenate([fitted(m, width) for *_, m in held])
+            pack = Tree(ids, all_rows).packed() if trees else _packed(ids, numbers, all_rows)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([place], pa.int32()), pa.array([pack], pa.binary())], ["part", "place", "pack"])
 
         for batch in batches:
             a = 0
             while a < len(batch):
                 own = batch.slice(a, most - size)
-                held.append((own["id"].to_numpy(), _matrix(own["v"])))
+                held.append((own["id"].to_numpy(), own["number"].to_numpy(), _matrix(own["v"])))
                 a, size = a + len(own), size + len(own)
                 if size >= most:
                     yield out()
@@ -206,15 +213,114 @@ def _packs(rows: DataFrame, most: int, trees: bool, name: str) -> DataFrame:
         if held:
             yield out()
 
-    return written(rows.select("id", "v").mapInArrow(tidied(run), "part int, place int, pack binary"), name)
+    return written(rows.select("id", "number", F.col("v").cast("array<bigint>").alias("v")).mapInArrow(tidied(run), "part int, place int, pack binary"), name)
 
 
 def top_inner(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "vector", shard: int = SHARD, block: int = BLOCK, group: int = GROUP) -> DataFrame:
-    """vectors, queries: key, vector array<bigint>. query_id, rank, key, score: the k best vectors of each query."""
+    """vectors, queries: key, vector (array of whole numbers, bigint or double). query_id, rank, key, score: the k best vectors of
+    each query.
+
+    Vectors whose products might leave 64 bits are searched apart, exactly and slowly; a score that does not fit in a bigint is
+    shown as its nearest end, while the rank goes by the score itself.
+    """
+    spark = vectors.sparkSession
+    named = lambda rows: rows.select(F.col(quoted(key)).alias("id"), F.col(quoted(vector)).cast("array<double>" if "double" in dict(rows.dtypes)[vector] else "array<bigint>").alias("v")).where("id is not null and v is not null")
+    asked = written(named(queries).distinct().withColumn("number", F.monotonically_increasing_id()), "topk-asked")  # a number for each distinct query
+    given = named(vectors).withColumn("number", F.lit(0).cast("bigint"))
+    found = _near(given.where(is_narrow(F.col("v"))), asked.where(is_narrow(F.col("v"))), k, shard, block, group)
+    wide = [written(rows.where(~is_narrow(F.col("v"))), "topk-wide") for rows in (given, asked)]
+    if not any(rows.limit(1).count() for rows in wide):
+        order = F.desc("score")
+    else:
+        found, order = _with_wide(found, given.where(is_narrow(F.col("v"))), asked, *wide, k), F.desc("rank_key")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("number").orderBy(order, "id"))).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
+
+
+def rank_key(score: int) -> str:
+    """A text that sorts, byte by byte, as whole numbers of any size do."""
+    digits = str(abs(score))
+    if score >= 0:
+        return f"1{len(digits):06d}{digits}"
+    return f"0{999_999 - len(digits):06d}" + digits.translate(str.maketrans("0123456789", "9876543210"))
+
+
+FAR = "number bigint, query_id bigint, id bigint, score bigint, rank_key string"
+
+
+def _far_rows(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    least, most = -(1 << 63), (1 << 63) - 1
+    cells = [(n, q, i, max(least, min(most, s)), rank_key(s)) for n, q, i, s in rows]
+    return pa.RecordBatch.from_arrays([pa.array([c[j] for c in cells], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["number", "query_id", "id", "score", "rank_key"])
+
+
+def _whole(vectors: list[list[float]], width: int) -> np.ndarray:
+    """Vectors of doubles as whole numbers of any size, of one width."""
+    out = np.zeros((len(vectors), width), object)
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = [int(x) for x in v[:width]]
+    return out
+
+
+def _blocks(rows: DataFrame, most: int = 256) -> Iterator[list[tuple[int, int, list[float]]]]:
+    """A stored table's rows, so many at a time."""
+    numbered = rows.withColumn("_at", F.monotonically_increasing_id())
+    block = F.floor(F.col("_at") / most)
+    for b in sorted(r[0] for r in numbered.select(block).distinct().collect()):
+        yield [(r["id"], r["number"], list(r["v"])) for r in numbered.where(block == b).collect()]
+
+
+def _with_wide(found: DataFrame, narrow: DataFrame, asked: DataFrame, wide: DataFrame, wide_asked: DataFrame, k: int) -> DataFrame:
+    """found's rows with their rank keys, and those that wide vectors or wide queries give; blocks of them pass by all others."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _far_rows(list(zip(*(batch[c].to_pylist() for c in ("number", "query_id", "id", "score")), strict=True)))
+
+    parts = [found.select("number", "query_id", "id", "score").mapInArrow(keyed, FAR)]
+    context = found.sparkSession.sparkContext
+    for block in _blocks(wide):
+        shared = context.broadcast(block)
+
+        def queries_by(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            width = max(len(v) for _, _, v in shared.value)
+            ids, rows = [i for i, _, _ in shared.value], _whole([v for _, _, v in shared.value], width)
+            for batch in batches:
+                out = []
+                for number, own, v in zip(*(batch[c].to_pylist() for c in ("number", "id", "v")), strict=True):
+                    scores = rows @ _whole([v], width)[0]
+                    best = sorted((-s, i) for s, i in zip(scores.tolist(), ids, strict=True) if i != own)[:k]
+                    out += [(number, own, i, -s) for s, i in best]
+                yield _far_rows(out)
+
+        parts.append(written(asked.mapInArrow(tidied(queries_by), FAR), "topk-far"))
+        shared.destroy()
+    for block in _blocks(wide_asked):
+        shared = context.broadcast(block)
+
+        def vectors_by(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            width = max(len(v) for _, _, v in shared.value)
+            asks, best = _whole([v for _, _, v in shared.value], width), [[] for _ in shared.value]
+            for batch in batches:
+                ids, rows = batch["id"].to_pylist(), _whole(batch["v"].to_pylist(), width)
+                for at, (own, _, _) in enumerate(shared.value):
+                    scores = (rows @ asks[at]).tolist()
+                    best[at] = sorted([*best[at], *((-s, i) for s, i in zip(scores, ids, strict=True) if i != own)])[:k]
+            yield _far_rows([(number, own, i, -s) for (own, number, _), top in zip(shared.value, best, strict=True) for s, i in top])
+
+        parts.append(written(narrow.mapInArrow(tidied(vectors_by), FAR), "topk-far"))
+        shared.destroy()
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+def _near(vectors: DataFrame, queries: DataFrame, k: int, shard: int, block: int, group: int) -> DataFrame:
+    """number, query_id, id, score: among them each query's k best vectors, by trees."""
     spark = vectors.sparkSession
-    named = lambda rows: rows.select(F.col(quoted(key)).alias("id"), F.col(quoted(vector)).alias("v")).where("id is not null and v is not null")
-    trees = _packs(named(vectors), shard, True, "topk-trees")
-    asks = _packs(named(queries).distinct(), block, False, "topk-queries")
+    trees = _packs(vectors, shard, True, "topk-trees")
+    asks = _packs(queries, block, False, "topk-queries")
     n, m = trees.count(), asks.count()
     groups = max(1, -(-n // group))
     # with few groups, blocks are dealt over slices too, and each slice has its own copy of a group's trees
@@ -235,7 +341,7 @@ def top_inner(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "v
                 if row["kind"] == 0:
                     held.append(Tree.unpacked(row["pack"]))
                     continue
-                own_ids, asked = _unpacked(row["pack"])
+                own_ids, _, asked = _unpacked(row["pack"])
                 before = None if row["found"] is None else np.frombuffer(row["found"], "<i8").reshape(3, len(own_ids), k)
                 best = Best(len(own_ids), k, *(() if before is None else before[:2]))
                 for tree in held:
@@ -255,16 +361,12 @@ def top_inner(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "v
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, block, pack, found in zip(*batch.columns, strict=True):
-                own_ids, _ = _unpacked(pack.as_py())
+            for pack, found in zip(*batch.columns, strict=True):
+                own_ids, numbers, _ = _unpacked(pack.as_py())
                 scores, ids, new = np.frombuffer(found.as_py(), "<i8").reshape(3, len(own_ids), k)
                 who, place = np.nonzero(new)
-                of = [pa.array(np.full(len(who), x.as_py(), np.int32)) for x in (part, block)]
-                yield pa.RecordBatch.from_arrays([pa.array(own_ids[who]), *of, pa.array(who.astype(np.int32)), pa.array(ids[who, place]), pa.array(scores[who, place])], ["query_id", "part", "place", "row", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[who]), pa.array(own_ids[who]), pa.array(ids[who, place]), pa.array(scores[who, place])], ["number", "query_id", "id", "score"])
 
-    columns = ["part", "place", "pack", "found"]
+    columns = ["pack", "found"]
     found = near.select(*columns) if len(parts) == 1 else near.select(*columns).unionAll(parts[1].select(*columns))
-    rows = found.mapInArrow(tidied(lists), "query_id bigint, part int, place int, row int, id bigint, score bigint")
-    # a query is known by its row in its block
-    ranked = rows.selectExpr("query_id", "id", "score", "row_number() over (partition by query_id, part, place, row order by score desc, id) as rank").where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
+    return found.mapInArrow(tidied(lists), "number bigint, query_id bigint, id bigint, score bigint")
