@@ -4,10 +4,11 @@ A classifier fitted on a labelled table gives each document a posterior over the
 tokens these are its expected domain tokens. Nonnegative document rates are found by accelerated projected-gradient
 least squares, so that the rates' expected domain totals meet the targets. The gradient that a document sees depends on
 its posterior alone (in the metric that weighs documents by tokens), so a step needs one small vector: all documents'
-rates follow from the list of these vectors, and no rate is stored or shuffled between steps. Posteriors are rounded to
-three places, and the steps run over the distinct posteriors with their token sums. A document's step is scaled by the shares
-of its domains, so that rare domains move as fast as others. The steps end when the shares are near to the best that
-nonnegative rates can give, which is found beforehand; if they don't get there, a warning names the distance.
+rates follow from the list of these vectors, and no rate is stored or shuffled between steps. The steps run over the distinct
+posteriors with their token sums, or, where these are too many, over groups of like ones; then passes over all posteriors
+correct the aim by what the shares in truth lack. A document's step is scaled by the shares of its domains, so that rare
+domains move as fast as others. The steps end when the shares are near to the best that nonnegative rates can give, which is
+found beforehand; if they don't get there, a warning names the distance.
 
 Results for special cases: a null or blank text has no tokens and rate 1; repeated rows are rated each; labels with a
 null key or domain, and keys that the documents lack, are left out, and of several labels or texts of a key the last or
@@ -36,9 +37,9 @@ from .shared import arrow_map, hash_bound, positional, quoted, released, tidied,
 #: The classifier is fitted on so many labelled rows at most, those whose hash is least, in so many partitions.
 SAMPLE_ROWS, SAMPLE_PARTS = 20_000, 4
 FEATURES, REGULARISATION, SPARSITY, FIT_STEPS = 1 << 15, 4e-3, 1.0, 60
-#: Projected-gradient steps at most; they end when the domain shares are this near to the least-squares ones; decimal
-#: places of posteriors; so many distinct posteriors at most are held by the driver (three domains have no more).
-STEPS, CLOSE_ENOUGH, PLACES, HELD_CELLS = 5000, 1e-3, 3, 1_000_000
+#: Projected-gradient steps at most; they end when the domain shares are this near to the least-squares ones; distinct
+#: posteriors, or groups of them, that the driver holds; passes over all posteriors at most.
+STEPS, CLOSE_ENOUGH, HELD_CELLS, PASSES = 5000, 1e-3, 50_000, 12
 TEXT, TOKENS, TERMS, LABEL, CHANCE = "_mix_text", "_mix_tokens", "_mix_terms", "_mix_label", "_mix_chance"
 
 
@@ -81,7 +82,7 @@ def posteriors(docs: DataFrame, domains: Domains, text: str = "text") -> DataFra
         missing = n - domains.model.stages[-1].numClasses
         if missing:
             out = out.withColumn(CHANCE, F.concat(CHANCE, F.array(*[F.lit(0.0)] * missing)))
-    return out.select(*columns, F.size(TOKENS).cast("bigint").alias(TOKENS), F.transform(CHANCE, lambda p: F.round(p, PLACES)).alias(CHANCE))
+    return out.select(*columns, F.size(TOKENS).cast("bigint").alias(TOKENS), CHANCE)
 
 
 @dataclass
@@ -136,62 +137,96 @@ def reachable(cells: DataFrame, n: int, goal: np.ndarray) -> np.ndarray:
         slope = sum((F.col(CHANCE)[i] * float(best[i] - goal[i]) for i in range(n)), F.lit(0.0))
         least, row = cells.agg(F.min(F.struct(slope.alias("slope"), F.col(CHANCE).alias("row"))).alias("x")).select("x.*").first()
         if least >= -1e-7 or (own == np.array(row)).all(axis=1).any():
-            break
+            return best
         own = np.vstack([own, row])
-    return best
+    raise RuntimeError("the shares that rates can give have not been found")
+
+
+def held_cells(cells: DataFrame, n: int, held: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Posteriors and tokens of all cells if they are at most ``held``; else of groups of like cells (by rounded posteriors, at
+    last by the likeliest domain alone), with their mean posteriors. The third value says whether they are the cells themselves."""
+    chance, tokens = F.col(CHANCE), F.col("tokens")
+    top = F.array_max(CHANCE)
+
+    def rounded(places: int) -> Column:
+        return F.transform(chance, lambda p: F.round(p, places))
+
+    keys = [None, *map(rounded, (3, 2, 1)), F.struct(F.array_position(CHANCE, top), F.round(top, 1))]
+    for level, key in enumerate(keys):
+        if key is None:
+            few = cells.select(CHANCE, "tokens")
+        else:
+            sums = cells.groupBy(key.alias("_key")).agg(F.sum("tokens").alias("tokens"), *[F.sum(tokens * chance[i]).alias(f"s{i}") for i in range(n)])
+            few = sums.select(F.array(*[F.col(f"s{i}") / F.col("tokens") for i in range(n)]).alias(CHANCE), "tokens")
+        if level == len(keys) - 1 or few.count() <= held:
+            whole = few.toArrow().combine_chunks()
+            return np.array(whole[CHANCE].to_pylist(), float).reshape(len(whole), n), whole["tokens"].to_numpy(), key is None
+
+
+def descend(chance: np.ndarray, weight: np.ndarray, shares: np.ndarray, aim: np.ndarray, steps: int, close: float) -> tuple[Path, np.ndarray]:
+    """Accelerated projected-gradient steps over cells with these shares of the tokens, until their domains' shares are close to
+    the aim: the path and the shares."""
+    path, scale = Path(shares), np.maximum(chance @ shares, 1e-12)
+    rate = ahead = np.ones(len(chance))
+    pace, last, back = 1.0, None, None
+    while True:
+        now, front = (rate * weight) @ chance, (ahead * weight) @ chance
+        if float(np.abs(now - aim).max()) <= close or len(path.steps) >= steps:
+            return path, now
+        if last is not None and back @ (now - last) > 0:
+            pace = 1.0  # the last step went uphill: momentum starts anew
+        then = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        last, back = now, front - aim
+        path.steps.append((back, (pace - 1) / then))
+        pace = then
+        rate, ahead = moved(chance, scale, rate, ahead, path.steps[-1])
+
+
+def shares_after(cells: DataFrame, path: Path, n: int) -> np.ndarray:
+    """The domains' token sums under the path's rates: a pass over all cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = np.zeros(n)
+        for batch in batches:
+            if len(batch):
+                chance = batch[CHANCE].flatten().to_numpy().reshape(len(batch), n)
+                made += (rates_after(chance, path)[0] * batch["tokens"].to_numpy()) @ chance
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in made], [f"s{i}" for i in range(n)])
+
+    parts = cells.mapInArrow(tidied(run), ", ".join(f"s{i} double" for i in range(n)))
+    return np.array(parts.agg(*[F.sum(f"s{i}") for i in range(n)]).first(), float)
 
 
 def fit_rates(rated: DataFrame, targets: dict[str, float], names: list[str], steps: int = STEPS, close: float = CLOSE_ENOUGH, held: int = HELD_CELLS) -> Path | None:
-    """rated: posteriors' rows. targets: shares of all tokens by domain. The path that gives every rate."""
+    """rated: posteriors' rows. targets: shares of all tokens by domain. The path that gives every rate.
+
+    Where there are too many cells for the driver, steps run over groups of like cells, and a pass over all cells says which
+    shares the path gives in truth; the aim is moved by what is missing, for ``PASSES`` passes at most, whatever the number of
+    steps and domains.
+    """
     cells = written(rated.groupBy(CHANCE).agg(F.sum(TOKENS).cast("double").alias("tokens")).where("tokens > 0"), "mixing-cells")
     n, goal = len(names), np.array([targets.get(x, 0.0) for x in names])
-    count, total, *sums = cells.agg(F.count("*"), F.sum("tokens"), *[F.sum(F.col("tokens") * F.col(CHANCE)[i]) for i in range(n)]).first()
+    total, *sums = cells.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col(CHANCE)[i]) for i in range(n)]).first()
     if not total:
         return None
-    path, best = Path(np.array(sums, float) / total), reachable(cells, n, goal)
-
-    def far() -> Iterator[np.ndarray]:
-        """Domain shares under the rates, and under the point ahead of them, after the path so far: a pass over all cells."""
-        while True:
-            past = Path(path.shares, [*path.steps])
-
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                made = np.zeros((2, n))
-                for batch in batches:
-                    if len(batch):
-                        chance = batch[CHANCE].flatten().to_numpy().reshape(len(batch), n)
-                        made += (rates_after(chance, past) * batch["tokens"].to_numpy()) @ chance
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in made.ravel()], [f"s{i}" for i in range(2 * n)])
-
-            parts = cells.mapInArrow(tidied(run), ", ".join(f"s{i} double" for i in range(2 * n)))
-            yield np.array(parts.agg(*[F.sum(f"s{i}") for i in range(2 * n)]).first(), float).reshape(2, n) / total
-
-    def near() -> Iterator[np.ndarray]:
-        """The same over cells that the driver holds, with their rates."""
-        whole = cells.toArrow().combine_chunks()
-        chance = whole[CHANCE].combine_chunks().flatten().to_numpy().reshape(count, n)
-        weight, scale = whole["tokens"].to_numpy() / total, np.maximum(chance @ path.shares, 1e-12)
-        rate = ahead = np.ones(count)
-        while True:
-            yield np.stack([(rate * weight) @ chance, (ahead * weight) @ chance])
-            rate, ahead = moved(chance, scale, rate, ahead, path.steps[-1])
-
-    pace, last, back = 1.0, None, None
-    for now, ahead in near() if count <= held else far():
+    shares, best = np.array(sums, float) / total, reachable(cells, n, goal)
+    chance, tokens, exact = held_cells(cells, n, held)
+    aim, found, least = best, None, np.inf
+    for _ in range(1 if exact else PASSES):
+        # what groups can give is a little less than what their members can
+        path, now = descend(chance, tokens / total, shares, aim if exact else nearest(chance, aim), steps, close if exact else close / 4)
+        if not exact:
+            now = shares_after(cells, path, n) / total
         off = float(np.abs(now - best).max())
+        if off < least:
+            found, least, reached = path, off, now
         if off <= close:
             break
-        if len(path.steps) >= steps:
-            warnings.warn(f"mixing: after {steps} steps the domain shares {now.round(4).tolist()} are {off:.4f} from the nearest to the targets, {best.round(4).tolist()}", stacklevel=2)
-            break
-        if last is not None and back @ (now - last) > 0:
-            pace = 1.0  # the last step went uphill: momentum starts anew
-        then = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
-        last, back = now, ahead - best
-        path.steps.append((back, (pace - 1) / then))
-        pace = then
+        aim = aim + best - now
+    if least > close:
+        warnings.warn(f"mixing: after {len(found.steps)} steps the domain shares {reached.round(4).tolist()} are {least:.4f} from the nearest to the targets, {best.round(4).tolist()}", stacklevel=2)
     released()
-    return path
+    return found
 
 
 def rated(rows: DataFrame, path: Path | None, columns: list[str]) -> DataFrame:

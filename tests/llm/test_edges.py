@@ -574,6 +574,26 @@ def test_mixing_of_rare_domains(spark, held):
         mixing.fit_rates(frame, {"high": 0.9, "low": 0.1}, ["high", "low", "toxic"], steps=1, held=held)
 
 
+@pytest.mark.parametrize("n", [2, 3, 7])
+def test_mixing_over_groups_of_cells(spark, n):
+    """With more posteriors than the driver holds, passes over all of them bring the shares to the same place."""
+    r = np.random.default_rng(n)
+    chance = r.dirichlet(np.full(n, 0.3), 4000)
+    tokens = r.integers(1, 500, 4000)
+    names = [f"d{i}" for i in range(n)]
+    targets = dict(zip(names, r.dirichlet(np.full(n, 3.0)).tolist(), strict=True))
+    frame = spark.createDataFrame([(int(t), c.tolist()) for t, c in zip(tokens, chance, strict=True)], f"{mixing.TOKENS} bigint, {mixing.CHANCE} array<double>")
+    weight, found = tokens / tokens.sum(), []
+    for held, near in ((10_000, 1.5e-3), (3500 if n == 7 else 300, 1.5e-3), *([] if n == 7 else [(0, 0.05)])):  # the last has a handful of groups
+        path = mixing.fit_rates(frame, targets, names, held=held)
+        found.append((weight * mixing.rates_after(chance, path)[0]) @ chance)
+        assert found[-1] == pytest.approx(list(targets.values()), abs=near), held
+    cells = spark.createDataFrame([(float(t), c.tolist()) for t, c in zip(tokens, chance, strict=True)], f"tokens double, {mixing.CHANCE} array<double>")
+    for held in (300, 0):
+        some, sums, exact = mixing.held_cells(cells, n, held)
+        assert not exact and sums.sum() == tokens.sum() and sums @ some == pytest.approx(tokens @ chance) and len(some) <= max(held, 11 * n)
+
+
 def test_components_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 501)], "a bigint, b bigint")
     found = {r.node: r.root for r in components.connected_components(edges).collect()}
