@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -410,10 +411,41 @@ def test_decontaminate(spark, docs):
         kept = decontaminate.remove_contaminated(frame, tests, block_words=block)
         assert kept.columns == frame.columns and {x.doc_id for x in kept.collect()} == {k for k, x in want.items() if not x[4]}
     assert decontaminate.test_blocks(tests, block_words=20)[1] > 3
-    assert decontaminate.find_matches(docs, tests.where("false")).where("size(matches) > 0").count() == 0
+    assert decontaminate.find_matches(docs, tests.where("false")).where("size(spans) > 0 or size(items) > 0").count() == 0
     assert decontaminate.find_matches(docs.where("false"), tests).count() == 0
 
 
+def test_findings_stay_small(spark):
+    """Many one-word items in one long text give a span or an item each, not their pairs; places and lengths are right."""
+    words = [f"w{i}" for i in range(50)]
+    text = " ".join(words * 80) + " x " + " ".join(words[:20])
+    docs = spark.createDataFrame([(1, text), (2, "x y"), (3, "w3 x w4 w5"), (4, None)], "`d.id` int, text string")
+    items = spark.createDataFrame([(w, w) for w in words] + [("long", " ".join(words[5:25])), ("again", "w3")], "item_id string, text string")
+    for block in (decontaminate.BLOCK_WORDS, 20):
+        found = {r["d.id"]: r for r in decontaminate.find_matches(docs, items, key="d.id", block_words=block).collect()}
+        assert found[1].n_words == 4021 and len(found[1]["items"]) == 52 and decontaminate.covered(pa.array([[s.asDict() for s in found[1].spans]])).tolist() == [4020]
+        longest = {m.item_id: (m.at, m.item_at, m["length"]) for m in found[1]["items"]}
+        assert longest["long"] == (5, 0, 20) and longest["w7"] == (7, 0, 1)
+        assert {(m.item_id, m.at, m["length"]) for m in found[3]["items"]} == {("w3", 0, 1), ("again", 0, 1), ("w4", 2, 1), ("w5", 3, 1)}
+        assert found[2].n_words == 2 and not found[2].spans and found[4].n_words == 0
+        if block > 20:
+            assert [(s.at, s["length"]) for s in found[1].spans] == [(0, 4000), (4001, 20)] and [(s.at, s["length"]) for s in found[3].spans] == [(0, 1), (2, 2)]
+
+
+def test_shards_go_over_batches():
+    """Findings don't depend on where shards end."""
+    r = random.Random(12)
+    test = decontaminate.TestSet([("a", "one two three"), ("b", "two"), (None, "four four")], 3)
+    texts = [" ".join(r.choice(["one", "two", "three", "four", "five"]) for _ in range(r.randrange(30))) or None for _ in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 7])], ["t"]) for i in range(0, 60, 7)]
+    found = []
+    for size in (1, 10, 100, 10_000):
+        rows = list(decontaminate.looked_up(iter(batches), "t", test, size))
+        assert [t for b, _ in rows for t in b["t"].to_pylist()] == texts
+        found.append([[x for _, f in rows for x in f[k].to_pylist()] for k in range(3)])
+    assert all(f == found[0] for f in found) and found[0][0] == [len((t or "").split()) for t in texts]
+
+
 def test_language_id(spark, docs):
     pieces = language_id.public_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     train = spark.createDataFrame([(i, "the cat and the dog " * 5, "en") for i in range(20)] + [(50 + i, "der hund und die katze " * 5, "de") for i in range(20)] + [(99, None, "en"), (98, "x", None)], "doc_id bigint, text string, lang string")
