@@ -1,7 +1,8 @@
 """SimHash near-duplicates by pigeonhole blocks.
 
-Equal fingerprints are one class from the start. The 64 bits are cut into six blocks: two fingerprints that differ in at
-most four bits agree on at least two blocks, so every linked pair shares one of the fifteen keys made of two blocks. The
+Equal fingerprints are one class from the start. The 64 bits are cut into blocks: of six, two fingerprints that differ in at
+most four bits agree on at least two, so every linked pair shares one of the fifteen keys made of two blocks; a larger
+distance takes more blocks, and keys of more of them (six bits: nine blocks, 84 keys of three). The
 fingerprints of a key meet in the order of a sorted shuffle and are compared by Hamming distance; a group emits the
 edges of a spanning forest instead of its pairs. Groups over ``CHUNK`` fingerprints leave the first pass as chunks, and
 each pair of chunks is compared in a task of its own, so no task holds a group whole.
@@ -26,7 +27,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .components import connected_components
 from .shared import quoted, tidied, written
 
-SHINGLE, DISTANCE, BLOCKS, CHUNK = 4, 4, 6, 4096
+SHINGLE, DISTANCE, CHUNK = 4, 4, 4096
+#: Fewest bits of a key, so that unlike fingerprints seldom share one.
+KEY_BITS = 21
 SEED = 42
 
 
@@ -72,6 +75,11 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     return chosen.mapInArrow(tidied(run), StructType([*chosen.schema.fields[:-1], StructField("fp", LongType())]))
 
 
+def blocks_for(distance: int) -> int:
+    """The fewest blocks of which those that agree make a key of enough bits."""
+    return next(n for n in range(distance + 1, 65) if (n - distance) * 64 / n >= KEY_BITS)
+
+
 def block_masks(distance: int, blocks: int) -> list[int]:
     """Masks of blocks - distance blocks each: fingerprints within the distance agree under one of them."""
     cuts = [64 * i // blocks for i in range(blocks + 1)]
@@ -102,9 +110,9 @@ def forest(own: np.ndarray, other: np.ndarray | None, distance: int) -> list[tup
     return edges
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+def links(distinct: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> DataFrame:
     """distinct: fp, each once. a, b: edges whose components are those of all pairs within the distance."""
-    masks = F.array(*[F.lit(signed(m)) for m in block_masks(distance, blocks)])
+    masks = F.array(*[F.lit(signed(m)) for m in block_masks(distance, blocks_for(distance))])
     keyed = distinct.select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("combo", "part"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -116,7 +116,7 @@ def test_pipeline(spark, sf, texts):
         if name == "language ID":
             assert kept == set(before)  # every text of the table has a language
         elif name == "SimHash near-dedup":
-            roots = brute.components({k: brute.fingerprint(t) for k, t in before.items()})
+            roots = brute.components({k: brute.fingerprint(t) for k, t in before.items()}, pipeline.STAGE_DISTANCE)
             assert kept == set(roots.values()) and len(after) == len(kept)
         elif name == "decontamination":
             assert kept == {k for k, x in brute.contamination(before, items).items() if not x[4]}

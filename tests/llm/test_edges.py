@@ -309,6 +309,35 @@ def test_simhash_links_large_groups(spark):
         assert {k: got.get(k, k) for k in want} == want
 
 
+def test_simhash_distance_of_the_stage(spark):
+    """Links at six bits are complete, and catch far more of the texts of which an edit leaves four fifths of the five-word
+    shingles than four bits do."""
+    import corpus_pipeline
+
+    assert [simhash.blocks_for(d) for d in (3, 4, 6)] == [5, 6, 9] and len(simhash.block_masks(6, 9)) == 84
+    r = random.Random(13)
+    centre = [r.getrandbits(64) for _ in range(40)]
+    prints = {c ^ sum(1 << b for b in r.sample(range(64), r.randrange(9))) for c in centre for _ in range(12)}
+    frame = spark.createDataFrame([(simhash.signed(p),) for p in prints], "fp bigint")
+    got = {x.node: x.root for x in components.connected_components(simhash.links(frame, 6)).collect()}
+    want = brute.components({simhash.signed(p): p for p in prints}, 6)
+    assert {k: got.get(k, k) for k in want} == want
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    texts = []
+    for i in range(150):
+        own = r.choices(words, k=200)
+        other = list(own)
+        for at in r.sample(range(200), r.randrange(1, 5)):
+            other[at] = r.choice(words)
+        texts += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+    frame, caught = spark.createDataFrame(texts, "doc_id bigint, text string"), []
+    for rows in (simhash.keep_one(frame), corpus_pipeline.near_duplicates(spark, frame, "")):
+        kept = {x.doc_id for x in rows.collect()}
+        assert all(2 * i in kept for i in range(150))  # of unlike texts none goes
+        caught.append(sum(2 * i + 1 not in kept for i in range(150)))
+    assert caught[1] >= 0.45 * 150 and caught[1] >= 1.4 * caught[0]
+
+
 def test_tokens(spark, docs):
     file = public_tokenizers.path("byte_bpe_50k.json")
     r = random.Random(1)
