@@ -7,21 +7,22 @@ url, and of their rules the longest whose path begins the url's path wins.
 
 Results for special cases: a null url, or one without ``://``, has host and path '' and fits no rule; repeated rows are
 judged each; an empty table of urls or of rules gives no rows, or the default verdict for all; rules with a null host or
-verdict are left out, a null rule path is ''; of equal rules ``block`` wins.
+verdict are left out, a null rule path is ''; of equal rules ``block`` wins; columns may have any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import quoted, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Up to so many rules go to every task; more are joined by host.
-MAX_BROADCAST_RULES = 200_000
+#: So many rules go to every task at a time.
+BLOCK_RULES = 200_000
 PARTS = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 
 
@@ -39,61 +40,59 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
-def filter_urls(urls: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow", max_broadcast_rules: int = MAX_BROADCAST_RULES) -> DataFrame:
+def filter_urls(urls: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow", block_rules: int = BLOCK_RULES) -> DataFrame:
     """urls(key, url, ...) judged by rules(host, path, verdict): key, host, path, rule, verdict.
 
     A rule fits its host and all subdomains where the url's path begins with the rule's; the longest (host and path
-    together, then the longer host) wins, and ``default`` holds where none fits.
+    together, then the longer host) wins, and ``default`` holds where none fits. Rules come in blocks of about ``block_rules``,
+    each of which takes a sweep over the urls; only key, host, path and the best rule so far go from one to the next.
     """
-    pages = urls.select(F.col(key), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
+    pages = urls.select(F.col(quoted(key)).alias("key"), url_host(F.col(quoted(url))).alias("host"), url_path(F.col(quoted(url))).alias("path"))
     rules = rules.select(F.translate("host", UPPER, LOWER).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict")).where("rule_host is not null and rule_verdict is not null")
     rules = rules.groupBy("rule_host", "rule_path").agg(F.max("rule_verdict").alias("rule_verdict"))  # block > allow
-    few = rules.limit(max_broadcast_rules + 1).collect()
-    if len(few) <= max_broadcast_rules:
-        found = _swept(pages, key, [tuple(r) for r in few])
+    few = rules.limit(block_rules + 1).collect()
+    none = F.lit(None).cast("string")
+    found = pages.withColumns({"size": F.lit(-1), "host_size": F.lit(-1), "rule": none, "rule_verdict": none})
+    if len(few) <= block_rules:
+        found = _swept(found, few)
     else:
-        found = _joined(pages, rules)
-    return found.select(key, "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))
-
-
-def _swept(pages: DataFrame, key: str, rules: list[tuple[str, str, str]]) -> DataFrame:
-    intervals = sorted((".".join(reversed(host.split("."))) + ".", sorted(((len(host) + len(path), len(host), path, host + path, verdict) for _, path, verdict in of), reverse=True)) for host, of in groupby(sorted(rules), key=lambda r: r[0]))
+        rules = written(rules, "url-rules")
+        blocks = -(-rules.count() // block_rules)
+        of = F.pmod(F.xxhash64("rule_host", "rule_path"), F.lit(blocks))
+        for b in range(blocks):
+            found = written(_swept(found, rules.where(of == b).collect()), "url-verdicts")
+    return found.select(F.col("key").alias(key), "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))
+
+
+def _swept(pages: DataFrame, rules: list) -> DataFrame:
+    """pages: key, host, path and the best rule so far; the same with the best of these rules, too."""
+    by_host: dict[str, dict[str, tuple[str, str]]] = {}
+    for host, path, verdict in rules:
+        by_host.setdefault(host, {})[path] = (host + path, verdict)
+    intervals = sorted((".".join(reversed(host.split("."))) + ".", len(host), sorted({len(p) for p in own}, reverse=True), own) for host, own in by_host.items())
     shared = pages.sparkSession.sparkContext.broadcast(intervals)
+    kind = pages.schema
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, at, stack, active, last = shared.value, 0, [], [], None
+        starts, at, stack, last = shared.value, 0, [], None
         for batch in batches:
-            names, verdicts = [], []
-            for k, path in zip(batch["host_key"].to_pylist(), batch["path"].to_pylist(), strict=True):
+            best = [list(batch[c].to_pylist()) for c in ("size", "host_size", "rule", "rule_verdict")]
+            for row, (k, path) in enumerate(zip(batch["host_key"].to_pylist(), batch["path"].to_pylist(), strict=True)):
                 if k != last:
-                    last, before = k, len(stack)
+                    last = k
                     while stack and not k.startswith(stack[-1][0]):
                         stack.pop()
-                    changed = len(stack) != before
                     while at < len(starts) and starts[at][0] <= k:
                         if k.startswith(starts[at][0]):
                             stack.append(starts[at])
-                            changed = True
                         at += 1
-                    if changed:
-                        active = sorted((x for _, own in stack for x in own), reverse=True)
-                fit = next((x for x in active if path.startswith(x[2])), None)
-                names.append(fit and fit[3])
-                verdicts.append(fit and fit[4])
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in (key, "host", "path")), pa.array(names, pa.string()), pa.array(verdicts, pa.string())], [key, "host", "path", "rule", "rule_verdict"])
-
-    kind = pages.schema[key].dataType.simpleString()
+                for _, wide, lengths, own in stack:
+                    fit = next((n for n in lengths if path[:n] in own and n <= len(path)), None)
+                    if fit is not None and (wide + fit, wide) > (best[0][row], best[1][row]):
+                        best[0][row], best[1][row] = wide + fit, wide
+                        best[2][row], best[3][row] = own[path[:fit]]
+            numbers, texts = ([pa.array(c, t) for c in part] for part, t in ((best[:2], pa.int32()), (best[2:], pa.string())))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("key", "host", "path")), *numbers, *texts], kind.names)
+
     # each partition is merged with the whole rule list, so a sort within it is enough and no row moves
-    return pages.withColumn("host_key", host_key(F.col("host"))).sortWithinPartitions("host_key").mapInArrow(sweep, f"`{key}` {kind}, host string, path string, rule string, rule_verdict string")
-
-
-def _joined(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """For rule tables of any size: each distinct (host, path) meets the rules of its host's suffixes by equality."""
-    labels = rules.agg(F.coalesce(F.max(F.size(F.split("rule_host", r"\."))), F.lit(0))).first()[0]
-    distinct = pages.select("host", "path").distinct()
-    n = F.size("labels")
-    suffixes = distinct.withColumn("labels", F.split("host", r"\.")).select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(labels))), lambda i: F.array_join(F.slice("labels", n - i + 1, i), "."))).alias("rule_host"))
-    fits = suffixes.join(rules, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
-    name = F.concat("rule_host", "rule_path")
-    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length(name), F.length("rule_host"), name.alias("rule"), "rule_verdict")).alias("best"))
-    return pages.join(best.select("host", "path", "best.rule", "best.rule_verdict"), ["host", "path"], "left")
+    return pages.withColumn("host_key", host_key(F.col("host"))).sortWithinPartitions("host_key").mapInArrow(sweep, kind)

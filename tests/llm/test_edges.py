@@ -29,13 +29,35 @@ def test_urls(spark):
     pages = spark.createDataFrame([(i, u, "v", "h") for i, u in enumerate(urls)], "page_id bigint, url string, verdict string, host string")
     rules = spark.createDataFrame(url_filter_rules(), "host string, path string, verdict string")
     want = {i: brute.judge_url(u) for i, u in enumerate(urls)}
-    for most in (url_filter.MAX_BROADCAST_RULES, 0):  # the sweep, and the form for large rule tables
-        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules, max_broadcast_rules=most).collect()}
+    for most in (url_filter.BLOCK_RULES, 3, 1):  # one sweep, and several
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules, block_rules=most).collect()}
         assert got == want
+    odd = url_filter.filter_urls(pages.withColumnRenamed("page_id", "page.id").withColumnRenamed("url", "the.url"), rules, "page.id", "the.url")
+    assert odd.columns[0] == "page.id" and {r["page.id"]: (r.host, r.path, r.rule, r.verdict) for r in odd.collect()} == want
     assert url_filter.filter_urls(pages.where("false"), rules).count() == 0
     assert {r.verdict for r in url_filter.filter_urls(pages, rules.where("false"), default="block").collect()} == {"block"}
 
 
+def test_urls_random(spark):
+    """Nested hosts and paths with many rules of a host, against all rules tried one by one."""
+    r = random.Random(14)
+    host = lambda: ".".join(r.choice(["a", "b", "com", "x-y"]) for _ in range(r.randrange(1, 4)))
+    path = lambda: "".join("/" + r.choice(["a", "b", "ab"]) for _ in range(r.randrange(4)))
+    rules = [(host(), path(), r.choice(["allow", "block"])) for _ in range(300)]
+    urls = [(i, f"http://{host()}{path()}") for i in range(2000)]
+    best = {}
+    for h, p, v in rules:
+        best[h, p] = max(v, best.get((h, p), ""))
+    frame = spark.createDataFrame(urls, "page_id bigint, url string")
+    for block in (url_filter.BLOCK_RULES, 70):
+        found = {x.page_id: (x.rule, x.verdict) for x in url_filter.filter_urls(frame, spark.createDataFrame(rules, "host string, path string, verdict string"), block_rules=block).collect()}
+        for i, u in urls:
+            own, _, rest = u[7:].partition("/")
+            rest = "/" + rest if "/" in u[7:] else ""
+            fits = [((len(h + p), len(h)), h + p, v) for (h, p), v in best.items() if (own == h or own.endswith("." + h)) and rest.startswith(p)]
+            assert found[i] == (max(fits)[1:] if fits else (None, "allow"))
+
+
 def url_filter_rules():
     return [*brute.URL_RULES, (None, "/", "block"), ("org", "/", None)]
 
