@@ -120,7 +120,7 @@ def optimal(pairs: DataFrame, page: list[str], score: str = "iou") -> DataFrame:
             return [min(rows, key=lambda r: (-_weight(r), r[0], r[1]))[:4]]
         at_a, at_b = {x: i for i, x in enumerate(left)}, {x: i for i, x in enumerate(right)}
         chosen = {(left[i], right[j]) for i, j in best_assignment({(at_a[r[0]], at_b[r[1]]): _weight(r) for r in rows}, len(left), len(right))}
-        return [r[:4] for r in rows if r[:2] in chosen]
+        return list({r[:2]: r[:4] for r in rows if r[:2] in chosen}.values())  # boxes that stand twice are one
 
     kinds = ", ".join(f"`{p}` {pairs.schema[p].dataType.simpleString()}" for p in page)
     rows = pairs.select(*page, "a", "b", "iou", "containment", F.col(score).alias("_score"))

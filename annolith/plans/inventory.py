@@ -20,7 +20,7 @@ from annolith.streaming import stages
 from .ledgers import LEDGER, ledger
 from .registry import query
 from .scores import LABELLED, labelled, six
-from .spatial import PAGE, accepted, sides
+from .spatial import PAGE, accepted, best_ctes, recursive, sides
 from .standins import FACES, PAGES, PAIRS, faces, pages, read, with_
 
 c = F.col
@@ -329,12 +329,24 @@ def spa03(s, d):
     return faces(s, d).select(boxes.iou(own, own).alias("iou")).agg(F.count_if(c("iou") == 0).alias("empty"), F.count_if(c("iou") == 1).alias("whole"))
 
 
-@query("spa10_most_pairs_count")
+@query("spa10_most_pairs_count", recursive(FACES, PAIRS, best_ctes("o", 0.2), "SELECT image_id, k AS pairs, round(total, 6) AS total_iou FROM o_best"))
 def spa10(s, d):
     return matching.optimal(accepted(s, d), PAGE).groupBy("image_id").agg(F.count("*").alias("pairs"), F.round(F.sum("iou"), 6).alias("total_iou"))
 
 
-@query("spa33_novel_candidates")
+SUPPRESSED = """, r AS (SELECT image_id, list([{'c': -confidence, 'id': id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}] ORDER BY -confidence, id) AS rows FROM ({ROWS}) GROUP BY 1),
+k AS (SELECT image_id, list_reduce(rows, lambda acc, x: CASE WHEN len(list_filter(acc, lambda q: greatest(0, least(q.x2, x[1].x2) - greatest(q.x1, x[1].x1)) * greatest(0, least(q.y2, x[1].y2) - greatest(q.y1, x[1].y1)) / ((q.x2 - q.x1) * (q.y2 - q.y1) + (x[1].x2 - x[1].x1) * (x[1].y2 - x[1].y1) - greatest(0, least(q.x2, x[1].x2) - greatest(q.x1, x[1].x1)) * greatest(0, least(q.y2, x[1].y2) - greatest(q.y1, x[1].y1)))::DOUBLE >= {LEAST})) > 0 THEN acc ELSE list_concat(acc, x) END) AS kept FROM r)
+"""
+
+
+def suppressed_sql(rows: str, least: float, body: str, *ctes: str) -> str:
+    return "WITH " + ", ".join((FACES, *ctes)) + SUPPRESSED.replace("{ROWS}", rows).replace("{LEAST}", str(least)) + body
+
+
+NOVEL = "SELECT DISTINCT image_id, id, x1, y1, x2, y2, confidence FROM faces f WHERE coder = 'p' AND NOT EXISTS (SELECT 1 FROM pairs_ WHERE pairs_.image_id = f.image_id AND b = f.id AND iou >= 0.1)"
+
+
+@query("spa33_novel_candidates", suppressed_sql(NOVEL, 0.25, "SELECT image_id, CAST(i - 1 AS INTEGER) AS place, kept[i].id AS id FROM (SELECT image_id, kept, unnest(range(1, len(kept) + 1)) AS i FROM k)", PAIRS))
 def spa33(s, d):
     h, p = sides(s, d)
     known = accepted(s, d, 0.1).select("image_id", c("b").alias("id")).distinct()

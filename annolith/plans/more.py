@@ -14,7 +14,7 @@ from annolith.operators import sampling as S
 from .ledgers import DRAWS, SERIES, SUMS, yearly
 from .registry import query
 from .scores import LABELLED, labelled, six
-from .spatial import PAGE, accepted, sides
+from .spatial import PAGE, accepted, greedy_sql, sides
 from .standins import FACES, PAGES, PAIRS, faces, pages, read, with_
 
 c = F.col
@@ -202,7 +202,7 @@ def spa05(s, d):
     return both.where(boxes.intersection(ab, bb) > 0).select("image_id", "a", "b", F.round(boxes.fraction_of(ab, bb), 6).alias("of_a"), F.round(boxes.fraction_of(bb, ab), 6).alias("of_b"))
 
 
-@query("spa06_same_face")
+@query("spa06_same_face", with_(FACES, "SELECT count(*) AS same FROM (SELECT *, CAST(greatest(0, least(hx2, px2) - greatest(hx1, px1)) AS DOUBLE) * greatest(0, least(hy2, py2) - greatest(hy1, py1)) AS i, CAST(hx2 - hx1 AS DOUBLE) * (hy2 - hy1) + CAST(px2 - px1 AS DOUBLE) * (py2 - py1) AS t, greatest(hx2 - hx1, hy2 - hy1, px2 - px1, py2 - py1, 1) AS side, (hx1 + hx2) / 2.0::DOUBLE - (px1 + px2) / 2.0::DOUBLE AS dx, (hy1 + hy2) / 2.0::DOUBLE - (py1 + py2) / 2.0::DOUBLE AS dy FROM (SELECT image_id, x1 AS hx1, y1 AS hy1, x2 AS hx2, y2 AS hy2 FROM faces WHERE coder = 'h') JOIN (SELECT image_id, x1 AS px1, y1 AS py1, x2 AS px2, y2 AS py2 FROM faces WHERE coder = 'p') USING (image_id)) WHERE i / (t - i) >= 0.2 OR sqrt(dx * dx + dy * dy) <= 0.42::DOUBLE * side"))
 def spa06(s, d):
     h, p = sides(s, d)
     pack = F.struct("x1", "y1", "x2", "y2")
@@ -223,12 +223,26 @@ def spa27(s, d):
     return p.select("id", "image_id").join(known, ["image_id", "id"], "left").select("id", "image_id", F.coalesce("m", F.lit(False)).alias("known"))
 
 
-@query("spa34_capped_suppression")
+CAPPED = """, r AS (SELECT image_id, list([{'c': -confidence, 'id': id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}] ORDER BY -confidence, id) AS rows FROM faces GROUP BY 1),
+k AS (SELECT image_id, list_reduce(rows, lambda acc, x: CASE WHEN len(list_filter(acc, lambda q: greatest(0, least(q.x2, x[1].x2) - greatest(q.x1, x[1].x1)) * greatest(0, least(q.y2, x[1].y2) - greatest(q.y1, x[1].y1)) / ((q.x2 - q.x1) * (q.y2 - q.y1) + (x[1].x2 - x[1].x1) * (x[1].y2 - x[1].y1) - greatest(0, least(q.x2, x[1].x2) - greatest(q.x1, x[1].x1)) * greatest(0, least(q.y2, x[1].y2) - greatest(q.y1, x[1].y1)))::DOUBLE >= 0.85)) > 0 THEN acc ELSE list_concat(acc, x) END) AS kept FROM r)
+SELECT image_id, least(6, len(kept)) AS kept FROM k"""
+
+
+@query("spa34_capped_suppression", "WITH " + FACES + CAPPED)
 def spa34(s, d):
     return matching.suppressed(faces(s, d), PAGE, 0.85, 6).groupBy("image_id").agg(F.count("*").alias("kept"))
 
 
-@query("met14_duplicate_pairs")
+@query(
+    "met14_duplicate_pairs",
+    greedy_sql("iou", "iou >= 0.2").replace("SELECT image_id, m.a AS a, m.b AS b, round(m.iou, 6) AS iou FROM k", """, g AS (SELECT image_id, m.a AS a, m.b AS b FROM k),
+      d AS (SELECT x.image_id, x.coder, x.id AS a, y.id AS b FROM faces x JOIN faces y ON x.image_id = y.image_id AND x.coder = y.coder AND x.legibility = y.legibility AND x.id < y.id),
+      pl AS (SELECT d.image_id, ga.a AS x, gb.a AS y FROM d LEFT JOIN g ga ON ga.image_id = d.image_id AND ga.b = d.a LEFT JOIN g gb ON gb.image_id = d.image_id AND gb.b = d.b WHERE d.coder = 'p'),
+      mp AS (SELECT DISTINCT image_id, least(x, y) AS a, greatest(x, y) AS b FROM pl WHERE x IS NOT NULL AND y IS NOT NULL),
+      go AS (SELECT image_id, a, b FROM d WHERE coder = 'h'),
+      po AS (SELECT * FROM go WHERE EXISTS (SELECT 1 FROM g WHERE g.image_id = go.image_id AND g.a = go.a) AND EXISTS (SELECT 1 FROM g WHERE g.image_id = go.image_id AND g.a = go.b))
+      SELECT (SELECT count(*) FROM mp WHERE (image_id, a, b) IN (SELECT image_id, a, b FROM go)) AS tp, (SELECT count(*) FROM mp WHERE (image_id, a, b) NOT IN (SELECT image_id, a, b FROM go)) + (SELECT count(*) FROM pl WHERE x IS NULL OR y IS NULL) AS fp, (SELECT count(*) FROM po WHERE (image_id, a, b) NOT IN (SELECT image_id, a, b FROM mp)) AS fn"""),
+)
 def met14(s, d):
     f = faces(s, d)
     e = lambda n: f.where(c("coder") == n).select("image_id", "legibility", c("id").alias("a")).join(f.where(c("coder") == n).select("image_id", "legibility", c("id").alias("b")), ["image_id", "legibility"]).where("a < b").select("image_id", "a", "b")

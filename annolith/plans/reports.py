@@ -14,7 +14,8 @@ from annolith.operators.store import stored
 from .ledgers import DRAWS, LEDGER, REPS, issues, ledger
 from .registry import query
 from .scores import six
-from .standins import FACES, PAGES, faces, pages, read, with_
+from .spatial import best_ctes, greedy_sql, recursive
+from .standins import FACES, PAGES, PAIRS, faces, pages, read, with_
 
 c = F.col
 FP = "fp AS (SELECT f.*, p.issue, p.year, p.medium FROM faces f JOIN pages_ p USING (image_id))"
@@ -144,7 +145,17 @@ def rpt17(s, d):
     return faces_in_pages(s, d).groupBy((c("year") - c("year") % 2).cast("int").alias("period")).agg(F.count_distinct("issue").alias("issues"), F.count_distinct("image_id").alias("pages"), F.count("*").alias("faces"))
 
 
-@query("rpt18_frozen_evaluation")
+@query(
+    "rpt18_frozen_evaluation",
+    recursive(
+        FACES, PAIRS, best_ctes("o", 0.2), best_ctes("t", 0.5),
+        greedy_sql("iou", "iou >= 0.2").split(PAIRS, 1)[1].lstrip(", ").rsplit("\nSELECT", 1)[0],
+        """al AS (SELECT 'greedy_strict' AS mode, image_id, count(*) AS k, sum(m.iou) AS total FROM k GROUP BY ALL UNION ALL SELECT 'optimal_strict', image_id, k, total FROM o_best UNION ALL SELECT 'optimal_iou_0.5', image_id, k, total FROM t_best),
+        su AS (SELECT mode, CASE WHEN image_id % 2 = 0 THEN 'development' ELSE 'reserve' END AS cohort, CAST(sum(k) AS BIGINT) AS matched, sum(total) / sum(k) AS mean_iou FROM al GROUP BY ALL),
+        sz AS (SELECT CASE WHEN image_id % 2 = 0 THEN 'development' ELSE 'reserve' END AS cohort, count(*) FILTER (coder = 'h') AS human, count(*) FILTER (coder = 'p') AS predicted FROM faces GROUP BY 1)""",
+        "SELECT cohort, mode, matched, round(mean_iou, 6) AS mean_iou, human, predicted, round(matched / predicted::DOUBLE, 6) AS precision, round(matched / human::DOUBLE, 6) AS recall, round(2 * matched / (human + predicted)::DOUBLE, 6) AS f1 FROM su JOIN sz USING (cohort)",
+    ),
+)
 def rpt18(s, d):
     from .spatial import PAGE, accepted
     from annolith.operators import matching
