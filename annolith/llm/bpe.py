@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .shared import arrow_map, within
+from .shared import arrow_map, stretches, within
 
 #: How byte-level BPE of this kind cuts words (fixed by the tokenizer's format).
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -341,16 +341,6 @@ def coder(file: str) -> Coder:
     return _CODERS[at]
 
 
-def stretches(column: pa.Array, most: int = STRETCH) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold so many bytes of text at most; a longer text is a range of its own."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    a = 0
-    while a < len(column):
-        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, "right")))
-        yield a, b
-        a = b
-
-
 def encoded(batches: Iterator[pa.RecordBatch], file: str, text: str, ids: str, most: int = STRETCH) -> Iterator[pa.RecordBatch]:
     """The batches with a column of ids, in smaller batches."""
     own = coder(file)

@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .shared import arrow_map, hash_bound, quoted, released, tidied, written
+from .shared import arrow_map, hash_bound, quoted, released, stretches, tidied, written
 
 #: The sample that the model is fitted on: so many labelled rows of each language, those whose hash is least. EM steps.
 SAMPLE_PER_LANG, EM_STEPS = 400, 3
 SMOOTHING, UNKNOWN, CACHED_WORDS, START = 0.05, 1e-7, 150_000, "▁"
+#: Bytes of text that are scored at once; a longer text comes alone.
+STRETCH = 1 << 20
 #: Expected counts are summed as whole numbers of this fraction, so that their sums don't depend on the order.
 GRAIN = 1e6
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
@@ -120,7 +122,7 @@ class Model:
         return out
 
 
-def blocks(words: list[str], most: int = 20_000, letters: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def blocks(words: list[str], most: int = 5_000, letters: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Words of one length together, as rows of code points."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(lengths[lengths > 0]):
@@ -245,8 +247,8 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, text: str) -> Itera
     scores = np.zeros((0, max(len(model.langs), 1)))
     for batch in batches:
         which, best = [], []
-        for a in range(0, len(batch), 500):
-            texts = batch[text].slice(a, 500).to_pylist()
+        for a, b in stretches(batch[text], STRETCH):
+            texts = batch[text].slice(a, b - a).to_pylist()
             if len(seen) > CACHED_WORDS:
                 seen, scores = {}, scores[:0]
             documents = [(t or "").lower().split() for t in texts]

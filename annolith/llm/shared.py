@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -85,6 +86,11 @@ def hash_bound(wanted: int, n: int, margin: float = 4.0) -> int:
 BATCH_BYTES = 4 << 20
 
 
+def set_small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on jobs of this session hand long texts to Python in small batches: for rows that are returned and made later."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
     """Jobs that start in this block hand long texts to Python in small batches; the session's own setting returns after."""
@@ -104,6 +110,16 @@ def within(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def stretches(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold so many bytes of text at most; a longer text is a range of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
 def released(collect: bool = True) -> None:
     """Gives free memory of this process back to the system."""
     if collect:
