@@ -132,6 +132,26 @@ def _weight(row: tuple) -> int:
     return round(score * 1e9) * 10**9 + round(overlap * 1e6) * 1000 + round(contained * 1000)
 
 
+def augmented(options: dict[int, list[tuple]], taken: dict[int, tuple], first: int) -> bool:
+    """Gives ``first`` a partner, moving others along an alternating path if need be. options: edges (a, b, ...) of each a in the
+    order in which they are tried; taken: the edge of each b. Depth first, with a stack of its own."""
+    seen: set[int] = set()
+    path: list[tuple] = [(None, iter(options[first]))]  # the edge that led here, the edges still to try
+    while path:
+        r = next((r for r in path[-1][1] if r[1] not in seen), None)
+        if r is None:
+            path.pop()
+            continue
+        seen.add(r[1])
+        if r[1] in taken:
+            path.append((r, iter(options[taken[r[1]][0]])))
+            continue
+        for edge in [r, *[e for e, _ in path[1:]]]:
+            taken[edge[1]] = edge
+        return True
+    return False
+
+
 def most_pairs(pairs: DataFrame, page: list[str]) -> DataFrame:
     """SPA11: as many pairs as can be; edges are tried by score, then id."""
 
@@ -140,30 +160,46 @@ def most_pairs(pairs: DataFrame, page: list[str]) -> DataFrame:
         for r in rows:
             options.setdefault(r[0], []).append(r)
         taken: dict[int, tuple] = {}
-
-        # depth first over alternating paths with a stack of its own: (the edge that led here, the edges still to try)
-        for first in sorted(options):
-            seen: set[int] = set()
-            path: list[tuple] = [(None, iter(options[first]))]
-            while path:
-                _, left = path[-1]
-                r = next((r for r in left if r[1] not in seen), None)
-                if r is None:
-                    path.pop()
-                    continue
-                seen.add(r[1])
-                if r[1] in taken:
-                    path.append((r, iter(options[taken[r[1]][0]])))
-                    continue
-                for edge in [r, *[e for e, _ in reversed(path[1:])]]:
-                    taken[edge[1]] = edge
-                break
+        for a in sorted(options):
+            augmented(options, taken, a)
         return sorted(taken.values())
 
     kinds = ", ".join(f"`{p}` {pairs.schema[p].dataType.simpleString()}" for p in page)
     return per_group(pairs, page, ["a", "b", "iou", "containment"], [F.desc("iou"), "a", "b"], solve, f"{kinds}, a bigint, b bigint, iou double, containment double")
 
 
+def pairs_by_threshold(pairs: DataFrame, page: list[str], parts: int = 20) -> DataFrame:
+    """MET16: page, step, matched: as many pairs as can be among those with an IoU of step / parts or more, for each step from 1.
+
+    A page is solved once: from the highest step down, edges are added and the matching grows, so pairs meet their page once
+    and not once for each step."""
+
+    def solve(key: tuple, rows: list[tuple]) -> list[tuple]:
+        options: dict[int, list[tuple]] = {}
+        taken: dict[int, tuple] = {}
+        free: set[int] = set()
+        out, at = [], 0
+        for step in range(parts, 0, -1):
+            while at < len(rows) and rows[at][2] >= step:
+                a = rows[at][0]
+                if a not in options:
+                    options[a] = []
+                    free.add(a)
+                options[a].append(rows[at])
+                at += 1
+            for a in sorted(free):
+                if augmented(options, taken, a):
+                    free.discard(a)
+            if taken:
+                out.append((step, len(taken)))
+        return out
+
+    kinds = ", ".join(f"`{p}` {pairs.schema[p].dataType.simpleString()}" for p in page)
+    # the last bits of a quotient don't decide: an IoU of just a step belongs to it
+    rows = pairs.select(*page, "a", "b", F.floor(F.col("iou") * parts + 1e-9).cast("int").alias("step")).where(F.col("step") >= 1)
+    return per_group(rows, page, ["a", "b", "step"], [F.desc("step"), "a", "b"], solve, f"{kinds}, step int, matched int")
+
+
 def tagged(items: DataFrame, pairs: DataFrame, page: list[str], side: str, yes: str, no: str) -> DataFrame:
     """SPA12, SPA30: each item with its partner and whether it has one."""
     other = "b" if side == "a" else "a"

@@ -137,12 +137,9 @@ def met15(s, d):
 
 @query("met16_threshold_curve")
 def met16(s, d):
-    h, p = sides(s, d)
-    pairs = matching.candidates(h, p, PAGE, 0.05)
-    steps = F.filter(F.array(*[F.lit(i) for i in range(1, 20)]), lambda t: t <= F.floor(c("iou") * 20 + 1e-9))
-    matched = matching.optimal(pairs.withColumn("t", F.explode(steps)), [*PAGE, "t"]).groupBy("t").agg(F.count("*").alias("matched"))
+    matched = matching.pairs_by_threshold(accepted(s, d, 0.05), PAGE).where("step < 20").groupBy("step").agg(F.sum("matched").alias("matched"))
     totals = faces(s, d).agg(F.count("*").alias("boxes"))
-    return matched.join(totals).select((c("t") / 20).alias("threshold"), "matched", F.round(2 * c("matched") / c("boxes"), 6).alias("f1"))
+    return matched.join(totals).select((c("step") / 20).alias("threshold"), "matched", F.round(2 * c("matched") / c("boxes"), 6).alias("f1"))  # one row of totals
 
 
 @query("met17_ignored_truth", with_(FACES, "SELECT count(*) FILTER (coder = 'h' AND smile <> 'not_assessable') AS truth, count(*) FILTER (coder = 'h' AND smile = 'not_assessable') AS ignored, round(count(*) FILTER (coder = 'h' AND smile = 'yes') / count(*) FILTER (coder = 'h' AND smile <> 'not_assessable')::DOUBLE, 6) AS share FROM faces"))
