@@ -150,7 +150,7 @@ class Search:
         tf = shard.tf.astype(np.int64)
         weight = np.repeat(known.weights[shard.terms], np.diff(np.append(0, shard.ends)))
         self.gain = weight * ((1_000_000_000 * tf) // (1000 * tf + 8 * m[shard.docs]))
-        begins = np.append(0, shard.ends[:-1]).astype(np.int64)
+        begins = np.append(0, shard.ends)[: len(shard.ends)].astype(np.int64)
         self.most = np.maximum.reduceat(self.gain, begins) if len(begins) else np.zeros(0, np.int64)
         self.begins = begins
         self.ranges = max(1, -(-len(shard.keys) // RANGE_DOCS))
@@ -216,7 +216,7 @@ def _searched(shards: DataFrame, shared, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, items, floors = shared.value
-        for batch in batches:
+        for batch in batches if items else ():
             for i in range(len(batch)):
                 shard = unpacked({n: batch[n][i].as_py() for n in ("terms", "df", "keys", "keyed", "lengths", "docs", "tf")})
                 search = Search(shard, known)

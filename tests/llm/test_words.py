@@ -156,6 +156,14 @@ def test_search_of_odd_tables(spark):
     assert lexical.search(docs, items.where("false"), item="the.item", item_text="question").count() == 0
 
 
+def test_search_of_shards_without_postings(spark):
+    """Many shards, of which most hold no term of the items; and items none of whose terms any shard holds."""
+    docs = [(i, "nothing of it" if i % 7 else f"rare word {i}") for i in range(200)]
+    items = [(1, "rare"), (2, "unknown"), (3, "word 14")]
+    assert ranked(spark, docs, items, shard_docs=2) == brute.search(docs, items)
+    assert ranked(spark, docs, [(2, "unknown")], shard_docs=2) == {}
+
+
 # ---- spelling variants
 
 
