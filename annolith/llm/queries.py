@@ -14,7 +14,7 @@ from .decontaminate import find_matches, judge
 from .language_id import fit, identify, public_pieces
 from .mixing import fit_domains, mixing_rates
 from .secrets import digest, find_secrets, joined
-from .shared import fresh_path, table
+from .shared import fresh_path, set_small_batches, table
 from .simhash import near_duplicates
 from .token_files import read_tokens, write_tokens
 from .topk import quantised, top_inner
@@ -110,6 +110,7 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    set_small_batches(spark)  # texts, their ids and the texts again are in a task at once
     file = tokenizer_file()
     ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), file).select("doc_id", "ids")
     back = bpe.decode(ids, file, text="decoded")
