@@ -30,6 +30,8 @@ from .shared import quoted, tidied, written
 SHINGLE, DISTANCE, CHUNK = 4, 4, 4096
 #: Fewest bits of a key, so that unlike fingerprints seldom share one.
 KEY_BITS = 21
+#: Keys of a fingerprint that are dealt out at a time: more of them take more passes, and no more memory.
+KEYS_AT_ONCE = 15
 SEED = 42
 
 
@@ -112,9 +114,6 @@ def forest(own: np.ndarray, other: np.ndarray | None, distance: int) -> list[tup
 
 def links(distinct: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> DataFrame:
     """distinct: fp, each once. a, b: edges whose components are those of all pairs within the distance."""
-    masks = F.array(*[F.lit(signed(m)) for m in block_masks(distance, blocks_for(distance))])
-    keyed = distinct.select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("combo", "part"))
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last, number = np.zeros(0, np.int64), None, 0
 
@@ -157,8 +156,13 @@ def links(distinct: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) ->
             close(a, b, chunks)
             yield out(a, b, chunks)
 
-    met = keyed.repartition("combo", "part").sortWithinPartitions("combo", "part").mapInArrow(tidied(meet), "a bigint, b bigint, combo int, part bigint, number int, fps binary")
-    met = written(met, "simhash-met")
+    masks, met = block_masks(distance, blocks_for(distance)), None
+    for first in range(0, len(masks), KEYS_AT_ONCE):
+        own = F.array(*[F.lit(signed(m)) for m in masks[first : first + KEYS_AT_ONCE]])
+        keyed = distinct.select("fp", F.posexplode(F.transform(own, lambda m: F.col("fp").bitwiseAND(m))).alias("combo", "part")).withColumn("combo", F.col("combo") + first)
+        part = keyed.repartition("combo", "part").sortWithinPartitions("combo", "part").mapInArrow(tidied(meet), "a bigint, b bigint, combo int, part bigint, number int, fps binary")
+        part = written(part, "simhash-met")
+        met = part if met is None else met.unionAll(part)
     chunks = met.where("fps is not null").select("combo", "part", "number", "fps")
     pairs = chunks.join(chunks.select("combo", "part", F.col("number").alias("number2"), F.col("fps").alias("fps2")), ["combo", "part"]).where("number <= number2")
 
@@ -177,7 +181,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) ->
 
 def _classes(prints: DataFrame, key: str, distance: int) -> DataFrame:
     """prints (key, fp and more) with root, which names a component, and component_id, the least key in it."""
-    classes = prints.groupBy("fp").agg(F.min(quoted(key)).alias("least"))
+    classes = written(prints.groupBy("fp").agg(F.min(quoted(key)).alias("least")), "simhash-prints-by-key")
     edges = links(classes.select("fp"), distance)
     roots = written(connected_components(edges), "simhash-roots")  # only fingerprints with a link
     joined = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
