@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -251,13 +252,10 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, text: str) -> Itera
             texts = batch[text].slice(a, b - a).to_pylist()
             if len(seen) > CACHED_WORDS:
                 seen, scores = {}, scores[:0]
-            documents = [(t or "").lower().split() for t in texts]
+            documents = [LETTERS.findall(t.lower()) if t else [] for t in texts]
             if model.langs:
-                new = [w for w in dict.fromkeys(w for words in documents for w in words) if w not in seen]
-                parts = [segments(w) for w in new]
-                flat = model.log_words([p for ps in parts for p in ps])
-                of = np.repeat(np.arange(len(new)), [len(ps) for ps in parts])
-                own = np.stack([np.bincount(of, flat[:, k], len(new)) for k in range(len(model.langs))], 1) if new else scores[:0]
+                new = [w for w in dict.fromkeys(chain.from_iterable(documents)) if w not in seen]
+                own = model.log_words([START + w for w in new])
                 seen.update(zip(new, range(len(scores), len(scores) + len(new)), strict=True))
                 scores = np.concatenate([scores, own])
             for t, words in zip(texts, documents, strict=True):
