@@ -10,7 +10,8 @@ rules, each nonterminal's expansion length, and each document's place in symbols
 token range of it, is decoded without the rest.
 
 Results for special cases: a null text is empty, just its end id; repeated rows are stored each, equal keys in the order
-of the rows, null keys first; texts are encoded whole; an empty table gives no file and no rows.
+of the rows, null keys first; keys are whole numbers, and others are an error; texts are encoded whole; an empty table gives
+no file and no rows.
 """
 
 from __future__ import annotations
