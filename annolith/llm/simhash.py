@@ -114,6 +114,7 @@ def forest(own: np.ndarray, other: np.ndarray | None, distance: int) -> list[tup
 
 def links(distinct: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> DataFrame:
     """distinct: fp, each once. a, b: edges whose components are those of all pairs within the distance."""
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last, number = np.zeros(0, np.int64), None, 0
 
@@ -182,7 +183,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) ->
 def _classes(prints: DataFrame, key: str, distance: int) -> DataFrame:
     """prints (key, fp and more) with root, which names a component, and component_id, the least key in it."""
     classes = written(prints.groupBy("fp").agg(F.min(quoted(key)).alias("least")), "simhash-prints-by-key")
-    edges = links(classes.select("fp"), distance)
+    edges = written(links(classes.select("fp"), distance), "simhash-links")  # steps over components read them several times
     roots = written(connected_components(edges), "simhash-roots")  # only fingerprints with a link
     joined = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = written(joined, "simhash-classes")
