@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import connected_components
-from .shared import quoted, tidied, written
+from .shared import positional, quoted, tidied, written
 
 SHINGLE, DISTANCE, CHUNK = 4, 4, 4096
 #: Fewest bits of a key, so that unlike fingerprints seldom share one.
@@ -208,6 +208,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     prints = written(fingerprints(tagged, "key", "text", size, ("tag",)), "simhash-prints")
     least = _classes(prints, "key", distance).where("key is not null").groupBy("root").agg(F.min(F.struct("key", "tag")).alias("least"))
     kept = least.select("least.*").distinct()
-    own = docs.where(F.col(quoted(key)).isNotNull())
-    mine = (own[quoted(key)] == kept["key"]) & (F.xxhash64(own[quoted(text)]) == kept["tag"])
-    return own.join(kept, mine, "left_semi").dropDuplicates([key, text]).unionByName(docs.where(F.col(quoted(key)).isNull()))
+    plain, at = positional(docs)
+    own = plain.where(F.col(at[key]).isNotNull()).withColumn("tag", F.xxhash64(at[text]))
+    # rows meet by key and text's hash once; of those that are equal in both the first stays, without another shuffle
+    once = own.join(kept.select(F.col("key").alias(at[key]), "tag"), [at[key], "tag"], "left_semi").dropDuplicates([at[key], "tag"])
+    return once.select(*plain.columns).unionByName(plain.where(F.col(at[key]).isNull())).toDF(*docs.columns)
