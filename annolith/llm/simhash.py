@@ -32,6 +32,8 @@ SHINGLE, DISTANCE, CHUNK = 4, 4, 4096
 KEY_BITS = 21
 #: Keys of a fingerprint that are dealt out at a time: more of them take more passes, and no more memory.
 KEYS_AT_ONCE = 15
+#: Rows of a key and a hash that are broadcast at most, some 40 MB; more of them meet the documents in a shuffle.
+MOST_BROADCAST = 1_000_000
 SEED = 42
 
 
@@ -206,10 +208,14 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     """
     tagged = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"), F.xxhash64(quoted(text)).alias("tag"))
     prints = written(fingerprints(tagged, "key", "text", size, ("tag",)), "simhash-prints")
-    least = _classes(prints, "key", distance).where("key is not null").groupBy("root").agg(F.min(F.struct("key", "tag")).alias("least"))
-    kept = least.select("least.*").distinct()
+    members = written(_classes(prints, "key", distance).where("key is not null").groupBy("key", "tag").agg(F.first("root").alias("root"), F.count("*").alias("n")), "simhash-members")
+    kept = members.groupBy("root").agg(F.min(F.struct("key", "tag")).alias("least")).select("least.*", F.lit(True).alias("_stays"))
+    # what goes, and what stands several times: few of all rows, so that the others need not move
+    odd = written(members.join(kept, ["key", "tag"], "left").where("_stays is null or n > 1").select("key", "tag", F.coalesce("_stays", F.lit(False)).alias("_stays")), "simhash-odd")
     plain, at = positional(docs)
-    own = plain.where(F.col(at[key]).isNotNull()).withColumn("tag", F.xxhash64(at[text]))
-    # rows meet by key and text's hash once; of those that are equal in both the first stays, without another shuffle
-    once = own.join(kept.select(F.col("key").alias(at[key]), "tag"), [at[key], "tag"], "left_semi").dropDuplicates([at[key], "tag"])
-    return once.select(*plain.columns).unionByName(plain.where(F.col(at[key]).isNull())).toDF(*docs.columns)
+    names = odd.select(F.col("key").alias(at[key]), "tag", "_stays")
+    names = F.broadcast(names) if odd.count() <= MOST_BROADCAST else names
+    own = plain.where(F.col(at[key]).isNotNull()).withColumn("tag", F.xxhash64(at[text])).join(names, [at[key], "tag"], "left")
+    once = own.where("_stays").dropDuplicates([at[key], "tag"])
+    rows = own.where("_stays is null").unionByName(once).select(*plain.columns)
+    return rows.unionByName(plain.where(F.col(at[key]).isNull())).toDF(*docs.columns)
