@@ -1,83 +1,49 @@
 """Bootstraps by replicate accumulators (SMP12-20; each function names its items).
 
-Rows are first summed to clusters. A task takes the clusters of a stratum for a block of replicates, draws that block's
-weights by hash, and adds weights times sums into one short array for each group: what leaves a task is a row for each
-replicate and group, and no row for each cluster and replicate is ever made. Draws depend on the replicate, the stratum and
-the draw's number alone, so series made from one population share them, and a second stream of draws is a prefix.
+Rows are first summed to clusters. A task takes a stretch of the clusters and the draws that fall on it (``draws``), and adds
+weights times sums into one short row for each replicate and group: no row for each cluster and replicate is ever made. Draws
+depend on the replicate, the stratum and the draw's number alone, so series made from one population share them, and a second
+stream of draws is a prefix.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .streams import group_tables
+from . import draws
 
-#: Replicates of a task; clusters whose sums a task holds. A stratum of more clusters takes several tasks, each of which makes
-#: all of the stratum's draws and keeps those that fall to its clusters.
-BLOCK, CHUNK = 16, 500_000
-
-
-def picks(replicate: int, stratum: str, n: int, stream: str = "") -> np.ndarray:
-    """The slots that a stratum's n draws with replacement fall on."""
-    head = f"{stream}{replicate}|{stratum}|"
-    drawn = (int.from_bytes(md5(f"{head}{j}".encode()).digest()[:4], "big") for j in range(n))
-    return np.fromiter(drawn, np.int64, n) % n
-
-
-def block_weights(block: int, replicates: int, stratum: str, n: int, low: int, high: int, stream: str) -> np.ndarray:
-    """Weights of the slots from low up to high: a row for each replicate of the block."""
-    rows = range(block * BLOCK, min(replicates, (block + 1) * BLOCK))
-    out = np.zeros((len(rows), high - low), np.uint16)
-    for k, replicate in enumerate(rows):
-        slots = picks(replicate, stratum, n, stream)
-        own = slots[(slots >= low) & (slots < high)] - low
-        out[k] = np.bincount(own, minlength=high - low)
-    return out
-
-
-def replicate_sums(clusters: DataFrame, sums: DataFrame, cluster: str, stratum: str, by: list[str], measures: list[str], replicates: int, stream: str = "", chunk: int = CHUNK) -> DataFrame:
+def replicate_sums(clusters: DataFrame, sums: DataFrame, cluster: str, stratum: str, by: list[str], measures: list[str], replicates: int, stream: str = "", chunk: int = draws.WIDTH) -> DataFrame:
     """by, replicate, measures: the weighted sums of each replicate (SMP12's weights: as many draws in each stratum as it has
     clusters).
 
     clusters: stratum, cluster, a row for each cluster of the population. sums: stratum, cluster, by, measures (numbers), any
     number of rows a cluster. Clusters without sums draw too. Rows without a stratum or cluster take no part.
     """
-    names = [*by]
-    w = Window.partitionBy(stratum).orderBy(cluster)
-    numbered = clusters.select(stratum, cluster).where(F.col(stratum).isNotNull() & F.col(cluster).isNotNull()).withColumn("_slot", F.row_number().over(w) - 1)
-    sizes = numbered.groupBy(stratum).agg((F.max("_slot") + 1).alias("_n"))
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // BLOCK)))
-    rows = sums.join(numbered, [stratum, cluster]).join(sizes, stratum)
-    rows = rows.select(F.col(stratum).cast("string").alias("_stratum"), F.floor(F.col("_slot") / chunk).cast("int").alias("_chunk"), blocks.alias("_block"), "_n", "_slot", *[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], *[F.col(m).cast("double").alias(f"_m{i}") for i, m in enumerate(measures)])
-    fields = [sums.schema[b] for b in names]
-    kind = StructType([*fields, StructField("replicate", IntegerType()), *(StructField(f"_m{i}", DoubleType()) for i in range(len(measures)))])
-    keys = ["_stratum", "_chunk", "_block", *[f"_by{i}" for i in range(len(by))]]
+    keys, values = [f"_by{i}" for i in range(len(by))], [f"_m{i}" for i in range(len(measures))]
+    places = draws.placed(clusters.where(F.col(cluster).isNotNull()), stratum, cluster)
+    rows = sums.join(places, [stratum, cluster]).select("_place", *[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], *[F.col(m).cast("double").alias(v) for m, v in zip(measures, values, strict=True)])
+    kind = StructType([*(sums.schema[b] for b in by), StructField("replicate", IntegerType()), *(StructField(v, DoubleType()) for v in values)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, weights = None, None
-        for key, table in group_tables(batches, keys):
-            own, (at, part, block) = table, key[:3]
-            n = own["_n"][0].as_py()
-            low = part * chunk
-            if key[:3] != last:
-                weights, last = block_weights(block, replicates, at, n, low, min(n, low + chunk), stream), key[:3]
-            slots = own["_slot"].to_numpy() - low
-            values = np.stack([np.nan_to_num(own[f"_m{i}"].to_numpy()) for i in range(len(measures))], 1)
-            made = np.stack([row[slots].astype(np.float64) @ values for row in weights])
-            count = len(made)
-            columns = [pa.array([k] * count, own.schema.field(name).type) for k, name in zip(key[3:], keys[3:], strict=True)]
-            numbers = pa.array(np.arange(block * BLOCK, block * BLOCK + count), pa.int32())
-            yield pa.RecordBatch.from_arrays([*columns, numbers, *(pa.array(made[:, i]) for i in range(len(measures)))], kind.names)
-
-    dealt = rows.repartition("_stratum", "_chunk", "_block").sortWithinPartitions(*keys).mapInArrow(run, kind)
-    return dealt.groupBy(*names, "replicate").agg(*[F.sum(f"_m{i}").alias(m) for i, m in enumerate(measures)])
+        last, own = None, []
+        for groups, replicate, weights in draws.drawn(batches, keys, chunk):
+            if groups is not last:
+                last = groups
+                own = [(table["_at"].to_numpy(), np.stack([np.nan_to_num(table[v].to_numpy()) for v in values], 1)) for _, table in groups]
+            made = np.stack([weights[at].astype(np.float64) @ numbers for at, numbers in own])
+            columns = [pa.array([key[i] for key, _ in groups], groups[0][1].schema.field(k).type) for i, k in enumerate(keys)]
+            replicates_ = pa.array(np.full(len(groups), replicate, np.int32))
+            yield pa.RecordBatch.from_arrays([*columns, replicates_, *(pa.array(made[:, i]) for i in range(len(values)))], kind.names)
+
+    dealt = draws.dealt(rows, places, stratum, keys, replicates, stream, chunk)
+    made = dealt.mapInArrow(lambda batches: draws.gathered(run(batches)), kind)
+    return made.groupBy(*by, "replicate").agg(*[F.sum(v).alias(m) for m, v in zip(measures, values, strict=True)])
 
 
 def ratio_series(clusters: DataFrame, sums: DataFrame, cluster: str, stratum: str, by: list[str], replicates: int, num: str = "num", den: str = "den", stream: str = "") -> DataFrame:

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from annolith.operators import bootstrap, graphs, nested, routes, sampling, streams, tables
+from annolith.operators import bootstrap, draws, graphs, nested, routes, sampling, streams, tables
 from annolith.operators import ledger as L
 from annolith.sources import lines, snapshots
 from annolith.streaming import stages
@@ -239,6 +239,28 @@ def test_replicates_over_chunks(spark):
     assert both.difference == 0 and both.low < 0 < both.high and 0 < both.chance < 1  # independent draws
 
 
+@pytest.mark.parametrize(("head", "low", "high", "n"), [("0|all|", 0, 12_345, 99), ("dev|99|all|", 9_990, 30_010, 1_500_000), ("é|7|", 99_999_900, 100_001_000, 216_000_000), ("x" * 60, 0, 900, 7)])
+def test_picks_are_md5(head, low, high, n):
+    want = [int(hashlib.md5(f"{head}{j}".encode()).hexdigest()[:8], 16) % n for j in range(low, high)]
+    assert draws.picks(head, low, high, n).tolist() == want
+
+
+def test_each_draw_is_made_once(spark):
+    """However many stretches a stratum has, its draws are dealt out once each and fall on the slots that hashes name."""
+    population = spark.createDataFrame([(s, k) for s, n in (("x", 3000), ("y", 2), ("z", 700)) for k in range(n)], "s string, k int")
+    places = draws.placed(population, "s", "k").cache()
+    rows = draws.dealt(places.select("_place"), places, "s", [], 3, "a|", 300, segment=1000).where("_replicate >= 0").collect()
+    found = Counter()
+    for r in rows:
+        counts, at = [int.from_bytes(r._high[i : i + 4], "little") for i in range(0, len(r._high), 4)], 0
+        for cell, n in enumerate(counts):
+            found.update((r._replicate, 300 * r._chunk + 256 * (r._first + cell) + b) for b in r._low[at : at + n])
+            at += n
+        assert at == len(r._low)
+    want = Counter((b, start + int(hashlib.md5(f"a|{b}|{s}|{j}".encode()).hexdigest()[:8], 16) % n) for b in range(3) for s, start, n in (("x", 0, 3000), ("y", 3000, 2), ("z", 3002, 700)) for j in range(n))
+    assert found == want
+
+
 # ---- numbers, ranks, averages
 
 
