@@ -8,12 +8,15 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from . import draws
 
 
 def hash_key(seed: object, *ids: Column) -> Column:
@@ -173,23 +176,30 @@ def promoted(rows: DataFrame, key: str, order: str, prefix: int, chosen: DataFra
     return marked.withColumn("tier", tier).withColumn("within", F.when(tier == 1, F.col("_rank")).otherwise(F.col(order))).drop("_rank")
 
 
-def draw(*parts: Column) -> Column:
-    """A whole number from a hash of the parts; modulo a count it chooses with replacement."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")), 1, 8), 16, 10).cast("bigint")
-
-
-def bootstrap_weights(clusters: DataFrame, cluster: str, stratum: str, replicates: int) -> DataFrame:
+def bootstrap_weights(clusters: DataFrame, cluster: str, stratum: str, replicates: int, width: int = draws.WIDTH) -> DataFrame:
     """SMP12: replicate, stratum, cluster, weight: as many draws with replacement in each stratum as it has clusters.
 
-    clusters: one row each. Rows made are clusters times replicates, not data rows times replicates.
+    clusters: one row each. Rows made are clusters times replicates, not data rows times replicates; they leave the tasks that
+    add up the draws, and only the draws are shuffled.
     """
-    w = Window.partitionBy(stratum).orderBy(cluster)
-    numbered = clusters.select(stratum, cluster).withColumn("slot", F.row_number().over(w) - 1)
-    sizes = numbered.groupBy(stratum).agg(F.count("*").alias("n"))
-    draws = numbered.join(sizes, stratum).select(stratum, "n", "slot", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    picked = draws.select("replicate", stratum, F.pmod(draw(F.col("replicate"), F.col(stratum), F.col("slot")), F.col("n")).cast("int").alias("slot"))
-    weights = picked.groupBy("replicate", stratum, "slot").agg(F.count("*").alias("weight"))
-    return weights.join(numbered, [stratum, "slot"]).select("replicate", stratum, cluster, "weight")
+    places = draws.placed(clusters, stratum, cluster)
+    rows = places.select("_place", F.col(stratum).alias("_of"), F.col(cluster).alias("_cluster"))
+    fields = [("replicate", IntegerType()), (stratum, clusters.schema[stratum].dataType), (cluster, clusters.schema[cluster].dataType), ("weight", LongType())]
+    kind = StructType([StructField(name, t) for name, t in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for groups, replicate, weights in draws.drawn(batches, [], width):
+            if groups is not last:
+                last, own = groups, groups[0][1].combine_chunks()
+                at = own["_at"].to_numpy()
+            weight = weights[at]
+            hit = np.flatnonzero(weight)
+            columns = [pa.array(np.full(len(hit), replicate, np.int32)), *(own[k].chunk(0).take(pa.array(hit)) for k in ("_of", "_cluster")), pa.array(weight[hit])]
+            yield pa.RecordBatch.from_arrays(columns, kind.names)
+
+    dealt = draws.dealt(rows, places, stratum, [], replicates, "", width)
+    return dealt.mapInArrow(lambda batches: draws.gathered(run(batches)), kind)
 
 
 def weighted_ratios(sums: DataFrame, weights: DataFrame, cluster: list[str], by: list[str], num: str = "num", den: str = "den") -> DataFrame:

@@ -261,6 +261,14 @@ def test_each_draw_is_made_once(spark):
     assert found == want
 
 
+def test_weights_over_stretches(spark):
+    population = spark.createDataFrame([(s, k) for s, n in (("x", 3000), ("y", 2), ("z", 700)) for k in range(n)], "s string, k int")
+    weights = sampling.bootstrap_weights(population, "k", "s", 3, width=300).collect()
+    starts = {"x": 0, "y": 3000, "z": 3002}
+    plain = Counter((b, start + int(hashlib.md5(f"{b}|{s}|{j}".encode()).hexdigest()[:8], 16) % n) for b in range(3) for s, start, n in (("x", 0, 3000), ("y", 3000, 2), ("z", 3002, 700)) for j in range(n))
+    assert {(x.replicate, starts[x.s] + x.k): x.weight for x in weights} == plain
+
+
 # ---- numbers, ranks, averages
 
 
