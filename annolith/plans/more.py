@@ -11,7 +11,7 @@ from annolith.functions.boxes import Box, box
 from annolith.operators import checks, graphs, matching, tables
 from annolith.operators import sampling as S
 
-from .ledgers import DRAWS, SERIES, SUMS, yearly
+from .ledgers import DRAWS, SERIES, SUMS, two_years
 from .registry import query
 from .scores import LABELLED, labelled, six
 from .spatial import PAGE, accepted, greedy_sql, sides
@@ -364,9 +364,7 @@ def smp11(s, d):
 
 @query("smp18_paired_probability", with_(PAGES, DRAWS, SUMS, SERIES, "SELECT round(avg((b.value > a.value)::INTEGER), 6) AS chance FROM se a JOIN se b ON a.replicate = b.replicate WHERE a.year = 1996 AND b.year = 1999"))
 def smp18(s, d):
-    series = yearly(s, d)
-    a, b = (series.where(c("year") == y).drop("year") for y in (1996, 1999))
-    return S.paired_delta(a, b, []).agg(F.round(F.avg((c("value") > 0).cast("double")), 6).alias("chance"))
+    return S.paired_delta(*two_years(s, d), []).agg(F.round(F.avg((c("value") > 0).cast("double")), 6).alias("chance"))
 
 
 @query("smp25_tiered_audit", with_(PAGES, "a AS (SELECT image_id, 'per cell' AS reason FROM pages_ QUALIFY row_number() OVER (PARTITION BY year ORDER BY sha256('2:' || CAST(image_id AS VARCHAR)), image_id) <= 2)", "b AS (SELECT image_id, 'stress' FROM pages_ WHERE image_id IN (3, 5, 8) AND image_id NOT IN (SELECT image_id FROM a))", "SELECT * FROM a UNION ALL SELECT * FROM b"))
