@@ -4,9 +4,9 @@ A classifier fitted on a labelled table gives each document a posterior over the
 tokens these are its expected domain tokens. Nonnegative document rates are found by accelerated projected-gradient
 least squares, so that the rates' expected domain totals meet the targets. The gradient that a document sees depends on
 its posterior alone (in the metric that weighs documents by tokens), so a step needs one small vector: all documents'
-rates follow from the list of these vectors, and no rate is stored or shuffled between steps. The steps run over the distinct
-posteriors with their token sums, or, where these are too many, over groups of like ones; then passes over all posteriors
-correct the aim by what the shares in truth lack. A document's step is scaled by the shares of its domains, so that rare
+rates follow from the list of these vectors, and no rate is stored or shuffled between steps. The steps run over groups of like
+posteriors, as fine as the driver holds for so many domains; then passes over all posteriors correct the aim by what the
+shares in truth lack. A document's step is scaled by the shares of its domains, so that rare
 domains move as fast as others. The steps end when the shares are near to the best that nonnegative rates can give, which is
 found beforehand; if they don't get there, a warning names the distance.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ from .shared import arrow_map, hash_bound, positional, quoted, released, tidied,
 #: The classifier is fitted on so many labelled rows at most, those whose hash is least, in so many partitions.
 SAMPLE_ROWS, SAMPLE_PARTS = 20_000, 4
 FEATURES, REGULARISATION, SPARSITY, FIT_STEPS = 1 << 15, 4e-3, 1.0, 60
-#: Projected-gradient steps at most; they end when the domain shares are this near to the least-squares ones; distinct
-#: posteriors, or groups of them, that the driver holds; passes over all posteriors at most.
+#: Projected-gradient steps at most; they end when the domain shares are this near to the least-squares ones; groups of
+#: posteriors that the driver holds at most; passes over all posteriors at most.
 STEPS, CLOSE_ENOUGH, HELD_CELLS, PASSES = 5000, 1e-3, 50_000, 12
 TEXT, TOKENS, TERMS, LABEL, CHANCE = "_mix_text", "_mix_tokens", "_mix_terms", "_mix_label", "_mix_chance"
 
@@ -142,25 +143,29 @@ def reachable(cells: DataFrame, n: int, goal: np.ndarray) -> np.ndarray:
     raise RuntimeError("the shares that rates can give have not been found")
 
 
-def held_cells(cells: DataFrame, n: int, held: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Posteriors and tokens of all cells if they are at most ``held``; else of groups of like cells (by rounded posteriors, at
-    last by the likeliest domain alone), with their mean posteriors. The third value says whether they are the cells themselves."""
-    chance, tokens = F.col(CHANCE), F.col("tokens")
-    top = F.array_max(CHANCE)
+def lattice(n: int, held: int) -> int:
+    """The finest steps of a unit of which ``held`` groups can hold all posteriors over n domains; 0: not even one."""
+    k = 0
+    while n > 1 and comb(k + n, n - 1) <= held:
+        k += 1
+    return k
+
 
-    def rounded(places: int) -> Column:
-        return F.transform(chance, lambda p: F.round(p, places))
+def held_cells(cells: DataFrame, n: int, held: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Mean posteriors and tokens of at most ``held`` groups of like cells, and whether each group is one cell.
 
-    keys = [None, *map(rounded, (3, 2, 1)), F.struct(F.array_position(CHANCE, top), F.round(top, 1))]
-    for level, key in enumerate(keys):
-        if key is None:
-            few = cells.select(CHANCE, "tokens")
-        else:
-            sums = cells.groupBy(key.alias("_key")).agg(F.sum("tokens").alias("tokens"), *[F.sum(tokens * chance[i]).alias(f"s{i}") for i in range(n)])
-            few = sums.select(F.array(*[F.col(f"s{i}") / F.col("tokens") for i in range(n)]).alias(CHANCE), "tokens")
-        if level == len(keys) - 1 or few.count() <= held:
-            whole = few.toArrow().combine_chunks()
-            return np.array(whole[CHANCE].to_pylist(), float).reshape(len(whole), n), whole["tokens"].to_numpy(), key is None
+    Groups have like running sums of their posteriors, in steps that follow from the number of domains alone, so a cell's group
+    doesn't depend on the other cells; where not even one step fits, the likeliest domain and its rounded posterior.
+    """
+    chance, tokens, k = F.col(CHANCE), F.col("tokens"), lattice(n, held)
+    top = F.array_max(CHANCE)
+    key = F.struct(F.array_position(CHANCE, top), F.round(top, 1))
+    if k:
+        key = F.array(*[F.floor(sum((chance[j] for j in range(1, i + 1)), chance[0]) * k) for i in range(n - 1)])
+    sums = cells.groupBy(key.alias("_key")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("cells"), *[F.sum(tokens * chance[i]).alias(f"s{i}") for i in range(n)])
+    few = sums.orderBy("_key").select(F.array(*[F.col(f"s{i}") / F.col("tokens") for i in range(n)]).alias(CHANCE), "tokens", "cells")
+    whole = few.toArrow().combine_chunks()
+    return np.array(whole[CHANCE].to_pylist(), float).reshape(len(whole), n), whole["tokens"].to_numpy(), bool((whole["cells"].to_numpy() == 1).all())
 
 
 def descend(chance: np.ndarray, weight: np.ndarray, shares: np.ndarray, aim: np.ndarray, steps: int, close: float) -> tuple[Path, np.ndarray]:
@@ -200,8 +205,8 @@ def shares_after(cells: DataFrame, path: Path, n: int) -> np.ndarray:
 def fit_rates(rated: DataFrame, targets: dict[str, float], names: list[str], steps: int = STEPS, close: float = CLOSE_ENOUGH, held: int = HELD_CELLS) -> Path | None:
     """rated: posteriors' rows. targets: shares of all tokens by domain. The path that gives every rate.
 
-    Where there are too many cells for the driver, steps run over groups of like cells, and a pass over all cells says which
-    shares the path gives in truth; the aim is moved by what is missing, for ``PASSES`` passes at most, whatever the number of
+    Steps run over groups of like cells, at any size of the input, and a pass over all cells says which shares the path gives in
+    truth; the aim is moved by what is missing, for ``PASSES`` passes at most, whatever the number of
     steps and domains.
     """
     cells = written(rated.groupBy(CHANCE).agg(F.sum(TOKENS).cast("double").alias("tokens")).where("tokens > 0"), "mixing-cells")
@@ -210,13 +215,12 @@ def fit_rates(rated: DataFrame, targets: dict[str, float], names: list[str], ste
     if not total:
         return None
     shares, best = np.array(sums, float) / total, reachable(cells, n, goal)
-    chance, tokens, exact = held_cells(cells, n, held)
+    chance, tokens, _ = held_cells(cells, n, held)
     aim, found, least = best, None, np.inf
-    for _ in range(1 if exact else PASSES):
+    for _ in range(PASSES):
         # what groups can give is a little less than what their members can
-        path, now = descend(chance, tokens / total, shares, aim if exact else nearest(chance, aim), steps, close if exact else close / 4)
-        if not exact:
-            now = shares_after(cells, path, n) / total
+        path, _ = descend(chance, tokens / total, shares, nearest(chance, aim), steps, close / 4)
+        now = shares_after(cells, path, n) / total
         off = float(np.abs(now - best).max())
         if off < least:
             found, least, reached = path, off, now

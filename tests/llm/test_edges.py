@@ -677,6 +677,15 @@ def test_mixing_over_groups_of_cells(spark, n):
         assert not exact and sums.sum() == tokens.sum() and sums @ some == pytest.approx(tokens @ chance) and len(some) <= max(held, 11 * n)
 
 
+@pytest.mark.parametrize("others", [0, 900])
+def test_mixing_groups_whatever_the_size(spark, others):
+    """A posterior's group is the same alone and among more posteriors than the driver holds."""
+    rows = [(3.0, [0.5001, 0.3999, 0.1]), (1.0, [0.5002, 0.3998, 0.1]), *((1.0, [0.9 - i * 1e-4, 0.1 + i * 1e-4, 0.0]) for i in range(others))]
+    some, sums, _ = mixing.held_cells(spark.createDataFrame(rows, f"tokens double, {mixing.CHANCE} array<double>"), 3, 300)
+    of = [(t, c) for t, c in zip(sums.tolist(), some, strict=True) if c[2] > 0.05]
+    assert len(of) == 1 and of[0][0] == 4 and of[0][1] == pytest.approx([0.500125, 0.399875, 0.1])
+
+
 def test_components_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 501)], "a bigint, b bigint")
     found = {r.node: r.root for r in components.connected_components(edges).collect()}
