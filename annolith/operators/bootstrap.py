@@ -18,17 +18,19 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from . import draws
 
-def replicate_sums(clusters: DataFrame, sums: DataFrame, cluster: str, stratum: str, by: list[str], measures: list[str], replicates: int, stream: str = "", chunk: int = draws.WIDTH) -> DataFrame:
+def replicate_sums(clusters: DataFrame, sums: DataFrame | None, cluster: str, stratum: str, by: list[str], measures: list[str], replicates: int, stream: str = "", chunk: int = draws.WIDTH) -> DataFrame:
     """by, replicate, measures: the weighted sums of each replicate (SMP12's weights: as many draws in each stratum as it has
     clusters).
 
     clusters: stratum, cluster, a row for each cluster of the population. sums: stratum, cluster, by, measures (numbers), any
-    number of rows a cluster. Clusters without sums draw too. Rows without a stratum or cluster take no part.
+    number of rows a cluster, or None where the clusters' own rows hold them: these are then numbered with their sums, without a
+    join. Clusters without sums draw too. Rows without a stratum or cluster take no part.
     """
     keys, values = [f"_by{i}" for i in range(len(by))], [f"_m{i}" for i in range(len(measures))]
-    places = draws.placed(clusters.where(F.col(cluster).isNotNull()), stratum, cluster)
-    rows = sums.join(places, [stratum, cluster]).select("_place", *[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], *[F.col(m).cast("double").alias(v) for m, v in zip(measures, values, strict=True)])
-    kind = StructType([*(sums.schema[b] for b in by), StructField("replicate", IntegerType()), *(StructField(v, DoubleType()) for v in values)])
+    places = draws.placed(clusters.where(F.col(cluster).isNotNull()), stratum, cluster, [*by, *measures] if sums is None else [])
+    held, fields = (places, clusters.schema) if sums is None else (sums.join(places, [stratum, cluster]), sums.schema)
+    rows = held.select("_place", *[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], *[F.col(m).cast("double").alias(v) for m, v in zip(measures, values, strict=True)])
+    kind = StructType([*(fields[b] for b in by), StructField("replicate", IntegerType()), *(StructField(v, DoubleType()) for v in values)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, []
@@ -52,6 +54,18 @@ def ratio_series(clusters: DataFrame, sums: DataFrame, cluster: str, stratum: st
     return made.select(*by, "replicate", (F.col(num) / F.nullif(F.col(den), F.lit(0.0))).alias("value"))
 
 
+def page_ratios(pages: DataFrame, page: str, stratum: str, ratios: dict[str, tuple[str, str]], replicates: int, stream: str = "") -> tuple[DataFrame, DataFrame]:
+    """SMP16, SMP17, SMP19: (metric, estimate) and (metric, replicate, value) of several ratios of sums over the same draws.
+
+    pages: stratum, page and the sums that ratios name as (num, den), a row for each page; they are read more than once, so what
+    is dear should be stored. A metric whose den is 0 on every page is left out of the estimates."""
+    measures = list(dict.fromkeys(m for pair in ratios.values() for m in pair))
+    rows = F.inline(F.array(*[F.struct(F.lit(name).alias("metric"), F.col(num).alias("num"), F.col(den).alias("den")) for name, (num, den) in ratios.items()]))
+    point = observed(pages.agg(*[F.sum(m).alias(m) for m in measures]).select(rows).where("den <> 0"), ["metric"])
+    made = replicate_sums(pages, None, page, stratum, [], measures, replicates, stream).select("replicate", rows)
+    return point, made.select("metric", "replicate", (F.col("num") / F.nullif(F.col("den"), F.lit(0.0))).alias("value"))
+
+
 def observed(sums: DataFrame, by: list[str], num: str = "num", den: str = "den") -> DataFrame:
     """by, estimate: the ratio over all rows."""
     return sums.groupBy(*by).agg((F.sum(num) / F.nullif(F.sum(F.col(den).cast("double")), F.lit(0.0))).alias("estimate"))
@@ -79,10 +93,15 @@ def two_samples(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame],
     if streams[0] == streams[1]:
         raise ValueError("two samples need two streams of draws")
     series = [ratio_series(c, s, cluster, stratum, by, replicates, stream=x) for (c, s), x in zip((a, b), streams, strict=True)]
+    return compared([observed(s, by) for _, s in (a, b)], series, by)
+
+
+def compared(points: list[DataFrame], series: list[DataFrame], by: list[str]) -> DataFrame:
+    """SMP19's result from the estimates and the series of both samples, whose streams of draws must differ."""
     keys = [*by, "replicate"]
     delta = series[0].select(*keys, F.col("value").alias("_a")).join(series[1].select(*keys, F.col("value").alias("_b")), keys).select(*keys, (F.col("_a") - F.col("_b")).alias("value")).where("value is not null")
     spread = ranked_interval(delta, by, chance=True)
-    point = observed(a[1], by).withColumnRenamed("estimate", "first"), observed(b[1], by).withColumnRenamed("estimate", "second")
+    point = [p.withColumnRenamed("estimate", name) for p, name in zip(points, ("first", "second"), strict=True)]
     if by:
         return point[0].join(point[1], by).join(spread, by, "left").withColumn("difference", F.col("first") - F.col("second"))
     return point[0].join(point[1]).join(spread).withColumn("difference", F.col("first") - F.col("second"))  # one row each

@@ -89,9 +89,9 @@ def picks(head: str, low: int, high: int, n: int) -> np.ndarray:
     return out
 
 
-def placed(clusters: DataFrame, stratum: str, cluster: str) -> DataFrame:
-    """stratum, cluster, _place: strata one after the other, each in the order of its clusters. Rows without a stratum go."""
-    return tables.numbered(clusters.select(stratum, cluster).where(F.col(stratum).isNotNull()), [F.col(stratum), F.col(cluster)], "_place")
+def placed(clusters: DataFrame, stratum: str, cluster: str, kept: Iterable[str] = ()) -> DataFrame:
+    """stratum, cluster, kept, _place: strata one after the other, each in the order of its clusters. Rows without a stratum go."""
+    return tables.numbered(clusters.select(stratum, cluster, *kept).where(F.col(stratum).isNotNull()), [F.col(stratum), F.col(cluster)], "_place")
 
 
 def gathered(batches: Iterable[pa.RecordBatch], rows: int = 20_000, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:

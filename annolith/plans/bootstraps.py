@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from annolith.operators import bootstrap as B
 from annolith.operators import matching
+from annolith.operators.store import stored
 
 from .ledgers import REPS
 from .registry import query
@@ -74,13 +75,14 @@ ps AS (SELECT 'strict' AS metric, image_id AS cl, 2 * coalesce(m, 0) AS num, box
     with_(FACES, PAIRS, _matched_sql("st", "iou", "iou >= 0.2"), _matched_sql("le", "greatest(iou, containment * 0.19::DOUBLE)", "iou >= 0.1 OR (containment >= 0.95 AND iou >= 0.02)"), MATCHED_SUMS, weights_sql("w", "SELECT image_id AS cl FROM faces"), SERIES, LISTED, POINT, SPREAD.format(rank_sql(TRUNCATE))),
 )
 def smp17(s, d):
-    # a page's matching is the same in every replicate, so it is made once and only its counts are drawn
-    pairs = {"strict": matching.greedy(accepted(s, d), PAGE, c("iou")), "lenient": matching.greedy(accepted(s, d, 0.1, 0.95), PAGE, F.greatest(c("iou"), c("containment") * 0.19))}
-    boxes = faces(s, d).groupBy("image_id").agg(F.count("*").alias("den"))
-    parts = [boxes.join(p.groupBy("image_id").agg(F.count("*").alias("m")), "image_id", "left").select(F.lit("all").alias("all"), F.lit(mode).alias("metric"), "image_id", (2 * F.coalesce("m", F.lit(0))).alias("num"), "den") for mode, p in pairs.items()]
-    sums = parts[0].unionByName(parts[1])
-    spread = B.ranked_interval(B.ratio_series(population(s, d), sums, "image_id", "all", ["metric"], REPS), ["metric"], rule="truncate")
-    return six(B.observed(sums, ["metric"]).join(spread, "metric"), "estimate", "low", "high")
+    # a page's matching is the same in every replicate, so both are made once, from one set of candidates, and only counts are drawn
+    iou, lenient = c("iou"), F.greatest(c("iou"), c("containment") * 0.19)
+    matched = matching.greedy_counts(accepted(s, d, 0.1, 0.95), PAGE, {"strict": F.when(iou >= 0.2, iou), "lenient": lenient})
+    pages = faces(s, d).groupBy("image_id").agg(F.count("*").alias("boxes")).join(matched, "image_id", "left")
+    twice = [(2 * F.coalesce(m, F.lit(0))).alias(m) for m in ("strict", "lenient")]
+    sums = stored(pages.select(F.lit("all").alias("all"), "image_id", "boxes", *twice), "page-sums")
+    point, series = B.page_ratios(sums, "image_id", "all", {m: (m, "boxes") for m in ("strict", "lenient")}, REPS)
+    return six(point.join(B.ranked_interval(series, ["metric"], rule="truncate"), "metric"), "estimate", "low", "high")
 
 
 def _arm(name: str, rest: int) -> list[str]:

@@ -245,6 +245,21 @@ def test_picks_are_md5(head, low, high, n):
     assert draws.picks(head, low, high, n).tolist() == want
 
 
+def test_ratios_of_pages(spark):
+    """Several ratios of pages numbered with their sums: the series and estimates of each ratio by itself."""
+    r = random.Random(8)
+    pages = spark.createDataFrame([("all", k, r.choice([None, 0, 1, 2]), r.randrange(3), r.randrange(1, 4), 0) for k in range(50)], "s string, k int, x int, y int, n int, none int")
+    ratios = {"x": ("x", "n"), "y": ("y", "n"), "none": ("y", "none")}
+    point, series = bootstrap.page_ratios(pages, "k", "s", ratios, 30, "q|")
+    found = {(p.metric, p.replicate): p.value for p in series.collect()}
+    assert found.keys() == {(m, b) for m in ratios for b in range(30)} and not any(found["none", b] for b in range(30))
+    for m in ("x", "y"):
+        want = bootstrap.ratio_series(pages, pages, "k", "s", [], 30, m, "n", "q|").collect()
+        assert {(m, w.replicate): w.value for w in want} == {k: v for k, v in found.items() if k[0] == m}
+    rows = pages.collect()
+    assert {p.metric: p.estimate for p in point.collect()} == {m: sum(x[m] or 0 for x in rows) / sum(x.n for x in rows) for m in ("x", "y")}
+
+
 def test_each_draw_is_made_once(spark):
     """However many stretches a stratum has, its draws are dealt out once each and fall on the slots that hashes name."""
     population = spark.createDataFrame([(s, k) for s, n in (("x", 3000), ("y", 2), ("z", 700)) for k in range(n)], "s string, k int")

@@ -84,3 +84,16 @@ def test_long_alternating_paths(spark):
     pairs = spark.createDataFrame(edges, "page int, a bigint, b bigint, iou double, containment double")
     found = matching.most_pairs(pairs, ["page"]).collect()
     assert len(found) == n + 1 and len({r.a for r in found}) == len({r.b for r in found}) == n + 1
+
+
+def test_counts_of_several_matchings(spark):
+    """Both matchings of a page from one reading of its pairs count what each by itself keeps; ties and pages without pairs too."""
+    r = random.Random(9)
+    rows = {s: [(page, 10 * page + k, (x := r.randrange(4), y := r.randrange(4), x + r.randrange(2, 6), y + r.randrange(2, 6))) for page in range(60) for k in range(r.randrange(0, 6))] for s in "hp"}
+    h, p = frame(spark, rows["h"]), frame(spark, rows["p"])
+    lenient = F.greatest(F.col("iou"), F.col("containment") * 0.19)
+    counts = matching.greedy_counts(matching.candidates(h, p, ["page"], 0.1, 0.95), ["page"], {"strict": F.when(F.col("iou") >= 0.2, F.col("iou")), "lenient": lenient}).collect()
+    for name, pairs, score in (("strict", matching.candidates(h, p, ["page"], 0.2), F.col("iou")), ("lenient", matching.candidates(h, p, ["page"], 0.1, 0.95), lenient)):
+        want = {x.page: x["count"] for x in matching.greedy(pairs, ["page"], score).groupBy("page").count().collect()}
+        assert {x.page: x[name] for x in counts if x[name]} == want
+    assert any(x.strict < x.lenient for x in counts)

@@ -1,6 +1,7 @@
 """Plans and helpers that keep memory and time level on large tables."""
 
 import pyarrow as pa
+import pytest
 
 import annolith.plans  # noqa: F401
 from annolith.operators import streams
@@ -18,6 +19,13 @@ def test_case_kinds_read_faces_once(spark, sf):
     assert made.count("FileScan") == 1 and "SortAggregate" not in made and "ObjectHashAggregate" not in made
 
 
+@pytest.mark.parametrize("name", ["smp17_matching_bootstrap"])
+def test_page_sums_are_made_once(spark, sf, name):
+    """Estimates and draws read the stored sums of pages: nothing of the plan reads, pairs or matches faces again."""
+    made = plan(registry.queries()[name](spark, sf))
+    assert "lineitem" not in made and "SortMergeJoin [image_id" not in made and "page-sums" in made
+
+
 def test_manual_links_are_numbered_in_place(spark, sf):
     assert "collect_list" not in plan(manual_links(spark, sf))
 
