@@ -19,7 +19,7 @@ def test_case_kinds_read_faces_once(spark, sf):
     assert made.count("FileScan") == 1 and "SortAggregate" not in made and "ObjectHashAggregate" not in made
 
 
-@pytest.mark.parametrize("name", ["smp17_matching_bootstrap"])
+@pytest.mark.parametrize("name", ["smp16_page_bootstrap", "smp17_matching_bootstrap", "smp19_two_samples"])
 def test_page_sums_are_made_once(spark, sf, name):
     """Estimates and draws read the stored sums of pages: nothing of the plan reads, pairs or matches faces again."""
     made = plan(registry.queries()[name](spark, sf))
