@@ -48,6 +48,11 @@ def intersection(a: Box, b: Box) -> Column:
     return F.when(valid(a) & valid(b), wide * high).otherwise(F.lit(0.0))
 
 
+def crossed(a: Box, b: Box) -> Column:
+    """The intersection of valid boxes whose sides cross."""
+    return (F.least(a.x2, b.x2) - F.greatest(a.x1, b.x1)).cast("double") * (F.least(a.y2, b.y2) - F.greatest(a.y1, b.y1)).cast("double")
+
+
 def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 

@@ -97,3 +97,21 @@ def test_counts_of_several_matchings(spark):
         want = {x.page: x["count"] for x in matching.greedy(pairs, ["page"], score).groupBy("page").count().collect()}
         assert {x.page: x[name] for x in counts if x[name]} == want
     assert any(x.strict < x.lenient for x in counts)
+
+
+def test_crossed_boxes_meet_as_before(spark):
+    """Boxes without an area or with a missing side meet none; all other overlaps are those of the general intersection."""
+    r = random.Random(11)
+    side = lambda low: r.choice([None, *range(low, low + 4), *range(low, low + 4)])
+    rows = {s: [(page, 10 * page + k, tuple(side(low) for low in (0, 0, 2, 2))) for page in range(50) for k in range(r.randrange(0, 6))] for s in "hp"}
+    made = {(x.a, x.b): (x.iou, x.containment) for x in matching.candidates(frame(spark, rows["h"]), frame(spark, rows["p"]), ["page"], 0.1, 0.95).collect()}
+    good = {s: [x for x in rows[s] if None not in x[2] and x[2][0] < x[2][2] and x[2][1] < x[2][3]] for s in "hp"}
+    size = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+    want = {}
+    for page, a, x in good["h"]:
+        for other, b, y in good["p"]:
+            inter = max(0, min(x[2], y[2]) - max(x[0], y[0])) * max(0, min(x[3], y[3]) - max(x[1], y[1]))
+            part = inter / min(size(x), size(y))
+            if page == other and (iou(x, y) >= 0.1 or part >= 0.95 and iou(x, y) >= 0.02):
+                want[a, b] = iou(x, y), part
+    assert made == want and len(want) > 10

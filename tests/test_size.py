@@ -7,6 +7,7 @@ import annolith.plans  # noqa: F401
 from annolith.operators import streams
 from annolith.plans import registry
 from annolith.plans.inventory import manual_links
+from annolith.plans.spatial import accepted
 
 
 def plan(frame):
@@ -26,6 +27,22 @@ def test_page_sums_are_made_once(spark, sf, name):
     assert "lineitem" not in made and "SortMergeJoin [image_id" not in made and "page-sums" in made
 
 
+def test_pair_joins_are_compiled(spark, sf):
+    """The JVM interprets methods of over 8,000 bytes of bytecode, for good: a join of boxes must stay below."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(kept, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        for least, contained in ((0.1, 0.95), (0.2, None), (0.0, None)):
+            made = accepted(spark, sf, least, contained)._jdf.queryExecution().executedPlan()
+            found = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(made)
+            sizes = [found.apply(i)._3().maxMethodCodeSize() for i in range(found.size())]
+            assert len(sizes) >= 5 and max(sizes) < 8000
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_manual_links_are_numbered_in_place(spark, sf):
     assert "collect_list" not in plan(manual_links(spark, sf))
 
